@@ -29,7 +29,7 @@ def page_summary(spark, sf_dir):
         F.max(F.when(F.col("label") == "title", F.col("value"))).alias("title"),
         F.max(F.when(F.col("label") == "h1", F.col("value"))).alias("h1"),
         F.count(F.when(F.col("label") == "links", 1)).alias("n_links")))
-    return (dom.pages.select("page_id", "url").join(per_page, "page_id", "left")
+    return (dom.docs.select("page_id", "url").join(per_page, "page_id", "left")
             .select("page_id", "url", "title", "h1", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
 
 

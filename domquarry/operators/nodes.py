@@ -3,7 +3,7 @@
 ``build_dom(pages)`` returns a ``Dom``:
 
 * ``nodes``  -- one row per element (schema below), document order = node_id;
-* ``docs``   -- one row per page: ``page_id, doc_text`` (all text, in order);
+* ``docs``   -- one row per page: ``page_id, url, doc_text`` (all text, in order);
 * ``pages``  -- the input (``page_id, url`` and ``html`` for outer-HTML values).
 
 The full text of a node is ``substring(doc_text, text_start + 1, text_end -
@@ -44,6 +44,7 @@ NODE_SCHEMA = T.StructType([
     T.StructField("html_end", T.IntegerType()),
     T.StructField("path", T.ArrayType(T.IntegerType())),
     T.StructField("doc_text", T.StringType()),
+    T.StructField("url", T.StringType()),
 ])
 
 _ARROW_SCHEMA = pa.schema([
@@ -54,8 +55,9 @@ _ARROW_SCHEMA = pa.schema([
     ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()),
     ("text_start", pa.int32()), ("text_end", pa.int32()), ("html_start", pa.int32()),
     ("html_end", pa.int32()), ("path", pa.list_(pa.int32())), ("doc_text", pa.string()),
+    ("url", pa.string()),
 ])
-_FIELDS = [f.name for f in _ARROW_SCHEMA][1:]
+_FIELDS = [f.name for f in _ARROW_SCHEMA][1:-1]
 # Flush an output batch once this many nodes are buffered (bounded task memory).
 _FLUSH_NODES = 50_000
 
@@ -74,7 +76,8 @@ def _tokenise_batches(batches):
     for batch in batches:
         ids = batch.column("page_id").to_pylist()
         htmls = batch.column("html").to_pylist()
-        for pid, html in zip(ids, htmls):
+        urls = batch.column("url").to_pylist()
+        for pid, html, url in zip(ids, htmls, urls):
             if html is None:
                 continue
             rec = parse_page(html)
@@ -82,6 +85,8 @@ def _tokenise_batches(batches):
             cols["page_id"].extend([pid] * n)
             for name in _FIELDS:
                 cols[name].extend(rec[name])
+            cols["url"].append(url)
+            cols["url"].extend([None] * (n - 1))
             if len(cols["page_id"]) >= _FLUSH_NODES:
                 yield flush()
     if cols["page_id"]:
@@ -94,26 +99,38 @@ class Dom:
     def __init__(self, raw: DataFrame, pages: DataFrame):
         self.raw = raw
         self.pages = pages
-        self.nodes = raw.where(F.col("node_id") > 0).drop("doc_text")
-        self.docs = raw.where(F.col("node_id") == 0).select("page_id", "doc_text")
+        self.nodes = raw.where(F.col("node_id") > 0).drop("doc_text", "url")
+        # one row per page: its text and URL, on the node table's partitioning
+        self.docs = raw.where(F.col("node_id") == 0).select("page_id", "url", "doc_text")
 
     def unpersist(self):
         self.raw.unpersist()
 
 
-def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None = None) -> Dom:
+def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None = None,
+              num_partitions: int | None = None) -> Dom:
     """Tokenise ``pages(page_id, html, ...)`` into a ``Dom``.
 
-    The scan is repartitioned by ``page_id`` only when it yields fewer
-    partitions than the cluster has cores (one parquet row group holds many
-    pages); at scale the file splits already give the parallelism.
+    The node table is hash-partitioned by ``page_id`` once.  Every later step
+    is per page -- selector joins on ``(page_id, node_id)``, per-page
+    aggregates and windows, the page-text join -- so with
+    ``spark.sql.requireAllClusterKeysForCoPartition=false`` they all run on
+    this partitioning without another exchange.  A page is also the unit the
+    tokeniser handles in one task, so a ``page_id`` partition is bounded by
+    the largest page, not by the data size.
+
+    The scan is split further (round robin, before tokenising) only when it
+    yields fewer partitions than the cluster has cores; at scale the file
+    splits already give the parallelism.
     """
     spark = pages.sparkSession
-    src = pages.select("page_id", "html")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    src = pages.select("page_id", "html", "url")
     target = min_partitions or spark.sparkContext.defaultParallelism
     if src.rdd.getNumPartitions() < target:
-        src = src.repartition(target, "page_id")
-    raw = src.mapInArrow(_tokenise_batches, NODE_SCHEMA)
+        src = src.repartition(target)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = src.mapInArrow(_tokenise_batches, NODE_SCHEMA).repartition(n, "page_id")
     if persist:
         raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     return Dom(raw, pages)

@@ -44,7 +44,7 @@ def node_values(dom, matched: DataFrame, element_type: str = "text", attribute_n
     elif et == "link":
         href = F.coalesce(F.col("attrs")["href"], F.lit(""))
         if resolve_links:
-            m = m.join(dom.pages.select("page_id", F.col("url").alias("_base")), "page_id")
+            m = m.join(dom.docs.select("page_id", F.col("url").alias("_base")), "page_id")
             value = urljoin(F.col("_base"), href)
         else:
             value = href
@@ -55,13 +55,13 @@ def node_values(dom, matched: DataFrame, element_type: str = "text", attribute_n
         if text_mode == "own":
             value = F.col("own_text")
         else:
+            # leaf-like nodes: own text == full text; others slice the page
+            # text (docs share the node table's page_id partitioning, so this
+            # join needs no exchange)
             leaf = (F.col("text_end") - F.col("text_start")) == F.length(own)
-            simple = m.where(leaf).withColumn("value", own)
-            deep = (m.where(~leaf).join(dom.docs, "page_id")
-                    .withColumn("value", F.expr("substring(doc_text, text_start + 1, text_end - text_start)")))
-            out = simple.select(*keep, "value").unionByName(deep.select(*keep, "value"))
-            return out.withColumn("value", strip(F.col("value")) if trim else F.col("value"))
-        value = value
+            m = m.join(dom.docs.select("page_id", "doc_text"), "page_id", "left")
+            value = F.when(leaf, own).otherwise(
+                F.expr("substring(doc_text, text_start + 1, text_end - text_start)"))
     out = m.withColumn("value", value)
     if trim and et == "text":
         out = out.withColumn("value", strip(F.col("value")))
@@ -85,5 +85,5 @@ def page_title(dom, planner) -> DataFrame:
     cand = t.unionByName(h).where(F.col("value") != "")
     best = (cand.groupBy("page_id")
             .agg(F.min_by(F.col("value"), F.struct("prio", "node_id")).alias("page_title")))
-    return (dom.pages.select("page_id").join(best, "page_id", "left")
+    return (dom.docs.select("page_id").join(best, "page_id", "left")
             .select("page_id", F.coalesce("page_title", F.lit("Unknown")).alias("page_title")))

@@ -260,7 +260,7 @@ class Planner:
         nodes = self.dom.nodes
         if _compound_needs_text(comp):
             base = nodes.where(F.col("tag") == comp.tag) if comp.tag else nodes
-            base = base.join(self.dom.docs, "page_id")
+            base = base.join(self.dom.docs.select("page_id", "doc_text"), "page_id")
             cand = base.where(compound_predicate(comp))
         else:
             cand = nodes.where(compound_predicate(comp))
