@@ -13,6 +13,7 @@ from ..operators.nodes import build_dom
 from ..operators.subpages import (follow_links, link_queue, overlay, process_queue,
                                   subpage_records_from_containers, subpage_values)
 from ..plans.compile import Planner
+from ..session import materialize
 from .common import table
 
 _DOMS: dict = {}
@@ -50,8 +51,9 @@ def rendered_dom(spark, sf_dir, overlap=0, trailing=0):
 
 def _cards(spark, sf_dir, overlap=0, trailing=0):
     dom, planner = rendered_dom(spark, sf_dir, overlap, trailing)
-    containers = find_containers(planner, "div.profile-card")
-    fields = container_fields(dom, planner, containers, CARD_SUBS)
+    # stage boundaries: containers and their fields feed several branches
+    containers = materialize(find_containers(planner, "div.profile-card"))
+    fields = materialize(container_fields(dom, planner, containers, CARD_SUBS))
     return dom, planner, containers, fields
 
 
@@ -94,10 +96,10 @@ FROM s
 
 def _with_profiles(spark, sf_dir):
     dom, planner, containers, fields = _cards(spark, sf_dir)
-    links = profile_link_pick(dom, planner, containers, fields, CARD_SUBS)
+    links = materialize(profile_link_pick(dom, planner, containers, fields, CARD_SUBS))
     recs = containers.join(links, ["page_id", "container_id"], "left")
-    linked = follow_links(recs, dom.docs, "profile_link")
-    sub = subpage_values(dom, planner, linked, PROFILE_ELEMENTS)
+    linked = materialize(follow_links(recs, dom.docs, "profile_link"))
+    sub = materialize(subpage_values(dom, planner, linked, PROFILE_ELEMENTS))
     key = ["page_id", "container_id", "container_index"]
     merged = overlay(fields, linked.select(*key, "subpage_id"), sub, [e["label"] for e in PROFILE_ELEMENTS], key)
     return dom, merged.join(links, ["page_id", "container_id"], "left")

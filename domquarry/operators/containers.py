@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..plans.ast import SelectorError
 from ..plans.compile import Planner, chain_output, parse_selector
 from ..plans.css import split_top_level
-from .values import chain_values, node_values
+from .values import keyed_values, node_values
 
 FIELDS_SCHEMA = ("page_id BIGINT, container_id INT, container_index INT, label STRING, "
                  "value_ord INT, value STRING")
@@ -40,7 +40,7 @@ def index_containers(matched: DataFrame) -> DataFrame:
     every sub-element scopes its selection to this small set."""
     w = Window.partitionBy("page_id").orderBy("node_id")
     return matched.select("page_id", F.col("node_id").alias("container_id"),
-                          (F.row_number().over(w) - 1).alias("container_index")).persist()
+                          (F.row_number().over(w) - 1).alias("container_index"))
 
 
 def find_containers(planner: Planner, selector: str, selector_type: str = "css",
@@ -88,32 +88,51 @@ def _sub_matches(planner: Planner, containers: DataFrame, sub: dict, first_alter
 def container_fields(dom, planner: Planner, containers: DataFrame, sub_elements: list[dict],
                      first_alternative: bool = False, multi_value_rule: bool = True,
                      on_bad_selector: str = "empty") -> DataFrame:
-    """One row per (container, label, value)."""
+    """One row per (container, label, value).
+
+    All sub-elements are matched in one batched plan (``select_many``) and
+    read in one values pass; per (container, label) the first match in
+    document order is kept, or all non-blank matches for multi-valued labels
+    (P9)."""
     spark = dom.nodes.sparkSession
-    parts = []
-    for sub in sub_elements:
-        label = sub["label"]
+    scope = containers.select("page_id", F.col("container_id").alias("scope_id"))
+    named, specs, parts = [], {}, []
+    for i, sub in enumerate(sub_elements):
+        key = f"{i}:{sub['label']}"
+        selector = (sub.get("selector") or "").strip()
+        spec = {"element_type": sub.get("element_type") or "text", "attribute_name": sub.get("attribute_name"),
+                "resolve_links": True, "multi": multi_value_rule and is_multi_valued(sub["label"])}
         try:
-            matched, (output, attr_name) = _sub_matches(planner, containers, sub, first_alternative)
+            if selector == "":  # P13: the container itself
+                parts.append(containers.select("page_id", F.col("container_id").alias("scope_id"),
+                                               F.col("container_id").alias("node_id"), F.lit(key).alias("key")))
+            elif first_alternative and len([a for a in split_top_level(selector) if a.strip()]) > 1:
+                alts = [a.strip() for a in split_top_level(selector) if a.strip()]
+                parts.append(planner.select_first(alts, scope=scope).drop("priority")
+                             .withColumn("key", F.lit(key)))
+            else:
+                sel = parse_selector(selector, sub.get("selector_type") or "css", relative=True)
+                spec["output"], spec["attr_name"] = chain_output(sel)
+                named.append((key, sel))
         except SelectorError:
             if on_bad_selector == "empty":
                 continue
             raise
-        v = chain_values(dom, matched, output, attr_name, sub.get("element_type") or "text",
-                         sub.get("attribute_name"), resolve_links=True)
-        v = v.where(F.col("value").isNotNull()).withColumnRenamed("scope_id", "container_id")
-        if multi_value_rule and is_multi_valued(label):
-            w = Window.partitionBy("page_id", "container_id").orderBy("node_id")
-            v = v.where(F.col("value") != "").withColumn("value_ord", F.row_number().over(w))
-        else:
-            v = (v.groupBy("page_id", "container_id").agg(F.min_by("value", "node_id").alias("value"))
-                 .withColumn("value_ord", F.lit(1)))
-        parts.append(v.select("page_id", "container_id", F.lit(label).alias("label"), "value_ord", "value"))
+        specs[key] = spec
+    if named:
+        parts.append(planner.select_many(named, scope=scope))
     if not parts:
         return spark.createDataFrame([], FIELDS_SCHEMA)
-    fields = reduce(DataFrame.unionByName, parts)
-    return fields.join(containers, ["page_id", "container_id"]).select(
-        "page_id", "container_id", "container_index", "label", "value_ord", "value")
+    matched = reduce(DataFrame.unionByName, parts)
+    v = keyed_values(dom, matched, specs).withColumnRenamed("scope_id", "container_id")
+    multi_keys = [k for k, sp in specs.items() if sp["multi"]]
+    is_multi = F.col("key").isin(multi_keys) if multi_keys else F.lit(False)
+    v = v.where(F.col("value").isNotNull() & ~(is_multi & (F.col("value") == "")))
+    w = Window.partitionBy("page_id", "container_id", "key").orderBy("node_id")
+    v = v.withColumn("value_ord", F.row_number().over(w)).where(is_multi | (F.col("value_ord") == 1))
+    label = F.regexp_extract("key", r"^\d+:(.*)$", 1)
+    return v.join(containers, ["page_id", "container_id"]).select(
+        "page_id", "container_id", "container_index", label.alias("label"), "value_ord", "value")
 
 
 def container_text_fallback(dom, containers: DataFrame, fields: DataFrame) -> DataFrame:

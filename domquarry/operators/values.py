@@ -87,3 +87,43 @@ def page_title(dom, planner) -> DataFrame:
             .agg(F.min_by(F.col("value"), F.struct("prio", "node_id")).alias("page_title")))
     return (dom.docs.select("page_id").join(best, "page_id", "left")
             .select("page_id", F.coalesce("page_title", F.lit("Unknown")).alias("page_title")))
+
+
+def _value_expr(spec: dict) -> Column:
+    output = spec.get("output", "node")
+    et = (spec.get("element_type") or "text").lower()
+    if output == "own_text":
+        return strip(F.col("own_text"))
+    if output == "attr":
+        return F.coalesce(F.col("attrs")[spec.get("attr_name")], F.lit(""))
+    if et == "html":
+        return F.expr("substring(html, html_start + 1, html_end - html_start)")
+    if et == "link":
+        href = F.coalesce(F.col("attrs")["href"], F.lit(""))
+        return urljoin(F.col("_base"), href) if spec.get("resolve_links") else href
+    if et == "attribute":
+        return F.coalesce(F.col("attrs")[spec.get("attribute_name") or "value"], F.lit(""))
+    own = F.when(F.col("tag").isin("script", "style"), F.lit("")).otherwise(F.col("own_text"))
+    leaf = (F.col("text_end") - F.col("text_start")) == F.length(own)
+    return strip(F.when(leaf, own).otherwise(F.expr("substring(doc_text, text_start + 1, text_end - text_start)")))
+
+
+def keyed_values(dom, matched: DataFrame, specs: dict) -> DataFrame:
+    """``node_values`` for many selectors at once: ``matched`` carries a
+    ``key`` column and ``specs[key]`` says how to read the value (element
+    type, attribute, link resolution, XPath output).  One join with the node
+    table and one with the page rows serve every key."""
+    keep = matched.columns
+    info = dom.nodes.select("page_id", "node_id", "own_text", "text_start", "text_end", "attrs",
+                            "html_start", "html_end", "tag")
+    m = matched.join(info, ["page_id", "node_id"])
+    kinds = {(s.get("element_type") or "text").lower() for s in specs.values() if s.get("output", "node") == "node"}
+    docs = dom.docs.select("page_id", F.col("url").alias("_base"), "doc_text")
+    m = m.join(docs, "page_id", "left")
+    if "html" in kinds:
+        m = m.join(dom.pages.select("page_id", "html"), "page_id", "left")
+    value = None
+    for key, spec in specs.items():
+        e = _value_expr(spec)
+        value = F.when(F.col("key") == key, e) if value is None else value.when(F.col("key") == key, e)
+    return m.withColumn("value", value).select(*keep, "value")

@@ -353,20 +353,66 @@ class Planner:
             out = out.unionByName(p)
         return out.dropDuplicates(_KEYS) if len(parts) > 1 else out
 
+    def select_many(self, named: list, scope: DataFrame | None = None) -> DataFrame:
+        """Several selectors at once: ``named`` is ``[(key, SelectorList)]``;
+        output ``(page_id, scope_id, node_id, key)``.
+
+        Single-step selectors without joins of their own (the usual
+        ``h3`` / ``.title`` / ``a[href^='mailto:']`` of a template) share ONE
+        scan of the node table: each row gets the array of keys whose
+        predicate it passes, exploded, and one scope join follows.  Other
+        selectors get their own plan and are unioned in."""
+        simple, rest = {}, []
+        for key, sel in named:
+            ok = len(sel.chains) == 1 and len(sel.chains[0].steps) == 1
+            if ok:
+                step = sel.chains[0].steps[0]
+                ok = (step.axis in ("desc", "child") and not _compound_needs_text(step.test)
+                      and not any(p[0] == "has" for p in step.test.preds))
+            if ok:
+                simple.setdefault(step.axis, []).append((key, compound_predicate(step.test)))
+            else:
+                rest.append((key, sel))
+        parts = []
+        for axis, preds in simple.items():
+            keys = F.array_compact(F.array(*[F.when(pred, F.lit(k)) for k, pred in preds]))
+            any_pred = reduce(lambda a, b: a | b, [_false_if_null(pred) for _, pred in preds])
+            cand = (self.dom.nodes.where(any_pred)
+                    .select(*_CAND_COLS, F.explode(keys).alias("key")))
+            if scope is None:
+                if axis == "child":
+                    cand = cand.where(F.col("parent_id") == 0)
+                parts.append(cand.select("page_id", F.lit(0).alias("scope_id"), "node_id", "key"))
+            elif axis == "desc":
+                pairs = cand.select("page_id", "node_id", "key", F.explode("path").alias("anc"))
+                st = scope.select("page_id", F.col("scope_id").alias("anc"), "scope_id")
+                parts.append(pairs.join(st, ["page_id", "anc"]).select(*_KEYS, "key"))
+            else:
+                st = scope.select("page_id", F.col("scope_id").alias("parent_id"), "scope_id")
+                parts.append(cand.join(st, ["page_id", "parent_id"]).select(*_KEYS, "key"))
+        for key, sel in rest:
+            parts.append(self.select(sel, scope=scope).withColumn("key", F.lit(key)))
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
     def select_first(self, alternatives, scope: DataFrame | None = None,
                      selector_type: str = "css", min_count: int = 1) -> DataFrame:
         """Ordered alternatives, first with >= ``min_count`` matches wins,
         decided per (page, scope).  Output adds ``priority``."""
-        parts = []
+        named = []
         for prio, alt in enumerate(alternatives):
             try:
-                m = self.select(alt, scope=scope, selector_type=selector_type)
+                sel = alt if isinstance(alt, SelectorList) else parse_selector(
+                    alt, selector_type, relative=scope is not None)
+                check_compiles(sel)
             except SelectorError:
                 continue
-            parts.append(m.withColumn("priority", F.lit(prio)))
-        if not parts:
+            named.append((str(prio), sel))
+        if not named:
             raise SelectorError(f"no usable selector in {alternatives!r}")
-        allm = reduce(lambda a, b: a.unionByName(b), parts)
+        allm = (self.select_many(named, scope=scope)
+                .select(*_KEYS, F.col("key").cast("int").alias("priority")))
+        # a node matched by two chains of one alternative counts once
+        allm = allm.dropDuplicates(_KEYS + ["priority"])
         # grouped aggregates (map-side combined) + semi-joins, not windows:
         # a window over one huge page cannot be split, a skewed join can (AQE)
         if min_count > 1:
@@ -377,6 +423,17 @@ class Planner:
         return allm.join(best, ["page_id", "scope_id", "priority"], "left_semi")
 
 
+def check_compiles(sel: SelectorList) -> None:
+    """Raise ``SelectorError`` now (at plan-build time) if any test of the
+    selector is outside the supported grammar."""
+    for ch in sel.chains:
+        for step in ch.steps:
+            compound_predicate(step.test)
+            for p in step.test.preds:
+                if p[0] == "has":
+                    check_compiles(p[1])
+
+
 def chain_output(sel: SelectorList) -> tuple[str, str | None]:
     c = sel.chains[0]
     return c.output, c.attr_name

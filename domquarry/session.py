@@ -48,3 +48,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df):
+    """Cut lineage at a stage boundary: write ``df`` to the shared checkpoint
+    folder (``spark.checkpoint.dir``) and continue from the written copy.
+
+    Keeps later plans small (a reused intermediate is not re-planned and
+    re-run by every branch that reads it) and survives executor loss, unlike
+    a local checkpoint.  The partitioning of ``df`` is kept."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
