@@ -243,3 +243,10 @@ def template_violations(templates: DataFrame, key: str = "name") -> DataFrame:
                       F.transform(warnings, lambda m: F.struct(F.lit("warning").alias("level"), m.alias("message"))))
     return (templates.select(F.col(key), F.explode(issues).alias("issue"))
             .select(key, "issue.level", "issue.message"))
+
+
+def templates_from_json(df: DataFrame, col: str = "json") -> DataFrame:
+    """S2 for JSON documents held in a column (e.g. built by a query):
+    parse with the explicit template schema and fill the defaults."""
+    parsed = df.select(F.from_json(F.col(col), TEMPLATE_SCHEMA).alias("t")).select("t.*")
+    return with_defaults(parsed)
