@@ -66,5 +66,8 @@ def _expr_needs_text(e) -> bool:
     if isinstance(e, tuple):
         if e[0] == "ctx":
             return True
+        # these default to the context node's string value
+        if e[0] == "fn" and e[1] in ("normalize-space", "string-length", "string") and len(e) == 2:
+            return True
         return any(_expr_needs_text(x) for x in e[1:])
     return False
