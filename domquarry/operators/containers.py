@@ -44,14 +44,16 @@ def index_containers(matched: DataFrame) -> DataFrame:
 
 
 def find_containers(planner: Planner, selector: str, selector_type: str = "css",
-                    ladder: list[tuple[list[str], int]] | None = None) -> DataFrame:
-    """Container nodes.  ``ladder`` (C2/E18/E20) is an ordered list of
-    ``(alternatives, min_count)`` rungs tried before the template selector;
-    per page, the first rung with enough matches wins."""
-    if not ladder:
+                    ladder: list[tuple[list[str], int]] | None = None,
+                    after: list[tuple[list[str], int]] | None = None) -> DataFrame:
+    """Container nodes.  ``ladder`` / ``after`` (C2, E13, E18, E20) are
+    ordered ``(alternatives, min_count)`` rungs tried before / after the
+    template selector; per page, the first rung with enough matches wins."""
+    if not ladder and not after:
         return index_containers(planner.select(selector, selector_type=selector_type))
     parts = []
-    for prio, (alts, min_count) in enumerate(ladder + [([selector], 1)]):
+    rungs = (ladder or []) + [([selector], 1)] + (after or [])
+    for prio, (alts, min_count) in enumerate(rungs):
         try:
             m = planner.select_first(alts, min_count=min_count)
         except SelectorError:

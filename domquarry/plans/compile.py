@@ -39,12 +39,12 @@ _CAND_COLS = ["page_id", "node_id", "parent_id", "ordinal", "path"]
 def is_xpath(selector: str, selector_type: str | None = "css") -> bool:
     s = selector or ""
     return (selector_type == "xpath" or s.startswith("xpath:") or s.startswith("//")
-            or "normalize-space" in s)
+            or "normalize-space" in s or s.startswith("./"))
 
 
 def normalise_xpath(selector: str) -> str:
     expr = selector[6:] if selector.startswith("xpath:") else selector
-    if "normalize-space" in expr and not expr.startswith("//"):
+    if "normalize-space" in expr and not expr.startswith("//") and not expr.startswith("./"):
         expr = "//" + expr.lstrip("/")
     return expr
 
