@@ -60,8 +60,9 @@ def find_containers(planner: Planner, selector: str, selector_type: str = "css",
             continue
         parts.append(m.select("page_id", "scope_id", "node_id", F.lit(prio).alias("rung")))
     allm = reduce(DataFrame.unionByName, parts)
-    best = allm.groupBy("page_id").agg(F.min("rung").alias("rung"))
-    return index_containers(allm.join(best, ["page_id", "rung"], "left_semi"))
+    best = F.min("rung").over(Window.partitionBy("page_id"))
+    return index_containers(allm.withColumn("_best", best).where(F.col("rung") == F.col("_best"))
+                            .select("page_id", "scope_id", "node_id").distinct())
 
 
 def class_substring_selector(selector: str) -> list[str]:
@@ -188,3 +189,11 @@ def records(fields: DataFrame) -> DataFrame:
     per_label = per_label.withColumn("vs", F.transform("vs", lambda s: s["value"]))
     return (per_label.groupBy("page_id", "container_id", "container_index")
             .agg(F.map_from_entries(F.collect_list(F.struct("label", "vs"))).alias("fields")))
+
+
+def main_page_containers(templates: DataFrame) -> DataFrame:
+    """Per template, the container elements that are *not* subpage
+    containers (T3) -- the ones extracted from the main page only."""
+    from .analyze import is_subpage_container
+    el = F.filter("elements", lambda e: F.coalesce(e["is_container"], F.lit(False)) & ~is_subpage_container(e))
+    return templates.select("name", F.explode(el).alias("element"))

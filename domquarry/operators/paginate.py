@@ -182,3 +182,22 @@ def filter_combinations(filters: DataFrame, key: str = "template") -> DataFrame:
             .select(key, "combo_no", F.array_join(F.transform("combo", lambda x: F.concat(x["label"], F.lit("_"),
                                                                                          x["value"])), "_")
                     .alias("combo_key"), "combo"))
+
+
+def working_parameter(dom, base: DataFrame, container_counts: DataFrame) -> DataFrame:
+    """Per base URL, the first URL pattern whose test page (parameter set
+    to its step) exists and has different content (A3: container count > 0
+    and unlike the base page's).  ``base(page_id, url)``;
+    ``container_counts(page_id, container_count)`` is A2 over the same pages.
+    Returns ``(page_id, param)``; no row when no pattern works."""
+    tests = None
+    for i, p in enumerate(URL_PATTERNS):
+        t = base.select("page_id", F.lit(i).alias("pattern_no"), F.lit(p["param"]).alias("param"),
+                        set_query_param(F.col("url"), p["param"], F.lit(p["step"])).alias("test_url"))
+        tests = t if tests is None else tests.unionByName(t)
+    cur = container_counts.select("page_id", F.col("container_count").alias("current_count"))
+    test_pages = dom.docs.select(F.col("page_id").alias("test_id"), F.col("url").alias("test_url"))
+    tc = container_counts.select(F.col("page_id").alias("test_id"), F.col("container_count").alias("test_count"))
+    ok = (tests.join(test_pages, "test_url").join(tc, "test_id").join(cur, "page_id")
+          .where((F.col("test_count") > 0) & (F.col("test_count") != F.col("current_count"))))
+    return ok.groupBy("page_id").agg(F.min_by("param", "pattern_no").alias("param"))

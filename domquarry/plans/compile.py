@@ -413,14 +413,14 @@ class Planner:
                 .select(*_KEYS, F.col("key").cast("int").alias("priority")))
         # a node matched by two chains of one alternative counts once
         allm = allm.dropDuplicates(_KEYS + ["priority"])
-        # grouped aggregates (map-side combined) + semi-joins, not windows:
-        # a window over one huge page cannot be split, a skewed join can (AQE)
+        # windows over (page, scope): they run on the node table's page
+        # partitioning (no exchange) and, unlike joining the matches back to
+        # an aggregate of themselves, keep the plan linear in the rungs
         if min_count > 1:
-            ok = (allm.groupBy("page_id", "scope_id", "priority").count()
-                  .where(F.col("count") >= min_count).drop("count"))
-            allm = allm.join(ok, ["page_id", "scope_id", "priority"], "left_semi")
-        best = allm.groupBy("page_id", "scope_id").agg(F.min("priority").alias("priority"))
-        return allm.join(best, ["page_id", "scope_id", "priority"], "left_semi")
+            n = F.count(F.lit(1)).over(Window.partitionBy("page_id", "scope_id", "priority"))
+            allm = allm.withColumn("_n", n).where(F.col("_n") >= min_count).drop("_n")
+        best = F.min("priority").over(Window.partitionBy("page_id", "scope_id"))
+        return allm.withColumn("_best", best).where(F.col("priority") == F.col("_best")).drop("_best")
 
 
 def check_compiles(sel: SelectorList) -> None:
