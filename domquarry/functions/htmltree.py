@@ -21,7 +21,7 @@ Tree rules for broken markup (what a lenient HTML parser does):
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 # HTML element categories (from the HTML standard).
 VOID_TAGS = frozenset(
@@ -35,7 +35,6 @@ BUTTON_SCOPE = frozenset("applet caption html table td th marquee object templat
 RAW_TEXT_TAGS = frozenset({"script", "style"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
-_NEWLINE = re.compile("\n")
 _SPACE = re.compile(r"\s+")
 
 # Output field order of ``parse_page`` rows.
@@ -46,11 +45,22 @@ NODE_FIELDS = (
 )
 
 
-class _TreeBuilder(HTMLParser):
+# One scan of the page: comments, declarations, processing instructions, end
+# tags and start tags (quoted attribute values may contain ">").  Anything
+# else -- including a "<" that starts no tag -- is text.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<![^>]*>?"
+    r"|<\?[^>]*>?"
+    r"|</([a-zA-Z][^\s/>]*)[^>]*>?"
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.S)
+_ATTR = re.compile(r"""((?<=[\s'"/])|^)([^\s/>"'=][^\s/>"'=]*)(?:\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?""")
+
+
+class _TreeBuilder:
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.src = html
-        self.line_starts = [0] + [m.end() for m in _NEWLINE.finditer(html)]
         # node 0 is the document
         self.tag = ["#document"]
         self.parent = [-1]
@@ -69,10 +79,37 @@ class _TreeBuilder(HTMLParser):
         self.text_parts: list[str] = []
         self.text_len = 0
 
-    # -- offsets -----------------------------------------------------------
-    def _offset(self) -> int:
-        line, col = self.getpos()
-        return self.line_starts[line - 1] + col
+    # -- scanning ------------------------------------------------------------
+    def feed(self, html: str) -> None:
+        pos, n = 0, len(html)
+        search = _TOKEN.search
+        while pos < n:
+            m = search(html, pos)
+            if m is None:
+                self.handle_data(unescape(html[pos:]))
+                break
+            if m.start() > pos:
+                self.handle_data(unescape(html[pos:m.start()]))
+            end_name, start_name = m.group(1), m.group(2)
+            pos = m.end()
+            if start_name is not None:
+                tag = start_name.lower()
+                raw_attrs = m.group(3)
+                self_closing = raw_attrs.rstrip().endswith("/")
+                attrs = [(a.lower(), _attr_value(v)) for _, a, v in _ATTR.findall(raw_attrs)
+                         if a and a != "/"]
+                self._open(tag, attrs, m.start(), pos, void=self_closing or tag in VOID_TAGS)
+                if tag in RAW_TEXT_TAGS and not self_closing:
+                    close = re.compile(r"</" + tag + r"\s*>?", re.I).search(html, pos)
+                    stop = close.start() if close else n
+                    if stop > pos:
+                        self.handle_data(html[pos:stop])
+                    if close is None:
+                        break
+                    pos = close.end()
+                    self.handle_endtag(tag, close.start(), close.end())
+            elif end_name is not None:
+                self.handle_endtag(end_name.lower(), m.start(), pos)
 
     def _close_top(self, end: int) -> None:
         i = self.stack.pop()
@@ -93,16 +130,6 @@ class _TreeBuilder(HTMLParser):
         return -1
 
     # -- handlers ------------------------------------------------------------
-    def handle_starttag(self, tag, attrs):
-        start = self._offset()
-        raw = self.get_starttag_text() or ""
-        self._open(tag, attrs, start, start + len(raw), void=tag in VOID_TAGS)
-
-    def handle_startendtag(self, tag, attrs):
-        start = self._offset()
-        raw = self.get_starttag_text() or ""
-        self._open(tag, attrs, start, start + len(raw), void=True)
-
     def _open(self, tag, attrs, start, end, void):
         if tag in ("html", "head", "body") and any(self.tag[i] == tag for i in self.stack):
             return
@@ -163,10 +190,7 @@ class _TreeBuilder(HTMLParser):
         if not void:
             self.stack.append(node)
 
-    def handle_endtag(self, tag):
-        start = self._offset()
-        close = self.src.find(">", start)
-        end = len(self.src) if close < 0 else close + 1
+    def handle_endtag(self, tag, start, end):
         pos = self._find_open((tag,), ())
         if pos > 0:
             self._pop_through(pos, end)
@@ -180,13 +204,18 @@ class _TreeBuilder(HTMLParser):
         self.text_len += len(data)
 
     def finish(self):
-        self.close()
         end = len(self.src)
         while len(self.stack) > 1:
             self._close_top(end)
         self.text_end[0] = self.text_len
 
 
+def _attr_value(v: str):
+    if v[:1] in ("'", '"') and v[-1:] == v[:1] and len(v) >= 2:
+        v = v[1:-1]
+    return unescape(v) if v else ""
+
+
 def parse_page(html: str | None):
     """Return the node records of one page as a dict of equal-length lists."""
     b = _TreeBuilder(html or "")
