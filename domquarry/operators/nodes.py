@@ -129,7 +129,9 @@ def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None
     target = min_partitions or spark.sparkContext.defaultParallelism
     if src.rdd.getNumPartitions() < target:
         src = src.repartition(target)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many node partitions as input splits: sized by the input (about
+    # maxPartitionBytes of HTML each), not by the session's shuffle setting
+    n = num_partitions or src.rdd.getNumPartitions()
     raw = src.mapInArrow(_tokenise_batches, NODE_SCHEMA).repartition(n, "page_id")
     if persist:
         raw = raw.persist(StorageLevel.MEMORY_AND_DISK)

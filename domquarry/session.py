@@ -17,7 +17,8 @@ def get_spark(master: str | None = None, app: str = "domquarry", shuffle_partiti
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     b = (SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
          .config("spark.ui.enabled", "false")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+         .config("spark.sql.shuffle.partitions",
+                 str(shuffle_partitions or os.environ.get("DQ_SHUFFLE_PARTITIONS") or cpus))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
