@@ -48,14 +48,33 @@ def first_seen(items: DataFrame, crawl: str = "crawl_id") -> DataFrame:
             .select(crawl, "item", F.col("first.page_no").alias("first_page"), F.col("first.idx").alias("first_idx")))
 
 
+def _walk_bounds(pages: DataFrame, crawl: str) -> DataFrame:
+    """Per crawl: ``start`` (first page) and ``gap`` (first missing page after
+    it) -- a missing page ends the walk.  Grouped aggregates and an anti-join
+    on ``page_no + 1``: no per-crawl window, so a crawl holding a third of all
+    pages is still split over many tasks."""
+    p = pages.select(crawl, "page_no").distinct()
+    nxt = p.select(crawl, (F.col("page_no") + 1).alias("page_no"))
+    holes = nxt.join(p, [crawl, "page_no"], "left_anti")
+    start = p.groupBy(crawl).agg(F.min("page_no").alias("start"))
+    gaps = holes.join(start, crawl).where(F.col("page_no") > F.col("start")) \
+        .groupBy(crawl).agg(F.min("page_no").alias("gap"))
+    return start.join(gaps, crawl, "left")
+
+
+def _walk(pages: DataFrame, crawl: str, cap: int) -> DataFrame:
+    """Walked-order pages ``(crawl, page_no, walk_no)``: contiguous from the
+    first page, at most ``cap``."""
+    b = _walk_bounds(pages, crawl)
+    p = pages.select(crawl, "page_no").distinct().join(b, crawl)
+    p = p.where((F.col("page_no") >= F.col("start")) & (F.col("page_no") < F.col("gap")))
+    p = p.withColumn("walk_no", F.col("page_no") - F.col("start") + 1).where(F.col("walk_no") <= cap)
+    return p.select(crawl, "page_no", "walk_no")
+
+
 def _contiguous(pages: DataFrame, crawl: str) -> DataFrame:
     """Pages up to the first missing page number (a missing page ends the walk)."""
-    w = Window.partitionBy(crawl).orderBy("page_no")
-    p = pages.select(crawl, "page_no").distinct()
-    p = p.withColumn("_gap", F.col("page_no") - F.row_number().over(w))
-    first = p.groupBy(crawl).agg(F.min("page_no").alias("_start"))
-    p = p.join(first, crawl).where(F.col("_gap") == F.col("_start") - 1).drop("_gap", "_start")
-    return p
+    return _walk(pages, crawl, 1 << 30).select(crawl, "page_no")
 
 
 def empty_streak_stop(items: DataFrame, pages: DataFrame, k: int = URL_EMPTY_STREAK,
@@ -63,30 +82,29 @@ def empty_streak_stop(items: DataFrame, pages: DataFrame, k: int = URL_EMPTY_STR
     """Walk pages in order; stop after ``k`` consecutive pages without a
     new item (that page is still walked); at most ``cap`` pages; a missing
     page ends the walk.  Returns one row per crawl: ``stop_page`` (page that
-    completed the streak, NULL if none), ``pages_walked``, ``last_page``."""
+    completed the streak, NULL if none), ``pages_walked``, ``last_page``.
+
+    Windowless: each empty page ``q`` votes for ``q .. q+k-1``; a page with
+    ``k`` votes (and at least ``k`` pages walked) ends a streak -- an explode
+    and a grouped count, combined map-side."""
     fs = first_seen(items, crawl)
     new_per_page = fs.groupBy(crawl, F.col("first_page").alias("page_no")).agg(F.count(F.lit(1)).alias("n_new"))
-    p = _contiguous(pages, crawl)
-    w0 = Window.partitionBy(crawl).orderBy("page_no")
-    p = p.withColumn("walk_no", F.row_number().over(w0))
-    p = p.join(new_per_page, [crawl, "page_no"], "left").fillna(0, ["n_new"])
-    w = w0.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_new = F.max(F.when(F.col("n_new") > 0, F.col("walk_no"))).over(w)
-    p = p.withColumn("streak", F.col("walk_no") - F.coalesce(last_new, F.lit(0)))
-    p = p.where(F.col("walk_no") <= cap)
-    return p.groupBy(crawl).agg(
-        F.min(F.when(F.col("streak") >= k, F.col("page_no"))).alias("stop_page"),
-        F.min(F.when(F.col("streak") >= k, F.col("walk_no"))).alias("_stop_walk"),
-        F.max("walk_no").alias("_n"), F.max("page_no").alias("last_page"),
-    ).select(crawl, "stop_page", F.coalesce("_stop_walk", "_n").alias("pages_walked"), "last_page")
+    w = _walk(pages, crawl, cap)
+    empty = w.join(new_per_page, [crawl, "page_no"], "left_anti")
+    votes = (empty.select(crawl, "walk_no", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
+             .select(crawl, (F.col("walk_no") + F.col("j")).alias("walk_no"))
+             .groupBy(crawl, "walk_no").count().where((F.col("count") == k) & (F.col("walk_no") >= k)))
+    stop = (votes.join(w, [crawl, "walk_no"])
+            .groupBy(crawl).agg(F.min(F.struct("walk_no", "page_no")).alias("s")))
+    n = w.groupBy(crawl).agg(F.max("walk_no").alias("_n"), F.max("page_no").alias("last_page"))
+    return (n.join(stop, crawl, "left")
+            .select(crawl, F.col("s.page_no").alias("stop_page"),
+                    F.coalesce(F.col("s.walk_no"), F.col("_n")).alias("pages_walked"), "last_page"))
 
 
 def walked_pages(stops: DataFrame, pages: DataFrame, crawl: str = "crawl_id") -> DataFrame:
     """Pages inside the walk: ``(crawl, page_no)``."""
-    p = _contiguous(pages, crawl)
-    w = Window.partitionBy(crawl).orderBy("page_no")
-    p = p.withColumn("walk_no", F.row_number().over(w))
-    return (p.join(stops.select(crawl, "pages_walked"), crawl)
+    return (_walk(pages, crawl, 1 << 30).join(stops.select(crawl, "pages_walked"), crawl)
             .where(F.col("walk_no") <= F.col("pages_walked")).select(crawl, "page_no"))
 
 
@@ -112,7 +130,9 @@ def count_stability_stop(snapshots: DataFrame, stable: int = AUTO_SCROLL_STABLE,
 
     Skip the crawl if the initial count is 0; else take snapshots 1..cap and
     stop once the count has not grown for ``stable`` snapshots in a row.
-    Returns ``(crawl, scrolls, final_count)``."""
+    Returns ``(crawl, scrolls, final_count)``.  Snapshots beyond the cap are
+    dropped first, so the per-crawl window holds at most ``cap + 1`` rows."""
+    snapshots = snapshots.where(F.col("snap_no") <= cap)
     w = Window.partitionBy(crawl).orderBy("snap_no")
     prev_max = F.max("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = snapshots.withColumn("grew", F.col("n") > F.coalesce(prev_max, F.lit(-1)))
@@ -131,16 +151,14 @@ def next_selector_stop(pages: DataFrame, has_next: DataFrame, max_pages: int | N
                        crawl: str = "crawl_id") -> DataFrame:
     """W3 + W4: continue while the page has the next control; at most
     ``min(max_pages, 100)`` pages.  ``has_next(crawl, page_no)`` lists pages
-    with the control.  Returns the walked ``(crawl, page_no)``."""
+    with the control.  Returns the walked ``(crawl, page_no)``; the first
+    page without the control is the last one walked (grouped ``min``)."""
     cap = min(max_pages, STANDARD_PAGE_CAP) if max_pages else STANDARD_PAGE_CAP
-    p = _contiguous(pages, crawl)
-    p = p.join(has_next.select(crawl, "page_no").distinct().withColumn("_nx", F.lit(1)),
-               [crawl, "page_no"], "left").fillna(0, ["_nx"])
-    w = Window.partitionBy(crawl).orderBy("page_no")
-    stops_before = F.sum(1 - F.col("_nx")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    p = (p.withColumn("_stopped", F.coalesce(stops_before, F.lit(0)))
-         .withColumn("walk_no", F.row_number().over(w)))
-    return p.where((F.col("_stopped") == 0) & (F.col("walk_no") <= cap)).select(crawl, "page_no")
+    w = _walk(pages, crawl, cap)
+    no_next = w.join(has_next.select(crawl, "page_no").distinct(), [crawl, "page_no"], "left_anti")
+    last = no_next.groupBy(crawl).agg(F.min("walk_no").alias("_last"))
+    return (w.join(last, crawl, "left").where(F.col("walk_no") <= F.coalesce("_last", F.col("walk_no")))
+            .select(crawl, "page_no"))
 
 
 def page_url_sequence(base: DataFrame, url_col: str = "url", n: int = URL_PAGINATION_CAP) -> DataFrame:
