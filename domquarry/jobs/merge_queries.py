@@ -170,11 +170,12 @@ def listing_rows(spark, sf_dir):
     listing = dom.docs.where(F.col("url").rlike(url_re)).select(
         "page_id", F.regexp_extract("url", url_re, 1).cast("bigint").alias("crawl_id"),
         F.regexp_extract("url", url_re, 2).cast("int").alias("page_no"))
+    listing = materialize(listing)
     containers = find_containers(planner, "div.profile-card")
     fields = container_fields(dom, planner, containers, [{"label": "name", "selector": "h3"}])
-    items = fields.join(listing, "page_id").select("crawl_id", "page_no", "label", F.lit(True).alias("is_list"),
-                                                   F.col("value").alias("item"))
-    has_next = planner.select("a.next").join(listing, "page_id").select("crawl_id", "page_no")
+    items = materialize(fields.join(listing, "page_id").select(
+        "crawl_id", "page_no", "label", F.lit(True).alias("is_list"), F.col("value").alias("item")))
+    has_next = materialize(planner.select("a.next").join(listing, "page_id").select("crawl_id", "page_no"))
     walked = next_selector_stop(listing.select("crawl_id", "page_no"), has_next)
     rows = pages_to_rows(items.join(walked, ["crawl_id", "page_no"], "left_semi"))
     return rows.select(F.col("crawl_id").alias("nation_key"), F.col("_source_page").cast("bigint").alias("source_page"),

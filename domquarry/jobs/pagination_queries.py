@@ -8,6 +8,7 @@ from ..operators.containers import container_fields, find_containers
 from ..operators.paginate import (URL_PAGINATION_CAP, append_accumulate, count_stability_stop,
                                   distinct_accumulate, empty_streak_stop, next_selector_stop,
                                   page_url_sequence, walked_pages)
+from ..session import materialize
 from .common import table
 from .directory_queries import rendered_dom
 
@@ -122,12 +123,14 @@ def listing_walk(spark, sf_dir):
     listing = dom.docs.select(
         "page_id", F.regexp_extract("url", url_re, 1).cast("bigint").alias("crawl_id"),
         F.regexp_extract("url", url_re, 2).cast("int").alias("page_no")).where(F.col("url").rlike(url_re))
+    listing = materialize(listing)
     containers = find_containers(planner, "div.profile-card")
     fields = container_fields(dom, planner, containers, [{"label": "name", "selector": "h3"}])
-    items = fields.join(listing, "page_id").select("crawl_id", "page_no", F.col("container_index").alias("idx"),
-                                                   F.col("value").alias("item"))
+    # stage boundary: the walks below read items and pages from several branches
+    items = materialize(fields.join(listing, "page_id").select(
+        "crawl_id", "page_no", F.col("container_index").alias("idx"), F.col("value").alias("item")))
     pages = listing.select("crawl_id", "page_no")
-    has_next = planner.select("a.next").join(listing, "page_id").select("crawl_id", "page_no")
+    has_next = materialize(planner.select("a.next").join(listing, "page_id").select("crawl_id", "page_no"))
     walked = next_selector_stop(pages, has_next)
     stops = empty_streak_stop(items, pages, k=3)
     appended = append_accumulate(items, walked).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_appended"))

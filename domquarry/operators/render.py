@@ -17,9 +17,11 @@ and comparing with SQL on the source tables gives exact oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import row_number_within
+
 HOST = "https://dir.example"
 DIRECTORY_PAGE_BASE = 1_000_000_000
 PROFILE_PAGE_BASE = 2_000_000_000
@@ -61,10 +63,11 @@ def directory_cards(supplier: DataFrame, nation: DataFrame, per_page: int = 4, o
                     trailing: int = 0) -> DataFrame:
     """One row per (card, page it is shown on): the listing before rendering."""
     s = supplier.join(nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    s = s.withColumn("rank", F.row_number().over(w) - 1)
-    n_cards = F.count(F.lit(1)).over(Window.partitionBy("s_nationkey"))
-    s = s.withColumn("n_cards", n_cards)
+    # a nation may hold a large share of suppliers: numbered without a
+    # per-nation window, counted with a grouped aggregate
+    s = row_number_within(s, "s_nationkey", "s_suppkey", "rank").withColumn("rank", F.col("rank") - 1)
+    counts = s.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_cards"))
+    s = s.join(counts, "s_nationkey")
     s = s.withColumn("page_no", (F.col("rank") / per_page).cast("int") + 1)
     s = s.withColumn("n_pages", ((F.col("n_cards") + per_page - 1) / per_page).cast("int"))
     shown = s.withColumn("repeat", F.lit(False))

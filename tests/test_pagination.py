@@ -51,3 +51,15 @@ def test_filter_combinations(spark):
         "filter_values:array<string>,filter_type:string,wait_after_change:double>>")
     got = sorted((r["template"], r["combo_key"]) for r in filter_combinations(df).collect())
     assert got == [("t", "brand_A_size_1"), ("t", "brand_B_size_1"), ("u", "")]
+
+
+def test_row_number_within_hot_group(spark):
+    from domquarry.operators.rank import row_number_within
+    df = spark.range(0, 500).selectExpr("CASE WHEN id % 10 < 7 THEN 1 ELSE id % 10 END AS g", "id")
+    got = row_number_within(df, "g", "id", num_partitions=6).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], []).append((r["id"], r["rn"]))
+    for g, rows in by.items():
+        rows.sort()
+        assert [rn for _, rn in rows] == list(range(1, len(rows) + 1))
