@@ -121,7 +121,7 @@ WITH c AS (
 s AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT 'a' AS tag, 'email' AS role, 'link' AS element_type, count(*) AS n, count(*) AS n_targets FROM s
 UNION ALL SELECT 'a', 'profile_link', 'link', count(*), count(*) FROM s
-UNION ALL SELECT 'a', NULL, 'link', sum(p - 1), sum(p - 1) FROM c HAVING sum(p - 1) > 0
+UNION ALL SELECT 'a', NULL, 'link', CAST(sum(p - 1) AS BIGINT), CAST(sum(p - 1) AS BIGINT) FROM c HAVING sum(p - 1) > 0
 UNION ALL SELECT 'span', 'job_title', 'text', count(*), 0 FROM s
 UNION ALL SELECT 'span', NULL, 'text', count(*) + count(*) FILTER (WHERE s_suppkey % 2 = 0), 0 FROM s
 UNION ALL SELECT 'h3', NULL, 'text', count(*), 0 FROM s
