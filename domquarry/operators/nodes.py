@@ -127,11 +127,13 @@ def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     src = pages.select("page_id", "html", "url")
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < target:
+    splits = src.rdd.getNumPartitions()  # planning only: a bare scan has no exchange to run
+    if splits < target:
         src = src.repartition(target)
+        splits = target
     # as many node partitions as input splits: sized by the input (about
     # maxPartitionBytes of HTML each), not by the session's shuffle setting
-    n = num_partitions or src.rdd.getNumPartitions()
+    n = num_partitions or splits
     raw = src.mapInArrow(_tokenise_batches, NODE_SCHEMA).repartition(n, "page_id")
     if persist:
         raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
