@@ -25,7 +25,8 @@ def _event_pages(spark, sf_dir):
         F.col("event_type").alias("item"))
     pages = (e.groupBy("crawl_id").agg(F.max("page_no").alias("n"))
              .select("crawl_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page_no")))
-    return e, pages
+    # the walk reads both from several branches: written once, read back
+    return materialize(e), materialize(pages)
 
 
 def event_walk(spark, sf_dir):
