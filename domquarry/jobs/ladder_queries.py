@@ -184,3 +184,114 @@ SELECT url, container_index, 'pending' AS status FROM (
   FROM s WHERE regexp_matches(CAST(s_suppkey AS VARCHAR), '[05]$')
   ORDER BY container_index, url LIMIT 20)
 """
+
+
+def ladder_containers(spark, sf_dir):
+    """C7 + C2 (E18 first, then the template selector, E13, E11, E12, E20):
+    the template's main-page container (not its subpage container) found by
+    the smart ladder, since its own selector matches nothing."""
+    import json
+    from ..operators.containers import main_page_containers
+    from ..operators.fallback import container_ladder
+    from ..sources.templates import templates_from_json
+    dom, planner = rendered_dom(spark, sf_dir)
+    doc = json.dumps({"name": "directory", "url": "https://dir.example/", "elements": [
+        {"label": "people", "selector": ".lawyer-tile", "is_container": True,
+         "sub_elements": [{"label": "name", "selector": "h3"}]},
+        {"label": "education container", "selector": ".edu", "is_container": True,
+         "sub_elements": [{"label": "education", "selector": "li"}]}]})
+    tpl = templates_from_json(spark.createDataFrame([(doc,)], "json string"))
+    # template configuration (one row per container element) -> plan
+    main = [r["element"]["selector"] for r in main_page_containers(tpl).collect()]
+    before, after = container_ladder(main[0], smart_detection=True)
+    c = find_containers(planner, main[0], ladder=before, after=after)
+    return (c.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_containers"))
+            .join(dom.docs.select("page_id", "url"), "page_id").where(F.col("url").rlike(r"/people\?page="))
+            .select("url", "n_containers"))
+
+
+LADDER_CONTAINERS_SQL = f"""
+WITH c AS (
+  SELECT s_nationkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY s_nationkey),
+p AS (SELECT s_nationkey, unnest(range(1, CAST(ceil(n / {PER_PAGE}.0) AS BIGINT) + 1)) AS page_no, n FROM c),
+k AS (SELECT s_nationkey, page_no, least({PER_PAGE}, n - {PER_PAGE} * (page_no - 1)) AS cards FROM p)
+SELECT 'https://dir.example/nation/' || s_nationkey || '/people?page=' || page_no AS url,
+       CAST(CASE WHEN cards >= 3 THEN cards ELSE 4 END AS BIGINT) AS n_containers
+FROM k
+"""
+
+
+def first_education(spark, sf_dir):
+    """P11 + P13: subpage values capped to the first match (cap=1), and a
+    card sub-element with an empty selector reading the card itself."""
+    from ..operators.containers import container_fields
+    from ..operators.subpages import follow_links, subpage_values
+    dom, planner = rendered_dom(spark, sf_dir)
+    cont = find_containers(planner, "div.profile-card")
+    fields = container_fields(dom, planner, cont, [
+        {"label": "card", "selector": ""},
+        {"label": "profile_link", "selector": "a.profile", "element_type": "link"}])
+    links = fields.where(F.col("label") == "profile_link").select("page_id", "container_id",
+                                                                 F.col("value").alias("profile_link"))
+    card = fields.where(F.col("label") == "card").select("page_id", "container_id", F.col("value").alias("card"))
+    linked = follow_links(links, dom.docs, "profile_link")
+    sub = subpage_values(dom, planner, linked, [{"label": "education", "selector": "ul.education li"}], cap=1)
+    return (linked.join(card, ["page_id", "container_id"]).join(sub, "subpage_id", "left")
+            .select("profile_link", F.length("card").cast("bigint").alias("card_chars"),
+                    F.col("value").alias("education")))
+
+
+FIRST_EDUCATION_SQL = f"""
+SELECT 'https://dir.example/lawyer/' || s_suppkey AS profile_link,
+       CAST(length(s_name || {_POSITION} || lower(replace(s_name, '#', '.')) || '@dir.example' || 'View profile' ||
+                   replace({_SECTORS}, '|', '')) AS BIGINT) AS card_chars,
+       CASE WHEN s_suppkey % 10 <> 3 THEN 'University of ' || n_name END AS education
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+"""
+
+
+def action_profile_join(spark, sf_dir):
+    """Cards whose profile link contains one of the template's action
+    target URLs (targets: suppliers with key % 7 = 0), via a size-checked
+    broadcast of the action list."""
+    from ..operators.merge import action_subpage_join
+    dom, planner = rendered_dom(spark, sf_dir)
+    cont = find_containers(planner, "div.profile-card")
+    scope = cont.select("page_id", F.col("container_id").alias("scope_id"))
+    links = (node_values(dom, planner.select("a.profile", scope=scope), "link", resolve_links=True)
+             .select("page_id", F.col("scope_id").alias("container_id"), F.lit("profile").alias("key"), "value"))
+    acts = (table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 7 == 0)
+            .select(F.concat(F.lit("open "), F.col("s_suppkey").cast("string")).alias("label"),
+                    F.concat(F.lit("https://dir.example/lawyer/"), F.col("s_suppkey").cast("string"))
+                    .alias("target_url")))
+    j = action_subpage_join(links, acts)
+    return j.select("subpage_url", "action_label")
+
+
+ACTION_PROFILE_JOIN_SQL = """
+WITH r AS (SELECT s_suppkey AS rk FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+t AS (SELECT s_suppkey AS tk FROM supplier WHERE s_suppkey % 7 = 0),
+m AS (
+  SELECT rk, 'open ' || tk AS label, 'https://dir.example/lawyer/' || tk AS url
+  FROM r JOIN t ON starts_with(CAST(rk AS VARCHAR), CAST(tk AS VARCHAR)))
+SELECT arg_min(url, label) AS subpage_url, min(label) AS action_label FROM m GROUP BY rk
+"""
+
+
+def directory_context_cards(spark, sf_dir):
+    """E26 (+E21): the first card of every listing page is in a directory
+    context (directory URL, or at least 3 similar nodes)."""
+    from ..operators.detect import directory_context
+    dom, planner = rendered_dom(spark, sf_dir)
+    ex = planner.select("div.profile-card:first-child").select("page_id", F.col("node_id").alias("example_id"))
+    d = directory_context(dom, planner, ex)
+    return d.join(dom.docs.select("page_id", "url"), "page_id").select("url", "is_directory_context")
+
+
+DIRECTORY_CONTEXT_CARDS_SQL = f"""
+WITH c AS (
+  SELECT s_nationkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY s_nationkey),
+p AS (SELECT s_nationkey, unnest(range(1, CAST(ceil(n / {PER_PAGE}.0) AS BIGINT) + 1)) AS page_no FROM c)
+SELECT 'https://dir.example/nation/' || s_nationkey || '/people?page=' || page_no AS url, TRUE AS is_directory_context
+FROM p
+"""
