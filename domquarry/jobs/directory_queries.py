@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import render
 from ..operators.containers import (container_fields, container_text_fallback, find_containers,
-                                    profile_link_pick, records)
+                                    profile_link_pick)
 from ..operators.nodes import build_dom
 from ..operators.subpages import (follow_links, link_queue, overlay, process_queue,
                                   subpage_records_from_containers, subpage_values)

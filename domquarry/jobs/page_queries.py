@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.extract import extract_elements
-from ..operators.values import node_values, page_title
+from ..operators.values import page_title
 from ..sources.templates import normalise_template
-from .common import page_dom, sql_decode, sql_strip, table
+from .common import page_dom, sql_decode, sql_strip
 
 # The flagship template: title and h1 (single), nav links (multiple).
 FLAGSHIP_TEMPLATE = normalise_template({

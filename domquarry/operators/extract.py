@@ -14,7 +14,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.ast import SelectorError
 from ..plans.compile import Planner, chain_output, parse_selector

@@ -10,7 +10,6 @@ and no per-page Python.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.rules import (content_xpaths, fallback_xpaths, generic_selector, map_generic_selector,
                                semantic_xpaths, structure_xpaths, variant_selectors)

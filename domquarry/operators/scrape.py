@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..plans.ast import SelectorError
 from ..plans.compile import Planner, chain_output, check_compiles, parse_selector
-from .containers import is_multi_valued
 from .extract import LOCATION_CITIES
 from .values import keyed_values, page_title
 
