@@ -28,7 +28,7 @@ def _titles(batch):
         F.count(F.when(F.col("label") == "links", 1)).alias("n_links"))
     out = (dom.docs.select("page_id", "url").join(per_page, "page_id", "left")
            .select("page_id", "url", "title", "h1", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
-    return out
+    return out, dom
 
 
 def stream_page_summary(spark, sf_dir):

@@ -42,12 +42,20 @@ def read_stream(spark: SparkSession, path_glob: str, schema, max_files: int | No
 
 def stream_extract(spark: SparkSession, pages_glob: str, extract_fn, out_dir: str,
                    pages_schema: str = "page_id BIGINT, url STRING, html STRING") -> str:
-    """``extract_fn(pages_batch_df) -> DataFrame`` runs per micro-batch;
-    its output is appended to ``out_dir`` (parquet)."""
+    """``extract_fn(pages_batch_df)`` runs per micro-batch and returns the
+    output DataFrame, or ``(output, dom)``; the output is appended to
+    ``out_dir`` (parquet) and the batch's node table is released afterwards,
+    so a long-running stream does not accumulate cached batches."""
     stream = read_stream(spark, pages_glob, pages_schema)
 
     def run(batch: DataFrame, batch_id: int):
-        extract_fn(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+        res = extract_fn(batch)
+        out, dom = res if isinstance(res, tuple) else (res, None)
+        try:
+            out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+        finally:
+            if dom is not None:
+                dom.unpersist()
 
     q = (stream.writeStream.foreachBatch(run).option("checkpointLocation", out_dir + "_ckpt")
          .trigger(availableNow=True).start())
