@@ -106,6 +106,12 @@ class Dom:
     def unpersist(self):
         self.raw.unpersist()
 
+    def restrict(self, page_ids: DataFrame) -> "Dom":
+        """The same node table limited to ``page_ids(page_id)`` (a semi-join
+        that keeps the page partitioning): selectors then touch only those
+        pages, e.g. the linked subpages of a directory."""
+        return Dom(self.raw.join(page_ids.select("page_id").distinct(), "page_id", "left_semi"), self.pages)
+
 
 def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None = None,
               num_partitions: int | None = None) -> Dom:

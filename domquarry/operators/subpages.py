@@ -20,6 +20,7 @@ from ..functions.urls import strip_fragment
 from ..plans.ast import SelectorError
 from ..plans.compile import Planner
 from ..plans.css import split_top_level
+from ..session import materialize
 from .values import node_values
 
 SUB_FIELDS_SCHEMA = "subpage_id BIGINT, label STRING, value_ord INT, value STRING, n_matches BIGINT"
@@ -55,6 +56,10 @@ def subpage_values(dom, planner: Planner, subpage_ids: DataFrame, elements: list
     ``cap`` only the first ``cap`` raw matches are used (P11)."""
     spark = dom.nodes.sparkSession
     ids = subpage_ids.select(F.col("subpage_id").alias("page_id")).where(F.col("page_id").isNotNull()).distinct()
+    # select on the linked pages only, not on the whole page set; the id list
+    # is written once so each selector's scan does not re-run its lineage
+    dom = dom.restrict(materialize(ids))
+    planner = Planner(dom)
     parts = []
     for el in elements:
         label = el["label"]
@@ -66,7 +71,6 @@ def subpage_values(dom, planner: Planner, subpage_ids: DataFrame, elements: list
             m = planner.select_first(alts or [selector]).drop("priority")
         except SelectorError:
             continue
-        m = m.join(ids, "page_id", "left_semi")
         if cap:
             w = Window.partitionBy("page_id").orderBy("node_id")
             m = m.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap).drop("_k")
