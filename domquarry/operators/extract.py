@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ast import SelectorError
-from ..plans.compile import Planner, chain_output, parse_selector
-from .values import chain_values
+from ..plans.compile import Planner, chain_output, check_compiles, parse_selector
+from .values import keyed_values
 
 VALUES_SCHEMA = "page_id BIGINT, label STRING, value_ord INT, value STRING, node_id INT"
 ERRORS_SCHEMA = "page_id BIGINT, label STRING, error STRING"
@@ -33,52 +33,54 @@ def is_location_element(label: str, selector: str) -> bool:
             or any(c in sel for c in LOCATION_CITIES))
 
 
-def element_matches(planner: Planner, element: dict, on_bad_selector: str = "empty"):
-    """Matched nodes + output mode for one element; ``None`` if the selector
-    cannot be compiled and ``on_bad_selector='empty'``."""
-    try:
-        sel = parse_selector(element["selector"], element.get("selector_type") or "css")
-        return planner.select(sel), chain_output(sel)
-    except SelectorError:
-        if on_bad_selector == "empty":
-            return None
-        raise
-
-
 def extract_elements(dom, elements: list[dict], planner: Planner | None = None,
                      on_bad_selector: str = "empty", resolve_links: bool = False):
+    """All page-level elements of a template in one batched plan: the
+    selectors share one scan of the node table (``select_many``), values are
+    read in one pass (``keyed_values``) and ordered by one per-page window."""
     planner = planner or Planner(dom)
     spark = dom.nodes.sparkSession
-    vals, errs = [], []
+    named, specs, labels = [], {}, {}
+    for i, el in enumerate(elements):
+        if el.get("is_container"):
+            continue
+        key = f"e{i}"
+        try:
+            sel = parse_selector(el["selector"], el.get("selector_type") or "css")
+            check_compiles(sel)
+        except SelectorError:
+            if on_bad_selector == "empty":
+                continue
+            raise
+        output, attr_name = chain_output(sel)
+        named.append((key, sel))
+        specs[key] = {"element_type": el.get("element_type") or "text", "attribute_name": el.get("attribute_name"),
+                      "output": output, "attr_name": attr_name, "resolve_links": resolve_links}
+        labels[key] = (el["label"], bool(el.get("is_multiple")))
+    if named:
+        m = planner.select_many(named)
+        v = keyed_values(dom, m, specs).where(F.col("value").isNotNull())
+        multi = [k for k, (_, mult) in labels.items() if mult]
+        w = Window.partitionBy("page_id", "key").orderBy("node_id")
+        v = v.withColumn("value_ord", F.row_number().over(w))
+        v = v.where(F.col("key").isin(multi) | (F.col("value_ord") == 1)) if multi else v.where("value_ord = 1")
+        label_of = F.create_map(*[x for k, (lab, _) in labels.items() for x in (F.lit(k), F.lit(lab))])
+        values = v.select("page_id", label_of[F.col("key")].alias("label"), F.col("value_ord").cast("int"),
+                          "value", "node_id")
+    else:
+        values = spark.createDataFrame([], VALUES_SCHEMA)
+    errs = []
     pages = dom.pages.select("page_id")
     for el in elements:
         if el.get("is_container"):
             continue
         label = el["label"]
-        hit = element_matches(planner, el, on_bad_selector)
-        if hit is None:
-            v = spark.createDataFrame([], VALUES_SCHEMA)
-        else:
-            matched, (output, attr_name) = hit
-            v = chain_values(dom, matched, output, attr_name, el.get("element_type") or "text",
-                             el.get("attribute_name"), resolve_links=resolve_links)
-            v = v.where(F.col("value").isNotNull()).select("page_id", "node_id", "value")
-            if el.get("is_multiple"):
-                w = Window.partitionBy("page_id").orderBy("node_id")
-                v = v.withColumn("value_ord", F.row_number().over(w))
-            else:
-                v = (v.groupBy("page_id").agg(F.min_by("value", "node_id").alias("value"),
-                                              F.min("node_id").alias("node_id"))
-                     .withColumn("value_ord", F.lit(1)))
-            v = v.select("page_id", F.lit(label).alias("label"), F.col("value_ord").cast("int"),
-                         "value", "node_id")
-        vals.append(v)
         if el.get("is_required", True) and not is_location_element(label, el.get("selector")):
-            missing = pages.join(v.select("page_id"), "page_id", "left_anti")
+            have = values.where(F.col("label") == label).select("page_id")
+            missing = pages.join(have, "page_id", "left_anti")
             errs.append(missing.select("page_id", F.lit(label).alias("label"),
                                        F.lit(f"Failed to extract {label}: Required element not found: "
                                              f"{el['selector']}").alias("error")))
-    values = reduce(DataFrame.unionByName, vals) if vals else spark.createDataFrame([], VALUES_SCHEMA)
     errors = reduce(DataFrame.unionByName, errs) if errs else spark.createDataFrame([], ERRORS_SCHEMA)
     return values, errors
 
