@@ -79,3 +79,21 @@ def test_flatten(spark):
         "template_name string, url string, data map<string,array<string>>")
     got = {r["column"]: r["value"] for r in flatten(res).collect()}
     assert got == {"tags_1": "a", "tags_2": "b", "tags_3": "c", "title": "T", "empty": ""}
+
+
+def test_nested_containers_duplicate_ids_and_null_html(dom_of):
+    html = ('<div class="card" id="dup"><h3>Outer</h3>'
+            '<div class="card" id="dup"><h3>Inner</h3></div></div>')
+    dom, planner = dom_of([(1, "https://x/a", html), (2, "https://x/b", None)])
+    # duplicate ids: both elements match
+    assert planner.select("#dup").count() == 2
+    cont = find_containers(planner, ".card")
+    fields = container_fields(dom, planner, cont, [{"label": "name", "selector": "> h3"},
+                                                  {"label": "all", "selector": "h3", "element_type": "text"}])
+    recs = {r["container_index"]: r["fields"] for r in records(fields).collect()}
+    assert recs[0]["name"] == ["Outer"] and recs[1]["name"] == ["Inner"]   # child step stays in its card
+    assert recs[0]["all"] == ["Outer"]                                      # first match in document order
+    # a page with NULL html has no nodes; a required element fails it
+    values, errors = extract_elements(dom, [{"label": "t", "selector": "h3"}], planner)
+    assert {r["page_id"] for r in errors.collect()} == {2}
+    assert dom.nodes.where("page_id = 2").count() == 0
