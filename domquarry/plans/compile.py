@@ -115,8 +115,9 @@ def normalize_space(c: Column) -> Column:
 class _XPathEval:
     """XPath predicate expression -> (Column, kind)."""
 
-    def __init__(self, tag: str | None):
+    def __init__(self, tag: str | None, pos: Column | None = None, last: Column | None = None):
         self.tag = tag
+        self.pos_col, self.last_col = pos, last
 
     def bool(self, e) -> Column:
         c, kind = self.eval(e)
@@ -129,9 +130,13 @@ class _XPathEval:
         return _false_if_null(F.length(c) > 0)
 
     def _pos(self):
+        if self.pos_col is not None:
+            return self.pos_col
         return F.col("type_ordinal") if self.tag else F.col("ordinal")
 
     def _last(self):
+        if self.last_col is not None:
+            return self.last_col
         return F.col("type_count") if self.tag else F.col("n_sib")
 
     def str(self, e) -> Column:
@@ -211,6 +216,22 @@ class _XPathEval:
         raise SelectorError(f"unsupported XPath expression {e!r}")
 
 
+def _uses_position(e) -> bool:
+    if isinstance(e, tuple):
+        if e[0] == "fn" and e[1] in ("position", "last"):
+            return True
+        return any(_uses_position(x) for x in e[1:])
+    return False
+
+
+def split_positional(comp: Compound) -> tuple[Compound, list]:
+    """Positional XPath predicates of a step, apart from the others (on
+    reverse axes positions count along the axis, not among siblings)."""
+    pos = [p for p in comp.preds if p[0] == "xpr" and _uses_position(p[1])]
+    rest = [p for p in comp.preds if not (p[0] == "xpr" and _uses_position(p[1]))]
+    return Compound(comp.tag, rest), pos
+
+
 def compound_predicate(comp: Compound) -> Column:
     """Column predicate for everything in a compound except ``:has``."""
     conds = []
@@ -324,9 +345,21 @@ class Planner:
             st = st.select("page_id", "scope_id", "s_node", F.posexplode("path").alias("pos", "node_id"),
                            F.size("path").alias("n"))
             hit = st.join(cand.select("page_id", "node_id"), ["page_id", "node_id"])
-            if step.anc_index is not None:
-                w = Window.partitionBy("page_id", "scope_id", "s_node").orderBy(F.col("pos").desc())
-                hit = hit.withColumn("k", F.row_number().over(w)).where(F.col("k") == step.anc_index)
+            _, pos_preds = split_positional(step.test)
+            if step.anc_index is not None or pos_preds:
+                # position on a reverse axis: 1 = the nearest matching ancestor
+                w = Window.partitionBy("page_id", "scope_id", "s_node")
+                hit = (hit.withColumn("_axis_pos", F.row_number().over(w.orderBy(F.col("pos").desc())))
+                       .withColumn("_axis_last", F.count(F.lit(1)).over(w)))
+                if step.anc_index is not None:
+                    hit = hit.where(F.col("_axis_pos") == step.anc_index)
+                if pos_preds:
+                    info = self.dom.nodes.select("page_id", "node_id", "tag", "elem_id", "classes", "attrs",
+                                                 "own_text")
+                    hit = hit.join(info, ["page_id", "node_id"])
+                ev = _XPathEval(step.test.tag, F.col("_axis_pos").cast("double"), F.col("_axis_last").cast("double"))
+                for p in pos_preds:
+                    hit = hit.where(ev.bool(p[1]))
             return hit.select(*_KEYS).dropDuplicates(_KEYS)
         raise SelectorError(f"unsupported axis {axis}")
 
@@ -335,7 +368,8 @@ class Planner:
         if scope is not None:
             state = scope.select("page_id", "scope_id", F.col("scope_id").alias("node_id"))
         for step in chain.steps:
-            cand = self.candidates(step.test)
+            test = split_positional(step.test)[0] if step.axis == "ancestor" else step.test
+            cand = self.candidates(test)
             state = self._advance(state, step, cand)
         return state
 

@@ -75,3 +75,18 @@ def test_scoped_selection_and_first_match(dom_of):
     assert hits == 1
     first = planner.select_first(["a[href^='tel:']", "a.profile", "a"], scope=cards)
     assert sorted(r["priority"] for r in first.collect()) == [1, 1]
+
+
+def test_ancestor_positions(dom_of):
+    html = '<div class="a"><section><div class="b"><p><span>x</span></p></div></section></div>'
+    dom, planner = dom_of([(1, "https://x/", html)])
+
+    def tags(sel):
+        m = planner.select(sel).select("page_id", "node_id")
+        n = dom.nodes.select("page_id", "node_id", "tag", "classes")
+        return sorted((r["tag"], tuple(r["classes"])) for r in m.join(n, ["page_id", "node_id"]).collect())
+
+    assert tags("//span/ancestor::*[1]") == [("p", ())]
+    assert tags("//span/ancestor::div[1]") == [("div", ("b",))]
+    assert tags("//span/ancestor::*[position()<=3 and @class]") == [("div", ("b",))]
+    assert tags("//span/ancestor::*[position()=last()]") == [("html", ())]
