@@ -104,6 +104,8 @@ DIRECTORY_CONTENT_XPATHS = [
     "//*[contains(., '@') and contains(., 'Partner')]//ancestor::*[2]",
     "//*[contains(., 'J.D.') or contains(., 'University')]//ancestor::*[position()<=3 and @class]",
 ]
+# Attributes a selector suggestion may use, in order.
+SUGGEST_ATTRS = ["data-testid", "data-test", "data-cy", "aria-label"]
 # Main containers for subpage extraction, first non-empty.
 SUBPAGE_MAIN_PATTERNS = [
     ".people.loading",
@@ -203,9 +205,10 @@ def similar_nodes(dom, examples: DataFrame) -> DataFrame:
 
     Strategies in order, first with more than one match per example:
     1. same parent and tag; 2. same tag and at least one shared specific
-    (non-generic) class, if 2..99 such nodes; 3. same tag and same parent
-    tag.  Equi-joins on ``(page_id, parent_id, tag)`` / ``(page_id, tag,
-    class)`` / ``(page_id, tag, parent tag)``."""
+    (non-generic) class, if 2..99 such nodes; 3. same tag and child-tag sets
+    overlapping by more than half; 4. same tag and same parent tag.
+    Equi-joins on ``(page_id, parent_id, tag)`` / ``(page_id, tag, class)`` /
+    ``(page_id, tag)`` / ``(page_id, tag, parent tag)``."""
     n = dom.nodes.select("page_id", "node_id", "parent_id", "tag", "classes")
     ex = examples.join(n.withColumnRenamed("node_id", "example_id"), ["page_id", "example_id"])
     parent_tag = n.select("page_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"))
@@ -218,11 +221,22 @@ def similar_nodes(dom, examples: DataFrame) -> DataFrame:
     s2c = s2.groupBy("page_id", "example_id").count()
     s2 = s2.join(s2c.where((F.col("count") >= 2) & (F.col("count") <= 99)).select("page_id", "example_id"),
                  ["page_id", "example_id"], "left_semi").withColumn("strategy", F.lit(2))
+    # 3. same tag and child-tag sets overlapping by more than half
+    kids = (n.groupBy("page_id", F.col("parent_id").alias("node_id"))
+            .agg(F.collect_set("tag").alias("kids")))  # bounded by one node's children
+    exk = ex.select("page_id", "example_id", "tag").join(
+        kids.withColumnRenamed("node_id", "example_id"), ["page_id", "example_id"])
+    nk = n.select("page_id", "node_id", "tag").join(kids.withColumnRenamed("kids", "nkids"), ["page_id", "node_id"])
+    overlap = (F.size(F.array_intersect("kids", "nkids"))
+               / F.greatest(F.size("kids"), F.size("nkids")))
+    s3 = (exk.join(nk, ["page_id", "tag"]).where(overlap > 0.5)
+          .select("page_id", "example_id", "node_id", F.lit(3).alias("strategy")))
+    # 4. same tag and same parent tag
     exp = ex.join(parent_tag, ["page_id", "parent_id"]).select("page_id", "example_id", "tag", "ptag")
     np_ = n.join(parent_tag, ["page_id", "parent_id"]).select("page_id", "node_id", "tag", "ptag")
-    s3 = exp.join(np_, ["page_id", "tag", "ptag"]).select("page_id", "example_id", "node_id",
-                                                         F.lit(3).alias("strategy"))
-    allm = s1.unionByName(s2).unionByName(s3)
+    s4 = exp.join(np_, ["page_id", "tag", "ptag"]).select("page_id", "example_id", "node_id",
+                                                         F.lit(4).alias("strategy"))
+    allm = s1.unionByName(s2).unionByName(s3).unionByName(s4)
     counts = allm.groupBy("page_id", "example_id", "strategy").count().where(F.col("count") > 1)
     best = counts.groupBy("page_id", "example_id").agg(F.min("strategy").alias("strategy"))
     return allm.join(best, ["page_id", "example_id", "strategy"], "left_semi")
@@ -231,10 +245,10 @@ def similar_nodes(dom, examples: DataFrame) -> DataFrame:
 def suggest_selectors(dom, targets: DataFrame, max_matches: int = 50) -> DataFrame:
     """A selector for each target ``(page_id, node_id)``: ``#id`` when
     the id is unique on the page; else ``tag.cls...`` over its specific
-    classes when that matches fewer than 10 nodes; else the ``:nth-child``
-    path from the root (always unique).  Valid suggestions hit the node and
-    fewer than ``max_matches`` nodes."""
-    n = dom.nodes.select("page_id", "node_id", "tag", "elem_id", "classes", "ordinal", "path")
+    classes when that matches fewer than 10 nodes; else a test/aria attribute
+    (``tag[attr="v"]``, fewer than ``max_matches`` nodes); else the
+    ``:nth-child`` path from the root (always unique)."""
+    n = dom.nodes.select("page_id", "node_id", "tag", "elem_id", "classes", "attrs", "ordinal", "path")
     t = targets.select("page_id", "node_id").join(n, ["page_id", "node_id"])
     ids = n.where(F.col("elem_id").isNotNull()).groupBy("page_id", "elem_id").count()
     t = t.join(ids.withColumnRenamed("count", "id_count"), ["page_id", "elem_id"], "left")
@@ -248,6 +262,21 @@ def suggest_selectors(dom, targets: DataFrame, max_matches: int = 50) -> DataFra
             .where(F.col("count") == F.col("k")))
     cls_count = hits.groupBy("page_id", "target_id").agg(F.count(F.lit(1)).alias("cls_count"))
     t = t.join(cls_count.withColumnRenamed("target_id", "node_id"), ["page_id", "node_id"], "left")
+    # test / accessibility attributes: tag[attr="v"] when under 50 nodes share it
+    attr_rows = []
+    for a in SUGGEST_ATTRS:
+        attr_rows.append(n.select("page_id", "node_id", "tag", F.lit(a).alias("attr"),
+                                  F.col("attrs")[a].alias("aval")).where(F.col("aval").isNotNull()))
+    av = attr_rows[0]
+    for r in attr_rows[1:]:
+        av = av.unionByName(r)
+    av_counts = av.groupBy("page_id", "tag", "attr", "aval").agg(F.count(F.lit(1)).alias("acount"))
+    tav = (t.select("page_id", "node_id").join(av, ["page_id", "node_id"]).join(av_counts, ["page_id", "tag", "attr", "aval"])
+           .where(F.col("acount") < max_matches)
+           .groupBy("page_id", "node_id").agg(F.min_by(F.concat(F.col("tag"), F.lit("["), F.col("attr"), F.lit('="'),
+                                                                 F.col("aval"), F.lit('"]')),
+                                                        F.struct("acount", "attr")).alias("attr_sel")))
+    t = t.join(tav, ["page_id", "node_id"], "left")
     # nth-child path: ancestors' (tag, ordinal) in order
     anc = (t.select("page_id", "node_id", F.posexplode("path").alias("pos", "anc_id"))
            .join(n.select("page_id", F.col("node_id").alias("anc_id"), F.col("tag").alias("atag"),
@@ -265,6 +294,7 @@ def suggest_selectors(dom, targets: DataFrame, max_matches: int = 50) -> DataFra
         "page_id", "node_id",
         F.when(F.col("id_count") == 1, F.concat(F.lit("#"), F.col("elem_id")))
         .when((F.col("cls_count") > 0) & (F.col("cls_count") < 10) & (F.col("cls_count") < max_matches), cls_sel)
+        .when(F.col("attr_sel").isNotNull(), F.col("attr_sel"))
         .otherwise(path_sel).alias("selector"))
 
 

@@ -81,3 +81,16 @@ def test_link_discovery_and_action_join(spark):
     acts = spark.createDataFrame([("open", "https://d/lawyer/ann")], "label string, target_url string")
     out = action_subpage_join(recs, acts).collect()
     assert [(r["container_id"], r["subpage_url"]) for r in out] == [(0, "https://d/lawyer/ann")]
+
+
+def test_similar_by_child_tags_and_attribute_suggestion(dom_of):
+    from domquarry.operators.detect import similar_nodes, suggest_selectors
+    html = ('<div><section><h3>a</h3><p>x</p></section></div>'
+            '<main><section><h3>b</h3><p>y</p></section></main><footer><section><i>z</i></section></footer>'
+            '<button aria-label="Close">x</button>')
+    dom, planner = dom_of([(1, "https://x/", html)])
+    ex = planner.select("div > section").select("page_id", F.col("node_id").alias("example_id"))
+    sim = similar_nodes(dom, ex).collect()
+    assert {r["strategy"] for r in sim} == {3} and len(sim) == 2  # the footer section has other children
+    b = planner.select("button")
+    assert [r["selector"] for r in suggest_selectors(dom, b).collect()] == ['button[aria-label="Close"]']
