@@ -9,7 +9,7 @@ from ..functions.predicates import is_common_junk, is_valid_name, is_valid_posit
 from ..functions.urls import directory_url_from_profile
 from ..operators.containers import find_containers
 from ..operators.detect import validate_candidates
-from ..operators.fallback import element_ladder, find_with_fallback, sub_element_ladder
+from ..operators.fallback import element_ladder, find_with_fallback, resolve_sub_element
 from ..operators.merge import merge_initial_paginated
 from ..operators.subpages import eligible_links, link_queue, subpage_records_from_containers
 from ..operators.values import node_values
@@ -42,15 +42,15 @@ FROM s
 
 
 def mapped_card_fields(spark, sf_dir):
-    """C3 + E14 + E7: generic sub-element selectors (``strong``, ``span``,
-    ``a``) mapped by label to rule lists; first alternative with a match
-    inside each card wins."""
+    """C3 + E14 + E7 (+E15/E16): generic sub-element selectors (``strong``,
+    ``span``, ``a``) mapped by label to rule lists; first alternative with a
+    match inside each card wins; validated fallback XPaths would follow."""
     dom, planner = rendered_dom(spark, sf_dir)
     cont = find_containers(planner, "div.profile-card")
     scope = cont.select("page_id", F.col("container_id").alias("scope_id"))
     out = None
     for label, sel in (("name", "strong"), ("title", "span"), ("email", "a")):
-        m = planner.select_first(sub_element_ladder({"label": label, "selector": sel}), scope=scope)
+        m = resolve_sub_element(dom, planner, cont, {"label": label, "selector": sel})
         v = node_values(dom, m, "text")
         v = (v.groupBy("page_id", "scope_id").agg(F.min_by("value", "node_id").alias(label))
              .withColumnRenamed("scope_id", "container_id"))

@@ -191,8 +191,9 @@ def validate_candidates(dom, candidates: DataFrame, label: str, element_type: st
     """Keep a (page, scope) group's valid candidates only if 0 < valid
     <= ``max_fraction`` of its candidates."""
     v = node_values(dom, candidates, "text")
-    h = node_values(dom, candidates, "link").withColumnRenamed("value", "href")
-    both = v.join(h.select("page_id", "scope_id", "node_id", "href"), ["page_id", "scope_id", "node_id"])
+    # the href from the same node rows: the candidate plan is read once
+    attrs = dom.nodes.select("page_id", "node_id", F.col("attrs")["href"].alias("href"))
+    both = v.join(attrs, ["page_id", "node_id"])
     both = both.withColumn("ok", candidate_is_valid(label, element_type, F.col("value"), F.col("href")))
     g = both.groupBy("page_id", "scope_id").agg(F.count(F.lit(1)).alias("n"),
                                                 F.count(F.when(F.col("ok"), 1)).alias("n_ok"))

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.rules import (content_xpaths, fallback_xpaths, generic_selector, map_generic_selector,
-                               semantic_xpaths, structure_xpaths, variant_selectors)
+                               semantic_xpaths, structure_xpaths, variant_selectors)  # noqa: F401
 from ..plans.compile import Planner, is_xpath, normalise_xpath
+from ..session import materialize
 from ..plans.css import split_top_level
 from .containers import class_substring_selector
 from .detect import DIRECTORY_CONTENT_XPATHS, DIRECTORY_PATTERNS, LAST_RESORT_SELECTORS
@@ -86,3 +87,46 @@ def sub_element_ladder(sub: dict, context: str = "directory") -> list[str]:
     if any(k in lab for k in ("name", "email", "phone", "title", "position")):
         alts += fallback_xpaths(lab, sub.get("element_type") or "text")
     return alts
+
+
+def resolve_sub_element(dom, planner: Planner, containers: DataFrame, sub: dict,
+                        context: str = "directory", max_fraction: float = 0.8) -> DataFrame:
+    """C3 as a plan: per container, the first of the label-mapped selectors
+    (E14) or the original selector with a match; containers still without a
+    match try the scoped fallback XPaths (E15) in order, keeping a rung only
+    when its candidates pass validation (E16).  Returns ``(page_id,
+    scope_id, node_id, priority)``."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from .detect import validate_candidates
+
+    scope = containers.select("page_id", F.col("container_id").alias("scope_id"))
+    alts = sub_element_ladder(sub, context)
+    lab = (sub.get("label") or "").lower()
+    et = sub.get("element_type") or "text"
+    fb = fallback_xpaths(lab, et) if any(k in lab for k in ("name", "email", "phone", "title", "position")) else []
+    head = [a for a in alts if a not in fb]
+    # stage boundaries: the fallback rungs only run for containers the head
+    # rungs left empty -- usually none, then nothing more is planned
+    first = materialize(planner.select_first(head, scope=scope))
+    todo = materialize(scope.join(first.select("page_id", "scope_id").distinct(), ["page_id", "scope_id"],
+                                  "left_anti"))
+    if not fb or todo.isEmpty():
+        return first
+    parts = []
+    for i, xp in enumerate(fb):
+        try:
+            cands = planner.select(xp, scope=todo)
+        except Exception:  # unsupported rule: skipped, as the reference does
+            continue
+        ok = validate_candidates(dom, cands, lab, et, max_fraction)
+        parts.append(ok.select("page_id", "scope_id", "node_id", F.lit(len(head) + i).alias("priority")))
+    if not parts:
+        return first
+    rest = parts[0]
+    for p_ in parts[1:]:
+        rest = rest.unionByName(p_)
+    best = F.min("priority").over(Window.partitionBy("page_id", "scope_id"))
+    rest = rest.withColumn("_b", best).where(F.col("priority") == F.col("_b")).drop("_b")
+    return first.unionByName(rest)

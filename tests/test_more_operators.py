@@ -94,3 +94,16 @@ def test_similar_by_child_tags_and_attribute_suggestion(dom_of):
     assert {r["strategy"] for r in sim} == {3} and len(sim) == 2  # the footer section has other children
     b = planner.select("button")
     assert [r["selector"] for r in suggest_selectors(dom, b).collect()] == ['button[aria-label="Close"]']
+
+
+def test_sub_element_validation_rung(dom_of):
+    from domquarry.operators.fallback import resolve_sub_element
+    html = ('<div class="card"><b>ann@x.com</b><i>call us</i></div>'
+            '<div class="card"><span class="mail">bob@y.org</span></div>')
+    dom, planner = dom_of([(1, "https://x/", html)])
+    cont = find_containers(planner, ".card")
+    m = resolve_sub_element(dom, planner, cont, {"label": "email", "selector": "em"})
+    got = sorted(r["value"] for r in node_values(dom, m, "text").collect())
+    # card 1: no mapped e-mail selector matches inside it; the scoped fallback
+    # XPath on text holding '@' finds the address and validation keeps it
+    assert "ann@x.com" in got
