@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.containers import container_fields, find_containers
 from ..operators.paginate import (URL_PAGINATION_CAP, append_accumulate, count_stability_stop,
                                   distinct_accumulate, empty_streak_stop, next_selector_stop,
-                                  page_url_sequence, walked_pages)
+                                  page_url_sequence, walk_pages, walked_pages)
 from ..session import materialize
 from .common import table
 from .directory_queries import rendered_dom
@@ -32,8 +32,9 @@ def _event_pages(spark, sf_dir):
 def event_walk(spark, sf_dir):
     """W1 + U2: stop after 3 pages without a new item (cap 200)."""
     items, pages = _event_pages(spark, sf_dir)
-    stops = empty_streak_stop(items, pages, k=3, cap=URL_PAGINATION_CAP)
-    walked = walked_pages(stops, pages)
+    walk = materialize(walk_pages(pages, cap=URL_PAGINATION_CAP))  # the walk order, once
+    stops = materialize(empty_streak_stop(items, pages, k=3, cap=URL_PAGINATION_CAP, walk=walk))
+    walked = walked_pages(stops, pages, walk=walk)
     got = distinct_accumulate(items, walked).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_items"))
     return (stops.join(got, "crawl_id", "left")
             .select(F.col("crawl_id").alias("user_id"), F.col("stop_page").cast("bigint").alias("stop_page"),
@@ -133,7 +134,7 @@ def listing_walk(spark, sf_dir):
     pages = listing.select("crawl_id", "page_no")
     has_next = materialize(planner.select("a.next").join(listing, "page_id").select("crawl_id", "page_no"))
     walked = next_selector_stop(pages, has_next)
-    stops = empty_streak_stop(items, pages, k=3)
+    stops = empty_streak_stop(items, pages, k=3, walk=materialize(walk_pages(pages)))
     appended = append_accumulate(items, walked).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_appended"))
     distinct = distinct_accumulate(items, walked).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_distinct"))
     n_walked = walked.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("pages_walked"))

@@ -72,13 +72,20 @@ def _walk(pages: DataFrame, crawl: str, cap: int) -> DataFrame:
     return p.select(crawl, "page_no", "walk_no")
 
 
+def walk_pages(pages: DataFrame, cap: int = URL_PAGINATION_CAP, crawl: str = "crawl_id") -> DataFrame:
+    """Public form of the walk order: ``(crawl, page_no, walk_no)``; compute
+    it once and pass it to ``empty_streak_stop`` / ``walked_pages``."""
+    return _walk(pages, crawl, cap)
+
+
 def _contiguous(pages: DataFrame, crawl: str) -> DataFrame:
     """Pages up to the first missing page number (a missing page ends the walk)."""
     return _walk(pages, crawl, 1 << 30).select(crawl, "page_no")
 
 
 def empty_streak_stop(items: DataFrame, pages: DataFrame, k: int = URL_EMPTY_STREAK,
-                      cap: int = URL_PAGINATION_CAP, crawl: str = "crawl_id") -> DataFrame:
+                      cap: int = URL_PAGINATION_CAP, crawl: str = "crawl_id",
+                      walk: DataFrame | None = None) -> DataFrame:
     """Walk pages in order; stop after ``k`` consecutive pages without a
     new item (that page is still walked); at most ``cap`` pages; a missing
     page ends the walk.  Returns one row per crawl: ``stop_page`` (page that
@@ -89,7 +96,7 @@ def empty_streak_stop(items: DataFrame, pages: DataFrame, k: int = URL_EMPTY_STR
     and a grouped count, combined map-side."""
     fs = first_seen(items, crawl)
     new_per_page = fs.groupBy(crawl, F.col("first_page").alias("page_no")).agg(F.count(F.lit(1)).alias("n_new"))
-    w = _walk(pages, crawl, cap)
+    w = walk.where(F.col("walk_no") <= cap) if walk is not None else _walk(pages, crawl, cap)
     empty = w.join(new_per_page, [crawl, "page_no"], "left_anti")
     votes = (empty.select(crawl, "walk_no", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
              .select(crawl, (F.col("walk_no") + F.col("j")).alias("walk_no"))
@@ -102,9 +109,11 @@ def empty_streak_stop(items: DataFrame, pages: DataFrame, k: int = URL_EMPTY_STR
                     F.coalesce(F.col("s.walk_no"), F.col("_n")).alias("pages_walked"), "last_page"))
 
 
-def walked_pages(stops: DataFrame, pages: DataFrame, crawl: str = "crawl_id") -> DataFrame:
+def walked_pages(stops: DataFrame, pages: DataFrame, crawl: str = "crawl_id",
+                 walk: DataFrame | None = None) -> DataFrame:
     """Pages inside the walk: ``(crawl, page_no)``."""
-    return (_walk(pages, crawl, 1 << 30).join(stops.select(crawl, "pages_walked"), crawl)
+    w = walk if walk is not None else _walk(pages, crawl, 1 << 30)
+    return (w.join(stops.select(crawl, "pages_walked"), crawl)
             .where(F.col("walk_no") <= F.col("pages_walked")).select(crawl, "page_no"))
 
 
