@@ -60,3 +60,17 @@ def materialize(df):
     a local checkpoint.  The partitioning of ``df`` is kept."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def local_defaults(spark: SparkSession) -> None:
+    """Local mode only: when ``spark.sql.shuffle.partitions`` was never set
+    (still Spark's built-in 200), use one partition per core.  Cluster
+    sessions and explicitly configured values are left alone; results do not
+    depend on this setting, only task counts do."""
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return
+    if sc.getConf().contains("spark.sql.shuffle.partitions"):
+        return
+    if spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
