@@ -99,3 +99,56 @@ SELECT 'nation-' || n_nationkey AS template_name,
        CAST(CASE WHEN fetched THEN 1 + least({PER_PAGE}, ns) ELSE 0 END AS BIGINT) AS items
 FROM f
 """
+
+
+def _export_dir(spark, name):
+    import uuid
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/exports/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def json_export_roundtrip(spark, sf_dir):
+    """Scrape results written through the JSON sink and read back."""
+    from ..sources.sinks import write_results
+    dom, planner = rendered_dom(spark, sf_dir)
+    res = scrape(dom, planner, nation_templates(table(spark, sf_dir, "nation")))
+    path = write_results(res, _export_dir(spark, "json"), "JSON")
+    back = spark.read.json(path)
+    return back.select("template_name", "url", "success", F.size("errors").cast("bigint").alias("n_errors"),
+                       F.col("metadata.page_title").alias("page_title"))
+
+
+JSON_EXPORT_ROUNDTRIP_SQL = """
+WITH c AS (
+  SELECT n_nationkey, n_name, count(s_suppkey) AS ns
+  FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name),
+f AS (SELECT *, n_nationkey % 5 <> 4 AND ns > 0 AS fetched FROM c)
+SELECT 'nation-' || n_nationkey AS template_name,
+       'https://dir.example/nation/' || n_nationkey || '/people?page=' ||
+         CASE WHEN n_nationkey % 5 = 4 THEN '99' ELSE '1' END AS url,
+       fetched AND n_nationkey % 2 <> 0 AS success,
+       CAST(CASE WHEN NOT fetched OR n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_errors,
+       CASE WHEN fetched THEN 'People · ' || n_name || ' · page 1' END AS page_title
+FROM f
+"""
+
+
+def csv_export_roundtrip(spark, sf_dir):
+    """S6 (+P14): scrape results flattened into CSV columns and read back."""
+    from ..sources.sinks import write_results
+    dom, planner = rendered_dom(spark, sf_dir)
+    res = scrape(dom, planner, nation_templates(table(spark, sf_dir, "nation")))
+    path = write_results(res, _export_dir(spark, "csv"), "csv")
+    back = spark.read.option("header", True).csv(path)
+    return back.select("template_name", "url", "title")
+
+
+CSV_EXPORT_ROUNDTRIP_SQL = """
+WITH c AS (
+  SELECT n_nationkey, n_name, count(s_suppkey) AS ns
+  FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name)
+SELECT 'nation-' || n_nationkey AS template_name,
+       'https://dir.example/nation/' || n_nationkey || '/people?page=1' AS url,
+       'People · ' || n_name || ' · page 1' AS title
+FROM c WHERE n_nationkey % 5 <> 4 AND ns > 0
+"""
