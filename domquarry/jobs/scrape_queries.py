@@ -152,3 +152,28 @@ SELECT 'nation-' || n_nationkey AS template_name,
        'People · ' || n_name || ' · page 1' AS title
 FROM c WHERE n_nationkey % 5 <> 4 AND ns > 0
 """
+
+
+def workbook_export_roundtrip(spark, sf_dir):
+    """The ``metadata`` dataset of the workbook sink, read back."""
+    from ..sources.sinks import write_results
+    dom, planner = rendered_dom(spark, sf_dir)
+    res = scrape(dom, planner, nation_templates(table(spark, sf_dir, "nation")))
+    path = write_results(res, _export_dir(spark, "workbook"), "excel")
+    meta = spark.read.option("header", True).csv(path + "/metadata")
+    return meta.select("name", "url", "success", "elements_found", "actions_executed")
+
+
+WORKBOOK_EXPORT_ROUNDTRIP_SQL = """
+WITH c AS (
+  SELECT n_nationkey, count(s_suppkey) AS ns FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey
+  GROUP BY n_nationkey),
+f AS (SELECT *, n_nationkey % 5 <> 4 AND ns > 0 AS fetched FROM c)
+SELECT 'nation-' || n_nationkey AS name,
+       'https://dir.example/nation/' || n_nationkey || '/people?page=' ||
+         CASE WHEN n_nationkey % 5 = 4 THEN '99' ELSE '1' END AS url,
+       CASE WHEN fetched AND n_nationkey % 2 <> 0 THEN 'true' ELSE 'false' END AS success,
+       CASE WHEN fetched THEN '2' ELSE '0' END AS elements_found,
+       '0' AS actions_executed
+FROM f
+"""
