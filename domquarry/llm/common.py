@@ -60,3 +60,14 @@ def n_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shield(df: DataFrame, names):
+    """``df`` with those of its columns renamed that an operator would take or
+    replace, and a function that selects the columns of ``df`` again from the result."""
+    own = {c: f"_own_{c}" for c in df.columns if c in set(names)}
+
+    def restore(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(own.get(c, c)).alias(c) for c in df.columns])
+
+    return df.withColumnsRenamed(own), restore

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domquarry.llm.common import n_words, save
+from domquarry.llm.common import n_words, save, shield
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -146,9 +146,7 @@ def mix(docs: DataFrame, size=None, weights=WEIGHTS, max_repeats: int = MAX_REPE
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: ``docs``, each row as often as it is taken, with the
     columns of ``docs``.  Rows without words take nothing and are left out."""
-    rows = mix(docs.withColumns({f"_kept_{c}": F.col(c) for c in ("size", "source_size", "target", "taken")
-                                 if c in docs.columns}), **options)
+    shielded, restore = shield(docs, ["size", "source_size", "target", "taken"])
+    rows = mix(shielded, **options)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    copies = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times)))
-    return copies.select(*[F.col(f"_kept_{c}").alias(c) if f"_kept_{c}" in rows.columns else F.col(c)
-                           for c in docs.columns])
+    return restore(rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))))

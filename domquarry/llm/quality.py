@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domquarry.llm.common import let, words
+from domquarry.llm.common import let, shield, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_MARKS, SYMBOL_SHARE, DOUBLED_SHARE, RUN_ON_WORDS, LINK_WORDS, NOTICE_WORDS = 3, 0.3, 0.3, 100, 4, 25
@@ -127,7 +127,9 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, without the lines that fail, with the
     columns of ``docs``; ``n_chars``, if there, is the new text's."""
-    new = judged(docs.select("text", F.struct(*docs.columns).alias("_doc")))
-    out = new.filter("kept").select("_doc", "cleaned")
-    fixed = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
-    return out.select(*[fixed.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned"]
+    shielded, restore = shield(docs, made)
+    out = judged(shielded).filter("kept").withColumn("text", F.col("cleaned"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return restore(out)

@@ -10,10 +10,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from domquarry.llm import mixing, packing, quality, tokenfile
+from domquarry.llm import langid, linededup, mixing, mtree, packing, quality, simhash, tokenfile, warc, wrappers
 from domquarry.llm.common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -66,14 +70,88 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.nearest_rows(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.without_later_copies(docs).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+OP7_SQL = r"""
+WITH doc AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text FROM documents),
+ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line,
+              unnest(range(len(string_split(text, chr(10))))) AS no FROM doc),
+spoken AS (
+  SELECT r, no, line, len(regexp_extract_all(line, '[^ 	-
+]+')) AS n,
+         row_number() OVER (PARTITION BY r ORDER BY no) AS pos
+  FROM ln WHERE regexp_matches(line, '[^ 	-
+]')),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY pos) AS upto FROM spoken),
+fore AS (SELECT a.r, a.pos AS s, min(b.pos) AS e FROM cum a JOIN cum b
+         ON a.r = b.r AND b.pos BETWEEN a.pos AND a.pos + 49 AND b.upto - a.upto + a.n >= 50 GROUP BY ALL),
+back AS (SELECT b.r, max(a.pos) AS s, b.pos AS e FROM cum a JOIN cum b
+         ON a.r = b.r AND b.pos BETWEEN a.pos AND a.pos + 49 AND b.upto - a.upto + a.n >= 50 GROUP BY b.r, b.pos),
+part AS (SELECT * FROM fore UNION SELECT * FROM back),
+keyed AS (SELECT p.r, p.s, p.e, string_agg(c.line, chr(10) ORDER BY c.pos) AS run
+          FROM part p JOIN cum c ON c.r = p.r AND c.pos BETWEEN p.s AND p.e GROUP BY ALL),
+later AS (SELECT r, s, e FROM (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY r, s) AS k FROM keyed) WHERE k > 1),
+gone AS (SELECT DISTINCT c.r, c.no FROM later l JOIN cum c ON c.r = l.r AND c.pos BETWEEN l.s AND l.e),
+made AS (SELECT ln.r, string_agg(line, chr(10) ORDER BY no) FILTER (WHERE g.no IS NULL) AS left_text,
+                count(*) AS n_lines, count(g.no) AS n_deleted
+         FROM ln LEFT JOIN gone g USING (r, no) GROUP BY ln.r)
+SELECT doc_id, CASE WHEN doc.text IS NULL THEN NULL ELSE coalesce(left_text, '') END AS text,
+       CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted
+FROM doc LEFT JOIN made USING (r)
+"""
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tokenfile.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
     "op3_quality_rules": (op3_quality_rules, OP3_SQL),
     "op4_mixing_sources": (op4_mixing_sources, None),
+    "op5_exact_top_k": (op5_exact_top_k, OP5_SQL),
+    "op6_language_id": (op6_language_id, None),
+    "op7_line_dedup": (op7_line_dedup, OP7_SQL),
+    "op8_html_extraction": (op8_html_extraction, None),
     "op9_token_files": (op9_token_files, None),
+    "op10_warc": (op10_warc, None),
 }

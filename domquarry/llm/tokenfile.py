@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -31,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domquarry.llm.common import new_folder, save
+from domquarry.llm.common import save
+from domquarry.llm.files import new_uri, published, spread
 from domquarry.llm.tokens import Encoder, load
 
 MAGIC = b"IDPLANE1"
@@ -152,19 +152,15 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
         if first is None:
             return
         encoder, part = Encoder(spec, "byte"), TaskContext.get().partitionId()
-        store, root = pafs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        name, own = f"{root}/part-{part:06d}.ids", f"{root}/.{uuid.uuid4().hex}"
-        with store.open_output_stream(own, compression=None) as out:
+        with published(folder, f"part-{part:06d}.ids") as (out, path):
             writer = Writer(out, layout, block_ids)
             while first is not None:
                 for doc_id, text in zip(first.column("doc_id").to_pylist(), first.column("text").to_pylist()):
                     writer.add(doc_id, encoder.ids(text) + end)
                 first = next(batches, None)
             writer.close()
-        store.move(own, name)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x]) for x in (part, name, writer.n_docs, writer.n_ids)], ["part", "path", "n_docs", "n_ids"])
+            [pa.array([x]) for x in (part, path, writer.n_docs, writer.n_ids)], ["part", "path", "n_docs", "n_ids"])
 
     # equal doc_ids (repeated rows, nulls) are split by their texts' hash
     dealt = (docs.select(F.col("doc_id").cast("long"), "text")
@@ -193,8 +189,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                             rows = []
                     yield _batch(rows)
 
-    spread = files.select("part", "path", "start").repartitionByRange(max(1, files.count()), "part")
-    return spread.mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(files.select("part", "path", "start"), "part").mapInArrow(
+        get, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -205,7 +201,5 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Write the files into a fresh shared folder and read them back."""
-    folder = new_folder(docs.sparkSession, "token_files")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    folder = new_uri(docs.sparkSession, "token_files")
     return read(write(docs, folder, tokenizer_path, end_id), folder)

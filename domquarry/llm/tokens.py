@@ -13,8 +13,8 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Latin letters, digits and white space up to U+024F, by Unicode category.
@@ -39,15 +39,36 @@ def worker_state() -> types.ModuleType:
     return sys.modules.setdefault("_worker_state_of_tokens", types.ModuleType("_worker_state_of_tokens"))
 
 
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: the
+    printable ones of Latin-1 for themselves, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: 0x100 + others.index(b) if b in others else b for b in range(256)}
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
+def little_endian(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class _Pieces(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer: Tokenizer, limit: int):
+    def __init__(self, tokenizer: Tokenizer, lower: bool, limit: int):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.model, self.lower, self.limit = tokenizer, tokenizer.model, lower, limit
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        # one piece goes straight to the library's model, in the characters that stand for its bytes
+        plain = piece.lower() if self.lower else piece
+        ids = little_endian([t.id for t in self.model.tokenize(
+            plain.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
         if len(self) >= self.limit:
             self.clear()
         if len(piece) <= 64:
@@ -60,20 +81,19 @@ class Encoder:
     or ``byte`` (byte-level), the way the vocabulary splits a text.  ``limit``
     bounds the memo of pieces, at about 200 bytes each."""
 
-    def __init__(self, tokenizer_json: str, kind: str, limit: int = 400_000):
+    def __init__(self, tokenizer_json: str, kind: str, limit: int = 1_000_000):
         state, key = worker_state(), f"{kind}-{hash(tokenizer_json)}-{limit}"
         if not hasattr(state, key):
             tokenizer = Tokenizer.from_str(tokenizer_json)
             tokenizer.encode_special_tokens = True
-            setattr(state, key, _Pieces(tokenizer, limit))
+            setattr(state, key, _Pieces(tokenizer, kind == "word", limit))
         self.pieces, self.find = getattr(state, key), PATTERNS[kind].findall
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if BEYOND.search(text):
-            ids = self.pieces.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.asarray(ids, "<u4").tobytes()
+            return little_endian(self.pieces.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
 
