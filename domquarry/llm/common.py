@@ -67,7 +67,7 @@ def shield(df: DataFrame, names):
     replace, and a function that selects the columns of ``df`` again from the result."""
     own = {c: f"_own_{c}" for c in df.columns if c in set(names)}
 
-    def restore(out: DataFrame) -> DataFrame:
-        return out.select(*[F.col(own.get(c, c)).alias(c) for c in df.columns])
+    def restore(out: DataFrame, *more) -> DataFrame:
+        return out.select(*[F.col(own.get(c, c)).alias(c) for c in df.columns], *more)
 
     return df.withColumnsRenamed(own), restore

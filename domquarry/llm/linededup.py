@@ -151,28 +151,28 @@ def _doubled(level: DataFrame, size: int) -> DataFrame:
 
 def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with n_lines, n_deleted (long) and the text without the lines of later copies."""
-    made = ("n_lines", "n_deleted")
-    rows = save(docs.drop(*made).withColumn("_row", F.monotonically_increasing_id()), "documents")
-    gone = repeated_lines(rows.select("_row", "doc_id", "text"), min_words)
+    shielded, restore = shield(docs.drop("n_lines", "n_deleted"), ["_row", "_gone"])
+    rows = save(shielded.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    gone = repeated_lines(rows.select("_row", "doc_id", "text"), min_words).withColumnRenamed("no", "_gone")
     lines = F.split("text", "\n")
 
     def kept(parts):
-        left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("no"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
         return F.array_join(F.transform(left, lambda i: parts[i]), "\n")
 
-    text = F.when(F.col("no").isNull(), F.col("text")).otherwise(let(lines, kept))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    n_deleted = F.when(F.col("no").isNull(), F.lit(0)).otherwise(F.size("no")).cast("long")
-    return rows.join(gone, "_row", "left").select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in made],
-        n_lines.alias("n_lines"), n_deleted.alias("n_deleted"))
+    whole = F.col("_gone").isNull()
+    made = rows.join(gone, "_row", "left").withColumns({
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
+        "n_deleted": F.when(whole, F.lit(0)).otherwise(F.size("_gone")).cast("long"),
+        "text": F.when(whole, F.col("text")).otherwise(let(lines, kept))})
+    return restore(made, "n_lines", "n_deleted")
 
 
 def cleaned_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later copies, with the columns of ``docs``;
     ``n_chars``, if there, is the new text's.  A document that lost lines and has
     no word left was a copy as a whole and goes."""
-    shielded, restore = shield(docs, ["n_lines", "n_deleted", "_row", "no"])
+    shielded, restore = shield(docs, ["n_lines", "n_deleted"])
     out = without_later_copies(shielded, min_words)
     whole = F.col("n_deleted") == 0
     out = out.filter(whole | ~F.col("text").rlike(f"^{SPACE_CLASS}*$"))

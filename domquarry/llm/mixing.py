@@ -73,7 +73,7 @@ def fit(sizes: list[int], counts: list[int], budget: int, programme: int = PROGR
     spare = [i for i in order if sizes[i] and counts[i] > taken[i]]
     if not left or not spare:
         return taken
-    width = left + sizes[spare[-1]]  # sums a little above the budget may come nearer
+    width = 2 * left  # a sum above the budget may come nearer
     mask, sums, steps = (1 << (width + 1)) - 1, 1, []
     for i in spare:
         rest, k = min(counts[i] - taken[i], width // sizes[i]), 1

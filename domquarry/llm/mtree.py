@@ -56,7 +56,8 @@ def quantised(embedding: Column) -> Column:
 
 def vector_rows(column: pa.Array) -> np.ndarray:
     """A list column, all of one length, as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 class Space:
@@ -240,7 +241,7 @@ def _open_trees(m_of: dict[int, int]):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                routers = np.asarray([r["router"] for r in row["roots"]], np.int64).reshape(len(row["roots"]), -1)
+                routers = np.asarray([r["router"] for r in row["roots"]], np.int64).reshape(len(row["roots"]), row["dim"])
                 reach = np.asarray([r["reach"] for r in row["roots"]])
                 trees = [r["tree"] for r in row["roots"]]
                 space = Space(m_of[row["dim"]])
@@ -274,7 +275,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, tree_points: int =
     for r in facts:
         some = points.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("v"), "v").limit(
             min(PIVOTS, -(-r["n"] // tree_points)))
-        pivots[r["dim"]] = np.asarray([x["v"] for x in some.select("v").collect()], np.int64).reshape(-1, r["dim"])
+        found = [x["v"] for x in some.select("v").collect()]
+        pivots[r["dim"]] = np.asarray(found, np.int64).reshape(len(found), r["dim"])
 
     def in_cells(df):
         return df.mapInArrow(_nearest_pivot(pivots, m_of, df.columns),

@@ -28,7 +28,7 @@ def test_top_k(spark, options):
     rng = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * rng.choice([0.1, 1, 3])]) for i in range(300)]
     rows += [(1000 + i, rows[0][1]) for i in range(40)] + [(2000 + 10 * i, rows[10][1]) for i in range(20)]
-    rows += [(400, None), (410, [0.5, None, 1, 1, 1, 1]), (420, [float("nan")] * 6), (430, [float("inf")] * 6),
+    rows += [(400, None), (410, [0.5, None, 1.0, 1.0, 1.0, 1.0]), (420, [float("nan")] * 6), (430, [float("inf")] * 6),
              (None, rows[1][1]), (440, [1.0, 2.0]), (450, [2.0, 1.0]), (460, []), (470, []), (30, rows[30][1])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, tree string")
     got = mtree.nearest_rows(df, every=10, **options).collect()

@@ -53,7 +53,7 @@ def corpus():
             copy = list(words)
             copy[rng.randrange(len(copy))] = "changed"
             rows.append((1000 + 10 * i + j, " ".join(copy)))
-    rows += [(5000, None), (5001, ""), (4999, "  "), (None, rows[0][1]), (None, None), (3, rows[3][1]), (None, "alone here now")]
+    rows += [(5000, None), (5001, ""), (4999, "  "), (None, rows[0][1]), (None, None), (rows[3][0], rows[3][1]), (None, "alone here now")]
     rng.shuffle(rows)
     return rows
 
