@@ -33,6 +33,8 @@ P_CLOSING_TAGS = frozenset(
 )
 BUTTON_SCOPE = frozenset("applet caption html table td th marquee object template button".split())
 RAW_TEXT_TAGS = frozenset({"script", "style"})
+# Elements nest this deep at most, as in browsers; deeper ones become siblings.
+MAX_DEPTH = 512
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
 _SPACE = re.compile(r"\s+")
@@ -165,6 +167,8 @@ class _TreeBuilder:
             if pos > 0:
                 self._pop_through(pos, start)
 
+        if len(self.stack) > MAX_DEPTH:
+            self._pop_through(MAX_DEPTH, start)
         parent = self.stack[-1]
         node = len(self.tag)
         amap = {}
@@ -219,14 +223,8 @@ def _attr_value(v: str):
 def parse_page(html: str | None):
     """Return the node records of one page as a dict of equal-length lists."""
     b = _TreeBuilder(html or "")
-    try:
-        b.feed(html or "")
-        b.finish()
-    except Exception:  # keep what was built; malformed tails are dropped
-        end = len(b.src)
-        while len(b.stack) > 1:
-            b._close_top(end)
-        b.text_end[0] = b.text_len
+    b.feed(html or "")
+    b.finish()
     n = len(b.tag)
     n_sib = [b.child_n[b.parent[i]] if i else 1 for i in range(n)]
     type_count = [b.child_types[b.parent[i]][b.tag[i]] if i else 1 for i in range(n)]

@@ -18,14 +18,16 @@ def url_part(url: Column, part: str) -> Column:
     return F.regexp_extract(url, _URI, idx)
 
 
-def _remove_dot_segments(path: Column, rounds: int = 6) -> Column:
-    p = path
-    p = F.regexp_replace(p, r"/\./", "/")
-    p = F.regexp_replace(p, r"/\.$", "/")
-    for _ in range(rounds):
-        p = F.regexp_replace(p, r"/(?!\.\./)[^/]+/\.\.(/|$)", "/")
-    p = F.regexp_replace(p, r"^(/\.\.)+(/|$)", "/")
-    return p
+def _remove_dot_segments(path: Column) -> Column:
+    """RFC 3986 5.2.4 for a path that starts with "/": however many dot segments it has."""
+    parts = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(parts, start, lambda acc, s: F.when(s == ".", acc).when(
+        s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+    tail = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(path.contains("/."), F.concat(joined, F.when(joined.endswith("/"), F.lit("")).otherwise(tail))
+                  ).otherwise(path)
 
 
 def urljoin(base: Column, ref: Column) -> Column:
@@ -54,26 +56,46 @@ def strip_fragment(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
 
+def _decoded(part: Column) -> Column:
+    """A form-encoded name or value decoded; one that is malformed stays."""
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def _encoded(part: Column) -> Column:
+    """Form encoding with ``_ . - ~`` left as they are."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def set_query_param(url: Column, name: str, value: Column) -> Column:
-    """Set one query parameter, keep the others in order; blank-valued
-    parameters are dropped (as ``parse_qs`` does); the fragment is kept."""
+    """Set one query parameter.  Parameters keep the order of their first
+    occurrence, repeated ones all their values; blank-valued ones are dropped;
+    names and values are decoded and encoded again; the fragment is kept."""
     query = url_part(url, "query")
     frag = url_part(url, "fragment")
     has_frag = F.instr(url, "#") > 0
     pairs = F.filter(F.split(query, "&"), lambda kv: (kv != "") & ~kv.rlike("^[^=]*=?$"))
-    kept = F.filter(pairs, lambda kv: F.split(kv, "=")[0] != F.lit(name))
-    existing = F.exists(pairs, lambda kv: F.split(kv, "=")[0] == F.lit(name))
-    new_kv = F.concat(F.lit(name + "="), value.cast("string"))
-    # replace in place when present, else append
-    replaced = F.transform(pairs, lambda kv: F.when(F.split(kv, "=")[0] == F.lit(name), new_kv).otherwise(kv))
-    # a repeated parameter collapses to one (doseq with a single value)
-    dedup = F.array_distinct(replaced)
-    items = F.when(existing, dedup).otherwise(F.concat(kept, F.array(new_kv)))
+    pairs = F.transform(pairs, lambda kv: F.struct(
+        _decoded(F.regexp_extract(kv, "^([^=]*)=", 1)).alias("k"), _decoded(F.regexp_extract(kv, "=(.*)$", 1)).alias("v")))
+    names = F.array_distinct(F.concat(F.transform(pairs, lambda p: p["k"]), F.array(F.lit(name))))
+    items = F.flatten(F.transform(names, lambda n: F.when(n == name, F.array(F.struct(
+        n.alias("k"), value.cast("string").alias("v")))).otherwise(F.filter(pairs, lambda p: p["k"] == n))))
+    text = F.transform(items, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"])))
     head = F.concat(url_part(url, "scheme"), F.lit("://"), url_part(url, "authority"), url_part(url, "path"))
-    return F.concat(head, F.lit("?"), F.array_join(items, "&"),
+    return F.concat(head, F.lit("?"), F.array_join(text, "&"),
                     F.when(has_frag, F.concat(F.lit("#"), frag)).otherwise(F.lit("")))
 
 
+def query_param_number(url: Column, name: str) -> Column:
+    """The parameter's value as a number; null where it has none."""
+    return F.regexp_extract(url, rf"[?&]{name}=(\d{{1,15}})(?:[&#]|$)", 1).try_cast("bigint")
+
+
+def without_query_param(url: Column, name: str) -> Column:
+    """The URL without that parameter and without its fragment."""
+    u = F.regexp_replace(strip_fragment(url), rf"([?&]){name}=[^&]*&?", "$1")
+    return F.regexp_replace(u, "[?&]$", "")
+
+
 def directory_url_from_profile(url: Column, marker: str = "/lawyer/", directory_path: str = "/people/",
                                host: str | None = None) -> Column:
     """Text before ``marker`` + ``directory_path`` for profile URLs

@@ -10,6 +10,7 @@ from ..operators import render
 from ..operators.containers import (container_fields, container_text_fallback, find_containers,
                                     profile_link_pick)
 from ..operators.nodes import build_dom
+from ..operators.subpages import directory_merge as merge_directory
 from ..operators.subpages import (follow_links, link_queue, overlay, process_queue,
                                   subpage_records_from_containers, subpage_values)
 from ..plans.compile import Planner
@@ -136,17 +137,19 @@ def directory_merge(spark, sf_dir):
     dom, planner, containers, fields = _cards(spark, sf_dir)
     links = profile_link_pick(dom, planner, containers, fields, CARD_SUBS)
     recs = containers.join(links, ["page_id", "container_id"], "left")
-    linked = follow_links(recs, dom.docs, "profile_link")
+    linked = materialize(follow_links(recs, dom.docs, "profile_link"))
     sub = subpage_values(dom, planner, linked, PROFILE_ELEMENTS)
-    subinfo = (sub.groupBy("subpage_id").agg(
-        _joined("education").alias("education"), _joined("admissions").alias("credentials")))
-    wide = _pivot_cards(fields)
-    out = (wide.join(linked.select("page_id", "container_id", "subpage_id"), ["page_id", "container_id"], "left")
-           .join(subinfo, "subpage_id", "left"))
-    has_info = (F.coalesce(F.col("education"), F.lit("")) != "") | (F.coalesce(F.col("credentials"), F.lit("")) != "")
-    return out.select("name", "position", F.col("sectors").alias("sector"), "email", "profile_link",
-                      F.when(has_info, F.col("education")).alias("subinfo_education"),
-                      F.when(has_info, F.col("credentials")).alias("subinfo_credentials"))
+    sector = fields.where("label = 'sectors'").groupBy("page_id", "container_index").agg(_joined("sectors").alias("value"))
+    main = fields.where("label <> 'sectors'").select("page_id", "container_index", "label", "value_ord", "value").unionByName(
+        sector.select("page_id", "container_index", F.lit("sector").alias("label"), F.lit(1).alias("value_ord"), "value"))
+    main = main.join(recs.select("page_id", "container_index", "profile_link"), ["page_id", "container_index"])
+    subs = linked.join(sub, "subpage_id").select(
+        "page_id", "container_index", F.lit(0).alias("record_no"),
+        F.when(F.col("label") == "admissions", "creds").otherwise(F.col("label")).alias("label"), "value_ord", "value")
+    out = merge_directory(main, subs)
+    return out.select("name", "position", "sector", "email", "profile_link",
+                      F.array_join("subinfo.education", "|").alias("subinfo_education"),
+                      F.array_join("subinfo.credentials", "|").alias("subinfo_credentials"))
 
 
 DIRECTORY_MERGE_SQL = f"""
@@ -171,7 +174,7 @@ def subpage_link_status(spark, sf_dir):
     def fields_for(linked):
         return subpage_values(dom, planner, linked, PROFILE_ELEMENTS)
 
-    done = process_queue(queue, dom.docs, fields_for)
+    done, _ = process_queue(queue, dom.docs, fields_for)
     return done.select("url", F.col("container_index").cast("bigint").alias("container_index"), "status", "error")
 
 
@@ -183,6 +186,34 @@ FROM s
 """
 
 
+def subpage_container_rows(spark, sf_dir):
+    """E19 + J7 + J10: the main containers of the listings by the first pattern
+    with a match, each with its profile link, what the linked page gives, and the
+    error where there is no link or no data."""
+    dom, planner = rendered_dom(spark, sf_dir)
+    listing = dom.docs.where(F.col("url").rlike(r"/people\?page=")).select("page_id")
+    cards = find_containers(planner, "div.profile-card, div.directory").join(listing, "page_id", "left_semi")
+    rows = subpage_records_from_containers(dom, planner, cards, PROFILE_ELEMENTS)
+    name = F.array_join(F.col("fields")["education"], "|")
+    return rows.join(dom.docs.select("page_id", "url"), "page_id").select(
+        "url", F.col("container_index").cast("bigint").alias("container_index"), "profile_link",
+        name.alias("education"), "error")
+
+
+SUBPAGE_CONTAINER_ROWS_SQL = f"""{_SUPPLIERS},
+r AS (
+  SELECT s.*, 'https://dir.example/nation/' || s_nationkey || '/people?page=' || (rnk // {PER_PAGE} + 1) AS url,
+         rnk % {PER_PAGE} AS i, r_name FROM s JOIN nation USING (n_name) JOIN region ON n_regionkey = r_regionkey),
+b AS (SELECT url, i + 1 AS container_index, s_suppkey, n_name, r_name FROM r
+      UNION ALL SELECT url, 0, s_suppkey, n_name, r_name FROM r WHERE i = 0)
+SELECT url, CAST(container_index AS BIGINT) AS container_index,
+       'https://dir.example/lawyer/' || s_suppkey AS profile_link,
+       CASE WHEN s_suppkey % 10 <> 3 THEN 'University of ' || n_name || '|' || r_name || ' Law School' END AS education,
+       CASE WHEN s_suppkey % 10 = 3 THEN 'No data extracted' END AS error
+FROM b
+"""
+
+
 def card_text_fallback(spark, sf_dir):
     """C5 + C6: a template whose sub-elements match nothing gives each card
     its text as the only field."""

@@ -27,7 +27,7 @@ def fallback_card_text(spark, sf_dir):
     ladder = element_ladder(el)
     m = find_with_fallback(planner, el)
     v = node_values(dom, m, "text")
-    names = F.create_map(*[x for i, a in enumerate(ladder) for x in (F.lit(i), F.lit(a))])
+    names = F.create_map(*[x for i, a in enumerate(ladder) for x in (F.lit(i), F.lit(a if isinstance(a, str) else a.source))])
     return (v.join(dom.docs.select("page_id", "url"), "page_id")
             .select("url", names[F.col("priority")].alias("rule"), "value"))
 
@@ -169,12 +169,13 @@ WHERE s_suppkey % 10 <> 3
 
 
 def eligible_subpage_links(spark, sf_dir):
-    """J9 + J11: the distinct profile-link queue filtered by a URL pattern
-    and capped at 20 links (queue order: container index, URL)."""
+    """J9 + J11: each nation's queue of distinct profile links, filtered by a
+    URL pattern, at most 3 per nation (queue order: container index, URL)."""
     dom, planner = rendered_dom(spark, sf_dir)
     cont = find_containers(planner, "div.profile-card")
-    q = link_queue(subpage_records_from_containers(dom, planner, cont))
-    e = eligible_links(q, r"/lawyer/[0-9]*[05]$", 20)
+    nation = dom.docs.select("page_id", F.regexp_extract("url", r"/nation/(\d+)/", 1).alias("template_id"))
+    q = link_queue(subpage_records_from_containers(dom, planner, cont).join(nation, "page_id"), by="template_id")
+    e = eligible_links(q, r"/lawyer/[0-9]*[05]$", 3)
     return e.select("url", F.col("container_index").cast("bigint").alias("container_index"), "status")
 
 
@@ -182,7 +183,7 @@ ELIGIBLE_SUBPAGE_LINKS_SQL = f"""{_SUPPLIERS}
 SELECT url, container_index, 'pending' AS status FROM (
   SELECT 'https://dir.example/lawyer/' || s_suppkey AS url, CAST(rnk % {PER_PAGE} AS BIGINT) AS container_index
   FROM s WHERE regexp_matches(CAST(s_suppkey AS VARCHAR), '[05]$')
-  ORDER BY container_index, url LIMIT 20)
+  QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY container_index, url) <= 3)
 """
 
 
@@ -252,8 +253,8 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey
 
 def action_profile_join(spark, sf_dir):
     """Cards whose profile link contains one of the template's action
-    target URLs (targets: suppliers with key % 7 = 0), via a size-checked
-    broadcast of the action list."""
+    target URLs (targets: suppliers with key % 7 = 0), as an equi-join of the
+    link's substrings."""
     from ..operators.merge import action_subpage_join
     dom, planner = rendered_dom(spark, sf_dir)
     cont = find_containers(planner, "div.profile-card")

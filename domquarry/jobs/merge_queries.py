@@ -15,7 +15,7 @@ from ..session import materialize
 from .common import table
 from .directory_queries import (CARD_SUBS, DIRECTORY_PROFILES_SQL, PER_PAGE, PROFILE_ELEMENTS, _SUPPLIERS,
                                 _POSITION, rendered_dom)
-from .pagination_queries import OVERLAP, TRAILING
+from .pagination_queries import OVERLAP, TRAILING, _listing
 
 
 def _lists(spark, sf_dir, main_label):
@@ -148,10 +148,11 @@ def incremental_subpages(spark, sf_dir):
     """U5 + J7 + J10: subpage statuses for cards beyond the 2 already held
     on each listing page."""
     dom, planner = rendered_dom(spark, sf_dir)
-    containers = incremental_containers(find_containers(planner, "div.profile-card"), 2)
+    held = dom.docs.select("page_id", F.lit(2).alias("n"))
+    containers = incremental_containers(find_containers(planner, "div.profile-card"), held)
     main = subpage_records_from_containers(dom, planner, containers)
-    done = process_queue(link_queue(main), dom.docs, lambda linked: subpage_values(dom, planner, linked,
-                                                                                   PROFILE_ELEMENTS))
+    done, _ = process_queue(link_queue(main), dom.docs, lambda linked: subpage_values(dom, planner, linked,
+                                                                                      PROFILE_ELEMENTS))
     return done.select("url", F.col("container_index").cast("bigint").alias("container_index"), "status")
 
 
@@ -166,11 +167,7 @@ def listing_rows(spark, sf_dir):
     """U7 (+W3): every card name of every walked listing page as a row with
     its source page."""
     dom, planner = rendered_dom(spark, sf_dir, OVERLAP, TRAILING)
-    url_re = r"/nation/(\d+)/people\?page=(\d+)$"
-    listing = dom.docs.where(F.col("url").rlike(url_re)).select(
-        "page_id", F.regexp_extract("url", url_re, 1).cast("bigint").alias("crawl_id"),
-        F.regexp_extract("url", url_re, 2).cast("int").alias("page_no"))
-    listing = materialize(listing)
+    listing = _listing(dom)
     containers = find_containers(planner, "div.profile-card")
     fields = container_fields(dom, planner, containers, [{"label": "name", "selector": "h3"}])
     items = materialize(fields.join(listing, "page_id").select(

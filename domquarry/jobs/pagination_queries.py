@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.containers import container_fields, find_containers
-from ..operators.paginate import (URL_PAGINATION_CAP, append_accumulate, count_stability_stop,
-                                  distinct_accumulate, empty_streak_stop, next_selector_stop,
+from ..operators.paginate import (append_accumulate, count_stability_stop, distinct_accumulate,
+                                  empty_streak_stop, end_selector_stop, next_selector_stop,
                                   page_url_sequence, walk_pages, walked_pages)
 from ..session import materialize
 from .common import table
@@ -30,10 +30,10 @@ def _event_pages(spark, sf_dir):
 
 
 def event_walk(spark, sf_dir):
-    """W1 + U2: stop after 3 pages without a new item (cap 200)."""
+    """W1 + U2: stop after 3 pages without a new item."""
     items, pages = _event_pages(spark, sf_dir)
-    walk = materialize(walk_pages(pages, cap=URL_PAGINATION_CAP))  # the walk order, once
-    stops = materialize(empty_streak_stop(items, pages, k=3, cap=URL_PAGINATION_CAP, walk=walk))
+    walk = materialize(walk_pages(pages))  # the walk order, once
+    stops = materialize(empty_streak_stop(items, pages, k=3, walk=walk))
     walked = walked_pages(stops, pages, walk=walk)
     got = distinct_accumulate(items, walked).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_items"))
     return (stops.join(got, "crawl_id", "left")
@@ -60,7 +60,7 @@ st AS (
   SELECT *, page_no - coalesce(max(CASE WHEN n_new > 0 THEN page_no END)
             OVER (PARTITION BY user_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
             AS streak
-  FROM pn WHERE page_no <= 200),
+  FROM pn),
 stop AS (
   SELECT user_id, min(CASE WHEN streak >= 3 THEN page_no END) AS stop_page, max(page_no) AS last_page
   FROM st GROUP BY user_id)
@@ -75,7 +75,7 @@ FROM stop
 def event_scroll(spark, sf_dir):
     """Count-stability stop; snapshot k = distinct event types seen up to
     day k (day 0 = the first day); stop after 3 snapshots without growth;
-    skip when the first count is 0; at most 20 snapshots."""
+    skip when the first count is 0."""
     items, pages = _event_pages(spark, sf_dir)
     fs = items.groupBy("crawl_id", "item").agg(F.min("page_no").alias("first_page"))
     grown = fs.groupBy("crawl_id", "first_page").agg(F.count(F.lit(1)).alias("k"))
@@ -101,7 +101,7 @@ g AS (
 s AS (
   SELECT *, snap_no - max(CASE WHEN grew THEN snap_no END)
             OVER (PARTITION BY user_id ORDER BY snap_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak
-  FROM g WHERE snap_no <= 20),
+  FROM g),
 stop AS (
   SELECT user_id, min(CASE WHEN snap_no > 0 AND streak >= 3 THEN snap_no END) AS stop_snap,
          max(snap_no) AS last_snap
@@ -115,17 +115,52 @@ GROUP BY s.user_id
 OVERLAP, TRAILING = 1, 3
 
 
+def _listing(dom):
+    """Listing pages: page_id, crawl_id (the nation), page_no."""
+    url_re = r"/nation/(\d+)/people\?page=(\d+)$"
+    return materialize(dom.docs.select(
+        "page_id", F.regexp_extract("url", url_re, 1).cast("bigint").alias("crawl_id"),
+        F.regexp_extract("url", url_re, 2).cast("int").alias("page_no")).where(F.col("url").rlike(url_re)))
+
+
+def listing_limits(spark, sf_dir):
+    """W3 variants + W4: pages that each nation's walk takes by the next link,
+    with a limit of 2 pages, and until a page shows an end condition (a card of a
+    supplier whose key ends in 7)."""
+    dom, planner = rendered_dom(spark, sf_dir, OVERLAP, TRAILING)
+    listing = _listing(dom)
+    pages = listing.select("crawl_id", "page_no")
+    has_next = materialize(planner.select("a.next").join(listing, "page_id").select("crawl_id", "page_no"))
+    has_end = materialize(planner.select("a.profile[href$='7']").join(listing, "page_id").select("crawl_id", "page_no"))
+
+    def counted(walk, name):
+        return walk.groupBy("crawl_id").agg(F.count(F.lit(1)).alias(name))
+
+    return (counted(next_selector_stop(pages, has_next), "by_next")
+            .join(counted(next_selector_stop(pages, has_next, max_pages=2), "by_limit"), "crawl_id")
+            .join(counted(end_selector_stop(pages, has_end), "by_end"), "crawl_id")
+            .withColumnRenamed("crawl_id", "nation_key"))
+
+
+LISTING_LIMITS_SQL = f"""
+WITH s AS (
+  SELECT s.s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s.s_nationkey ORDER BY s_suppkey) - 1 AS r
+  FROM supplier s JOIN nation ON s.s_nationkey = n_nationkey),
+c AS (SELECT s_nationkey, CAST(ceil(count(*) / 4.0) AS BIGINT) AS p,
+             min(CASE WHEN s_suppkey % 10 = 7 THEN r // 4 + 1 END) AS e FROM s GROUP BY s_nationkey)
+SELECT CAST(s_nationkey AS BIGINT) AS nation_key, p + {TRAILING} AS by_next, CAST(2 AS BIGINT) AS by_limit,
+       coalesce(e, p + {TRAILING}) AS by_end
+FROM c
+"""
+
+
 def listing_walk(spark, sf_dir):
     """W3 + W4 + W1 + U1 + U2 over paginated directory listings: the last
     card of a page repeats on the next, and 3 trailing pages bring nothing
     new.  Per nation: pages walked by the next-link rule, the empty-streak
     stop page, items appended (duplicates kept) and distinct items."""
     dom, planner = rendered_dom(spark, sf_dir, OVERLAP, TRAILING)
-    url_re = r"/nation/(\d+)/people\?page=(\d+)$"
-    listing = dom.docs.select(
-        "page_id", F.regexp_extract("url", url_re, 1).cast("bigint").alias("crawl_id"),
-        F.regexp_extract("url", url_re, 2).cast("int").alias("page_no")).where(F.col("url").rlike(url_re))
-    listing = materialize(listing)
+    listing = _listing(dom)
     containers = find_containers(planner, "div.profile-card")
     fields = container_fields(dom, planner, containers, [{"label": "name", "selector": "h3"}])
     # stage boundary: the walks below read items and pages from several branches
@@ -158,10 +193,10 @@ FROM c
 
 
 def url_page_sequence(spark, sf_dir):
-    """W5 + P15: the page URLs each URL pattern would request (200 per
-    pattern), built by rewriting one query parameter of every page URL."""
+    """W5 + P15: the URLs of the first 200 pages under each URL pattern, built
+    by rewriting one query parameter of every page URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    seq = page_url_sequence(pages)
+    seq = page_url_sequence(pages, n=200)
     return seq.select("page_id", "param", F.col("page_no").cast("bigint").alias("page_no"), "page_url")
 
 

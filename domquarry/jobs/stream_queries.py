@@ -44,8 +44,9 @@ STREAM_PAGE_SUMMARY_SQL = PAGE_SUMMARY_SQL
 def stream_event_types(spark, sf_dir):
     """R2: (user, event type) pairs, each emitted once across batches."""
     out = stream_folder(spark, "event-types")
+    # state is kept for 60 days of event time after an item was seen
     stream_distinct_items(spark, f"{sf_dir.rstrip('/')}/events*.parquet", EVENTS_SCHEMA,
-                          ["user_id", "event_type"], out)
+                          ["user_id", "event_type"], out, event_time="ts", delay="60 days")
     return spark.read.parquet(out)
 
 
@@ -53,12 +54,12 @@ STREAM_EVENT_TYPES_SQL = "SELECT DISTINCT user_id, event_type FROM events"
 
 
 def stream_event_walk(spark, sf_dir):
-    """The empty-streak stop rule (k=3, cap 200) as streaming state."""
+    """The empty-streak stop rule (k=3) as streaming state."""
     ev = read_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet", EVENTS_SCHEMA)
     items = ev.select(F.col("user_id").alias("crawl_id"),
                       (F.unix_date(F.to_date("ts"))).cast("long").alias("day"), F.col("event_type").alias("item"))
     out = stream_folder(spark, "event-walk")
-    stream_empty_streak(spark, items, out, k=3, cap=200)
+    stream_empty_streak(spark, items, out, k=3)
     r = latest(spark, out, "crawl_id")
     return r.select(F.col("crawl_id").alias("user_id"), "stop_page", "pages_walked", "n_items")
 

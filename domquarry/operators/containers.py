@@ -11,6 +11,7 @@ and folded to ``MAP<STRING, ARRAY<STRING>>`` or pivoted only at the edge.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -21,6 +22,8 @@ from ..plans.compile import Planner, chain_output, parse_selector
 from ..plans.css import split_top_level
 from .values import keyed_values, node_values
 
+log = logging.getLogger(__name__)
+
 FIELDS_SCHEMA = ("page_id BIGINT, container_id INT, container_index INT, label STRING, "
                  "value_ord INT, value STRING")
 
@@ -45,10 +48,21 @@ def index_containers(matched: DataFrame) -> DataFrame:
 
 def find_containers(planner: Planner, selector: str, selector_type: str = "css",
                     ladder: list[tuple[list[str], int]] | None = None,
-                    after: list[tuple[list[str], int]] | None = None) -> DataFrame:
+                    after: list[tuple[list[str], int]] | None = None,
+                    use_find_similar: bool = False) -> DataFrame:
     """Container nodes.  ``ladder`` / ``after`` (C2, E13, E18, E20) are
     ordered ``(alternatives, min_count)`` rungs tried before / after the
-    template selector; per page, the first rung with enough matches wins."""
+    template selector; per page, the first rung with enough matches wins.
+    ``use_find_similar`` replaces a page's matches by the nodes similar to its
+    first match (E21), where there are any."""
+    if use_find_similar:
+        from .detect import similar_nodes
+
+        found = find_containers(planner, selector, selector_type, ladder, after)
+        first = found.where("container_index = 0").select("page_id", F.col("container_id").alias("example_id"))
+        similar = similar_nodes(planner.dom, first).select("page_id", F.col("node_id").alias("container_id")).distinct()
+        own = found.join(similar.select("page_id").distinct(), "page_id", "left_anti").select("page_id", "container_id")
+        return index_containers(similar.unionByName(own).withColumnRenamed("container_id", "node_id"))
     if not ladder and not after:
         return index_containers(planner.select(selector, selector_type=selector_type))
     parts = []
@@ -56,7 +70,8 @@ def find_containers(planner: Planner, selector: str, selector_type: str = "css",
     for prio, (alts, min_count) in enumerate(rungs):
         try:
             m = planner.select_first(alts, min_count=min_count)
-        except SelectorError:
+        except SelectorError as exc:
+            log.warning("container rung %d skipped: %s", prio, exc)
             continue
         parts.append(m.select("page_id", "scope_id", "node_id", F.lit(prio).alias("rung")))
     allm = reduce(DataFrame.unionByName, parts)
@@ -65,29 +80,6 @@ def find_containers(planner: Planner, selector: str, selector_type: str = "css",
                             .select("page_id", "scope_id", "node_id").distinct())
 
 
-def class_substring_selector(selector: str) -> list[str]:
-    """``.a.b`` -> "class contains a and contains b" as attribute tests."""
-    s = selector.strip()
-    if not s.startswith(".") or " " in s or ">" in s:
-        return []
-    words = [w for w in s.split(".") if w]
-    return ["".join(f"[class*='{w}']" for w in words)]
-
-
-def _sub_matches(planner: Planner, containers: DataFrame, sub: dict, first_alternative: bool):
-    scope = containers.select("page_id", F.col("container_id").alias("scope_id"))
-    selector = (sub.get("selector") or "").strip()
-    if selector == "":  # P13: the container itself
-        return containers.select("page_id", F.col("container_id").alias("scope_id"),
-                                 F.col("container_id").alias("node_id")), ("node", None)
-    if first_alternative:  # E7: comma list, first alternative with a match wins
-        alts = [a.strip() for a in split_top_level(selector) if a.strip()]
-        if len(alts) > 1:
-            return planner.select_first(alts, scope=scope).drop("priority"), ("node", None)
-    sel = parse_selector(selector, sub.get("selector_type") or "css", relative=True)
-    return planner.select(sel, scope=scope), chain_output(sel)
-
-
 def container_fields(dom, planner: Planner, containers: DataFrame, sub_elements: list[dict],
                      first_alternative: bool = False, multi_value_rule: bool = True,
                      on_bad_selector: str = "empty") -> DataFrame:
@@ -117,8 +109,9 @@ def container_fields(dom, planner: Planner, containers: DataFrame, sub_elements:
                 sel = parse_selector(selector, sub.get("selector_type") or "css", relative=True)
                 spec["output"], spec["attr_name"] = chain_output(sel)
                 named.append((key, sel))
-        except SelectorError:
+        except SelectorError as exc:
             if on_bad_selector == "empty":
+                log.warning("sub-element %s skipped: %s", sub["label"], exc)
                 continue
             raise
         specs[key] = spec

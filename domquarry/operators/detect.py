@@ -8,14 +8,12 @@ semi-join) -- never a loop over pages.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import candidate_is_valid, is_directory_url, is_generic_class
-from ..plans.ast import SelectorError
-from ..plans.compile import Planner
+from ..plans.compile import Planner, parse_selector
+from ..session import materialize
 from .values import node_values
 
 # Selectors whose largest match count is the profile count (A1).
@@ -125,14 +123,10 @@ LAST_RESORT_SELECTORS = [
 
 
 def _counts(planner: Planner, selectors: list[str]) -> DataFrame:
-    parts = []
-    for prio, sel in enumerate(selectors):
-        try:
-            m = planner.select(sel)
-        except SelectorError:
-            continue
-        parts.append(m.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).withColumn("prio", F.lit(prio)))
-    return reduce(DataFrame.unionByName, parts)
+    """Match counts of all selectors, in one batched plan: (page_id, prio, n)."""
+    matched = planner.select_many([(str(i), parse_selector(sel)) for i, sel in enumerate(selectors)])
+    return matched.dropDuplicates(["page_id", "node_id", "key"]).groupBy(
+        "page_id", F.col("key").cast("int").alias("prio")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def profile_count(dom, planner: Planner) -> DataFrame:
@@ -207,40 +201,65 @@ def similar_nodes(dom, examples: DataFrame) -> DataFrame:
     Strategies in order, first with more than one match per example:
     1. same parent and tag; 2. same tag and at least one shared specific
     (non-generic) class, if 2..99 such nodes; 3. same tag and child-tag sets
-    overlapping by more than half; 4. same tag and same parent tag.
-    Equi-joins on ``(page_id, parent_id, tag)`` / ``(page_id, tag, class)`` /
-    ``(page_id, tag)`` / ``(page_id, tag, parent tag)``."""
+    overlapping by more than half; 4. same tag and same parent tag.  Each runs only
+    for the examples that the ones before left open, as an equi-join on
+    ``(page_id, parent_id, tag)`` / ``(page_id, tag, class)`` / ``(page_id, tag)`` /
+    ``(page_id, tag, parent tag)``."""
     n = dom.nodes.select("page_id", "node_id", "parent_id", "tag", "classes")
-    ex = examples.join(n.withColumnRenamed("node_id", "example_id"), ["page_id", "example_id"])
-    parent_tag = n.select("page_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"))
-    s1 = ex.select("page_id", "example_id", "parent_id", "tag").join(n.select("page_id", "node_id", "parent_id", "tag"),
-                                                                    ["page_id", "parent_id", "tag"])
-    s1 = s1.select("page_id", "example_id", "node_id", F.lit(1).alias("strategy"))
-    exc = ex.select("page_id", "example_id", "tag", F.explode("classes").alias("cls")).where(~is_generic_class(F.col("cls")))
-    nc = n.select("page_id", "node_id", "tag", F.explode("classes").alias("cls"))
-    s2 = exc.join(nc, ["page_id", "tag", "cls"]).select("page_id", "example_id", "node_id").distinct()
-    s2c = s2.groupBy("page_id", "example_id").count()
-    s2 = s2.join(s2c.where((F.col("count") >= 2) & (F.col("count") <= 99)).select("page_id", "example_id"),
-                 ["page_id", "example_id"], "left_semi").withColumn("strategy", F.lit(2))
-    # 3. same tag and child-tag sets overlapping by more than half
+    left = materialize(examples.select("page_id", "example_id").distinct().join(
+        n.withColumnRenamed("node_id", "example_id"), ["page_id", "example_id"]))
+    key, parts = ["page_id", "example_id"], []
+    for number, strategy in enumerate((_by_parent, _by_class, _by_children, _by_parent_tag), 1):
+        found = materialize(strategy(n, left).select(*key, "node_id"))
+        enough = found.groupBy(*key).count().where("count > 1").select(*key)
+        parts.append(found.join(enough, key, "left_semi").withColumn("strategy", F.lit(number)))
+        if number < 4:
+            left = materialize(left.join(enough, key, "left_anti"))
+            if left.isEmpty():
+                break
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _by_parent(n: DataFrame, ex: DataFrame) -> DataFrame:
+    return ex.select("page_id", "example_id", "parent_id", "tag").join(n, ["page_id", "parent_id", "tag"])
+
+
+def _by_class(n: DataFrame, ex: DataFrame, most: int = 99) -> DataFrame:
+    """Nodes that share a specific class, for examples with 2 to ``most`` of them."""
+    own = ex.select("page_id", "example_id", "tag", F.explode("classes").alias("cls")).where(
+        ~is_generic_class(F.col("cls")))
+    # counted per class first: a class of very many nodes is dropped before pairs are made
+    classes = n.select("page_id", "node_id", "tag", F.explode("classes").alias("cls"))
+    size = classes.groupBy("page_id", "tag", "cls").agg(F.countDistinct("node_id").alias("k"))
+    wide = own.join(size.where(F.col("k") > most), ["page_id", "tag", "cls"]).select("page_id", "example_id").distinct()
+    own = own.join(wide, ["page_id", "example_id"], "left_anti")
+    pairs = own.join(classes, ["page_id", "tag", "cls"]).select("page_id", "example_id", "node_id").distinct()
+    few = pairs.groupBy("page_id", "example_id").count().where(F.col("count").between(2, most))
+    return pairs.join(few, ["page_id", "example_id"], "left_semi")
+
+
+def _by_children(n: DataFrame, ex: DataFrame) -> DataFrame:
     kids = (n.groupBy("page_id", F.col("parent_id").alias("node_id"))
-            .agg(F.collect_set("tag").alias("kids")))  # bounded by one node's children
-    exk = ex.select("page_id", "example_id", "tag").join(
+            .agg(F.sort_array(F.collect_set("tag")).alias("kids")))  # bounded by the number of tag names
+    own = ex.select("page_id", "example_id", "tag").join(
         kids.withColumnRenamed("node_id", "example_id"), ["page_id", "example_id"])
-    nk = n.select("page_id", "node_id", "tag").join(kids.withColumnRenamed("kids", "nkids"), ["page_id", "node_id"])
-    overlap = (F.size(F.array_intersect("kids", "nkids"))
-               / F.greatest(F.size("kids"), F.size("nkids")))
-    s3 = (exk.join(nk, ["page_id", "tag"]).where(overlap > 0.5)
-          .select("page_id", "example_id", "node_id", F.lit(3).alias("strategy")))
-    # 4. same tag and same parent tag
-    exp = ex.join(parent_tag, ["page_id", "parent_id"]).select("page_id", "example_id", "tag", "ptag")
-    np_ = n.join(parent_tag, ["page_id", "parent_id"]).select("page_id", "node_id", "tag", "ptag")
-    s4 = exp.join(np_, ["page_id", "tag", "ptag"]).select("page_id", "example_id", "node_id",
-                                                         F.lit(4).alias("strategy"))
-    allm = s1.unionByName(s2).unionByName(s3).unionByName(s4)
-    counts = allm.groupBy("page_id", "example_id", "strategy").count().where(F.col("count") > 1)
-    best = counts.groupBy("page_id", "example_id").agg(F.min("strategy").alias("strategy"))
-    return allm.join(best, ["page_id", "example_id", "strategy"], "left_semi")
+    # nodes by their child-tag set: sets are compared, not nodes
+    sets = n.select("page_id", "node_id", "tag").join(kids.withColumnRenamed("kids", "nkids"), ["page_id", "node_id"])
+    pairs = own.select("page_id", "tag", "kids").distinct().join(
+        sets.select("page_id", "tag", "nkids").distinct(), ["page_id", "tag"])
+    overlap = F.size(F.array_intersect("kids", "nkids")) / F.greatest(F.size("kids"), F.size("nkids"))
+    alike = pairs.where(overlap > 0.5)
+    return own.join(alike, ["page_id", "tag", "kids"]).join(sets, ["page_id", "tag", "nkids"])
+
+
+def _by_parent_tag(n: DataFrame, ex: DataFrame) -> DataFrame:
+    parents = n.select("page_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"))
+    own = ex.join(parents, ["page_id", "parent_id"]).select("page_id", "example_id", "tag", "ptag")
+    return own.join(n.join(parents, ["page_id", "parent_id"]).select("page_id", "node_id", "tag", "ptag"),
+                    ["page_id", "tag", "ptag"])
 
 
 def suggest_selectors(dom, targets: DataFrame, max_matches: int = 50) -> DataFrame:
@@ -301,9 +320,11 @@ def suggest_selectors(dom, targets: DataFrame, max_matches: int = 50) -> DataFra
 
 def directory_context(dom, planner: Planner, examples: DataFrame) -> DataFrame:
     """Directory URL, else at least 3 similar nodes to the example."""
-    sim = similar_nodes(dom, examples).groupBy("page_id", "example_id").count()
-    return (examples.join(dom.docs.select("page_id", "url"), "page_id")
-            .join(sim, ["page_id", "example_id"], "left")
+    # only examples off directory URLs need the similarity search
+    here = materialize(examples.join(dom.docs.select("page_id", "url"), "page_id"))
+    open_ = here.where(~F.coalesce(is_directory_url(F.col("url")), F.lit(False))).select("page_id", "example_id")
+    sim = similar_nodes(dom, open_).groupBy("page_id", "example_id").count()
+    return (here.join(sim, ["page_id", "example_id"], "left")
             .select("page_id", "example_id",
                     (is_directory_url(F.col("url")) | (F.coalesce(F.col("count"), F.lit(0)) >= 3))
                     .alias("is_directory_context")))

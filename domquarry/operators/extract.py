@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from ..plans.ast import SelectorError
 from ..plans.compile import Planner, chain_output, check_compiles, parse_selector
+from .fallback import select_with_fallback
 from .values import keyed_values
 
+log = logging.getLogger(__name__)
+
 VALUES_SCHEMA = "page_id BIGINT, label STRING, value_ord INT, value STRING, node_id INT"
 ERRORS_SCHEMA = "page_id BIGINT, label STRING, error STRING"
 
@@ -34,10 +38,12 @@ def is_location_element(label: str, selector: str) -> bool:
 
 
 def extract_elements(dom, elements: list[dict], planner: Planner | None = None,
-                     on_bad_selector: str = "empty", resolve_links: bool = False):
+                     on_bad_selector: str = "empty", resolve_links: bool = False, smart: bool = True):
     """All page-level elements of a template in one batched plan: the
     selectors share one scan of the node table (``select_many``), values are
-    read in one pass (``keyed_values``) and ordered by one per-page window."""
+    read in one pass (``keyed_values``) and ordered by one per-page window.
+    ``smart`` sends pages where an element is not found through its fallback
+    ladder (E6)."""
     planner = planner or Planner(dom)
     spark = dom.nodes.sparkSession
     named, specs, labels = [], {}, {}
@@ -48,17 +54,19 @@ def extract_elements(dom, elements: list[dict], planner: Planner | None = None,
         try:
             sel = parse_selector(el["selector"], el.get("selector_type") or "css")
             check_compiles(sel)
-        except SelectorError:
-            if on_bad_selector == "empty":
-                continue
-            raise
-        output, attr_name = chain_output(sel)
-        named.append((key, sel))
+        except SelectorError as exc:
+            if on_bad_selector != "empty":
+                raise
+            log.warning("selector of %s skipped: %s", el["label"], exc)
+            sel = None
+        output, attr_name = chain_output(sel) if sel else ("node", None)
+        named.append((key, el, sel))
         specs[key] = {"element_type": el.get("element_type") or "text", "attribute_name": el.get("attribute_name"),
                       "output": output, "attr_name": attr_name, "resolve_links": resolve_links}
         labels[key] = (el["label"], bool(el.get("is_multiple")))
     if named:
-        m = planner.select_many(named)
+        keys = F.explode(F.array(*[F.lit(k) for k, _, _ in named])).alias("key")
+        m = select_with_fallback(dom, planner, named, dom.docs.select("page_id", keys), smart)
         v = keyed_values(dom, m, specs).where(F.col("value").isNotNull())
         multi = [k for k, (_, mult) in labels.items() if mult]
         w = Window.partitionBy("page_id", "key").orderBy("node_id")
@@ -83,15 +91,3 @@ def extract_elements(dom, elements: list[dict], planner: Planner | None = None,
                                              f"{el['selector']}").alias("error")))
     errors = reduce(DataFrame.unionByName, errs) if errs else spark.createDataFrame([], ERRORS_SCHEMA)
     return values, errors
-
-
-def wide(values: DataFrame, pages: DataFrame, single_labels: list[str], multi_labels: list[str]) -> DataFrame:
-    """One row per page: single labels as columns, multiple labels as arrays
-    (document order).  The label list comes from the template, so the pivot
-    needs no extra job."""
-    labels = list(single_labels) + list(multi_labels)
-    agg = (values.groupBy("page_id").pivot("label", labels)
-           .agg(F.array_sort(F.collect_list(F.struct("value_ord", "value"))).alias("v")))
-    cols = [F.get(F.col(f"`{l}`"), 0)["value"].alias(l) if l in single_labels else
-            F.transform(F.col(f"`{l}`"), lambda s: s["value"]).alias(l) for l in labels]
-    return pages.join(agg.select("page_id", *cols), "page_id", "left")

@@ -9,40 +9,43 @@ and no per-page Python.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
 
-from ..functions.rules import (content_xpaths, fallback_xpaths, generic_selector, map_generic_selector,
-                               semantic_xpaths, structure_xpaths, variant_selectors)  # noqa: F401
-from ..plans.compile import Planner, is_xpath, normalise_xpath
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.rules import fallback_xpaths, map_generic_selector, semantic_xpaths
+from ..plans.ast import SelectorError
+from ..plans.compile import Planner, check_compiles, is_xpath, normalise_xpath, parse_selector
 from ..session import materialize
 from ..plans.css import split_top_level
-from .containers import class_substring_selector
+from ..plans.rewrite import class_substrings, same_structure, variants, with_own_text, without_positions
 from .detect import DIRECTORY_CONTENT_XPATHS, DIRECTORY_PATTERNS, LAST_RESORT_SELECTORS
 
 
+log = logging.getLogger(__name__)
+
+
 def element_ladder(element: dict, expected_patterns: list[str] | None = None,
-                   smart: bool = True) -> list[str]:
+                   smart: bool = True) -> list:
     """E6 strategies for a page-level element, flattened in order:
     1. the selector as given (E5 auto-detect); 2. semantic XPaths by label
     (E8); 3. content patterns (E9, when given); 4. structure match (E10),
     generalised (E11) and variant (E12) selectors; 5. the selector as CSS."""
     sel = element.get("selector") or ""
     st = element.get("selector_type") or "css"
-    alts = [normalise_xpath(sel) if is_xpath(sel, st) else sel]
+    xpath = is_xpath(sel, st)
+    alts = [normalise_xpath(sel) if xpath else sel]
     if smart:
         alts += semantic_xpaths(element.get("label", ""))
-        alts += content_xpaths(expected_patterns or [])
-        alts += structure_xpaths(sel, st)
-        g = generic_selector(sel)
-        if g != sel:
-            alts.append(g)
-        alts += variant_selectors(sel)
-    if not is_xpath(sel, st):
-        alts.append(sel)
+        alts += [with_own_text(p) for p in expected_patterns or []]
+        if not xpath:
+            alts += same_structure(sel) + without_positions(sel) + variants(sel)
     seen, out = set(), []
     for a in alts:
-        if a and a not in seen:
-            seen.add(a)
+        name = a if isinstance(a, str) else a.source
+        if name and name not in seen:
+            seen.add(name)
             out.append(a)
     return out
 
@@ -54,6 +57,52 @@ def find_with_fallback(planner: Planner, element: dict, expected_patterns: list[
     return planner.select_first(element_ladder(element, expected_patterns, smart))
 
 
+#: Elements whose ladder rungs one plan holds.
+LADDER_GROUP = 8
+
+
+def select_with_fallback(dom, planner: Planner, specs: list, wanted: DataFrame, smart: bool = True) -> DataFrame:
+    """E6 for many elements at once: ``(page_id, scope_id, node_id, key)``.
+
+    ``specs`` is ``[(key, element, parsed selector or None)]``; ``wanted(page_id,
+    key)`` says which element is asked of which page.  All literal selectors run
+    as one batched plan; their ladders run only for (page, element) pairs without
+    a match, on those pages, a bounded group of elements per plan; the first rung
+    with a match wins."""
+    literal = [(k, sel) for k, _, sel in specs if sel is not None]
+    empty = wanted.select("page_id", F.lit(0).alias("scope_id"), F.lit(0).alias("node_id"), "key").where(F.lit(False))
+    found = planner.select_many(literal).join(wanted, ["page_id", "key"], "left_semi") if literal else empty
+    if not smart:
+        return found
+    found = materialize(found.select("page_id", "scope_id", "node_id", "key"))
+    missing = materialize(wanted.join(found.select("page_id", "key").distinct(), ["page_id", "key"], "left_anti"))
+    asked = {r[0] for r in missing.select("key").distinct().collect()}  # keys of the template configuration
+    rungs = []
+    for k, element, sel in specs:
+        if k in asked:
+            for prio, alt in enumerate(element_ladder(element)[1:]):
+                try:
+                    parsed = parse_selector(alt) if isinstance(alt, str) else alt
+                    check_compiles(parsed)
+                except SelectorError as exc:
+                    log.warning("rung %d of %s skipped: %s", prio, element.get("label"), exc)
+                    continue
+                rungs.append((k, prio, parsed))
+    keys = sorted({k for k, _, _ in rungs})
+    for i in range(0, len(keys), LADDER_GROUP):
+        group = set(keys[i:i + LADDER_GROUP])
+        todo = missing.where(F.col("key").isin(*group))
+        part = Planner(dom.restrict(todo.select("page_id"))).select_many(
+            [(f"{prio}|{k}", sel) for k, prio, sel in rungs if k in group])
+        part = part.select("page_id", "scope_id", "node_id", F.split("key", "[|]", 2)[0].cast("int").alias("_rung"),
+                           F.split("key", "[|]", 2)[1].alias("key")).distinct()
+        part = part.join(todo, ["page_id", "key"], "left_semi")
+        best = F.min("_rung").over(Window.partitionBy("page_id", "key"))
+        part = part.withColumn("_best", best).where("_rung = _best").select("page_id", "scope_id", "node_id", "key")
+        found = found.unionByName(materialize(part))
+    return found
+
+
 def container_ladder(selector: str, selector_type: str = "css", smart_detection: bool = False) -> list[tuple]:
     """C2 rungs as ``(alternatives, min_count)``: directory detection
     first when ``smart_detection``; then the template selector is tried by
@@ -64,11 +113,8 @@ def container_ladder(selector: str, selector_type: str = "css", smart_detection:
         rungs.append((DIRECTORY_PATTERNS + DIRECTORY_CONTENT_XPATHS, 3))
     after = []
     if selector_type == "css" and not is_xpath(selector, selector_type):
-        after += [([a], 1) for a in class_substring_selector(selector)]
-        g = generic_selector(selector)
-        if g != selector:
-            after.append(([g], 1))
-        after += [([a], 1) for a in variant_selectors(selector)]
+        looser = class_substrings(selector) + without_positions(selector) + variants(selector)
+        after += [([a], 1) for a in looser]
     after.append((LAST_RESORT_SELECTORS, 6))
     return rungs, after
 
@@ -96,9 +142,6 @@ def resolve_sub_element(dom, planner: Planner, containers: DataFrame, sub: dict,
     match try the scoped fallback XPaths (E15) in order, keeping a rung only
     when its candidates pass validation (E16).  Returns ``(page_id,
     scope_id, node_id, priority)``."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     from .detect import validate_candidates
 
     scope = containers.select("page_id", F.col("container_id").alias("scope_id"))
@@ -118,7 +161,8 @@ def resolve_sub_element(dom, planner: Planner, containers: DataFrame, sub: dict,
     for i, xp in enumerate(fb):
         try:
             cands = planner.select(xp, scope=todo)
-        except Exception:  # unsupported rule: skipped, as the reference does
+        except SelectorError as exc:
+            log.warning("rule skipped: %s", exc)
             continue
         ok = validate_candidates(dom, cands, lab, et, max_fraction)
         parts.append(ok.select("page_id", "scope_id", "node_id", F.lit(len(head) + i).alias("priority")))

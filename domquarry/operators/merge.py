@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import row_number_within
+
 # Keys that mark a main list / a subpage list.
 MAIN_KEYS = ["name", "Position", "title"]
 SUBPAGE_KEYS = ["education", "credential", "admission", "bar"]
@@ -131,24 +133,45 @@ def unified_profiles(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prof, meta
 
 
-def action_subpage_join(records: DataFrame, actions: DataFrame, max_actions: int = 10_000) -> DataFrame:
+def action_subpage_join(records: DataFrame, actions: DataFrame) -> DataFrame:
     """A record value containing an action's target URL picks that URL.
 
     ``records(page_id, container_id, key, value)``, ``actions(label,
-    target_url)`` -- template configuration, size-checked before the
-    broadcast.  Returns ``(page_id, container_id, subpage_url, action_label)``
-    with the first action (by label) per record."""
-    n = actions.count()
-    if n > max_actions:
-        raise ValueError(f"{n} actions exceed the broadcast bound {max_actions}")
-    hits = records.join(F.broadcast(actions.where(F.col("target_url").isNotNull())),
-                        F.col("value").contains(F.col("target_url")))
+    target_url)``, any number of them.  "Contains" is an equi-join: a value's
+    substrings of the lengths that targets have are joined to the targets, so the
+    work follows the length of the values and never pairs records with actions.
+    Returns ``(page_id, container_id, subpage_url, action_label)`` with the first
+    action (by label) per record."""
+    targets = actions.where("target_url IS NOT NULL AND target_url <> ''").select("label", "target_url")
+    lengths = [r[0] for r in targets.select(F.length("target_url")).distinct().collect()]  # at most the longest URL
+    if not lengths:
+        return records.select("page_id", "container_id", F.lit(None).cast("string").alias("subpage_url"),
+                              F.lit(None).cast("string").alias("action_label")).limit(0)
+
+    def pieces(n):
+        return F.when(F.length("value") >= n, F.transform(
+            F.sequence(F.lit(1), F.length("value") - n + 1), lambda i: F.substring(F.col("value"), i, F.lit(n))))
+
+    parts = F.flatten(F.array_compact(F.array(*[pieces(n) for n in sorted(lengths)])))
+    values = records.select("page_id", "container_id", "value").distinct()
+    hits = values.select("page_id", "container_id", F.explode(F.array_distinct(parts)).alias("target_url")).join(
+        targets, "target_url")
     return (hits.groupBy("page_id", "container_id")
             .agg(F.min_by(F.struct(F.col("target_url").alias("subpage_url"), F.col("label").alias("action_label")),
-                          F.col("label")).alias("a"))
+                          F.struct("label", "target_url")).alias("a"))
             .select("page_id", "container_id", "a.subpage_url", "a.action_label"))
 
 
+def with_action_subpages(records: DataFrame, joined: DataFrame) -> DataFrame:
+    """The long ``records`` and, for those that an action's target picked, a
+    field ``subpage_<label>`` and ``_subpage_url`` with that URL."""
+    picked = joined.where("subpage_url IS NOT NULL")
+    marks = F.array(F.struct(F.concat(F.lit("subpage_"), "action_label").alias("key"), F.col("subpage_url").alias("value")),
+                    F.struct(F.lit("_subpage_url").alias("key"), F.col("subpage_url").alias("value")))
+    new = picked.select("page_id", "container_id", F.inline(marks))
+    return records.select("page_id", "container_id", "key", "value").unionByName(new)
+
+
 def merge_initial_paginated(initial: DataFrame, paginated: DataFrame, distinct: bool = True) -> DataFrame:
     """``(crawl_id, label, is_list, seq, value)`` from the initial page and
     from pagination.  Lists extend (initial first; ``distinct`` keeps the
@@ -156,8 +179,9 @@ def merge_initial_paginated(initial: DataFrame, paginated: DataFrame, distinct:
     src = (initial.withColumn("_src", F.lit(0)).unionByName(paginated.withColumn("_src", F.lit(1))))
     lists = src.where("is_list")
     if distinct:
-        w = Window.partitionBy("crawl_id", "label", "value").orderBy("_src", "seq")
-        lists = lists.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+        # the first occurrence, by an aggregate that is combined before the shuffle
+        lists = (lists.groupBy("crawl_id", "label", "value").agg(F.min(F.struct("_src", "seq")).alias("f"))
+                 .select("crawl_id", "label", F.lit(True).alias("is_list"), "f.seq", "value", "f._src"))
     scal = (src.where(~F.col("is_list")).groupBy("crawl_id", "label")
             .agg(F.max_by(F.struct("seq", "value"), F.struct("_src", "seq")).alias("v"))
             .select("crawl_id", "label", F.lit(False).alias("is_list"), "v.seq", "v.value", F.lit(1).alias("_src")))
@@ -168,22 +192,22 @@ def incremental_delta(existing_counts: DataFrame, current: DataFrame) -> DataFra
     """U4: items beyond the count already held, per (crawl, label); scalars
     only when the label is new.  ``existing_counts(crawl_id, label, n)``;
     ``current(crawl_id, label, is_list, seq, value)``."""
-    w = Window.partitionBy("crawl_id", "label").orderBy("seq")
-    cur = current.withColumn("_pos", F.row_number().over(w))
+    cur = row_number_within(current, ["crawl_id", "label"], "seq", "_pos")
     j = cur.join(existing_counts, ["crawl_id", "label"], "left")
     return (j.where((F.col("is_list") & (F.col("_pos") > F.coalesce("n", F.lit(0))))
                     | (~F.col("is_list") & F.col("n").isNull()))
             .drop("_pos", "n"))
 
 
-def incremental_containers(records: DataFrame, existing_count: int) -> DataFrame:
-    """Only containers with ``container_index >= existing_count``."""
-    return records.where(F.col("container_index") >= existing_count)
+def incremental_containers(records: DataFrame, existing: DataFrame, by: str = "page_id") -> DataFrame:
+    """Only containers with ``container_index`` at or above the count
+    already held, ``existing(by, n)``; all of them where none is held."""
+    held = existing.select(by, F.col("n").alias("_n"))
+    return records.join(held, by, "left").where(F.col("container_index") >= F.coalesce("_n", F.lit(0))).drop("_n")
 
 
 def pages_to_rows(page_values: DataFrame) -> DataFrame:
     """``(crawl_id, page_no, label, is_list, item)`` -> one row per list
-    item with ``_source_page``; scalars inside lists become ``{label: item}``
-    rows (``field = label``)."""
-    return page_values.select("crawl_id", F.col("page_no").alias("_source_page"), F.col("label").alias("field"),
+    item with ``_source_page`` (``field = label``); scalars give no row."""
+    return page_values.where("is_list").select("crawl_id", F.col("page_no").alias("_source_page"), F.col("label").alias("field"),
                               F.col("item").alias("value"))

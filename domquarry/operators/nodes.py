@@ -3,7 +3,8 @@
 ``build_dom(pages)`` returns a ``Dom``:
 
 * ``nodes``  -- one row per element (schema below), document order = node_id;
-* ``docs``   -- one row per page: ``page_id, url, doc_text`` (all text, in order);
+* ``docs``   -- one row per page: ``page_id, url, doc_text`` (all text, in order;
+  null where the page has no html);
 * ``pages``  -- the input (``page_id, url`` and ``html`` for outer-HTML values).
 
 The full text of a node is ``substring(doc_text, text_start + 1, text_end -
@@ -78,9 +79,9 @@ def _tokenise_batches(batches):
         htmls = batch.column("html").to_pylist()
         urls = batch.column("url").to_pylist()
         for pid, html, url in zip(ids, htmls, urls):
-            if html is None:
-                continue
             rec = parse_page(html)
+            if html is None:  # the page keeps its row, without text
+                rec["doc_text"] = [None]
             n = len(rec["node_id"])
             cols["page_id"].extend([pid] * n)
             for name in _FIELDS:
@@ -120,8 +121,9 @@ def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None
     The node table is hash-partitioned by ``page_id`` once.  Every later step
     is per page -- selector joins on ``(page_id, node_id)``, per-page
     aggregates and windows, the page-text join -- so with
-    ``spark.sql.requireAllClusterKeysForCoPartition=false`` they all run on
-    this partitioning without another exchange.  A page is also the unit the
+    ``spark.sql.requireAllClusterKeysForCoPartition=false`` (``session.get_spark``,
+    ``session.engine_defaults``) they all run on this partitioning without
+    another exchange.  A page is also the unit the
     tokeniser handles in one task, so a ``page_id`` partition is bounded by
     the largest page, not by the data size.
 
@@ -130,7 +132,6 @@ def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None
     splits already give the parallelism.
     """
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     src = pages.select("page_id", "html", "url")
     target = min_partitions or spark.sparkContext.defaultParallelism
     splits = src.rdd.getNumPartitions()  # planning only: a bare scan has no exchange to run

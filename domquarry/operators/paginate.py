@@ -18,17 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import set_query_param
+from ..session import materialize
+from ..functions.urls import query_param_number, set_query_param, without_query_param
 
-# Built-in limits of the pagination walks.
-URL_PAGINATION_CAP = 200
+# Streaks that end a walk.  How many pages a walk may take is a
+# parameter of each function (``max_pages``); by default there is no limit.
 URL_EMPTY_STREAK = 3
-STANDARD_PAGE_CAP = 100
-LOAD_MORE_CAP = 200
 LOAD_MORE_FAILURES = 3
-GRID_SCROLL_CAP = 200
 GRID_EMPTY_STREAK = 5
-AUTO_SCROLL_CAP = 20
 AUTO_SCROLL_STABLE = 3
 # URL pagination parameters, tried in this order.
 URL_PATTERNS = [
@@ -62,33 +59,30 @@ def _walk_bounds(pages: DataFrame, crawl: str) -> DataFrame:
     return start.join(gaps, crawl, "left")
 
 
-def _walk(pages: DataFrame, crawl: str, cap: int) -> DataFrame:
+def _walk(pages: DataFrame, crawl: str, max_pages: int | None = None) -> DataFrame:
     """Walked-order pages ``(crawl, page_no, walk_no)``: contiguous from the
-    first page, at most ``cap``."""
+    first page, at most ``max_pages`` if that is given."""
     b = _walk_bounds(pages, crawl)
     p = pages.select(crawl, "page_no").distinct().join(b, crawl)
     p = p.where((F.col("page_no") >= F.col("start")) & (F.col("page_no") < F.col("gap")))
-    p = p.withColumn("walk_no", F.col("page_no") - F.col("start") + 1).where(F.col("walk_no") <= cap)
+    p = p.withColumn("walk_no", F.col("page_no") - F.col("start") + 1)
+    if max_pages is not None:
+        p = p.where(F.col("walk_no") <= max_pages)
     return p.select(crawl, "page_no", "walk_no")
 
 
-def walk_pages(pages: DataFrame, cap: int = URL_PAGINATION_CAP, crawl: str = "crawl_id") -> DataFrame:
+def walk_pages(pages: DataFrame, max_pages: int | None = None, crawl: str = "crawl_id") -> DataFrame:
     """Public form of the walk order: ``(crawl, page_no, walk_no)``; compute
     it once and pass it to ``empty_streak_stop`` / ``walked_pages``."""
-    return _walk(pages, crawl, cap)
-
-
-def _contiguous(pages: DataFrame, crawl: str) -> DataFrame:
-    """Pages up to the first missing page number (a missing page ends the walk)."""
-    return _walk(pages, crawl, 1 << 30).select(crawl, "page_no")
+    return _walk(pages, crawl, max_pages)
 
 
 def empty_streak_stop(items: DataFrame, pages: DataFrame, k: int = URL_EMPTY_STREAK,
-                      cap: int = URL_PAGINATION_CAP, crawl: str = "crawl_id",
+                      max_pages: int | None = None, crawl: str = "crawl_id",
                       walk: DataFrame | None = None) -> DataFrame:
     """Walk pages in order; stop after ``k`` consecutive pages without a
-    new item (that page is still walked); at most ``cap`` pages; a missing
-    page ends the walk.  Returns one row per crawl: ``stop_page`` (page that
+    new item (that page is still walked); at most ``max_pages`` pages if given;
+    a missing page ends the walk.  Returns one row per crawl: ``stop_page`` (page that
     completed the streak, NULL if none), ``pages_walked``, ``last_page``.
 
     Windowless: each empty page ``q`` votes for ``q .. q+k-1``; a page with
@@ -96,7 +90,8 @@ def empty_streak_stop(items: DataFrame, pages: DataFrame, k: int = URL_EMPTY_STR
     and a grouped count, combined map-side."""
     fs = first_seen(items, crawl)
     new_per_page = fs.groupBy(crawl, F.col("first_page").alias("page_no")).agg(F.count(F.lit(1)).alias("n_new"))
-    w = walk.where(F.col("walk_no") <= cap) if walk is not None else _walk(pages, crawl, cap)
+    w = _walk(pages, crawl, max_pages) if walk is None else walk if max_pages is None else walk.where(
+        F.col("walk_no") <= max_pages)
     empty = w.join(new_per_page, [crawl, "page_no"], "left_anti")
     votes = (empty.select(crawl, "walk_no", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
              .select(crawl, (F.col("walk_no") + F.col("j")).alias("walk_no"))
@@ -112,7 +107,7 @@ def empty_streak_stop(items: DataFrame, pages: DataFrame, k: int = URL_EMPTY_STR
 def walked_pages(stops: DataFrame, pages: DataFrame, crawl: str = "crawl_id",
                  walk: DataFrame | None = None) -> DataFrame:
     """Pages inside the walk: ``(crawl, page_no)``."""
-    w = walk if walk is not None else _walk(pages, crawl, 1 << 30)
+    w = walk if walk is not None else _walk(pages, crawl)
     return (w.join(stops.select(crawl, "pages_walked"), crawl)
             .where(F.col("walk_no") <= F.col("pages_walked")).select(crawl, "page_no"))
 
@@ -128,49 +123,128 @@ def append_accumulate(items: DataFrame, walked: DataFrame, crawl: str = "crawl_i
     return items.join(walked, [crawl, "page_no"], "left_semi")
 
 
-def scalar_first(values: DataFrame, crawl: str = "crawl_id") -> DataFrame:
-    """U1 scalars: the first walked page's value per label."""
-    return values.groupBy(crawl, "label").agg(F.min_by("value", "page_no").alias("value"))
-
-
-def count_stability_stop(snapshots: DataFrame, stable: int = AUTO_SCROLL_STABLE, cap: int = AUTO_SCROLL_CAP,
+def count_stability_stop(snapshots: DataFrame, stable: int = AUTO_SCROLL_STABLE, max_snaps: int | None = None,
                          crawl: str = "crawl_id") -> DataFrame:
     """``snapshots(crawl, snap_no, n)``, snap 0 is the initial count.
 
-    Skip the crawl if the initial count is 0; else take snapshots 1..cap and
-    stop once the count has not grown for ``stable`` snapshots in a row.
-    Returns ``(crawl, scrolls, final_count)``.  Snapshots beyond the cap are
-    dropped first, so the per-crawl window holds at most ``cap + 1`` rows."""
-    snapshots = snapshots.where(F.col("snap_no") <= cap)
-    w = Window.partitionBy(crawl).orderBy("snap_no")
-    prev_max = F.max("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    s = snapshots.withColumn("grew", F.col("n") > F.coalesce(prev_max, F.lit(-1)))
-    last_grow = F.max(F.when(F.col("grew"), F.col("snap_no"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    s = s.withColumn("streak", F.col("snap_no") - last_grow)
-    init = s.where(F.col("snap_no") == 0).select(crawl, F.col("n").alias("initial"))
-    s = s.join(init, crawl).where((F.col("initial") > 0) & (F.col("snap_no") <= cap))
-    stop = s.groupBy(crawl).agg(F.min(F.when((F.col("snap_no") > 0) & (F.col("streak") >= stable),
-                                             F.col("snap_no"))).alias("stop_snap"),
-                                F.max("snap_no").alias("last_snap"))
-    s = s.join(stop, crawl).where(F.col("snap_no") <= F.coalesce("stop_snap", "last_snap"))
-    return s.groupBy(crawl).agg(F.max("snap_no").alias("scrolls"), F.max("n").alias("final_count"))
+    Skip the crawl if the initial count is 0; else take snapshots (at most
+    ``max_snaps`` if given) and stop once the count has not grown for
+    ``stable`` snapshots in a row.  Returns ``(crawl, scrolls, final_count)``.
+
+    Windowless: the first snapshot with each count is found by an aggregate on
+    (crawl, n); a snapshot grows if its count is above all earlier ones, which
+    a running maximum over those few distinct counts tells."""
+    if max_snaps is not None:
+        snapshots = snapshots.where(F.col("snap_no") <= max_snaps)
+    # one row per distinct count of a crawl, not per snapshot
+    firsts = snapshots.groupBy(crawl, "n").agg(F.min("snap_no").alias("snap_no"))
+    w = Window.partitionBy(crawl).orderBy("snap_no", "n").rowsBetween(Window.unboundedPreceding, -1)
+    grew = firsts.withColumn("_before", F.max("n").over(w)).where(F.col("n") > F.coalesce("_before", F.lit(-1)))
+    last = snapshots.groupBy(crawl).agg(F.max("snap_no").alias("last_snap"),
+                                        F.max(F.when(F.col("snap_no") == 0, F.col("n"))).alias("initial"))
+    nxt = F.lead("snap_no").over(Window.partitionBy(crawl).orderBy("snap_no"))
+    gaps = grew.withColumn("_next", nxt).where(
+        (F.col("_next").isNull()) | (F.col("_next") - F.col("snap_no") > stable))
+    quiet = gaps.groupBy(crawl).agg(F.min("snap_no").alias("_quiet"))
+    out = last.where(F.col("initial") > 0).join(quiet, crawl).withColumn(
+        "scrolls", F.least(F.col("_quiet") + stable, F.col("last_snap")))
+    upto = grew.join(out.select(crawl, "scrolls"), crawl).where(F.col("snap_no") <= F.col("scrolls"))
+    return upto.groupBy(crawl, "scrolls").agg(F.max("n").alias("final_count"))
 
 
 def next_selector_stop(pages: DataFrame, has_next: DataFrame, max_pages: int | None = None,
                        crawl: str = "crawl_id") -> DataFrame:
-    """W3 + W4: continue while the page has the next control; at most
-    ``min(max_pages, 100)`` pages.  ``has_next(crawl, page_no)`` lists pages
-    with the control.  Returns the walked ``(crawl, page_no)``; the first
-    page without the control is the last one walked (grouped ``min``)."""
-    cap = min(max_pages, STANDARD_PAGE_CAP) if max_pages else STANDARD_PAGE_CAP
-    w = _walk(pages, crawl, cap)
+    """W3 (``button``, ``load_more``) + W4: continue while the page has the
+    control; at most ``max_pages`` pages if given.  ``has_next(crawl, page_no)``
+    lists pages with the control.  Returns the walked ``(crawl, page_no)``; the
+    first page without the control is the last one walked (grouped ``min``)."""
+    w = _walk(pages, crawl, max_pages)
     no_next = w.join(has_next.select(crawl, "page_no").distinct(), [crawl, "page_no"], "left_anti")
-    last = no_next.groupBy(crawl).agg(F.min("walk_no").alias("_last"))
-    return (w.join(last, crawl, "left").where(F.col("walk_no") <= F.coalesce("_last", F.col("walk_no")))
+    return _through_first(w, no_next, crawl)
+
+
+def end_selector_stop(pages: DataFrame, has_end: DataFrame, max_pages: int | None = None,
+                      crawl: str = "crawl_id") -> DataFrame:
+    """W3 (``infinite_scroll``) + W4: continue until a page shows the end
+    condition; that page is the last one walked.  ``has_end(crawl, page_no)``
+    lists the pages that show it."""
+    w = _walk(pages, crawl, max_pages)
+    return _through_first(w, w.join(has_end.select(crawl, "page_no").distinct(), [crawl, "page_no"], "left_semi"), crawl)
+
+
+def _through_first(walk: DataFrame, stops: DataFrame, crawl: str) -> DataFrame:
+    """Pages of ``walk`` up to and with the first of ``stops`` (all of them without one)."""
+    last = stops.groupBy(crawl).agg(F.min("walk_no").alias("_last"))
+    return (walk.join(last, crawl, "left").where(F.col("walk_no") <= F.coalesce("_last", F.col("walk_no")))
             .select(crawl, "page_no"))
 
 
-def page_url_sequence(base: DataFrame, url_col: str = "url", n: int = URL_PAGINATION_CAP) -> DataFrame:
+def crawl_pages(dom, planner, templates: DataFrame, start: DataFrame) -> DataFrame:
+    """Pages that each crawl of ``start(template_id, crawl_id, url, page_id)``
+    walks: ``(template_id, crawl_id, page_id, page_no)``, page 1 is the start.
+
+    A template with ``pagination`` goes on to the stored pages whose URL differs
+    in one page parameter only (the first of ``URL_PATTERNS`` under which page 2
+    exists), in order, without gaps: while the page shows ``next_selector`` or
+    ``load_more_selector``, until it shows ``end_condition_selector``, and at
+    most ``max_pages`` pages -- whichever of these the template sets."""
+    from ..plans.ast import SelectorError
+    from ..plans.compile import check_compiles, parse_selector
+
+    first = start.where("page_id IS NOT NULL").select("template_id", "crawl_id", "page_id", F.lit(1).alias("page_no"))
+    paged = templates.where("pagination IS NOT NULL").select("template_id", "pagination.*")
+    crawls = materialize(start.where("page_id IS NOT NULL").join(paged, "template_id").select(
+        "template_id", "crawl_id", "url", "max_pages", F.col("end_condition_selector").alias("end_selector"),
+        F.when(F.col("pattern_type") == "load_more", F.col("load_more_selector"))
+        .otherwise(F.col("next_selector")).alias("next_selector")))
+    if crawls.isEmpty():
+        return first
+
+    def with_places(df: DataFrame) -> DataFrame:
+        places = F.array(*[F.struct(
+            F.lit(i).alias("pattern_no"), F.lit(p["step"]).alias("step"),
+            without_query_param(F.col("url"), p["param"]).alias("listing"),
+            F.coalesce(query_param_number(F.col("url"), p["param"]), F.lit(p["start"])).alias("at"))
+            for i, p in enumerate(URL_PATTERNS)])
+        return df.select("*", F.explode(places).alias("_p")).select("*", "_p.*").drop("_p")
+
+    docs = with_places(dom.docs.where("doc_text IS NOT NULL").select("page_id", "url")).select(
+        "pattern_no", "listing", F.col("at").alias("to"), "page_id")
+    reached = materialize(with_places(crawls).join(docs, ["pattern_no", "listing"]).where(
+        (F.col("to") >= F.col("at")) & ((F.col("to") - F.col("at")) % F.col("step") == 0)).select(
+        "template_id", "crawl_id", "pattern_no", "page_id", (((F.col("to") - F.col("at")) / F.col("step")) + 1).cast(
+            "int").alias("page_no")))
+    pattern = reached.where("page_no = 2").groupBy("crawl_id").agg(F.min("pattern_no").alias("pattern_no"))
+    # several page rows of one URL: the lowest page_id
+    pages = materialize(reached.join(pattern, ["crawl_id", "pattern_no"]).groupBy(
+        "template_id", "crawl_id", "page_no").agg(F.min("page_id").alias("page_id")))
+    walk = _walk(pages, "crawl_id").join(crawls.drop("url", "template_id"), "crawl_id").where(
+        F.col("max_pages").isNull() | (F.col("walk_no") <= F.col("max_pages"))).join(
+        pages, ["crawl_id", "page_no"])
+    marks = []
+    specs = {r[0] for r in crawls.select(F.explode(F.array("next_selector", "end_selector"))).distinct().collect() if r[0]}
+    for selector in sorted(specs):  # template configuration
+        try:
+            parsed = parse_selector(selector)
+            check_compiles(parsed)
+        except SelectorError:
+            continue
+        marks.append((selector, parsed))
+    stops = walk.where(F.lit(False)).select("crawl_id", "walk_no")
+    if marks:
+        shown = planner.select_many(marks).select("page_id", F.col("key").alias("selector")).distinct()
+        known = F.col("next_selector").isin([m for m, _ in marks])
+        stops = walk.where(known).join(shown.withColumnRenamed("selector", "next_selector"),
+                                       ["page_id", "next_selector"], "left_anti").select("crawl_id", "walk_no")
+        stops = stops.unionByName(walk.join(shown.withColumnRenamed("selector", "end_selector"),
+                                            ["page_id", "end_selector"], "left_semi").select("crawl_id", "walk_no"))
+    last = stops.groupBy("crawl_id").agg(F.min("walk_no").alias("_last"))
+    more = walk.join(last, "crawl_id", "left").where(
+        (F.col("walk_no") <= F.coalesce("_last", F.col("walk_no"))) & (F.col("page_no") > 1))
+    return first.unionByName(more.select("template_id", "crawl_id", "page_id", "page_no"))
+
+
+def page_url_sequence(base: DataFrame, n: int, url_col: str = "url") -> DataFrame:
     """W5 + P15: for each base URL and each URL pattern, the page URLs of the
     first ``n`` pages (``param = start + i * step``)."""
     pats = F.array(*[F.struct(F.lit(p["param"]).alias("param"), F.lit(p["step"]).alias("step"),
@@ -225,6 +299,11 @@ def working_parameter(dom, base: DataFrame, container_counts: DataFrame) -> Data
     cur = container_counts.select("page_id", F.col("container_count").alias("current_count"))
     test_pages = dom.docs.select(F.col("page_id").alias("test_id"), F.col("url").alias("test_url"))
     tc = container_counts.select(F.col("page_id").alias("test_id"), F.col("container_count").alias("test_count"))
-    ok = (tests.join(test_pages, "test_url").join(tc, "test_id").join(cur, "page_id")
-          .where((F.col("test_count") > 0) & (F.col("test_count") != F.col("current_count"))))
+    from .detect import different_content
+
+    found = tests.join(test_pages, "test_url").join(tc, "test_id").withColumn("key", F.struct("page_id", "pattern_no"))
+    base_counts = found.join(cur, "page_id").select("key", F.col("current_count").alias("container_count"))
+    differs = different_content(base_counts, found.select("key", F.col("test_count").alias("container_count"))).where(
+        "different").select("key")
+    ok = found.join(differs, "key", "left_semi")
     return ok.groupBy("page_id").agg(F.min_by("param", "pattern_no").alias("param"))

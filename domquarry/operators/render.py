@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .rank import row_number_within
 
 HOST = "https://dir.example"
-DIRECTORY_PAGE_BASE = 1_000_000_000
-PROFILE_PAGE_BASE = 2_000_000_000
+# 64-bit page ids: nation and page number in 32 bits each; profiles in a range of their own.
+DIRECTORY_PAGE_BASE = 1 << 60
+PROFILE_PAGE_BASE = 1 << 61
 
 
 def esc(c: Column) -> Column:
@@ -103,7 +104,7 @@ def directory_pages(supplier: DataFrame, nation: DataFrame, per_page: int = 4, o
         F.lit(" &middot; page "), F.col("page_no").cast("string"), F.lit("</title></head><body>"),
         F.lit('<div class="directory">'), body, F.lit("</div>"), nxt, F.lit("</body></html>"))
     return pages.select(
-        (F.lit(DIRECTORY_PAGE_BASE) + F.col("s_nationkey").cast("bigint") * 10_000 + F.col("page_no"))
+        (F.lit(DIRECTORY_PAGE_BASE) + F.col("s_nationkey").cast("bigint") * (1 << 32) + F.col("page_no"))
         .alias("page_id"), url.alias("url"), html.alias("html"),
         F.col("s_nationkey").alias("nation_key"), "page_no")
 

@@ -1,16 +1,19 @@
 """The full scrape job over many templates and pages.
 
-``scrape(templates, pages)`` runs every template against the page(s) it
-names (equi-join on URL; a batch of URLs per template is S8) and returns one
-result row per (template, url):
+``scrape(dom, planner, templates)`` runs every template on the page its URL
+names (or on a batch of URLs, S8), walks the listing where the template
+paginates (W1/W3/W4, U1), extracts page-level elements through the fallback
+ladder (E6), builds a record per container (C1, C5, C6, P9, P13), follows the
+records' links and overlays what their pages say (J1, J3, J11), merges related
+lists (J4), and returns one row per (template, url):
 
 ``template_name, url, scraped_at, success, data MAP<STRING, ARRAY<STRING>>,
-records ARRAY<MAP<STRING, ARRAY<STRING>>>, errors ARRAY<STRING>,
-metadata STRUCT<elements_found, actions_executed, page_title, final_url>``
+records ARRAY<STRUCT<container, index, source_page, fields MAP<STRING,
+ARRAY<STRING>>, error>>, errors ARRAY<STRING>, metadata
+STRUCT<elements_found, actions_executed, page_title, final_url>``
 
-The plan is built once for the *distinct* selectors of the whole template
-table (template config is small; only its distinct selector strings reach
-the driver), so thousands of templates share one batched node scan.
+Selectors are collected from the templates only (configuration): thousands of
+templates share one batched plan per distinct selector.
 """
 
 from __future__ import annotations
@@ -18,12 +21,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import strip_fragment
 from ..plans.ast import SelectorError
 from ..plans.compile import Planner, chain_output, check_compiles, parse_selector
+from ..session import materialize
+from .containers import MULTI_VALUE_WORDS, PROFILE_LINK_WORDS
 from .extract import LOCATION_CITIES
-from .values import keyed_values, page_title
+from .fallback import select_with_fallback
+from .merge import merge_related
+from .paginate import crawl_pages
+from .subpages import eligible_links, follow_links, page_lookup, subpage_values
+from .values import keyed_values, node_values, page_title
 
 RESULT_COLUMNS = ["template_name", "url", "scraped_at", "success", "data", "records", "errors", "metadata"]
+RECORD_TYPE = ("array<struct<container:string,index:int,source_page:int,fields:map<string,array<string>>,"
+               "error:string>>")
+_FIELD_SCHEMA = ("crawl_id bigint, list_label string, record_index int, key string, value_ord int, value string")
 
 
 def _is_location(label: F.Column, selector: F.Column) -> F.Column:
@@ -35,181 +48,253 @@ def _is_location(label: F.Column, selector: F.Column) -> F.Column:
     return out
 
 
-def _compile_distinct(planner: Planner, specs: list, relative: bool):
-    named, bad = [], set()
-    for sel, st in specs:
-        try:
-            s = parse_selector(sel, st or "css", relative=relative)
-            check_compiles(s)
-            named.append((sel, st, s))
-        except SelectorError:
-            bad.add((sel, st))
-    return named, bad
+def _has_word(column: F.Column, words: list[str]) -> F.Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.lower(column).contains(w)
+    return out
+
+
+def _parsed(selector: str | None, selector_type: str | None, relative: bool):
+    """The compiled selector, or None where the grammar does not hold it."""
+    try:
+        sel = parse_selector(selector or "", selector_type or "css", relative=relative)
+        check_compiles(sel)
+        return sel
+    except SelectorError:
+        return None
 
 
-def scrape(dom, planner: Planner, templates: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+def template_keys(templates: DataFrame) -> DataFrame:
+    """``templates`` with template_id (equal templates share one, equal names do not)."""
+    content = F.to_json(F.struct("elements", "actions", "pagination", "subpage_url_pattern", "max_subpages"))
+    return templates.withColumn("template_id", F.xxhash64("name", "url", content)).dropDuplicates(["template_id"])
+
+
+def scrape(dom, planner: Planner, templates: DataFrame, urls: DataFrame | None = None,
+           smart: bool = True) -> DataFrame:
     """Run templates (``TEMPLATE_SCHEMA`` rows, defaults filled) on ``dom``.
 
     ``urls(template_name, url)`` overrides the template URL (S8 batch: one
-    result per URL, in any number); by default each template runs on its own
-    ``url``.  A URL without a page gives ``success = false`` and the error
-    ``Failed to fetch page``."""
-    tmpl = templates.select(F.col("name").alias("template_name"), "url", "elements", "actions")
-    runs = urls.select("template_name", "url") if urls is not None else tmpl.select("template_name", "url")
-    assign = runs.join(dom.docs.select("page_id", "url"), "url", "left")
-    found = assign.where(F.col("page_id").isNotNull())
-
-    els = (tmpl.select("template_name", F.posexplode("elements").alias("el_pos", "e"))
-           .select("template_name", "el_pos", F.col("e.label").alias("label"), F.col("e.selector").alias("selector"),
-                   F.col("e.selector_type").alias("selector_type"), F.col("e.element_type").alias("element_type"),
-                   F.col("e.attribute_name").alias("attribute_name"), F.col("e.is_multiple").alias("is_multiple"),
-                   F.col("e.is_required").alias("is_required"), F.col("e.is_container").alias("is_container"),
-                   F.col("e.sub_elements").alias("sub_elements")))
-    simple = els.where(~F.col("is_container"))
-    conts = els.where(F.col("is_container"))
-
-    # -- page-level elements: one batched plan over the distinct selectors --
-    distinct_specs = [(r[0], r[1]) for r in simple.select("selector", "selector_type").distinct().collect()]
-    named, _ = _compile_distinct(planner, distinct_specs, relative=False)
-    spark = dom.nodes.sparkSession
-    key_of = {(sel, st): f"s{i}" for i, (sel, st, _) in enumerate(named)}
-    if named:
-        matched = planner.select_many([(key_of[(sel, st)], s) for sel, st, s in named])
-        keys = spark.createDataFrame([(k, sel, st) for (sel, st), k in key_of.items()],
-                                     "key string, selector string, selector_type string")
-        # value specs per (selector, element type, attribute): distinct, small
-        vspecs = {}
-        vrows = simple.select("selector", "selector_type", "element_type", "attribute_name").distinct().collect()
-        for sel, st, et, an in vrows:
-            if (sel, st) not in key_of:
-                continue
-            out, attr = chain_output(next(s for a, b, s in named if a == sel and b == st))
-            vkey = f"{key_of[(sel, st)]}|{et}|{an or ''}"
-            vspecs[vkey] = {"element_type": et, "attribute_name": an, "output": out, "attr_name": attr}
-        m = matched.join(keys, "key").join(found.select("template_name", "page_id"), "page_id")
-        m = m.join(simple.select("template_name", "label", "selector", "selector_type", "element_type",
-                                 "attribute_name", "is_multiple", "el_pos"),
-                   ["template_name", "selector", "selector_type"])
-        m = m.withColumn("key", F.concat_ws("|", F.col("key"), F.col("element_type"),
-                                            F.coalesce(F.col("attribute_name"), F.lit(""))))
-        v = keyed_values(dom, m, vspecs).where(F.col("value").isNotNull())
-        w = Window.partitionBy("template_name", "page_id", "label").orderBy("node_id")
-        v = v.withColumn("value_ord", F.row_number().over(w)).where(F.col("is_multiple") | (F.col("value_ord") == 1))
-        values = v.select("template_name", "page_id", "label", "el_pos", "value_ord", "value")
-    else:
-        values = spark.createDataFrame([], "template_name string, page_id bigint, label string, el_pos int, "
-                                           "value_ord int, value string")
-
-    data = (values.groupBy("template_name", "page_id", "label", "el_pos")
-            .agg(F.array_sort(F.collect_list(F.struct("value_ord", "value"))).alias("vs"))
-            .groupBy("template_name", "page_id")
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-                "label", F.transform("vs", lambda s: s["value"]).alias("v"))))).alias("data"),
-                 F.count(F.lit(1)).alias("n_found")))
-
-    # -- required elements without a value (P8) -----------------------------
-    req = simple.where(F.col("is_required") & ~_is_location(F.col("label"), F.col("selector")))
-    missing = (found.join(req, "template_name")
-               .join(values.select("template_name", "page_id", "label").distinct(),
-                     ["template_name", "page_id", "label"], "left_anti")
-               .select("template_name", "page_id", F.concat(F.lit("Failed to extract "), F.col("label"),
-                                                            F.lit(": Required element not found: "),
-                                                            F.col("selector")).alias("error"), "el_pos"))
-
-    # -- containers: one record per matched card --------------------------------
-    records = _scrape_containers(dom, planner, conts, found)
-
-    errors = (missing.groupBy("template_name", "page_id")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("el_pos", "error"))),
-                               lambda s: s["error"]).alias("errors")))
-    titles = page_title(dom, planner)
-    n_actions = templates.select(F.col("name").alias("template_name"), F.size("actions").alias("actions_executed"))
-    out = (assign.join(data, ["template_name", "page_id"], "left")
-           .join(records, ["template_name", "page_id"], "left")
-           .join(errors, ["template_name", "page_id"], "left")
-           .join(titles, "page_id", "left").join(n_actions, "template_name"))
+    result per distinct URL).  URLs are compared without their fragment; of
+    several page rows of one URL the lowest page_id counts.  A URL without a
+    page, or whose page has no html, gives ``success = false`` and the error
+    ``Failed to fetch page``.  ``smart`` turns the fallback ladder on."""
+    tmpl = materialize(template_keys(templates))
+    named = tmpl.select("template_id", F.col("name").alias("template_name"), "url")
+    if urls is not None:
+        named = named.drop("url").join(urls.select("template_name", "url"), "template_name")
+    crawls = named.distinct().withColumn("crawl_id", F.xxhash64("template_id", "url"))
+    start = materialize(crawls.withColumn("_link", strip_fragment(F.col("url"))).join(
+        page_lookup(dom), "_link", "left").drop("_link"))
+    walked = materialize(crawl_pages(dom, planner, tmpl, start))
+
+    els = tmpl.select("template_id", F.posexplode("elements").alias("el_pos", "e")).select(
+        "template_id", "el_pos", "e.*")
+    data, missing = _page_elements(dom, planner, els.where(~F.col("is_container")), walked, smart)
+    records = _records(dom, planner, tmpl, els.where("is_container"), walked)
+
+    errors = missing.groupBy("crawl_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("el_pos", "error"))), lambda s: s["error"]).alias("errors"))
+    n_actions = tmpl.select("template_id", F.size("actions").alias("actions_executed"))
+    out = (start.join(data, "crawl_id", "left").join(records, "crawl_id", "left").join(errors, "crawl_id", "left")
+           .join(page_title(dom, planner), "page_id", "left").join(n_actions, "template_id"))
     fetch_err = F.when(F.col("page_id").isNull(), F.array(F.concat(F.lit("Failed to fetch page: "), F.col("url"))))
     errs = F.coalesce(fetch_err, F.col("errors"), F.array().cast("array<string>"))
-    empty_map = F.create_map().cast("map<string,array<string>>")
     n_found = F.coalesce(F.col("n_found"), F.lit(0)) + F.coalesce(F.col("n_containers"), F.lit(0))
     return out.select(
         "template_name", "url", F.current_timestamp().alias("scraped_at"), (F.size(errs) == 0).alias("success"),
-        F.coalesce(F.col("data"), empty_map).alias("data"),
-        F.coalesce(F.col("records"), F.array().cast("array<map<string,array<string>>>")).alias("records"),
-        errs.alias("errors"),
+        F.coalesce(F.col("data"), F.create_map().cast("map<string,array<string>>")).alias("data"),
+        F.coalesce(F.col("records"), F.array().cast(RECORD_TYPE)).alias("records"), errs.alias("errors"),
         F.struct(n_found.cast("int").alias("elements_found"), F.col("actions_executed"),
                  F.col("page_title"), F.col("url").alias("final_url")).alias("metadata"))
 
 
-def _scrape_containers(dom, planner: Planner, conts: DataFrame, found: DataFrame) -> DataFrame:
-    """Containers of all templates: distinct container selectors and
-    distinct sub-element selectors are each planned once."""
+def _page_elements(dom, planner: Planner, simple: DataFrame, walked: DataFrame,
+                   smart: bool) -> tuple[DataFrame, DataFrame]:
+    """(crawl_id, data, n_found) and the required elements without a value
+    (crawl_id, el_pos, error).  Of two elements of one label the later one counts."""
     spark = dom.nodes.sparkSession
-    empty = spark.createDataFrame([], "template_name string, page_id bigint, records "
-                                      "array<map<string,array<string>>>, n_containers int")
-    cspecs = [(r[0], r[1]) for r in conts.select("selector", "selector_type").distinct().collect()]
-    cnamed, _ = _compile_distinct(planner, cspecs, relative=False)
-    if not cnamed:
-        return empty
-    ckey = {(sel, st): f"c{i}" for i, (sel, st, _) in enumerate(cnamed)}
-    cm = planner.select_many([(ckey[(sel, st)], s) for sel, st, s in cnamed])
-    ckeys = spark.createDataFrame([(k, sel, st) for (sel, st), k in ckey.items()],
-                                  "ckey string, selector string, selector_type string")
-    cm = cm.withColumnRenamed("key", "ckey").join(ckeys, "ckey")
-    cm = (cm.join(found.select("template_name", "page_id"), "page_id")
-          .join(conts.select("template_name", "label", "selector", "selector_type", "sub_elements", "el_pos"),
-                ["template_name", "selector", "selector_type"]))
-    w = Window.partitionBy("template_name", "page_id", "label").orderBy("node_id")
-    cm = cm.withColumn("container_index", F.row_number().over(w) - 1)
-    subs = (cm.select("template_name", "page_id", F.col("node_id").alias("container_id"), "container_index",
-                      F.col("label").alias("container_label"), F.posexplode("sub_elements").alias("sub_pos", "s"))
-            .select("*", F.col("s.label").alias("sub_label"), F.col("s.selector").alias("sub_selector"),
-                    F.col("s.element_type").alias("sub_type"), F.col("s.attribute_name").alias("sub_attr")))
-    sspecs = [(r[0], "css") for r in subs.select("sub_selector").distinct().collect() if (r[0] or "").strip()]
-    snamed, _ = _compile_distinct(planner, sspecs, relative=True)
-    if not snamed:
+    fields = ["label", "selector", "selector_type", "element_type", "attribute_name"]
+    rows = simple.select(*fields).distinct().collect()  # template configuration
+    specs, readers = [], {}
+    for i, r in enumerate(rows):
+        sel = _parsed(r["selector"], r["selector_type"], False)
+        specs.append((f"s{i}", r.asDict(), sel))
+        output, attr = chain_output(sel) if sel else ("node", None)
+        readers[f"s{i}"] = {"element_type": r["element_type"], "attribute_name": r["attribute_name"],
+                            "output": output, "attr_name": attr}
+    empty_map = "crawl_id bigint, data map<string,array<string>>, n_found int"
+    if not specs:
+        return spark.createDataFrame([], empty_map), spark.createDataFrame([], "crawl_id bigint, el_pos int, error string")
+    keys = spark.createDataFrame([(k, *[e[f] for f in fields]) for k, e, _ in specs],
+                                 "key string, " + ", ".join(f"{f} string" for f in fields))
+    on = [F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) for f in fields]
+    asked = simple.alias("a").join(keys.alias("b"), on).select(
+        "a.template_id", "a.el_pos", "a.label", "a.selector", "a.is_multiple", "a.is_required", "b.key")
+    runs = walked.join(asked, "template_id")
+    matched = select_with_fallback(dom, planner, specs, runs.select("page_id", "key").distinct(), smart)
+    v = keyed_values(dom, matched, readers).where(F.col("value").isNotNull())
+    w = Window.partitionBy("page_id", "key").orderBy("node_id")
+    v = v.withColumn("value_ord", F.row_number().over(w)).select("page_id", "key", "value_ord", "value")
+    v = materialize(runs.join(v, ["page_id", "key"]).where(F.col("is_multiple") | (F.col("value_ord") == 1)))
+
+    last = asked.groupBy("template_id", "label").agg(F.max("el_pos").alias("el_pos"))
+    own = v.join(last, ["template_id", "label", "el_pos"], "left_semi")
+    # Lists of later pages are appended, a scalar is the first page's
+    first = F.min(F.struct("page_no", "value_ord")).over(Window.partitionBy("crawl_id", "label"))
+    own = own.withColumn("_first", first).where(F.col("is_multiple") | (
+        F.struct("page_no", "value_ord") == F.col("_first")))
+    per_label = own.groupBy("crawl_id", "label").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("page_no", "value_ord", "value"))), lambda s: s["value"]).alias("v"))
+    data = per_label.groupBy("crawl_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "v")))).alias("data"),
+        F.count(F.lit(1)).cast("int").alias("n_found"))
+
+    need = asked.where(F.col("is_required") & ~_is_location(F.col("label"), F.col("selector")))
+    missing = (walked.where("page_no = 1").join(need, "template_id")
+               .join(v.select("crawl_id", "page_no", "el_pos"), ["crawl_id", "page_no", "el_pos"], "left_anti")
+               .select("crawl_id", "el_pos", F.concat(
+                   F.lit("Failed to extract "), "label", F.lit(": Required element not found: "),
+                   F.coalesce("selector", F.lit(""))).alias("error")))
+    return data, missing
+
+
+def _records(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, walked: DataFrame) -> DataFrame:
+    """crawl_id, records, n_containers: every matched container is a record,
+    also one without a field (it gets its text, C5) or with a sub-element that
+    cannot be matched (its ``error`` says so, C6)."""
+    spark = dom.nodes.sparkSession
+    empty = spark.createDataFrame([], f"crawl_id bigint, records {RECORD_TYPE}, n_containers int")
+    specs = [(r[0], r[1], _parsed(r[0], r[1], False))
+             for r in conts.select("selector", "selector_type").distinct().collect()]
+    usable = [(f"c{i}", sel, st, parsed) for i, (sel, st, parsed) in enumerate(specs) if parsed]
+    if not usable:
         return empty
-    skey = {sel: f"u{i}" for i, (sel, st, _) in enumerate(snamed)}
-    scope = cm.select("page_id", F.col("node_id").alias("scope_id")).distinct()
-    sm = planner.select_many([(skey[sel], s) for sel, st, s in snamed], scope=scope)
-    skeys = spark.createDataFrame([(k, sel) for sel, k in skey.items()], "skey string, sub_selector string")
-    sm = (sm.withColumnRenamed("key", "skey").join(skeys, "skey")
-          .withColumnRenamed("scope_id", "container_id"))
-    j = subs.join(sm, ["page_id", "container_id", "sub_selector"])
-    vspecs = {}
-    for sel, et, an in subs.select("sub_selector", "sub_type", "sub_attr").distinct().collect():
-        if sel not in skey:
+    keys = spark.createDataFrame([(k, s, t) for k, s, t, _ in usable], "key string, selector string, selector_type string")
+    owners = conts.join(keys, (conts["selector"] == keys["selector"]) & conts["selector_type"].eqNullSafe(
+        keys["selector_type"])).select("template_id", "el_pos", "label", "sub_elements", "subpage_elements",
+                                       "follow_links", "key")
+    cm = planner.select_many([(k, s) for k, _, _, s in usable]).select("page_id", "node_id", "key").distinct()
+    cm = cm.join(walked.select("template_id", "crawl_id", "page_id", "page_no").join(owners, "template_id"),
+                 ["page_id", "key"])
+    # records of a list are numbered over all walked pages, in page order
+    w = Window.partitionBy("crawl_id", "el_pos").orderBy("page_no", "node_id")
+    cards = materialize(cm.withColumn("record_index", F.row_number().over(w) - 1).select(
+        "template_id", "crawl_id", "page_id", "page_no", F.col("node_id").alias("container_id"), "el_pos",
+        F.col("label").alias("list_label"), "record_index", "sub_elements"))
+    fields, failed = _container_fields(dom, planner, cards)
+    fields = materialize(fields)
+    fields = materialize(_with_subpages(dom, planner, tmpl, conts, cards, fields))
+
+    # No field at all -> the container's text
+    bare = cards.join(fields.select("crawl_id", "list_label", "record_index").distinct(),
+                      ["crawl_id", "list_label", "record_index"], "left_anti")
+    text = node_values(dom, bare.select("page_id", F.col("container_id").alias("node_id"), "crawl_id", "list_label",
+                                        "record_index"), "text")
+    fields = fields.unionByName(text.select("crawl_id", "list_label", "record_index", F.lit("text").alias("key"),
+                                            F.lit(1).alias("value_ord"), "value"))
+    lists = materialize(_merged_lists(cards, materialize(fields)))
+    per_key = lists.groupBy("crawl_id", "list_label", "list_order", "record_index", "key").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("value_ord", "value"))), lambda s: s["value"]).alias("v"))
+    maps = per_key.groupBy("crawl_id", "list_label", "list_order", "record_index").agg(F.map_from_entries(
+        F.array_sort(F.collect_list(F.struct("key", "v")))).alias("fields"))
+    pages = cards.select("crawl_id", "list_label", "record_index", F.col("page_no").alias("source_page"), "container_id")
+    rows = maps.join(pages, ["crawl_id", "list_label", "record_index"]).join(
+        failed, ["crawl_id", "list_label", "record_index"], "left")
+    record = F.struct(F.col("list_label").alias("container"), F.col("record_index").alias("index"),
+                      F.col("source_page").cast("int").alias("source_page"), "fields", "error")
+    ordered = F.array_sort(F.collect_list(F.struct("list_order", "record_index", F.to_json(record).alias("r"))))
+    folded = rows.groupBy("crawl_id").agg(
+        F.transform(ordered, lambda s: F.from_json(s["r"], RECORD_TYPE[6:-1])).alias("records"),
+        F.countDistinct("list_label").cast("int").alias("n_containers"))
+    return folded
+
+
+def _container_fields(dom, planner: Planner, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Field values per record, and the records with sub-elements that cannot be matched (error)."""
+    spark = dom.nodes.sparkSession
+    subs = cards.select("crawl_id", "page_id", "container_id", "list_label", "record_index",
+                        F.posexplode("sub_elements").alias("sub_pos", "s")).select(
+        "*", F.col("s.label").alias("sub_label"), F.trim(F.coalesce("s.selector", F.lit(""))).alias("sub_selector"),
+        F.col("s.element_type").alias("sub_type"), F.col("s.attribute_name").alias("sub_attr")).drop("s")
+    subs = materialize(subs)
+    # distinct sub selectors come from the template rows that own a matched container
+    rows = subs.select("sub_selector", "sub_type", "sub_attr").distinct().collect()
+    parsed = {sel: _parsed(sel, "css", True) for sel in {r[0] for r in rows} if sel}
+    key_of = {sel: f"u{i}" for i, sel in enumerate(sorted(s for s, p in parsed.items() if p))}
+    bad = sorted(s for s, p in parsed.items() if not p)
+    scope = cards.select("page_id", F.col("container_id").alias("scope_id")).distinct()
+    # An empty selector is the container itself
+    own = scope.select("page_id", "scope_id", F.col("scope_id").alias("node_id"), F.lit("").alias("sub_selector"))
+    if key_of:
+        keys = spark.createDataFrame([(k, s) for s, k in key_of.items()], "key string, sub_selector string")
+        found = planner.select_many([(k, parsed[s]) for s, k in key_of.items()], scope=scope).join(keys, "key")
+        own = own.unionByName(found.select("page_id", "scope_id", "node_id", "sub_selector"))
+    j = subs.join(own.withColumnRenamed("scope_id", "container_id"), ["page_id", "container_id", "sub_selector"])
+    readers = {}
+    for sel, kind, attr in rows:
+        if sel in bad:
             continue
-        out, attr = chain_output(next(s for a, b, s in snamed if a == sel))
-        vspecs[f"{skey[sel]}|{et}|{an or ''}"] = {"element_type": et, "attribute_name": an, "output": out,
-                                                   "attr_name": attr, "resolve_links": True}
-    j = j.withColumn("key", F.concat_ws("|", F.col("skey"), F.col("sub_type"), F.coalesce(F.col("sub_attr"),
-                                                                                        F.lit(""))))
-    v = keyed_values(dom, j, vspecs).where(F.col("value").isNotNull())
-    ws = Window.partitionBy("template_name", "page_id", "container_id", "sub_label").orderBy("node_id")
-    multi = F.lit(False)
-    for w_ in ("sector", "practice", "area", "expertise"):
-        multi = multi | F.lower(F.col("sub_label")).contains(w_)
-    v = v.where(~(multi & (F.col("value") == ""))).withColumn("value_ord", F.row_number().over(ws))
-    v = v.where(multi | (F.col("value_ord") == 1))
-    rec = (v.groupBy("template_name", "page_id", "container_label", "container_id", "container_index", "sub_label",
-                     "sub_pos")
-           .agg(F.array_sort(F.collect_list(F.struct("value_ord", "value"))).alias("vs"))
-           .groupBy("template_name", "page_id", "container_label", "container_id", "container_index")
-           .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-               F.col("sub_label").alias("label"), F.transform("vs", lambda s: s["value"]).alias("v"))))).alias("rec")))
-    rec = rec.withColumn("rec", F.map_concat("rec", F.create_map(
-        F.lit("_container_index"), F.array(F.col("container_index").cast("string")))))
-    return (rec.groupBy("template_name", "page_id")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("container_label", "container_index", "rec")),
-                                          _by_label_index), lambda s: s["rec"]).alias("records"),
-                 F.countDistinct("container_label").cast("int").alias("n_containers")))
-
-
-def _by_label_index(a, b):
-    la, lb = a["container_label"], b["container_label"]
-    ia, ib = a["container_index"], b["container_index"]
-    return (F.when(la < lb, -1).when(la > lb, 1).when(ia < ib, -1).when(ia > ib, 1).otherwise(0))
+        output, name = chain_output(parsed[sel]) if sel else ("node", None)
+        readers[f"{key_of.get(sel, '')}|{kind}|{attr or ''}"] = {
+            "element_type": kind, "attribute_name": attr, "output": output, "attr_name": name, "resolve_links": True}
+    names = spark.createDataFrame([(s, k) for s, k in [("", ""), *key_of.items()]], "sub_selector string, _k string")
+    j = j.join(names, "sub_selector").withColumn("key", F.concat_ws(
+        "|", "_k", "sub_type", F.coalesce("sub_attr", F.lit(""))))
+    v = keyed_values(dom, j, readers).where(F.col("value").isNotNull()) if readers else j.withColumn(
+        "value", F.lit(None).cast("string")).limit(0)
+    multi = _has_word(F.col("sub_label"), MULTI_VALUE_WORDS)
+    w = Window.partitionBy("crawl_id", "list_label", "record_index", "sub_label").orderBy("sub_pos", "node_id")
+    v = v.where(~(multi & (F.col("value") == ""))).withColumn("value_ord", F.row_number().over(w))
+    fields = v.where(multi | (F.col("value_ord") == 1)).select(
+        "crawl_id", "list_label", "record_index", F.col("sub_label").alias("key"), "value_ord", "value")
+    failed = subs.where(F.col("sub_selector").isin(bad)) if bad else subs.limit(0)
+    failed = failed.groupBy("crawl_id", "list_label", "record_index").agg(F.concat(
+        F.lit("Unsupported selector: "), F.array_join(F.array_sort(F.collect_set("sub_selector")), ", ")).alias("error"))
+    return fields, failed
+
+
+def _with_subpages(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, cards: DataFrame,
+                   fields: DataFrame) -> DataFrame:
+    """The pages that records link to, their elements over the records' fields."""
+    wanted = tmpl.where("enable_subpage_scraping").select("template_id", "subpage_url_pattern", "max_subpages")
+    subs = conts.join(wanted.select("template_id"), "template_id", "left_semi").select(
+        "template_id", "label", F.explode("subpage_elements").alias("s")).select(
+        "template_id", F.col("label").alias("list_label"), "s.label", "s.selector")
+    rows = subs.select("label", "selector").distinct().collect()  # template configuration
+    if not rows:
+        return fields
+    links = fields.where(_has_word(F.col("key"), PROFILE_LINK_WORDS) & F.col("value").startswith("http"))
+    links = links.groupBy("crawl_id", "list_label", "record_index").agg(F.min("value").alias("url"))
+    queue = cards.join(wanted, "template_id").join(links, ["crawl_id", "list_label", "record_index"]).select(
+        "template_id", "crawl_id", "list_label", "record_index", "url", "subpage_url_pattern", "max_subpages")
+    linked = materialize(follow_links(eligible_links(queue, order=("record_index", "url")), dom.docs, "url").where(
+        "subpage_id IS NOT NULL"))
+    elements = [{"label": f"{i}", "selector": r["selector"]} for i, r in enumerate(rows)]
+    names = dom.nodes.sparkSession.createDataFrame(
+        [(str(i), r["label"], r["selector"]) for i, r in enumerate(rows)], "_e string, label string, selector string")
+    values = subpage_values(dom, planner, linked, elements, map_selectors=False).withColumnRenamed("label", "_e")
+    own = linked.select("template_id", "crawl_id", "list_label", "record_index", "subpage_id").join(
+        subs, ["template_id", "list_label"])
+    new = own.join(names, (own["label"] == names["label"]) & own["selector"].eqNullSafe(names["selector"])).select(
+        own["crawl_id"], own["list_label"], own["record_index"], own["subpage_id"], own["label"].alias("key"), "_e")
+    drop = new.select("crawl_id", "list_label", "record_index", "key").distinct()
+    kept = fields.join(drop, ["crawl_id", "list_label", "record_index", "key"], "left_anti")
+    return kept.unionByName(new.join(values, ["subpage_id", "_e"]).select(
+        "crawl_id", "list_label", "record_index", "key", "value_ord", "value"))
+
+
+def _merged_lists(cards: DataFrame, fields: DataFrame) -> DataFrame:
+    """Lists of one crawl merged where one is a main list and one a subpage list."""
+    order = cards.groupBy("crawl_id", "list_label").agg(F.min("el_pos").alias("list_order"))
+    link = fields.where(_has_word(F.col("key"), PROFILE_LINK_WORDS) & F.col("value").startswith("http")).groupBy(
+        "crawl_id", "list_label", "record_index").agg(F.min("value").alias("profile_link"))
+    lists = fields.join(order, ["crawl_id", "list_label"]).join(
+        link, ["crawl_id", "list_label", "record_index"], "left").withColumn(
+        "profile_link", F.coalesce("profile_link", F.lit(""))).withColumnRenamed("crawl_id", "page_id")
+    # read from many branches below
+    return merge_related(materialize(lists)).withColumnRenamed("page_id", "crawl_id")
 
 
 def item_totals(results: DataFrame) -> DataFrame:
@@ -218,17 +303,28 @@ def item_totals(results: DataFrame) -> DataFrame:
         F.map_values("data"), F.lit(0), lambda acc, v: acc + F.size(v)) + F.size("records")).alias("items"))
 
 
+def _numbered(prefix: F.Column, values: F.Column) -> F.Column:
+    """Columns of a list: one value is ``prefix``, several are ``prefix_1 .. prefix_n``, none is ``prefix = ''``."""
+    many = F.transform(values, lambda v, i: F.struct(
+        F.concat(prefix, F.lit("_"), (i + 1).cast("string")).alias("column"), v.alias("value")))
+    one = F.array(F.struct(prefix.alias("column"), F.coalesce(F.get(values, 0), F.lit("")).alias("value")))
+    return F.when(F.size(values) > 1, many).otherwise(one)
+
+
 def flatten(results: DataFrame) -> DataFrame:
     """P14 per result, long form: ``(template_name, url, column, value)``.
 
     A list of one value gives ``label``; a list of n gives ``label_1 ..
     label_n``; an empty list gives ``label = ''``; container records give
-    ``<container>_<i>_<field>``; ``actions_executed`` is dropped."""
-    d = results.select("template_name", "url", F.explode("data").alias("label", "vs"))
-    d = d.where(F.col("label") != "actions_executed")
-    one = d.where(F.size("vs") <= 1).select("template_name", "url", F.col("label").alias("column"),
-                                             F.coalesce(F.get("vs", 0), F.lit("")).alias("value"))
-    many = (d.where(F.size("vs") > 1).select("template_name", "url", "label", F.posexplode("vs").alias("i", "value"))
-            .select("template_name", "url", F.concat("label", F.lit("_"), (F.col("i") + 1).cast("string"))
-                    .alias("column"), "value"))
-    return one.unionByName(many)
+    ``<container>_<i>_<field>`` (i from 1, several values of a field numbered
+    the same way) and ``<container>_<i>_error``; ``actions_executed`` is dropped."""
+    d = results.select("template_name", "url", F.explode("data").alias("label", "vs")).where(
+        F.col("label") != "actions_executed")
+    pairs = d.select("template_name", "url", F.inline(_numbered(F.col("label"), F.col("vs"))))
+    r = results.select("template_name", "url", F.explode("records").alias("r"))
+    stem = F.concat(F.col("r.container"), F.lit("_"), (F.col("r.index") + 1).cast("string"), F.lit("_"))
+    f = r.select("template_name", "url", stem.alias("stem"), F.explode("r.fields").alias("field", "vs"))
+    fields = f.select("template_name", "url", F.inline(_numbered(F.concat("stem", "field"), F.col("vs"))))
+    failed = r.where("r.error IS NOT NULL").select(
+        "template_name", "url", F.concat(stem, F.lit("error")).alias("column"), F.col("r.error").alias("value"))
+    return pairs.unionByName(fields).unionByName(failed)

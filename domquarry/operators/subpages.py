@@ -10,6 +10,7 @@ as any page and joined back by ``subpage_id``.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +24,18 @@ from ..plans.css import split_top_level
 from ..session import materialize
 from .values import node_values
 
+log = logging.getLogger(__name__)
+
 SUB_FIELDS_SCHEMA = "subpage_id BIGINT, label STRING, value_ord INT, value STRING, n_matches BIGINT"
 
 
+def page_lookup(dom) -> DataFrame:
+    """``(_link, page_id)``: one page per URL, without its fragment: of several
+    page rows with html the lowest page_id."""
+    docs = dom.docs.where("doc_text IS NOT NULL").select("page_id", strip_fragment(F.col("url")).alias("_link"))
+    return docs.groupBy("_link").agg(F.min("page_id").alias("page_id"))
+
+
 def follow_links(records: DataFrame, pages: DataFrame, link_col: str = "profile_link",
                  normalise: bool = True) -> DataFrame:
     """Left join records to pages by URL; adds ``subpage_id`` (NULL when
@@ -69,7 +79,8 @@ def subpage_values(dom, planner: Planner, subpage_ids: DataFrame, elements: list
         alts = [a.strip() for a in split_top_level(selector) if a.strip()]
         try:  # E7: alternatives in order, the first one with a match wins
             m = planner.select_first(alts or [selector]).drop("priority")
-        except SelectorError:
+        except SelectorError as exc:
+            log.warning("subpage element %s skipped: %s", label, exc)
             continue
         if cap:
             w = Window.partitionBy("page_id").orderBy("node_id")
@@ -102,46 +113,121 @@ def overlay(record_fields: DataFrame, linked: DataFrame, sub_fields: DataFrame,
     return kept.select(*key, "label", "value_ord", "value").unionByName(new)
 
 
-def link_queue(records: DataFrame, link_col: str = "profile_link") -> DataFrame:
-    """Distinct links, first container index kept, status ``pending``
-    (grouped aggregate: map-side combined, no window over a hot link)."""
+def link_queue(records: DataFrame, link_col: str = "profile_link", by: str | None = None) -> DataFrame:
+    """Distinct links (of each template, if ``by`` names that column), first
+    container index kept, status ``pending`` (grouped aggregate: map-side
+    combined, no window over a hot link)."""
+    keys = [by] if by else []
     return (records.where(F.col(link_col).isNotNull() & (F.col(link_col) != ""))
-            .groupBy(F.col(link_col).alias("url"))
+            .groupBy(*keys, F.col(link_col).alias("url"))
             .agg(F.min("container_index").alias("container_index"))
             .withColumn("status", F.lit("pending")))
 
 
-def process_queue(queue: DataFrame, pages: DataFrame, sub_fields_for: callable) -> DataFrame:
-    """Each queued link -> completed / failed (``No data extracted``)."""
-    linked = follow_links(queue, pages, "url")
-    fields = sub_fields_for(linked)
+def process_queue(queue: DataFrame, pages: DataFrame, sub_fields_for: callable) -> tuple[DataFrame, DataFrame]:
+    """The queue with its outcome, and the extracted rows.
+
+    Each link is ``completed`` or ``failed`` (``No data extracted``, also where no
+    stored page has that URL); ``error`` with the message where the extraction
+    itself cannot be planned.  The rows carry ``profile_link`` and
+    ``container_index`` of their link."""
+    linked = materialize(follow_links(queue, pages, "url"))
+    links = linked.select("url", "container_index", "subpage_id")
+    try:
+        fields = materialize(sub_fields_for(linked))
+    except SelectorError as exc:
+        none = linked.sparkSession.createDataFrame([], SUB_FIELDS_SCHEMA)
+        rows = linked.select("subpage_id", F.col("url").alias("profile_link"), "container_index").join(none, "subpage_id")
+        return links.withColumns({"status": F.lit("error"), "error": F.lit(str(exc))}), rows
     have = fields.select("subpage_id").distinct().withColumn("_has", F.lit(True))
-    out = linked.join(have, "subpage_id", "left")
-    return out.select("url", "container_index", "subpage_id",
-                      F.when(F.col("_has"), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
-                      F.when(F.col("_has"), F.lit(None).cast("string"))
-                      .otherwise(F.lit("No data extracted")).alias("error"))
-
-
-def eligible_links(queue: DataFrame, url_pattern: str | None = None, max_subpages: int | None = None) -> DataFrame:
-    """URL regex and max count (queue order = container index, url)."""
+    done = F.col("_has").isNotNull()
+    outcome = links.join(have, "subpage_id", "left").select(
+        *links.columns, F.when(done, "completed").otherwise("failed").alias("status"),
+        F.when(~done, "No data extracted").alias("error"))
+    rows = linked.where("subpage_id IS NOT NULL").select(
+        "subpage_id", F.col("url").alias("profile_link"), "container_index").join(fields, "subpage_id")
+    return outcome, rows
+
+
+def eligible_links(queue: DataFrame, url_pattern: str | None = None, max_subpages: int | None = None,
+                   by: str = "template_id", order: tuple = ("container_index", "url")) -> DataFrame:
+    """Links whose URL matches the pattern, at most ``max_subpages`` per
+    template (column ``by``) in queue order.  Columns ``subpage_url_pattern`` and
+    ``max_subpages`` of the queue hold for their own rows; without a limit all
+    links stay.  Spark keeps the first rows of each group before the shuffle
+    where the limit is a number."""
     q = queue
     if url_pattern:
         q = q.where(F.col("url").rlike(url_pattern))
+    if "subpage_url_pattern" in queue.columns:
+        q = q.where("subpage_url_pattern IS NULL OR url RLIKE subpage_url_pattern")
+    w = Window.partitionBy(by).orderBy(*order)
     if max_subpages is not None:
-        # a global top-n is the feature here; the sort is distributed
-        q = q.orderBy("container_index", "url").limit(max_subpages)
+        q = q.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_subpages).drop("_k")
+    if "max_subpages" in queue.columns:
+        free = q.where("max_subpages IS NULL")
+        held = q.where("max_subpages IS NOT NULL").withColumn("_k", F.row_number().over(w))
+        q = free.unionByName(held.where("_k <= max_subpages").drop("_k"))
     return q
 
 
-def subpage_records_from_containers(dom, planner: Planner, containers: DataFrame, marker: str = "/lawyer/"):
-    """Per main container, the first ``marker`` link (any ``a`` as a
-    fallback) -> ``(page_id, container_id, container_index, profile_link,
-    error)``; ``No profile link found`` when there is none."""
+def main_containers(dom, planner: Planner) -> DataFrame:
+    """The main containers of each page, by the first pattern with a match."""
+    from .containers import index_containers
+    from .detect import SUBPAGE_MAIN_PATTERNS
+
+    return index_containers(planner.select_first(SUBPAGE_MAIN_PATTERNS).select("page_id", "node_id").distinct())
+
+
+def subpage_records_from_containers(dom, planner: Planner, containers: DataFrame | None = None,
+                                    elements: list[dict] | None = None, marker: str = "/lawyer/") -> DataFrame:
+    """Per main container (by default those of E19), its first link with
+    ``marker`` among its links to ``marker`` pages, else among all its links, and
+    what ``elements`` give on that page: ``(page_id, container_id,
+    container_index, profile_link, subpage_id, fields, error)``.  ``error`` is ``No
+    profile link found`` or, where ``elements`` are given, ``No data extracted``."""
+    if containers is None:
+        containers = materialize(main_containers(dom, planner))
     scope = containers.select("page_id", F.col("container_id").alias("scope_id"))
     anchors = planner.select("a", scope=scope)
     v = node_values(dom, anchors, "link", resolve_links=True).withColumnRenamed("scope_id", "container_id")
     v = v.where(F.col("value").contains(marker))
     first = v.groupBy("page_id", "container_id").agg(F.min_by("value", "node_id").alias("profile_link"))
     out = containers.join(first, ["page_id", "container_id"], "left")
-    return out.withColumn("error", F.when(F.col("profile_link").isNull(), F.lit("No profile link found")))
+    no_link = F.col("profile_link").isNull()
+    if not elements:
+        return out.withColumn("error", F.when(no_link, F.lit("No profile link found")))
+    linked = materialize(follow_links(out, dom.docs, "profile_link"))
+    values = subpage_values(dom, planner, linked, elements)
+    per_label = values.groupBy("subpage_id", "label").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("value_ord", "value"))), lambda s: s["value"]).alias("v"))
+    folded = per_label.groupBy("subpage_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("label", "v")))).alias("fields"))
+    return linked.join(folded, "subpage_id", "left").withColumn("error", F.when(
+        no_link, F.lit("No profile link found")).when(F.col("fields").isNull(), F.lit("No data extracted")))
+
+
+def directory_merge(main: DataFrame, sub: DataFrame) -> DataFrame:
+    """One row per main record with its name, position, sector, email and
+    profile link, and under ``subinfo`` the education and credentials of the first
+    subpage record of the same index (null without either).
+
+    ``main(page_id, container_index, label, value_ord, value, profile_link)`` and
+    ``sub(page_id, container_index, record_no, label, value_ord, value)`` are long."""
+    def one(name):
+        return F.min_by(F.when(F.col("label") == name, F.col("value")), F.when(
+            F.col("label") == name, F.col("value_ord"))).alias(name)
+
+    base = main.groupBy("page_id", "container_index").agg(
+        *[one(n) for n in ("name", "position", "sector", "email")], F.min("profile_link").alias("profile_link"))
+    first = sub.groupBy("page_id", "container_index").agg(F.min("record_no").alias("record_no"))
+    own = sub.join(first, ["page_id", "container_index", "record_no"]).where(F.col("label").isin("education", "creds"))
+    lists = own.groupBy("page_id", "container_index", "label").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("value_ord", "value"))), lambda s: s["value"]).alias("v"))
+    info = lists.groupBy("page_id", "container_index").agg(
+        F.max(F.when(F.col("label") == "education", F.col("v"))).alias("education"),
+        F.max(F.when(F.col("label") == "creds", F.col("v"))).alias("credentials"))
+    sub_info = F.when(F.col("education").isNotNull() | F.col("credentials").isNotNull(),
+                      F.struct("education", "credentials"))
+    return base.join(info, ["page_id", "container_index"], "left").select(
+        *base.columns, sub_info.alias("subinfo"))

@@ -23,6 +23,7 @@ class Compound:
     #   ('nth', kind, a, b)   kind in child,last-child,type,last-type
     #   ('not', Compound)     ('contains', text)   ('has', SelectorList)
     #   ('xpr', expr)         XPath predicate expression tree (see plans.xpath)
+    #   ('flag', name)        a boolean column that the planner has joined in
 
 
 @dataclass
@@ -55,6 +56,8 @@ def _compound_needs_text(c: Compound) -> bool:
             return True
         if p[0] == "not" and _compound_needs_text(p[1]):
             return True
+        if p[0] == "not_any" and any(_compound_needs_text(x) for x in p[1]):
+            return True
         if p[0] == "has" and p[1].uses_full_text():
             return True
         if p[0] == "xpr" and _expr_needs_text(p[1]):

@@ -11,6 +11,10 @@ Axis to join mapping (all equi-joins, no theta or cross joins):
 * ``+`` / ``~`` / siblings -- join on ``(page_id, parent_id)`` (+ ordinal);
 * parent / ancestor -- the state's own parent id / exploded path;
 * ``:has()``  -- left-semi join with the relative selector scoped to the node;
+* ``:not(:has())`` and relative paths inside ``and`` / ``or`` / ``not()`` or a
+  comparison -- the same selection, joined back as a boolean column;
+* XPath positions after other predicates -- the survivors of those predicates
+  are numbered under their parent;
 * ``:contains()`` and XPath ``.`` -- full text via the page text (one join).
 
 Compound tests (tag, id, class, attribute, positions, ``:not``) are plain
@@ -19,6 +23,7 @@ Column predicates and stay inside whole-stage codegen.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +33,8 @@ from .ast import Chain, Compound, SelectorError, SelectorList, _compound_needs_t
 from .css import parse_css
 from .xpath import parse_xpath
 
+log = logging.getLogger(__name__)
+
 _KEYS = ["page_id", "scope_id", "node_id"]
 _CAND_COLS = ["page_id", "node_id", "parent_id", "ordinal", "path"]
 
@@ -163,6 +170,8 @@ class _XPathEval:
             return F.col("attrs")[e[1]], "attr"
         if op == "own":
             return F.col("own_text"), "str"
+        if op == "flag":
+            return _false_if_null(F.col(e[1])), "bool"
         if op == "ctx":
             return full_text_col(), "str"
         if op == "and":
@@ -232,6 +241,78 @@ def split_positional(comp: Compound) -> tuple[Compound, list]:
     return Compound(comp.tag, rest), pos
 
 
+def _has_path(e) -> bool:
+    return isinstance(e, tuple) and (e[0] == "path" or any(_has_path(x) for x in e[1:]))
+
+
+def _needs_flags(comp: Compound) -> bool:
+    """Does a test of the compound select other nodes (beside a plain ``:has``)."""
+    for p in comp.preds:
+        if p[0] == "xpr" and _has_path(p[1]):
+            return True
+        inner = [p[1]] if p[0] == "not" else p[1] if p[0] == "not_any" else []
+        if any(_needs_flags(c) or any(q[0] == "has" for q in c.preds) for c in inner):
+            return True
+    return False
+
+
+def _by_position(preds: list) -> list[list]:
+    """Predicates cut before each positional XPath predicate that follows
+    another predicate: its positions count the survivors of those before it."""
+    parts: list[list] = [[]]
+    for i, p in enumerate(preds):
+        if i and p[0] == "xpr" and _uses_position(p[1]):
+            parts.append([])
+        parts[-1].append(p)
+    return parts
+
+
+class _Flags:
+    """Replaces selections inside tests by flag columns and lists them."""
+
+    def __init__(self):
+        self.selections: list[tuple[str, SelectorList]] = []
+
+    def _flag(self, sel: SelectorList) -> str:
+        name = f"_flag{len(self.selections)}"
+        self.selections.append((name, sel))
+        return name
+
+    def compound(self, c: Compound, top: bool = True) -> Compound:
+        out = []
+        for p in c.preds:
+            if p[0] == "xpr" and _has_path(p[1]):
+                out.append(("xpr", self.expr(p[1])))
+            elif p[0] == "has" and not top:
+                out.append(("flag", self._flag(p[1])))
+            elif p[0] == "not":
+                out.append(("not", self.compound(p[1], False)))
+            elif p[0] == "not_any":
+                out.append(("not_any", [self.compound(x, False) for x in p[1]]))
+            else:
+                out.append(p)
+        return Compound(c.tag, out)
+
+    def expr(self, e):
+        if not isinstance(e, tuple) or not _has_path(e):
+            return e
+        if e[0] == "path":
+            return ("flag", self._flag(e[1]))
+        if e[0] in ("and", "or") or e[0] == "fn" and e[1] == "not":
+            return tuple(self.expr(x) for x in e)
+        if e[0] == "cmp" and (e[2][0] == "path") != (e[3][0] == "path"):
+            # some node of the path compares so: the comparison moves into the path's last step
+            path, other, left = (e[2], e[3], True) if e[2][0] == "path" else (e[3], e[2], False)
+            if not _has_path(other) and other[0] in ("str", "num"):
+                chain = path[1].chains[0]
+                last = chain.steps[-1]
+                value = ("attr", chain.attr_name) if chain.output == "attr" else ("ctx",)
+                test = ("cmp", e[1], value, other) if left else ("cmp", e[1], other, value)
+                step = type(last)(last.axis, Compound(last.test.tag, [*last.test.preds, ("xpr", test)]), last.anc_index)
+                return ("flag", self._flag(SelectorList([Chain([*chain.steps[:-1], step])], path[1].source)))
+        raise SelectorError(f"a path cannot stand here: {e!r}")
+
+
 def compound_predicate(comp: Compound) -> Column:
     """Column predicate for everything in a compound except ``:has``."""
     conds = []
@@ -261,6 +342,8 @@ def compound_predicate(comp: Compound) -> Column:
             conds.append(_XPathEval(comp.tag).bool(p[1]))
         elif kind == "has":
             continue
+        elif kind == "flag":
+            conds.append(_false_if_null(F.col(p[1])))
         else:
             raise SelectorError(f"unsupported predicate {p!r}")
     return reduce(lambda a, b: a & b, conds, F.lit(True))
@@ -282,10 +365,34 @@ class Planner:
         if _compound_needs_text(comp):
             base = nodes.where(F.col("tag") == comp.tag) if comp.tag else nodes
             base = base.join(self.dom.docs.select("page_id", "doc_text"), "page_id")
-            cand = base.where(compound_predicate(comp))
         else:
-            cand = nodes.where(compound_predicate(comp))
-        cand = cand.select(*_CAND_COLS)
+            base = nodes
+        parts = _by_position(comp.preds)
+        cand = self._passing(base, Compound(comp.tag, parts[0]))
+        siblings = Window.partitionBy("page_id", "parent_id")
+        for position, *rest in parts[1:]:
+            # [p][k]: number what is left under each parent (a page's siblings), then test on
+            cand = (cand.withColumn("_pos", F.row_number().over(siblings.orderBy("node_id")).cast("double"))
+                    .withColumn("_last", F.count(F.lit(1)).over(siblings).cast("double")))
+            cand = cand.where(_XPathEval(None, F.col("_pos"), F.col("_last")).bool(position[1])).drop("_pos", "_last")
+            cand = self._passing(cand, Compound(None, rest))
+        return cand.select(*_CAND_COLS)
+
+    def _passing(self, base: DataFrame, comp: Compound) -> DataFrame:
+        """Rows of ``base`` that pass the compound's tests, all columns kept."""
+        if _needs_flags(comp):
+            # the tests on the node itself come first: only their survivors scope the selections
+            own = [p for p in comp.preds if not _needs_flags(Compound(None, [p]))]
+            base = base.where(compound_predicate(Compound(comp.tag, own)))
+            flags = _Flags()
+            comp = flags.compound(comp)
+            for name, sel in flags.selections:
+                scope = base.select("page_id", F.col("node_id").alias("scope_id"))
+                hits = self.select(sel, scope=scope).select("page_id", F.col("scope_id").alias("node_id")).distinct()
+                base = base.join(hits.withColumn(name, F.lit(True)), ["page_id", "node_id"], "left")
+            cand = base.where(compound_predicate(comp)).drop(*[n for n, _ in flags.selections])
+        else:
+            cand = base.where(compound_predicate(comp))
         for p in comp.preds:
             if p[0] == "has":
                 scope = cand.select("page_id", F.col("node_id").alias("scope_id"))
@@ -402,7 +509,8 @@ class Planner:
             if ok:
                 step = sel.chains[0].steps[0]
                 ok = (step.axis in ("desc", "child") and not _compound_needs_text(step.test)
-                      and not any(p[0] == "has" for p in step.test.preds))
+                      and not any(p[0] == "has" for p in step.test.preds) and not _needs_flags(step.test)
+                      and len(_by_position(step.test.preds)) == 1)
             if ok:
                 simple.setdefault(step.axis, []).append((key, compound_predicate(step.test)))
             else:
@@ -438,7 +546,8 @@ class Planner:
                 sel = alt if isinstance(alt, SelectorList) else parse_selector(
                     alt, selector_type, relative=scope is not None)
                 check_compiles(sel)
-            except SelectorError:
+            except SelectorError as exc:
+                log.warning("selector %d of %d skipped: %s", prio + 1, len(alternatives), exc)
                 continue
             named.append((str(prio), sel))
         if not named:
@@ -462,10 +571,14 @@ def check_compiles(sel: SelectorList) -> None:
     selector is outside the supported grammar."""
     for ch in sel.chains:
         for step in ch.steps:
-            compound_predicate(step.test)
-            for p in step.test.preds:
+            flags = _Flags()
+            test = flags.compound(step.test)
+            compound_predicate(test)
+            for p in test.preds:
                 if p[0] == "has":
                     check_compiles(p[1])
+            for _, inner in flags.selections:
+                check_compiles(inner)
 
 
 def chain_output(sel: SelectorList) -> tuple[str, str | None]:

@@ -24,6 +24,8 @@ def get_spark(master: str | None = None, app: str = "domquarry", shuffle_partiti
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "16g"))
     for k, v in (extra or {}).items():
@@ -36,15 +38,19 @@ def get_spark(master: str | None = None, app: str = "domquarry", shuffle_partiti
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and is only read here.  When it
-    is unset (local tests) a fresh folder under the system temp dir is made.
+    On a cluster this is set by the deployment and is only read here; without
+    it that is an error.  In local mode a fresh folder is made when it is unset.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="domquarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        spark.sparkContext.setCheckpointDir(given)
+        return given
+    if not spark.sparkContext.getCheckpointDir():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="domquarry-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
@@ -62,6 +68,12 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def engine_defaults(spark: SparkSession) -> None:
+    """For sessions that the engine did not make: page-level joins may reuse
+    the node table's partitioning by ``page_id``."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def local_defaults(spark: SparkSession) -> None:
     """Local mode only: when ``spark.sql.shuffle.partitions`` was never set
     (still Spark's built-in 200), use one partition per core.  Cluster

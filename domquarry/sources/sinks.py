@@ -34,15 +34,17 @@ def _envelope(results: DataFrame) -> DataFrame:
 
 
 def wide_table(results: DataFrame) -> DataFrame:
-    """Flattened results pivoted to one row per result.  The column list is
-    the distinct flattened names (bounded by labels x list width), found
-    with one small aggregation before the pivot."""
+    """Flattened results pivoted to one row per result, also for a result
+    without data.  The columns are the distinct flattened names (labels times list
+    positions, as wide as the longest list), found with one aggregation; a file
+    with a header needs them before the first row."""
     flat = flatten(results)
     cols = [r[0] for r in flat.select("column").distinct().orderBy("column").collect()]
     if not cols:
         raise ValueError("No data to export")
-    return (flat.groupBy("template_name", "url").pivot("column", cols).agg(F.first("value"))
-            .select("template_name", "url", *[F.col(f"`{c}`") for c in cols]))
+    wide = flat.groupBy("template_name", "url").pivot("column", cols).agg(F.first("value"))
+    return results.select("template_name", "url").join(wide, ["template_name", "url"], "left").select(
+        "template_name", "url", *[F.col(f"`{c}`") for c in cols])
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> str:
@@ -58,6 +60,12 @@ def write_results(results: DataFrame, path: str, fmt: str = "json", mode: str =
     return path
 
 
+def export_results(results: DataFrame, folder: str, template_name: str, fmt: str = "json",
+                   when: datetime | None = None) -> str:
+    """Write under ``folder`` in a folder named by template and time; returns its path."""
+    return write_results(results, f"{folder.rstrip('/')}/{output_name(template_name, when)}", fmt)
+
+
 def write_workbook(results: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``scraped_data`` / ``metadata`` / ``errors`` datasets."""
     wide_table(results).write.mode(mode).option("header", True).csv(f"{path}/scraped_data")

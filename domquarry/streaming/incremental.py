@@ -81,7 +81,7 @@ WALK_OUT = ("crawl_id LONG, stop_page LONG, pages_walked LONG, n_items LONG, lat
 WALK_STATE = "first_seen STRING, max_day LONG, late_pages LONG, batches LONG"
 
 
-def _walk_state_fn(k: int, cap: int):
+def _walk_state_fn(k: int, max_pages: int | None):
     import json
 
     def fn(key, chunks, state):
@@ -106,7 +106,9 @@ def _walk_state_fn(k: int, cap: int):
         batches += 1
         state.update((json.dumps(first), max_day, late, batches))
         day0 = min(first.values())
-        n_pages = min(max_day - day0 + 1, cap)
+        n_pages = max_day - day0 + 1
+        if max_pages is not None:
+            n_pages = min(n_pages, max_pages)
         new_on = {}
         for d in first.values():
             new_on[d - day0 + 1] = new_on.get(d - day0 + 1, 0) + 1
@@ -122,10 +124,11 @@ def _walk_state_fn(k: int, cap: int):
     return fn
 
 
-def stream_empty_streak(spark: SparkSession, items: DataFrame, out_dir: str, k: int = 3, cap: int = 200) -> str:
+def stream_empty_streak(spark: SparkSession, items: DataFrame, out_dir: str, k: int = 3,
+                        max_pages: int | None = None) -> str:
     """R3 on a streaming ``items(crawl_id, day LONG, item)`` frame."""
     walked = items.groupBy("crawl_id").applyInPandasWithState(
-        _walk_state_fn(k, cap), WALK_OUT, WALK_STATE, "update", GroupStateTimeout.NoTimeout)
+        _walk_state_fn(k, max_pages), WALK_OUT, WALK_STATE, "update", GroupStateTimeout.NoTimeout)
 
     def sink(batch: DataFrame, batch_id: int):
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)

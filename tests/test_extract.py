@@ -73,10 +73,11 @@ def test_merge_related_by_link_or_index(spark):
 
 
 def test_flatten(spark):
-    from domquarry.operators.scrape import flatten
+    from domquarry.operators.scrape import RECORD_TYPE, flatten
     res = spark.createDataFrame(
         [("t", "u", {"tags": ["a", "b", "c"], "title": ["T"], "empty": [], "actions_executed": ["1"]})],
-        "template_name string, url string, data map<string,array<string>>")
+        "template_name string, url string, data map<string,array<string>>").withColumn(
+        "records", F.array().cast(RECORD_TYPE))
     got = {r["column"]: r["value"] for r in flatten(res).collect()}
     assert got == {"tags_1": "a", "tags_2": "b", "tags_3": "c", "title": "T", "empty": ""}
 

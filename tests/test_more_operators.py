@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from domquarry.functions.rules import generic_selector, structure_xpaths, variant_selectors
+from domquarry.functions.rules import FALLBACK_XPATHS, SEMANTIC_XPATHS, fallback_xpaths, semantic_xpaths
 from domquarry.operators.containers import find_containers, main_page_containers
 from domquarry.operators.detect import (LAST_RESORT_SELECTORS, SUBPAGE_MAIN_PATTERNS, container_count,
                                         first_rule)
@@ -13,6 +13,9 @@ from domquarry.operators.merge import action_subpage_join
 from domquarry.operators.paginate import working_parameter
 from domquarry.operators.subpages import discover_link
 from domquarry.operators.values import node_values
+from domquarry.functions.rules import map_generic_selector
+from domquarry.plans.compile import check_compiles, parse_selector
+from domquarry.plans.rewrite import class_substrings, same_structure, variants, without_positions
 from domquarry.sources.templates import templates_from_json
 
 
@@ -21,12 +24,45 @@ def _cards(n, cls="wp-block-column"):
 
 
 def test_selector_rewrites():
-    assert generic_selector("ul > li:nth-child(3) > a") == "ul > li > a"
-    assert generic_selector("div > li:nth-child(2)") == "div > li"
-    assert variant_selectors(".card-name")[4] == '[class*="card"]'
-    assert variant_selectors("#main") == ['[id*="main"]', "div#main", '*[id~="main"]']
-    assert structure_xpaths("div.list > .item")[0] == ("//div[contains(@class, 'list')]/*"
-                                                       "[contains(@class, 'item')]")
+    def sources(found):
+        return [s.source for s in found]
+
+    assert sources(without_positions("ul > li:nth-child(3) > a")) == ["ul > li > a"]
+    assert sources(without_positions("div > li:nth-child(2)")) == ["div > li"]
+    assert sources(without_positions("ol > li > :nth-child(2)")) == ["ol > li"]
+    assert without_positions("ul > li") == [] and without_positions("a, b") == []
+    assert sources(variants(".card-name")) == ['[class*="card-name"]', "div.card-name", '[class~="card-name"]',
+                                               'div[class*="card-name"]', '[class*="card"]']
+    assert sources(variants("#main")) == ['[id*="main"]', "div#main", '[id~="main"]']
+    assert sources(variants("em")) == ["em[class]", "em[id]", "div em", "main em"]
+    assert sources(variants("ul .row > b.x")) == ["b.x", ".row > b.x", '[class*="x"]']
+    assert sources(same_structure("div.list > .item")) == [
+        'div[class*="list"] > [class*="item"]', '[class*="list"] [class*="item"]', "list item"]
+    assert sources(class_substrings(".a.b")) == ['[class*="a"][class*="b"]'] and class_substrings("p.a") == []
+
+
+def test_every_rule_of_every_table_compiles():
+    from domquarry.functions.rules import FALLBACK_BY_TYPE, FALLBACK_GENERIC, LABEL_SELECTORS
+    from domquarry.operators import detect
+
+    rules = [x for _, xs in SEMANTIC_XPATHS + FALLBACK_XPATHS for x in xs] + FALLBACK_GENERIC
+    rules += [x for xs in FALLBACK_BY_TYPE.values() for x in xs]
+    rules += [x for _, by in LABEL_SELECTORS for x in by.values()]
+    for name in dir(detect):
+        if name.isupper() and isinstance(getattr(detect, name), list) and name != "SUGGEST_ATTRS":
+            rules += getattr(detect, name)
+    assert len(rules) > 120
+    for rule in rules:
+        check_compiles(parse_selector(rule, relative=True))
+
+
+def test_label_groups():
+    assert semantic_xpaths("E-Mail address") == [] and semantic_xpaths("work email")[0].startswith("//a[contains(@href")
+    assert fallback_xpaths("nothing known", "link")[-3:] == fallback_xpaths("phone", "link")[-3:]
+    assert map_generic_selector("education2", "x").startswith(".education li:nth-of-type(n+2)")
+    assert map_generic_selector("creds", "x").startswith(".admissions li:first-child")
+    assert map_generic_selector("full name", "b", "profile").startswith("h1")
+    assert map_generic_selector("name", "div.person > h3.title") == "div.person > h3.title"
 
 
 def test_content_pattern_rung(dom_of):

@@ -56,7 +56,7 @@ def test_filter_combinations(spark):
 def test_row_number_within_hot_group(spark):
     from domquarry.operators.rank import row_number_within
     df = spark.range(0, 500).selectExpr("CASE WHEN id % 10 < 7 THEN 1 ELSE id % 10 END AS g", "id")
-    got = row_number_within(df, "g", "id", num_partitions=6).collect()
+    got = row_number_within(df, "g", "id").collect()
     by = {}
     for r in got:
         by.setdefault(r["g"], []).append((r["id"], r["rn"]))

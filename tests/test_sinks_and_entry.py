@@ -12,7 +12,9 @@ def _results(spark):
     return spark.sql("""SELECT 'People' AS template_name, 'https://x/p' AS url,
         TIMESTAMP '2024-01-02 03:04:05' AS scraped_at, false AS success,
         map('title', array('Café'), 'tags', array('a', 'b')) AS data,
-        array(map('name', array('Ann'))) AS records, array('boom') AS errors,
+        array(named_struct('container', 'cards', 'index', 0, 'source_page', 1,
+              'fields', map('name', array('Ann'), 'areas', array('x', 'y')), 'error', CAST(NULL AS STRING))) AS records,
+        array('boom') AS errors,
         named_struct('elements_found', 2, 'actions_executed', 0, 'page_title', 'T', 'final_url', 'https://x/p')
           AS metadata""")
 
@@ -27,6 +29,7 @@ def test_json_csv_workbook(spark, tmp_path):
     p = write_results(res, str(tmp_path / "c"), "csv")
     csv = spark.read.option("header", True).csv(p).collect()[0]
     assert csv["tags_1"] == "a" and csv["tags_2"] == "b" and csv["title"] == "Café"
+    assert csv["cards_1_name"] == "Ann" and csv["cards_1_areas_2"] == "y"
     p = write_results(res, str(tmp_path / "x"), "excel")
     assert sorted(os.listdir(p)) == ["errors", "metadata", "scraped_data"]
     meta = spark.read.option("header", True).csv(p + "/metadata").collect()[0]
