@@ -43,8 +43,10 @@ _SPACE = re.compile(r"\s+")
 NODE_FIELDS = (
     "node_id", "parent_id", "depth", "ordinal", "n_sib", "type_ordinal", "type_count",
     "tag", "elem_id", "classes", "attrs", "own_text", "text_start", "text_end",
-    "html_start", "html_end", "path", "doc_text",
+    "html_start", "html_end", "path", "doc_text", "short_text",
 )
+# Nodes with full text up to this length carry it; longer ones are slices of the page text.
+SHORT_TEXT = 256
 
 
 # One scan of the page: comments, declarations, processing instructions, end
@@ -226,6 +228,7 @@ def parse_page(html: str | None):
     b.feed(html or "")
     b.finish()
     n = len(b.tag)
+    text = "".join(b.text_parts)
     n_sib = [b.child_n[b.parent[i]] if i else 1 for i in range(n)]
     type_count = [b.child_types[b.parent[i]][b.tag[i]] if i else 1 for i in range(n)]
     classes = [_SPACE.split(a.get("class", "").strip()) if a.get("class", "").strip() else [] for a in b.attrs]
@@ -247,5 +250,6 @@ def parse_page(html: str | None):
         "html_start": b.html_start,
         "html_end": b.html_end,
         "path": b.path,
-        "doc_text": ["".join(b.text_parts)] + [None] * (n - 1),
+        "doc_text": [text] + [None] * (n - 1),
+        "short_text": [text[s:e] if e - s <= SHORT_TEXT else None for s, e in zip(b.text_start, b.text_end)],
     }

@@ -15,9 +15,8 @@ from ..operators.subpages import (follow_links, link_queue, overlay, process_que
                                   subpage_records_from_containers, subpage_values)
 from ..plans.compile import Planner
 from ..session import materialize
-from .common import table
+from .common import cached_dom, table
 
-_DOMS: dict = {}
 PER_PAGE = 4
 
 CARD_SUBS = [
@@ -41,13 +40,8 @@ def rendered_pages(spark, sf_dir, overlap=0, trailing=0):
 
 
 def rendered_dom(spark, sf_dir, overlap=0, trailing=0):
-    key = (spark.sparkContext.applicationId, sf_dir, overlap, trailing)
-    if key not in _DOMS:
-        pages = rendered_pages(spark, sf_dir, overlap, trailing)
-        pages = pages.persist()
-        _DOMS[key] = build_dom(pages)
-    dom = _DOMS[key]
-    return dom, Planner(dom)
+    return cached_dom((spark.sparkContext.applicationId, sf_dir, "directories", overlap, trailing),
+                      lambda: build_dom(rendered_pages(spark, sf_dir, overlap, trailing)))
 
 
 def _cards(spark, sf_dir, overlap=0, trailing=0):

@@ -122,24 +122,62 @@ LAST_RESORT_SELECTORS = [
 ]
 
 
-def _counts(planner: Planner, selectors: list[str]) -> DataFrame:
-    """Match counts of all selectors, in one batched plan: (page_id, prio, n)."""
-    matched = planner.select_many([(str(i), parse_selector(sel)) for i, sel in enumerate(selectors)])
-    return matched.dropDuplicates(["page_id", "node_id", "key"]).groupBy(
-        "page_id", F.col("key").cast("int").alias("prio")).agg(F.count(F.lit(1)).alias("n"))
+#: The rule tables that ``page_detection`` asks, by the column they give.
+PAGE_RULES = {
+    "profile_count": PROFILE_COUNT_SELECTORS,
+    "container_count": CONTAINER_COUNT_SELECTORS,
+    "load_more_selector": LOAD_MORE_SELECTORS,
+    "has_load_more_button": LOAD_MORE_BUTTONS,
+    "has_next_link": NEXT_LINK_SELECTORS,
+    "is_grid_plugin": GRID_PLUGIN_INDICATORS,
+}
+
+
+def rule_counts(planner: Planner, tables: dict[str, list[str]]) -> DataFrame:
+    """``(page_id, rules, prio, rule, n)``: matches of every rule of every table
+    on every page where it has some.  Each distinct selector is matched once, all
+    in one batched plan; a rule that does not compile is an error."""
+    distinct = sorted({sel for rules in tables.values() for sel in rules})
+    key = {sel: str(i) for i, sel in enumerate(distinct)}
+    matched = planner.select_many([(key[sel], parse_selector(sel)) for sel in distinct])
+    n = matched.dropDuplicates(["page_id", "node_id", "key"]).groupBy("page_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    # configuration: one row per (table, rule)
+    owners = planner.dom.nodes.sparkSession.createDataFrame(
+        [(key[sel], name, prio, sel) for name, rules in tables.items() for prio, sel in enumerate(rules)],
+        "key string, rules string, prio int, rule string")
+    return n.join(owners, "key").drop("key")
+
+
+def _detected(dom, counts: DataFrame) -> DataFrame:
+    """The columns of ``PAGE_RULES`` per page, one grouped aggregate."""
+    def of(name):
+        return F.col("rules") == name
+
+    def some(name):
+        return F.coalesce(F.max(F.when(of(name), True)), F.lit(False)).alias(name)
+
+    several = of("container_count") & (F.col("n") > 5)
+    first = of("load_more_selector")
+    per_page = counts.groupBy("page_id").agg(
+        F.max(F.when(of("profile_count"), F.col("n"))).alias("profile_count"),
+        F.min_by(F.when(several, F.col("n")), F.when(several, F.col("prio"))).alias("container_count"),
+        F.min_by(F.when(first, F.col("rule")), F.when(first, F.col("prio"))).alias("load_more_selector"),
+        some("has_load_more_button"), some("has_next_link"), some("is_grid_plugin"))
+    return dom.docs.select("page_id").join(per_page, "page_id", "left").fillna(
+        0, ["profile_count", "container_count"]).fillna(
+        False, ["has_load_more_button", "has_next_link", "is_grid_plugin"])
 
 
 def profile_count(dom, planner: Planner) -> DataFrame:
     """A1: largest match count over the profile selectors, 0 when none."""
-    c = _counts(planner, PROFILE_COUNT_SELECTORS).groupBy("page_id").agg(F.max("n").alias("profile_count"))
-    return dom.docs.select("page_id").join(c, "page_id", "left").fillna(0, ["profile_count"])
+    rules = {k: v for k, v in PAGE_RULES.items() if k == "profile_count"}
+    return _detected(dom, rule_counts(planner, rules)).select("page_id", "profile_count")
 
 
 def container_count(dom, planner: Planner) -> DataFrame:
     """A2: count of the first selector with more than 5 matches, else 0."""
-    c = (_counts(planner, CONTAINER_COUNT_SELECTORS).where(F.col("n") > 5)
-         .groupBy("page_id").agg(F.min_by("n", "prio").alias("container_count")))
-    return dom.docs.select("page_id").join(c, "page_id", "left").fillna(0, ["container_count"])
+    rules = {k: v for k, v in PAGE_RULES.items() if k == "container_count"}
+    return _detected(dom, rule_counts(planner, rules)).select("page_id", "container_count")
 
 
 def different_content(current: DataFrame, test: DataFrame) -> DataFrame:
@@ -159,20 +197,9 @@ def first_rule(dom, planner: Planner, rules: list[str], min_count: int = 1, name
     return picked.select("page_id", names[F.col("priority")].alias(name), "n_matches")
 
 
-def any_rule(dom, planner: Planner, rules: list[str], name: str) -> DataFrame:
-    """``(page_id, <name>)``: does any rule match on the page."""
-    hit = first_rule(dom, planner, rules, 1, "_r").select("page_id").withColumn(name, F.lit(True))
-    return dom.docs.select("page_id").join(hit, "page_id", "left").fillna(False, [name])
-
-
 def page_detection(dom, planner: Planner) -> DataFrame:
-    """A1, A2, W7, W8, W9 for every page."""
-    lm = first_rule(dom, planner, LOAD_MORE_SELECTORS, 1, "load_more_selector").drop("n_matches")
-    return (profile_count(dom, planner).join(container_count(dom, planner), "page_id")
-            .join(lm, "page_id", "left")
-            .join(any_rule(dom, planner, LOAD_MORE_BUTTONS, "has_load_more_button"), "page_id")
-            .join(any_rule(dom, planner, NEXT_LINK_SELECTORS, "has_next_link"), "page_id")
-            .join(any_rule(dom, planner, GRID_PLUGIN_INDICATORS, "is_grid_plugin"), "page_id"))
+    """A1, A2, W7, W8, W9 for every page: all rules in one plan."""
+    return _detected(dom, rule_counts(planner, PAGE_RULES)).select("page_id", *PAGE_RULES)
 
 
 def directory_containers(dom, planner: Planner) -> DataFrame:

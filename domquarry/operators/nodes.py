@@ -10,7 +10,9 @@
 The full text of a node is ``substring(doc_text, text_start + 1, text_end -
 text_start)`` and its outer HTML ``substring(html, html_start + 1, html_end -
 html_start)``: offsets keep the table linear in page size instead of storing
-the text once per ancestor.  ``path`` lists the ancestor node ids (root first),
+the text once per ancestor.  ``short_text`` is the full text of a node where it is
+short (a bounded number of characters per node), so the page text is cut only for
+the few long ones.  ``path`` lists the ancestor node ids (root first),
 so "is a descendant of" becomes an equi-join on ``(page_id, node_id)`` after
 ``explode(path)`` -- this spreads even a single huge page over many tasks.
 """
@@ -45,6 +47,7 @@ NODE_SCHEMA = T.StructType([
     T.StructField("html_end", T.IntegerType()),
     T.StructField("path", T.ArrayType(T.IntegerType())),
     T.StructField("doc_text", T.StringType()),
+    T.StructField("short_text", T.StringType()),
     T.StructField("url", T.StringType()),
 ])
 
@@ -55,7 +58,7 @@ _ARROW_SCHEMA = pa.schema([
     ("elem_id", pa.string()), ("classes", pa.list_(pa.string())),
     ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string()),
     ("text_start", pa.int32()), ("text_end", pa.int32()), ("html_start", pa.int32()),
-    ("html_end", pa.int32()), ("path", pa.list_(pa.int32())), ("doc_text", pa.string()),
+    ("html_end", pa.int32()), ("path", pa.list_(pa.int32())), ("doc_text", pa.string()), ("short_text", pa.string()),
     ("url", pa.string()),
 ])
 _FIELDS = [f.name for f in _ARROW_SCHEMA][1:-1]

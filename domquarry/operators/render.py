@@ -125,3 +125,29 @@ def profile_pages(supplier: DataFrame, nation: DataFrame, region: DataFrame) ->
         F.lit("</div></body></html>"))
     return s.select((F.lit(PROFILE_PAGE_BASE) + k).alias("page_id"),
                     F.concat(F.lit(HOST + "/lawyer/"), k.cast("string")).alias("url"), html.alias("html"))
+
+
+def grid_pages(supplier: DataFrame) -> DataFrame:
+    """Two pages per block of 20 supplier keys, in a column layout without
+    profile cards: ``/s/<block>`` lists the first 10 keys, ``/s/<block>?offset=20``
+    the next 7.  First pages of even blocks have a load-more button, of odd ones a
+    next link; blocks divisible by 3 are marked as a grid plugin's.  At most 10
+    columns are collected per page."""
+    k = F.col("s_suppkey")
+    s = supplier.select((k / 20).cast("bigint").alias("block"), ((k % 20) >= 10).alias("second"), k, "s_name").where(
+        F.col("s_suppkey") % 20 < 17)
+    column = F.concat(F.lit('<div class="wp-block-column"><strong>'), esc(F.col("s_name")), F.lit("</strong><i>"),
+                      email_of(F.col("s_name")), F.lit("</i><em>write @ us now</em></div>"))
+    p = s.withColumn("c", column).groupBy("block", "second").agg(
+        F.array_sort(F.collect_list(F.struct("s_suppkey", "c"))).alias("cs"))
+    body = F.array_join(F.transform("cs", lambda x: x["c"]), "")
+    more = F.when(F.col("second"), F.lit("")).when(
+        F.col("block") % 2 == 0, F.lit('<button class="btn load-more-btn">Load More</button>')).otherwise(
+        F.lit('<a class="next" href="?offset=20">Next</a>'))
+    mark = F.when(F.col("block") % 3 == 0, F.lit(' data-grid="1"')).otherwise(F.lit(""))
+    html = F.concat(F.lit("<html><head><title>Grid "), F.col("block").cast("string"), F.lit("</title></head><body><div"),
+                    mark, F.lit('><section class="people-list">'), body, F.lit("</section>"), more, F.lit("</div></body></html>"))
+    url = F.concat(F.lit("https://grid.example/s/"), F.col("block").cast("string"),
+                   F.when(F.col("second"), F.lit("?offset=20")).otherwise(F.lit("")))
+    return p.select((F.lit(1 << 59) + F.col("block") * 2 + F.col("second").cast("int")).alias("page_id"),
+                    url.alias("url"), html.alias("html"))

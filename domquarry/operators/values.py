@@ -9,9 +9,8 @@
                 with ``resolve_links=True`` (P4);
 * ``attribute`` the named attribute (default ``value``) or ``''`` (P5).
 
-Full text is only fetched from the page text when a node has element children
-carrying text; for leaf-like nodes the own text *is* the full text, so most
-values never touch the page-text join.
+Full text is cut from the page text only for nodes whose text is long; the node
+rows carry the others' (``short_text``).
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import urljoin
+from ..plans.compile import full_text_col
 
 _WS_TRIM = r"^\s+|\s+$"
 
@@ -33,7 +33,8 @@ def node_values(dom, matched: DataFrame, element_type: str = "text", attribute_n
                 text_mode: str = "full", resolve_links: bool = False, trim: bool = True) -> DataFrame:
     """Add ``value`` to ``matched``; all other columns are kept."""
     et = (element_type or "text").lower()
-    cols = ["page_id", "node_id", "own_text", "text_start", "text_end", "attrs", "html_start", "html_end", "tag"]
+    cols = ["page_id", "node_id", "own_text", "text_start", "text_end", "attrs", "html_start", "html_end", "tag",
+            "short_text"]
     info = dom.nodes.select(*cols)
     m = matched.join(info, ["page_id", "node_id"])
     keep = matched.columns
@@ -51,17 +52,13 @@ def node_values(dom, matched: DataFrame, element_type: str = "text", attribute_n
     elif et == "attribute":
         value = F.coalesce(F.col("attrs")[attribute_name or "value"], F.lit(""))
     else:  # text and anything unknown
-        own = F.when(F.col("tag").isin("script", "style"), F.lit("")).otherwise(F.col("own_text"))
         if text_mode == "own":
             value = F.col("own_text")
         else:
-            # leaf-like nodes: own text == full text; others slice the page
-            # text (docs share the node table's page_id partitioning, so this
-            # join needs no exchange)
-            leaf = (F.col("text_end") - F.col("text_start")) == F.length(own)
+            # long texts are slices of the page text (docs share the node table's
+            # page_id partitioning, so this join needs no exchange)
             m = m.join(dom.docs.select("page_id", "doc_text"), "page_id", "left")
-            value = F.when(leaf, own).otherwise(
-                F.expr("substring(doc_text, text_start + 1, text_end - text_start)"))
+            value = full_text_col()
     out = m.withColumn("value", value)
     if trim and et == "text":
         out = out.withColumn("value", strip(F.col("value")))
@@ -103,9 +100,7 @@ def _value_expr(spec: dict) -> Column:
         return urljoin(F.col("_base"), href) if spec.get("resolve_links") else href
     if et == "attribute":
         return F.coalesce(F.col("attrs")[spec.get("attribute_name") or "value"], F.lit(""))
-    own = F.when(F.col("tag").isin("script", "style"), F.lit("")).otherwise(F.col("own_text"))
-    leaf = (F.col("text_end") - F.col("text_start")) == F.length(own)
-    return strip(F.when(leaf, own).otherwise(F.expr("substring(doc_text, text_start + 1, text_end - text_start)")))
+    return strip(full_text_col())
 
 
 def keyed_values(dom, matched: DataFrame, specs: dict) -> DataFrame:
@@ -115,7 +110,7 @@ def keyed_values(dom, matched: DataFrame, specs: dict) -> DataFrame:
     table and one with the page rows serve every key."""
     keep = matched.columns
     info = dom.nodes.select("page_id", "node_id", "own_text", "text_start", "text_end", "attrs",
-                            "html_start", "html_end", "tag")
+                            "html_start", "html_end", "tag", "short_text")
     m = matched.join(info, ["page_id", "node_id"])
     kinds = {(s.get("element_type") or "text").lower() for s in specs.values() if s.get("output", "node") == "node"}
     docs = dom.docs.select("page_id", F.col("url").alias("_base"), "doc_text")

@@ -112,7 +112,7 @@ def _attr_pred(name: str, op: str | None, val: str | None) -> Column:
 
 def full_text_col() -> Column:
     """Full text of a node; valid on candidates joined with ``docs``."""
-    return F.expr("substring(doc_text, text_start + 1, text_end - text_start)")
+    return F.coalesce("short_text", F.expr("substring(doc_text, text_start + 1, text_end - text_start)"))
 
 
 def normalize_space(c: Column) -> Column:

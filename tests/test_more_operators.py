@@ -41,7 +41,7 @@ def test_selector_rewrites():
     assert sources(class_substrings(".a.b")) == ['[class*="a"][class*="b"]'] and class_substrings("p.a") == []
 
 
-def test_every_rule_of_every_table_compiles():
+def test_every_rule_of_every_table_compiles(spark):
     from domquarry.functions.rules import FALLBACK_BY_TYPE, FALLBACK_GENERIC, LABEL_SELECTORS
     from domquarry.operators import detect
 

@@ -45,7 +45,7 @@ def test_selectors(dom_of, selector, want):
 
 
 @pytest.mark.parametrize("selector", ["//div[contains(.//a, 'x')]", "//div[count(.//a) > 1]", "//a[.//b = .//c]"])
-def test_what_the_grammar_lacks_raises(selector):
+def test_what_the_grammar_lacks_raises(spark, selector):
     with pytest.raises(SelectorError):
         check_compiles(parse_selector(selector))
 
