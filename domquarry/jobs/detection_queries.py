@@ -6,7 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.predicates import element_type_of, link_target, node_role
-from ..operators.detect import directory_containers, page_detection, similar_nodes, suggest_selectors
+from ..operators.containers import find_containers
+from ..operators.detect import (directory_containers, page_detection, similar_nodes, suggest_relative, suggest_selectors,
+                                suggest_xpath)
+from ..plans.compile import parse_selector
+from ..session import materialize
 from .common import page_dom
 from .directory_queries import PER_PAGE, _SUPPLIERS, rendered_dom
 
@@ -98,6 +102,33 @@ SELECT 'https://dir.example/nation/' || s_nationkey || '/people?page=' || (rnk /
 """
 
 
+def card_relative_selectors(spark, sf_dir):
+    """E22 relative to the card, and as XPath: name, position, profile link and
+    first sector of every card."""
+    dom, planner = rendered_dom(spark, sf_dir)
+    cards = materialize(find_containers(planner, "div.profile-card"))
+    scope = cards.select("page_id", F.col("container_id").alias("scope_id"))
+    kinds = [("name", "h3"), ("position", "span.position"), ("profile", "a.profile"), ("sector", "span.sector:first-child")]
+    m = materialize(planner.select_many([(k, parse_selector(s)) for k, s in kinds], scope=scope)).withColumnRenamed(
+        "scope_id", "container_id")
+    rel = suggest_relative(dom, m).join(suggest_xpath(dom, m), ["page_id", "node_id"])
+    return (m.join(rel, ["page_id", "container_id", "node_id"]).join(cards, ["page_id", "container_id"])
+            .join(dom.docs.select("page_id", "url"), "page_id")
+            .select("url", F.col("container_index").cast("bigint").alias("container_index"), F.col("key").alias("kind"),
+                    "selector", "xpath"))
+
+
+CARD_RELATIVE_SELECTORS_SQL = f"""{_SUPPLIERS},
+c AS (SELECT s_suppkey, rnk % {PER_PAGE} AS i, 'https://dir.example/nation/' || s_nationkey || '/people?page=' ||
+             (rnk // {PER_PAGE} + 1) AS url, '/html[1]/body[1]/div[1]/div[' || (rnk % {PER_PAGE} + 1) || ']' AS x FROM s)
+SELECT url, CAST(i AS BIGINT) AS container_index, 'name' AS kind, 'h3' AS selector, x || '/h3[1]' AS xpath FROM c
+UNION ALL SELECT url, i, 'position', 'span.position', x || '/span[1]' FROM c
+UNION ALL SELECT url, i, 'profile', 'a.profile', x || '/a[1]' FROM c
+UNION ALL SELECT url, i, 'sector', CASE WHEN s_suppkey % 2 = 0 THEN '> div:nth-child(5) > span:nth-child(1)'
+                                        ELSE 'span.sector' END, x || '/div[1]/span[1]' FROM c
+"""
+
+
 def node_roles(spark, sf_dir):
     """E24 + E25 + E27: role, element type and link target of every card
     element and next link on the directory listings."""

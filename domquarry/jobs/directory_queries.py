@@ -13,7 +13,6 @@ from ..operators.nodes import build_dom
 from ..operators.subpages import directory_merge as merge_directory
 from ..operators.subpages import (follow_links, link_queue, overlay, process_queue,
                                   subpage_records_from_containers, subpage_values)
-from ..plans.compile import Planner
 from ..session import materialize
 from .common import cached_dom, table
 

@@ -293,9 +293,10 @@ def suggest_selectors(dom, targets: DataFrame, max_matches: int = 50) -> DataFra
     """A selector for each target ``(page_id, node_id)``: ``#id`` when
     the id is unique on the page; else ``tag.cls...`` over its specific
     classes when that matches fewer than 10 nodes; else a test/aria attribute
-    (``tag[attr="v"]``, fewer than ``max_matches`` nodes); else the
-    ``:nth-child`` path from the root (always unique)."""
-    n = dom.nodes.select("page_id", "node_id", "tag", "elem_id", "classes", "attrs", "ordinal", "path")
+    (``tag[attr="v"]``, fewer than ``max_matches`` nodes); else, for links and
+    buttons, their text (under 50 characters); else the ``:nth-child`` path from
+    the root (always unique)."""
+    n = dom.nodes.select("page_id", "node_id", "tag", "elem_id", "classes", "attrs", "ordinal", "path", "short_text")
     t = targets.select("page_id", "node_id").join(n, ["page_id", "node_id"])
     ids = n.where(F.col("elem_id").isNotNull()).groupBy("page_id", "elem_id").count()
     t = t.join(ids.withColumnRenamed("count", "id_count"), ["page_id", "elem_id"], "left")
@@ -336,15 +337,59 @@ def suggest_selectors(dom, targets: DataFrame, max_matches: int = 50) -> DataFra
     own_step = F.concat(F.col("tag"), F.lit(":nth-child("), F.col("ordinal").cast("string"), F.lit(")"))
     path_sel = F.array_join(F.concat(F.coalesce(F.transform("steps", lambda s: s["step"]), F.array()),
                                      F.array(own_step)), " > ")
+    text = F.trim(F.coalesce("short_text", F.lit("")))
+    by_text = F.when(F.col("tag").isin("a", "button") & F.length(text).between(1, 49) & ~text.contains('"'),
+                     F.concat("tag", F.lit(':contains("'), text, F.lit('")')))
     cls_sel = F.concat(F.col("tag"), F.array_join(F.transform("spec", lambda c: F.concat(F.lit("."), c)), ""))
     return t.select(
         "page_id", "node_id",
         F.when(F.col("id_count") == 1, F.concat(F.lit("#"), F.col("elem_id")))
         .when((F.col("cls_count") > 0) & (F.col("cls_count") < 10) & (F.col("cls_count") < max_matches), cls_sel)
         .when(F.col("attr_sel").isNotNull(), F.col("attr_sel"))
+        .when(by_text.isNotNull(), by_text)
         .otherwise(path_sel).alias("selector"))
 
 
+def suggest_relative(dom, targets: DataFrame) -> DataFrame:
+    """E22 inside a container: a selector for each target ``(page_id,
+    container_id, node_id)`` that hits it alone among the container's nodes:
+    ``tag.class`` over one specific class, else the tag, else the ``:nth-child``
+    path that starts below the container."""
+    n = dom.nodes.select("page_id", "node_id", "tag", "classes", "ordinal", "path")
+    key = ["page_id", "container_id"]
+    t = materialize(targets.select(*key, "node_id").distinct().join(n, ["page_id", "node_id"]))
+    inside = n.select("page_id", "node_id", "tag", "classes", F.explode("path").alias("container_id")).join(
+        t.select(*key).distinct(), key)
+    tags = inside.groupBy(*key, "tag").agg(F.count(F.lit(1)).alias("tag_n"))
+    classes = inside.select(*key, "tag", F.explode("classes").alias("cls")).groupBy(*key, "tag", "cls").agg(
+        F.count(F.lit(1)).alias("cls_n"))
+    own = t.select(*key, "node_id", "tag", F.explode("classes").alias("cls")).where(~is_generic_class(F.col("cls")))
+    alone = own.join(classes.where("cls_n = 1"), [*key, "tag", "cls"]).groupBy(*key, "node_id").agg(
+        F.min("cls").alias("cls"))
+    # the steps below the container: its place in the target's ancestors, and what follows
+    below = F.slice("path", F.array_position("path", F.col("container_id")).cast("int") + 1, F.size("path"))
+    anc = t.select(*key, "node_id", F.posexplode(F.concat(below, F.array("node_id"))).alias("pos", "step_id"))
+    steps = anc.join(n.select("page_id", F.col("node_id").alias("step_id"), F.col("tag").alias("stag"),
+                              F.col("ordinal").alias("sord")), ["page_id", "step_id"])
+    step = F.concat(F.col("stag"), F.lit(":nth-child("), F.col("sord").cast("string"), F.lit(")"))
+    paths = steps.groupBy(*key, "node_id").agg(F.concat(F.lit("> "), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", step.alias("s")))), lambda x: x["s"]), " > ")).alias("path_sel"))
+    out = t.join(tags, [*key, "tag"]).join(alone, [*key, "node_id"], "left").join(paths, [*key, "node_id"])
+    return out.select(*key, "node_id", F.when(F.col("cls").isNotNull(), F.concat("tag", F.lit("."), "cls")).when(
+        F.col("tag_n") == 1, F.col("tag")).otherwise(F.col("path_sel")).alias("selector"))
+
+
+def suggest_xpath(dom, targets: DataFrame) -> DataFrame:
+    """E22 as XPath: the positional path from the root of each target ``(page_id, node_id)``."""
+    n = dom.nodes.select("page_id", "node_id", "tag", "type_ordinal", "path")
+    t = targets.select("page_id", "node_id").distinct().join(n.select("page_id", "node_id", "path"), ["page_id", "node_id"])
+    anc = t.select("page_id", "node_id", F.posexplode(F.concat("path", F.array("node_id"))).alias("pos", "step_id"))
+    steps = anc.join(n.select("page_id", F.col("node_id").alias("step_id"), "tag", "type_ordinal"), ["page_id", "step_id"])
+    step = F.concat(F.lit("/"), "tag", F.lit("["), F.col("type_ordinal").cast("string"), F.lit("]"))
+    return steps.groupBy("page_id", "node_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", step.alias("s")))), lambda x: x["s"]), "").alias("xpath"))
+
+
 def directory_context(dom, planner: Planner, examples: DataFrame) -> DataFrame:
     """Directory URL, else at least 3 similar nodes to the example."""
     # only examples off directory URLs need the similarity search
