@@ -113,7 +113,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.transform(F.split(whole, "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("w")))
-    m = docs.withColumn("_m", let(lines, measures))
+    # a generator's row is computed once, whatever is filtered or selected from it
+    m = docs.withColumn("_m", F.explode(F.array(let(lines, measures))))
     n = F.col("_m.words.n_words")
     base_failed = (n < MIN_WORDS) | (100 * F.col("_m.words.n_repeat_words") > REPEAT_PERCENT * n)
     lost = n - F.col("_m.good.n_left")
