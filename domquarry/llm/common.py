@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +36,39 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+_SAVED: list[str] = []  # folders of saved tables, in the order of writing
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _SAVED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def saved_within(spark: SparkSession):
+    """A function that keeps a frame by saving it; what else was saved inside is
+    deleted on a clean exit, when nothing reads it any more."""
+    start, kept = len(_SAVED), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = save(df, name)
+        kept.append(_SAVED.pop())
+        return out
+
+    yield keep
+    for path in _SAVED[start:]:
+        _delete(spark, path)
+    _SAVED[start:] = kept
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -12,34 +12,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domquarry.llm.common import save
+from domquarry.llm.common import save, saved_within
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: any orderable type, not null) -> node, root: the
     smallest node of its component, for every node that an edge names."""
-    names = ["a", "b"]
-    both = edges.select(*names).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = save(both.filter("a != b").distinct(), "links")
-    loops = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    roots = None
+    spark = edges.sparkSession
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nodes = both.select(F.col("a").alias("node")).distinct()
+    links, roots = save(both.filter("a != b").distinct(), "links"), None
     while not links.isEmpty():
-        up = save(links.groupBy(F.col("a").alias("node")).agg(
-            F.least(F.col("a"), F.min("b")).alias("root")), "pointers")
-        for _ in range(2):
-            far = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
-            up = up.join(far, "root").select("node", F.col("far").alias("root"))
-        up = save(up, "pointers")
-        if roots is None:
-            roots = up
-        else:
+        # what a round saved on its way goes at its end; its links and roots stay
+        with saved_within(spark) as keep:
+            up = save(links.groupBy(F.col("a").alias("node")).agg(
+                F.least(F.col("a"), F.min("b")).alias("root")), "pointers")
+            for _ in range(2):
+                far = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+                up = up.join(far, "root").select("node", F.col("far").alias("root"))
+            up = save(up, "pointers")
             step = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
-            roots = save(roots.join(step, "root", "left").select(
+            roots = keep(up if roots is None else roots.join(step, "root", "left").select(
                 "node", F.coalesce("far", "root").alias("root")), "roots")
-        left = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        carried = links.join(left, "a").join(right, "b").filter("ra != rb")
-        links = save(carried.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+            left = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+            right = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+            carried = links.join(left, "a").join(right, "b").filter("ra != rb")
+            links = keep(carried.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
     if roots is None:
-        return loops.select("node", F.col("node").alias("root"))
-    return loops.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        return nodes.select("node", F.col("node").alias("root"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
