@@ -30,7 +30,12 @@ def published(folder: str, name: str):
     own, path = f"{root}/.{uuid.uuid4().hex}", f"{root}/{name}"
     with store.open_output_stream(own, compression=None) as out:
         yield out, path
-    store.move(own, path)
+    try:
+        store.move(own, path)
+    except OSError:  # some stores do not replace: another attempt of the task was first
+        if store.get_file_info(path).type != pafs.FileType.File:
+            raise
+        store.delete_file(own)
 
 
 def spread(files: DataFrame, order: str) -> DataFrame:

@@ -35,6 +35,8 @@ UNKNOWN = "und"
 MARK = "▁"
 #: Words that a task remembers before it starts anew (about 200 bytes each).
 MEMO = 300_000
+#: Documents whose words a task holds at once.
+CHUNK = 256
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -114,19 +116,20 @@ def learn(docs: DataFrame, model_bytes: bytes, smooth: float = SMOOTH) -> tuple[
     def count(batches):
         vocabulary, words, pieces = Vocabulary(model_bytes), defaultdict(Counter), defaultdict(Counter)
 
-        def spend(lang):
-            for (word, n), ids in zip(words[lang].items(), vocabulary.cut.encode(list(words[lang]), num_threads=1)):
-                for i in ids:
-                    pieces[lang][i] += n
-            words[lang].clear()
+        def spend():
+            for lang, own in words.items():
+                for n, ids in zip(own.values(), vocabulary.cut.encode(list(own), num_threads=1)):
+                    for i in ids:
+                        pieces[lang][i] += n
+            words.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words[lang].update(letter_words(text))
-                if len(words[lang]) >= MEMO:
-                    spend(lang)
-        for lang in list(words):
-            spend(lang)
+                if sum(map(len, words.values())) >= MEMO:
+                    spend()
+        spend()
+        for lang in pieces:
             if pieces[lang]:
                 ids, n = zip(*pieces[lang].items())
                 yield pa.RecordBatch.from_arrays(
@@ -153,7 +156,7 @@ def predict(docs: DataFrame, model_bytes: bytes, languages: list[str], table: np
     def run(batches):
         model = Model(Vocabulary(model_bytes), small.astype(float))
         memo, scores = {}, np.empty((0, len(languages)))
-        for batch in batches:
+        for batch in (b.slice(at, CHUNK) for b in batches for at in range(0, b.num_rows, CHUNK)):
             found = [letter_words(t) if languages else [] for t in batch.column("text").to_pylist()]
             if len(memo) > MEMO:
                 memo, scores = {}, scores[:0]

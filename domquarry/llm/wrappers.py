@@ -151,8 +151,9 @@ class Page:
                     break
 
     @staticmethod
-    def _marks(name: str, attrs: str) -> tuple[str, bool]:
-        """Key words of an element's attributes, and whether they leave it out."""
+    def _marks(name: str, attrs: str) -> tuple[str, bool, bool]:
+        """Key words of an element's attributes, whether they leave it out, and
+        whether they call it a header."""
         words, hidden = [], False
         for kind, value in ATTRIBUTE.findall(attrs):
             if kind.lower() == "hidden":
@@ -160,18 +161,17 @@ class Page:
             else:
                 words += WORDS.findall(CAMEL.sub(" ", value).lower())
         marks = set(words)
-        out = hidden or bool(marks & MARKED) or bool(marks & HEADER_WORDS) and name != "body"
-        return ".".join(sorted(marks)), out and name not in ("html", "body", "article", "main")
+        out = (hidden or bool(marks & MARKED)) and name not in ("html", "body", "article", "main")
+        return ".".join(sorted(marks)), out, bool(marks & HEADER_WORDS) and name not in ("html", "body", "article", "main")
 
     def _open(self, parent: int, name: str, attrs: str, depth: int) -> int:
         if parent < 0:
             return -1
         if depth > MAX_DEPTH:
             return parent
-        marks, out = self._marks(name, attrs) if attrs else ("", False)
-        # the heading block of an article is part of it
-        if name == "header" and self._inside(parent, ("article",)) and not out:
-            left_out = False
+        marks, out, header = self._marks(name, attrs) if attrs else ("", False, False)
+        if header or name == "header":  # the heading block of an article is part of it
+            left_out = out or not self._inside(parent, ("article",))
         else:
             left_out = name in LEFT_OUT or out
         self.parent.append(parent)

@@ -30,6 +30,7 @@ def text_of(html):
     ("<p>a</p><ul><li>one<li>two</ul><table><tr><td>c<td>d</table>", "a one two c d"),
     ("<p>a < b and 5 <6</p><p title=\"a>b\">q</p><script>if (a<b) '</div>'</script>z", "a < b and 5 <6 q z"),
     ("<p>main</p><section class='comments'><p>first!</p></section>", "main"),
+    ("<header><h1>Title</h1></header><div class='entry-header'>By me</div><p>x</p><footer>tags</footer>", "Title By me x"),
     ("<p>a\n \t b c</p><span hidden>no</span><span class=\"share-bar\">tweet</span>", "a b c"),
 ])
 def test_article(article, want):
@@ -42,6 +43,7 @@ def test_other_layouts():
     assert text_of(HEAD + f"<header>Site</header><div id=wrap><div class=sidebar>links</div><div class=post>{body}</div>"
                    "<div id=comments><p>nice</p></div></div>") == want
     assert text_of(HEAD + f"<main>{body}</main><div>other</div>") == want
+    assert text_of(HEAD + f"<div class='page-header'>Site name</div><div class=text>{body}</div>") == want
     assert text_of("no markup at all &amp; more") == "no markup at all & more"
     assert text_of("") == "" and text_of(None) == ""
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
