@@ -27,7 +27,7 @@ from ..plans.compile import Planner, chain_output, check_compiles, parse_selecto
 from ..session import materialize
 from .containers import MULTI_VALUE_WORDS, PROFILE_LINK_WORDS
 from .extract import LOCATION_CITIES
-from .fallback import select_with_fallback
+from .fallback import resolve_sub_element, select_with_fallback, sub_element_ladder
 from .merge import merge_related
 from .paginate import crawl_pages
 from .subpages import eligible_links, follow_links, page_lookup, subpage_values
@@ -92,7 +92,7 @@ def scrape(dom, planner: Planner, templates: DataFrame, urls: DataFrame | None =
     els = tmpl.select("template_id", F.posexplode("elements").alias("el_pos", "e")).select(
         "template_id", "el_pos", "e.*")
     data, missing = _page_elements(dom, planner, els.where(~F.col("is_container")), walked, smart)
-    records = _records(dom, planner, tmpl, els.where("is_container"), walked)
+    records = _records(dom, planner, tmpl, els.where("is_container"), walked, smart)
 
     errors = missing.groupBy("crawl_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("el_pos", "error"))), lambda s: s["error"]).alias("errors"))
@@ -160,7 +160,7 @@ def _page_elements(dom, planner: Planner, simple: DataFrame, walked: DataFrame,
     return data, missing
 
 
-def _records(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, walked: DataFrame) -> DataFrame:
+def _records(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, walked: DataFrame, smart: bool) -> DataFrame:
     """crawl_id, records, n_containers: every matched container is a record,
     also one without a field (it gets its text, C5) or with a sub-element that
     cannot be matched (its ``error`` says so, C6)."""
@@ -183,7 +183,7 @@ def _records(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, walked: D
     cards = materialize(cm.withColumn("record_index", F.row_number().over(w) - 1).select(
         "template_id", "crawl_id", "page_id", "page_no", F.col("node_id").alias("container_id"), "el_pos",
         F.col("label").alias("list_label"), "record_index", "sub_elements"))
-    fields, failed = _container_fields(dom, planner, cards)
+    fields, failed = _container_fields(dom, planner, cards, smart)
     fields = materialize(fields)
     fields = materialize(_with_subpages(dom, planner, tmpl, conts, cards, fields))
 
@@ -211,8 +211,10 @@ def _records(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, walked: D
     return folded
 
 
-def _container_fields(dom, planner: Planner, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Field values per record, and the records with sub-elements that cannot be matched (error)."""
+def _container_fields(dom, planner: Planner, cards: DataFrame, smart: bool) -> tuple[DataFrame, DataFrame]:
+    """Field values per record, and the records with sub-elements that cannot be
+    matched (error).  ``smart``: a sub-element without a value goes through its
+    label's selectors and the validated fallback rules (C3: E14, E15, E16)."""
     spark = dom.nodes.sparkSession
     subs = cards.select("crawl_id", "page_id", "container_id", "list_label", "record_index",
                         F.posexplode("sub_elements").alias("sub_pos", "s")).select(
@@ -249,12 +251,39 @@ def _container_fields(dom, planner: Planner, cards: DataFrame) -> tuple[DataFram
     v = v.where(~(multi & (F.col("value") == ""))).withColumn("value_ord", F.row_number().over(w))
     fields = v.where(multi | (F.col("value_ord") == 1)).select(
         "crawl_id", "list_label", "record_index", F.col("sub_label").alias("key"), "value_ord", "value")
+    if smart:
+        fields = materialize(fields)
+        fields = fields.unionByName(_by_label(dom, planner, subs, fields))
     failed = subs.where(F.col("sub_selector").isin(bad)) if bad else subs.limit(0)
     failed = failed.groupBy("crawl_id", "list_label", "record_index").agg(F.concat(
         F.lit("Unsupported selector: "), F.array_join(F.array_sort(F.collect_set("sub_selector")), ", ")).alias("error"))
     return fields, failed
 
 
+def _by_label(dom, planner: Planner, subs: DataFrame, fields: DataFrame) -> DataFrame:
+    """C3 for sub-elements that their own selector left without a value: the first
+    value that the label's rules give inside the container."""
+    key = ["crawl_id", "list_label", "record_index"]
+    out = fields.limit(0)
+    have = fields.withColumnRenamed("key", "sub_label").select(*key, "sub_label").distinct()
+    todo = materialize(subs.where("sub_selector <> ''").join(have, [*key, "sub_label"], "left_anti"))
+    # template configuration: one row per distinct sub-element
+    for label, selector, kind, attr in todo.select("sub_label", "sub_selector", "sub_type", "sub_attr").distinct().collect():
+        sub = {"label": label, "selector": selector, "element_type": kind}
+        if not [a for a in sub_element_ladder(sub) if a != selector]:
+            continue
+        own = todo.where((F.col("sub_label") == label) & (F.col("sub_selector") == selector) & (F.col("sub_type") == kind)
+                         & F.col("sub_attr").eqNullSafe(F.lit(attr)))
+        found = resolve_sub_element(dom, planner, own.select("page_id", "container_id").distinct(), sub)
+        values = node_values(dom, found.select("page_id", F.col("scope_id").alias("container_id"), "node_id"), kind, attr,
+                             resolve_links=True)
+        first = values.where("value <> ''").groupBy("page_id", "container_id").agg(
+            F.min_by("value", "node_id").alias("value"))
+        out = out.unionByName(own.join(first, ["page_id", "container_id"]).select(
+            *key, F.lit(label).alias("key"), F.lit(1).alias("value_ord"), "value"))
+    return out
+
+
 def _with_subpages(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, cards: DataFrame,
                    fields: DataFrame) -> DataFrame:
     """The pages that records link to, their elements over the records' fields."""

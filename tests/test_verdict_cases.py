@@ -123,6 +123,18 @@ def test_scrape_walks_pages_and_follows_links(spark, dom_of):
                    "two": [(1, ["P1"], None), (2, ["P2"], None)], "one": [(1, ["P1"], ["Bio 1"])]}
 
 
+def test_scrape_finds_by_label_what_a_selector_misses(spark, dom_of):
+    dom, planner = dom_of([(1, "https://x/p", "<div class=c><h3>Ann Lee</h3><i>ann@x.org</i><em>write @ us</em></div>"
+                            "<div class=c><b class=who>Bob</b></div>")])
+    cards = {"label": "cards", "selector": "div.c", "is_container": True, "sub_elements": [
+        {"label": "name", "selector": "b.who"}, {"label": "email", "selector": "u"}]}
+    t = templates(spark, {"name": "n", "url": "https://x/p", "elements": [cards]})
+    got = [r["fields"] for r in scrape(dom, planner, t).first()["records"]]
+    assert got == [{"name": ["Ann Lee"], "email": ["ann@x.org"]}, {"name": ["Bob"]}]
+    plain = [r["fields"] for r in scrape(dom, planner, t, smart=False).first()["records"]]
+    assert plain == [{"text": ["Ann Leeann@x.orgwrite @ us"]}, {"name": ["Bob"]}]
+
+
 def test_walks_have_no_limit_of_their_own(spark):
     pages = spark.range(1, 251).selectExpr("1L AS crawl_id", "CAST(id AS int) AS page_no")
     assert next_selector_stop(pages, pages).count() == 250
