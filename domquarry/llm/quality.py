@@ -62,13 +62,12 @@ def line_fails(line: Column, line_words: Column) -> Column:
 def repeated_words(all_words: Column, window: int = 3) -> Column:
     """Words that stand in a window of ``window`` words found twice or more.
 
-    Windows are sorted with their places; neighbours that are equal mark both
-    places; a marked place covers ``window`` words, or as many as there are up
-    to the next marked place."""
+    A text whose windows all differ has none.  Else windows are sorted with
+    their places; neighbours that are equal mark both places; a marked place covers
+    ``window`` words, or as many as there are up to the next marked place."""
     def windows(w):
         starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (window - 1), F.lit(0)))
-        return F.sort_array(F.transform(starts, lambda x, i: F.struct(
-            F.concat_ws(" ", x, *[w[i + k] for k in range(1, window)]).alias("text"), i.alias("at"))))
+        return F.transform(starts, lambda x, i: F.concat_ws(" ", x, *[w[i + k] for k in range(1, window)]))
 
     def following(a):
         return F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
@@ -82,7 +81,12 @@ def repeated_words(all_words: Column, window: int = 3) -> Column:
                            lambda a, b: F.least(F.lit(window), F.coalesce(b - a, F.lit(window))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
 
-    return let(windows(all_words), lambda s: let(marked(s), covered))
+    def count(texts):
+        placed = F.sort_array(F.transform(texts, lambda x, i: F.struct(x.alias("text"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(texts)) == F.size(texts), F.lit(0).cast("long")).otherwise(
+            let(placed, lambda s: let(marked(s), covered)))
+
+    return let(windows(all_words), count)
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
