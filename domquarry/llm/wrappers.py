@@ -63,7 +63,7 @@ MARKED = frozenset(
     "notice notices alert newsletter subscribe subscription signup sidebar sidebars side widget widgets menu menus nav "
     "navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond reply replies share "
     "sharing social related recommended recommendations login modal popup overlay toolbar pagination pager skip "
-    "complementary contentinfo search".split())
+    "complementary contentinfo search adsbygoogle copyright gdpr".split())
 HEADER_WORDS = frozenset("header topbar".split())
 
 TOKEN = re.compile(
