@@ -128,10 +128,10 @@ def directory_merge(spark, sf_dir):
     """Fixed projection (name, position, sector, email, profile_link) +
     ``subinfo`` struct {education, credentials} only when non-empty."""
     dom, planner, containers, fields = _cards(spark, sf_dir)
-    links = profile_link_pick(dom, planner, containers, fields, CARD_SUBS)
+    links = materialize(profile_link_pick(dom, planner, containers, fields, CARD_SUBS))
     recs = containers.join(links, ["page_id", "container_id"], "left")
     linked = materialize(follow_links(recs, dom.docs, "profile_link"))
-    sub = subpage_values(dom, planner, linked, PROFILE_ELEMENTS)
+    sub = materialize(subpage_values(dom, planner, linked, PROFILE_ELEMENTS))
     sector = fields.where("label = 'sectors'").groupBy("page_id", "container_index").agg(_joined("sectors").alias("value"))
     main = fields.where("label <> 'sectors'").select("page_id", "container_index", "label", "value_ord", "value").unionByName(
         sector.select("page_id", "container_index", F.lit("sector").alias("label"), F.lit(1).alias("value_ord"), "value"))
@@ -185,7 +185,7 @@ def subpage_container_rows(spark, sf_dir):
     error where there is no link or no data."""
     dom, planner = rendered_dom(spark, sf_dir)
     listing = dom.docs.where(F.col("url").rlike(r"/people\?page=")).select("page_id")
-    cards = find_containers(planner, "div.profile-card, div.directory").join(listing, "page_id", "left_semi")
+    cards = materialize(find_containers(planner, "div.profile-card, div.directory").join(listing, "page_id", "left_semi"))
     rows = subpage_records_from_containers(dom, planner, cards, PROFILE_ELEMENTS)
     name = F.array_join(F.col("fields")["education"], "|")
     return rows.join(dom.docs.select("page_id", "url"), "page_id").select(

@@ -13,6 +13,7 @@ from ..operators.fallback import element_ladder, find_with_fallback, resolve_sub
 from ..operators.merge import merge_initial_paginated
 from ..operators.subpages import eligible_links, link_queue, subpage_records_from_containers
 from ..operators.values import node_values
+from ..session import materialize
 from .common import page_dom, table
 from .directory_queries import PER_PAGE, _POSITION, _SECTORS, _SUPPLIERS, rendered_dom
 from .page_queries import ARTICLE_PARAGRAPHS_SQL
@@ -228,14 +229,14 @@ def first_education(spark, sf_dir):
     from ..operators.containers import container_fields
     from ..operators.subpages import follow_links, subpage_values
     dom, planner = rendered_dom(spark, sf_dir)
-    cont = find_containers(planner, "div.profile-card")
-    fields = container_fields(dom, planner, cont, [
+    cont = materialize(find_containers(planner, "div.profile-card"))
+    fields = materialize(container_fields(dom, planner, cont, [
         {"label": "card", "selector": ""},
-        {"label": "profile_link", "selector": "a.profile", "element_type": "link"}])
+        {"label": "profile_link", "selector": "a.profile", "element_type": "link"}]))
     links = fields.where(F.col("label") == "profile_link").select("page_id", "container_id",
                                                                  F.col("value").alias("profile_link"))
     card = fields.where(F.col("label") == "card").select("page_id", "container_id", F.col("value").alias("card"))
-    linked = follow_links(links, dom.docs, "profile_link")
+    linked = materialize(follow_links(links, dom.docs, "profile_link"))
     sub = subpage_values(dom, planner, linked, [{"label": "education", "selector": "ul.education li"}], cap=1)
     return (linked.join(card, ["page_id", "container_id"]).join(sub, "subpage_id", "left")
             .select("profile_link", F.length("card").cast("bigint").alias("card_chars"),

@@ -168,7 +168,7 @@ def listing_walk(spark, sf_dir):
         "crawl_id", "page_no", F.col("container_index").alias("idx"), F.col("value").alias("item")))
     pages = listing.select("crawl_id", "page_no")
     has_next = materialize(planner.select("a.next").join(listing, "page_id").select("crawl_id", "page_no"))
-    walked = next_selector_stop(pages, has_next)
+    walked = materialize(next_selector_stop(pages, has_next))
     stops = empty_streak_stop(items, pages, k=3, walk=materialize(walk_pages(pages)))
     appended = append_accumulate(items, walked).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_appended"))
     distinct = distinct_accumulate(items, walked).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_distinct"))

@@ -65,19 +65,10 @@ def find_containers(planner: Planner, selector: str, selector_type: str = "css",
         return index_containers(similar.unionByName(own).withColumnRenamed("container_id", "node_id"))
     if not ladder and not after:
         return index_containers(planner.select(selector, selector_type=selector_type))
-    parts = []
-    rungs = (ladder or []) + [([selector], 1)] + (after or [])
-    for prio, (alts, min_count) in enumerate(rungs):
-        try:
-            m = planner.select_first(alts, min_count=min_count)
-        except SelectorError as exc:
-            log.warning("container rung %d skipped: %s", prio, exc)
-            continue
-        parts.append(m.select("page_id", "scope_id", "node_id", F.lit(prio).alias("rung")))
-    allm = reduce(DataFrame.unionByName, parts)
-    best = F.min("rung").over(Window.partitionBy("page_id"))
-    return index_containers(allm.withColumn("_best", best).where(F.col("rung") == F.col("_best"))
-                            .select("page_id", "scope_id", "node_id").distinct())
+    rungs = [*(ladder or []), ([selector], 1), *(after or [])]
+    flat = [(alt, min_count) for alts, min_count in rungs for alt in alts]
+    return index_containers(planner.select_ranked(flat, selector_type=selector_type).select(
+        "page_id", "scope_id", "node_id").distinct())
 
 
 def container_fields(dom, planner: Planner, containers: DataFrame, sub_elements: list[dict],

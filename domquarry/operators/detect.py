@@ -8,7 +8,7 @@ semi-join) -- never a loop over pages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import candidate_is_valid, is_directory_url, is_generic_class
@@ -208,18 +208,18 @@ def directory_containers(dom, planner: Planner) -> DataFrame:
 
 
 def validate_candidates(dom, candidates: DataFrame, label: str, element_type: str = "text",
-                        max_fraction: float = 0.8) -> DataFrame:
-    """Keep a (page, scope) group's valid candidates only if 0 < valid
-    <= ``max_fraction`` of its candidates."""
+                        max_fraction: float = 0.8, by: tuple = ("page_id", "scope_id")) -> DataFrame:
+    """Keep the valid candidates of a group (``by``: page and scope, or a
+    rung of them) only if 0 < valid <= ``max_fraction`` of its candidates."""
     v = node_values(dom, candidates, "text")
     # the href from the same node rows: the candidate plan is read once
     attrs = dom.nodes.select("page_id", "node_id", F.col("attrs")["href"].alias("href"))
     both = v.join(attrs, ["page_id", "node_id"])
     both = both.withColumn("ok", candidate_is_valid(label, element_type, F.col("value"), F.col("href")))
-    g = both.groupBy("page_id", "scope_id").agg(F.count(F.lit(1)).alias("n"),
-                                                F.count(F.when(F.col("ok"), 1)).alias("n_ok"))
-    keep = g.where((F.col("n_ok") > 0) & (F.col("n_ok") <= F.col("n") * max_fraction))
-    return both.where("ok").join(keep.select("page_id", "scope_id"), ["page_id", "scope_id"], "left_semi")
+    # counts by a window on the group: the candidate plan is read once
+    w = Window.partitionBy(*by)
+    both = both.withColumns({"_n": F.count(F.lit(1)).over(w), "_ok": F.count(F.when(F.col("ok"), 1)).over(w)})
+    return both.where(F.col("ok") & (F.col("_ok") <= F.col("_n") * max_fraction)).drop("_n", "_ok")
 
 
 def similar_nodes(dom, examples: DataFrame) -> DataFrame:

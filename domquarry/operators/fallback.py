@@ -157,20 +157,22 @@ def resolve_sub_element(dom, planner: Planner, containers: DataFrame, sub: dict,
                                   "left_anti"))
     if not fb or todo.isEmpty():
         return first
-    parts = []
+    # all rungs as one batched plan; validated per rung, the first valid one wins
+    named = []
     for i, xp in enumerate(fb):
         try:
-            cands = planner.select(xp, scope=todo)
+            parsed = parse_selector(xp, relative=True)
+            check_compiles(parsed)
         except SelectorError as exc:
             log.warning("rule skipped: %s", exc)
             continue
-        ok = validate_candidates(dom, cands, lab, et, max_fraction)
-        parts.append(ok.select("page_id", "scope_id", "node_id", F.lit(len(head) + i).alias("priority")))
-    if not parts:
+        named.append((str(len(head) + i), parsed))
+    if not named:
         return first
-    rest = parts[0]
-    for p_ in parts[1:]:
-        rest = rest.unionByName(p_)
+    cands = planner.select_many(named, scope=todo).select(
+        "page_id", "scope_id", "node_id", F.col("key").cast("int").alias("priority")).distinct()
+    rest = validate_candidates(dom, cands, lab, et, max_fraction, by=("page_id", "scope_id", "priority")).select(
+        "page_id", "scope_id", "node_id", "priority")
     best = F.min("priority").over(Window.partitionBy("page_id", "scope_id"))
     rest = rest.withColumn("_b", best).where(F.col("priority") == F.col("_b")).drop("_b")
     return first.unionByName(rest)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .rank import row_number_within
 
 # Keys that mark a main list / a subpage list.
@@ -48,7 +49,7 @@ def merge_related(lists: DataFrame) -> DataFrame:
     ``education`` / ``credential`` lists merge flat; others nest under
     ``<clean label>_details.<key>``.  Pages without both kinds keep their
     lists unchanged; subpage lists are dropped where a merge ran."""
-    kinds = classify_lists(lists)
+    kinds = materialize(classify_lists(lists))  # one row per list; read by every branch below
     both = (kinds.groupBy("page_id").agg(F.max((F.col("kind") == "main").cast("int")).alias("m"),
                                          F.max((F.col("kind") == "subpage").cast("int")).alias("s"))
             .where("m = 1 AND s = 1").select("page_id"))
@@ -68,6 +69,7 @@ def merge_related(lists: DataFrame) -> DataFrame:
                 .withColumn("m_index", F.col("idx")).withColumnRenamed("idx", "s_index").drop("s_link"))
     by_link = by_link.drop("s_link")
     pairs = by_link.unionByName(by_index).dropDuplicates(["page_id", "m_label", "m_index", "s_label", "s_index"])
+    pairs = materialize(pairs)
     sub_fields = (lists.where(~F.col("key").startswith("_"))
                   .select("page_id", F.col("list_label").alias("s_label"), F.col("record_index").alias("s_index"),
                           "key", "value_ord", "value"))
@@ -81,8 +83,8 @@ def merge_related(lists: DataFrame) -> DataFrame:
     w = Window.partitionBy("page_id", "m_label", "m_index", "key")
     incoming = (incoming.withColumn("_last", F.max(F.struct("s_order", "s_index")).over(w))
                 .where(F.struct("s_order", "s_index") == F.col("_last")))
-    incoming = incoming.select("page_id", F.col("m_label").alias("list_label"),
-                               F.col("m_index").alias("record_index"), "key", "value_ord", "value")
+    incoming = materialize(incoming.select("page_id", F.col("m_label").alias("list_label"),
+                                           F.col("m_index").alias("record_index"), "key", "value_ord", "value"))
     base = l2.join(both, "page_id", "left_anti").drop("kind")
     merged_pages = l2.join(both, "page_id", "left_semi").where(F.col("kind") != "subpage")
     kept = merged_pages.join(incoming.select(*_REC, "key").distinct(), _REC + ["key"], "left_anti")

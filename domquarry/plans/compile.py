@@ -540,18 +540,26 @@ class Planner:
                      selector_type: str = "css", min_count: int = 1) -> DataFrame:
         """Ordered alternatives, first with >= ``min_count`` matches wins,
         decided per (page, scope).  Output adds ``priority``."""
-        named = []
-        for prio, alt in enumerate(alternatives):
+        return self.select_ranked([(a, min_count) for a in alternatives], scope, selector_type)
+
+    def select_ranked(self, rungs: list, scope: DataFrame | None = None, selector_type: str = "css") -> DataFrame:
+        """Ordered ``(selector, min_count)`` rungs; per (page, scope) the first with
+        enough matches wins.  All rungs run as one batched plan; output adds
+        ``priority`` (the rung's place).  A rung that does not compile is skipped
+        with a log line."""
+        named, least = [], {}
+        for prio, (alt, min_count) in enumerate(rungs):
             try:
                 sel = alt if isinstance(alt, SelectorList) else parse_selector(
                     alt, selector_type, relative=scope is not None)
                 check_compiles(sel)
             except SelectorError as exc:
-                log.warning("selector %d of %d skipped: %s", prio + 1, len(alternatives), exc)
+                log.warning("selector %d of %d skipped: %s", prio + 1, len(rungs), exc)
                 continue
             named.append((str(prio), sel))
+            least[prio] = min_count
         if not named:
-            raise SelectorError(f"no usable selector in {alternatives!r}")
+            raise SelectorError(f"no usable selector in {[a for a, _ in rungs]!r}")
         allm = (self.select_many(named, scope=scope)
                 .select(*_KEYS, F.col("key").cast("int").alias("priority")))
         # a node matched by two chains of one alternative counts once
@@ -559,9 +567,10 @@ class Planner:
         # windows over (page, scope): they run on the node table's page
         # partitioning (no exchange) and, unlike joining the matches back to
         # an aggregate of themselves, keep the plan linear in the rungs
-        if min_count > 1:
+        if max(least.values()) > 1:
             n = F.count(F.lit(1)).over(Window.partitionBy("page_id", "scope_id", "priority"))
-            allm = allm.withColumn("_n", n).where(F.col("_n") >= min_count).drop("_n")
+            need = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("priority")]
+            allm = allm.withColumn("_n", n).where(F.col("_n") >= need).drop("_n")
         best = F.min("priority").over(Window.partitionBy("page_id", "scope_id"))
         return allm.withColumn("_best", best).where(F.col("priority") == F.col("_best")).drop("_best")
 
