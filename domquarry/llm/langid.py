@@ -29,14 +29,18 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from domquarry.llm.tokens import worker_state
+
 FOLDS = 5
 SMOOTH = 0.1
 UNKNOWN = "und"
 MARK = "▁"
-#: Words that a task remembers before it starts anew (about 200 bytes each).
-MEMO = 300_000
+#: Words that a worker remembers before it starts anew (about 200 bytes each).
+MEMO = 1_000_000
+#: Below this a probability is summed by logarithms.
+SAFE_LOG = -600.0
 #: Documents whose words a task holds at once.
-CHUNK = 256
+CHUNK = 1024
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -75,7 +79,7 @@ class Model:
     """Scores words: ``table`` has the log probability of each piece (row) in each language."""
 
     def __init__(self, vocabulary: Vocabulary, table: np.ndarray):
-        self.vocabulary, self.table = vocabulary, table
+        self.vocabulary, self.table, self.plain = vocabulary, table, np.exp(table)
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities (word, language): for words of equal length all at once."""
@@ -90,24 +94,36 @@ class Model:
         return out
 
     def _forward(self, words: list[str]) -> np.ndarray:
-        find, table, n = self.vocabulary.ids.get, self.table, len(words[0])
-        # state i: log of the summed probability of all ways to cut the first i characters
-        ring = min(n, self.vocabulary.longest) + 1
-        states = np.full((ring, len(words), table.shape[1]), -np.inf)
-        states[0] = 0.0
+        """Log probabilities of words of one length: by plain sums, and again by
+        sums of logarithms where a word's probability is too small for those."""
+        with np.errstate(divide="ignore"):
+            out = np.log(self._sums(words, self.plain, np.add, np.multiply, 1.0, 0.0))
+        small = np.flatnonzero((out < SAFE_LOG).any(axis=1))
+        if len(small):
+            out[small] = self._sums([words[i] for i in small], self.table, np.logaddexp, np.add, 0.0, -np.inf)
+        return out
+
+    def _sums(self, words: list[str], table: np.ndarray, plus, times, one: float, zero: float) -> np.ndarray:
+        """The forward algorithm in the semiring (plus, times)."""
+        find, longest, n = self.vocabulary.ids.get, self.vocabulary.longest, len(words[0])
+        shape = len(words), table.shape[1]
+        states = [np.full(shape, one)]  # of the last ends: all ways to cut the characters before
         for end in range(1, n + 1):
-            here = np.full((len(words), table.shape[1]), -np.inf)
-            for start in range(max(0, end - ring + 1), end):
-                ids = np.fromiter((find(w[start:end], -1) for w in words), np.int64, len(words))
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    here[rows] = np.logaddexp(here[rows], states[start % ring][rows] + table[ids[rows]])
-                if start == end - 1 and len(rows) < len(words):
-                    for r in np.flatnonzero(ids < 0).tolist():
-                        cut = self.vocabulary.bytes[list(words[r][start].encode("utf-8", "surrogatepass"))]
-                        here[r] = np.logaddexp(here[r], states[start % ring][r] + table[cut].sum(axis=0))
-            states[end % ring] = here
-        return states[n % ring]
+            here = np.full(shape, zero)
+            for back in range(min(end, longest), 0, -1):
+                ids = [find(w[end - back:end], -1) for w in words]
+                if max(ids) >= 0:
+                    ids = np.array(ids)
+                    rows = np.flatnonzero(ids >= 0)
+                    here[rows] = plus(here[rows], times(states[-back][rows], table[ids[rows]]))
+                if back == 1:
+                    for r in np.flatnonzero(np.less(ids, 0)).tolist():
+                        way = states[-1][r]
+                        for b in words[r][end - 1].encode("utf-8", "surrogatepass"):
+                            way = times(way, table[self.vocabulary.bytes[b]])
+                        here[r] = plus(here[r], way)
+            states = [*states[-longest + 1:], here] if longest > 1 else [here]
+        return states[-1]
 
 
 def learn(docs: DataFrame, model_bytes: bytes, smooth: float = SMOOTH) -> tuple[list[str], np.ndarray]:
@@ -126,7 +142,7 @@ def learn(docs: DataFrame, model_bytes: bytes, smooth: float = SMOOTH) -> tuple[
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words[lang].update(letter_words(text))
-                if sum(map(len, words.values())) >= MEMO:
+                if sum(map(len, words.values())) >= MEMO // 4:
                     spend()
         spend()
         for lang in pieces:
@@ -153,16 +169,23 @@ def predict(docs: DataFrame, model_bytes: bytes, languages: list[str], table: np
     probability of the language given the text, instead of text."""
     small = table.astype(np.float32)  # languages x pieces numbers go with the task code
 
+    key = hash((small.tobytes(), model_bytes))
+
     def run(batches):
-        model = Model(Vocabulary(model_bytes), small.astype(float))
-        memo, scores = {}, np.empty((0, len(languages)))
+        state = worker_state()  # a later task of this worker goes on with its model and words
+        if getattr(state, "languages", (None,))[0] != key:
+            state.languages = key, Model(Vocabulary(model_bytes), small.astype(float)), {}, []
+        _, model, memo, parts = state.languages
+        scores = np.concatenate(parts) if parts else np.empty((0, len(languages)))
         for batch in (b.slice(at, CHUNK) for b in batches for at in range(0, b.num_rows, CHUNK)):
             found = [letter_words(t) if languages else [] for t in batch.column("text").to_pylist()]
             if len(memo) > MEMO:
-                memo, scores = {}, scores[:0]
+                memo.clear()
+                scores = scores[:0]
             new = list(dict.fromkeys(w for ws in found for w in ws if w not in memo))
             memo.update(zip(new, range(len(memo), len(memo) + len(new))))
             scores = np.concatenate([scores, model.words(new)])
+            parts[:] = [scores]
             lang, score = [], []
             for ws in found:
                 if not ws:
