@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.predicates import attribute_name_of, profile_link_selector, template_element_type_of
 from ..operators import render
 from ..operators.containers import container_fields, find_containers, records
 from ..operators.detect import (container_count, directory_context, first_rule, page_detection, similar_nodes,
@@ -154,6 +155,27 @@ SELECT url, 'control' AS label, 'Failed to extract control: Required element not
 FROM g WHERE second
 """
 
+def grid_element_types(spark, sf_dir):
+    """E24 + E25: what a template element for each control would read, and the
+    selector that a link suggests."""
+    dom, planner = grid_dom(spark, sf_dir)
+    m = planner.select("img, input, button, a.next").join(
+        dom.nodes.select("page_id", "node_id", "tag", "attrs"), ["page_id", "node_id"])
+    href = F.col("attrs")["href"]
+    rows = m.select("page_id", "tag", template_element_type_of(F.col("tag")).alias("element_type"),
+                    attribute_name_of(F.col("tag")).alias("attribute"),
+                    F.col("attrs")[F.coalesce(attribute_name_of(F.col("tag")), F.lit(""))].alias("value"),
+                    F.when(F.col("tag") == "a", profile_link_selector(href)).alias("link_selector"))
+    return _with_url(rows, dom).select("url", "tag", "element_type", "attribute", "value", "link_selector")
+
+
+GRID_ELEMENT_TYPES_SQL = f"""{_GRID}
+SELECT url, 'img' AS tag, 'attribute' AS element_type, 'src' AS attribute, '/logo.png' AS value, NULL AS link_selector FROM g
+UNION ALL SELECT url, 'input', 'attribute', 'value', 'q', NULL FROM g
+UNION ALL SELECT url, 'button', 'text', NULL, NULL, NULL FROM g WHERE NOT second AND block % 2 = 0
+UNION ALL SELECT url, 'a', 'link', NULL, NULL, 'a[href]' FROM g WHERE NOT second AND block % 2 = 1
+"""
+
 # element of each rung: (rung, element, expected patterns, what the winner is)
 _RUNGS = [
     ("E8", {"label": "work email", "selector": ".no-such-mail"}, None),

@@ -121,6 +121,10 @@ def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None
               num_partitions: int | None = None) -> Dom:
     """Tokenise ``pages(page_id, html, ...)`` into a ``Dom``.
 
+    Where ``pages`` has a ``status`` column, only pages with a status of 200 to
+    299 (or none) have html; the others keep their row, as pages that could not be
+    fetched.
+
     The node table is hash-partitioned by ``page_id`` once.  Every later step
     is per page -- selector joins on ``(page_id, node_id)``, per-page
     aggregates and windows, the page-text join -- so with
@@ -135,6 +139,9 @@ def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None
     splits already give the parallelism.
     """
     spark = pages.sparkSession
+    if "status" in pages.columns:
+        fetched = F.col("status").isNull() | F.col("status").between(200, 299)
+        pages = pages.withColumn("html", F.when(fetched, F.col("html")))
     src = pages.select("page_id", "html", "url")
     target = min_partitions or spark.sparkContext.defaultParallelism
     splits = src.rdd.getNumPartitions()  # planning only: a bare scan has no exchange to run

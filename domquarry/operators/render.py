@@ -146,7 +146,7 @@ def grid_pages(supplier: DataFrame) -> DataFrame:
         F.lit('<a class="next" href="?offset=20">Next</a>'))
     mark = F.when(F.col("block") % 3 == 0, F.lit(' data-grid="1"')).otherwise(F.lit(""))
     html = F.concat(F.lit("<html><head><title>Grid "), F.col("block").cast("string"), F.lit("</title></head><body><div"),
-                    mark, F.lit('><section class="people-list">'), body, F.lit("</section>"), more, F.lit("</div></body></html>"))
+                    mark, F.lit('><img src="/logo.png"><input value="q"><section class="people-list">'), body, F.lit("</section>"), more, F.lit("</div></body></html>"))
     url = F.concat(F.lit("https://grid.example/s/"), F.col("block").cast("string"),
                    F.when(F.col("second"), F.lit("?offset=20")).otherwise(F.lit("")))
     return p.select((F.lit(1 << 59) + F.col("block") * 2 + F.col("second").cast("int")).alias("page_id"),

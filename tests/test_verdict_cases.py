@@ -102,6 +102,18 @@ def test_scrape_keeps_every_record_and_result(spark, dom_of, tmp_path):
     assert "/roster_" in export_results(frame, str(tmp_path), "Roster")
 
 
+def test_pages_with_an_error_status(spark):
+    from domquarry.operators.nodes import build_dom
+    from domquarry.plans.compile import Planner
+
+    pages = spark.createDataFrame([(1, "https://x/a", "<title>ok</title>", 200), (2, "https://x/b", "<title>gone</title>", 404),
+                                   (3, "https://x/c", "<title>old</title>", None)], "page_id long, url string, html string, status int")
+    dom = build_dom(pages, min_partitions=2, num_partitions=2)
+    t = templates(spark, *[{"name": n, "url": f"https://x/{n}", "elements": [{"label": "t", "selector": "title"}]} for n in "abc"])
+    got = {r["template_name"]: (r["success"], r["data"].get("t")) for r in scrape(dom, Planner(dom), t).collect()}
+    assert got == {"a": (True, ["ok"]), "b": (False, None), "c": (True, ["old"])}
+
+
 def test_scrape_walks_pages_and_follows_links(spark, dom_of):
     def listing(k, more):
         return (f"<ul><li><b>P{k}</b><a href='/p/{k}'>profile</a></li></ul>" + ("<a class=next>n</a>" if more else ""))
