@@ -6,8 +6,8 @@ host are aligned one after another: what matches stays, what only one side has
 becomes an optional group, what repeats becomes a repeated group, and text
 becomes a slot that remembers how much text filled it.  The result is the
 host's wrapper, a regular expression without unions.  Its content region is the
-article element, else the main element, else the deepest node that holds most of
-the text; navigation, headers and footers of the page, sidebars, notices,
+article element, else the main element, else the deepest container that holds
+all of the text that is not left out; navigation, headers and footers of the page, sidebars, notices,
 adverts, forms, comments and the like are left out by tag and by class, id or
 role.  A page gives the whole text of its nodes at the region's place.
 
@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from domquarry.llm.common import save
 
 MAX_DEPTH = 48
-#: Share of the text that the content region must hold where no article is marked.
-REGION_SHARE = 0.6
 #: Groups of skeletons of one host that are merged apart from each other first.
 PARTS = 32
 
@@ -57,6 +55,10 @@ CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td
 CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
 SCOPES = frozenset("ul ol dl table select html body div article section main aside td th".split())
 P_ENDS = BLOCKS - frozenset("br option optgroup caption td th tr tbody thead tfoot head html body title dd dt li".split())
+#: Blocks of text: a region is their container, never one of them.
+TEXT_BLOCKS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 hgroup li ul ol dl dt dd table thead tbody tfoot tr td th caption pre blockquote "
+    "figure figcaption address details summary".split())
 #: Words of class, id or role that mark what is not the article.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
@@ -191,7 +193,7 @@ class Page:
         size = [0] * len(self.key)
         for node, text in self.text:
             if node >= 0:
-                size[node] += len(text) if text != " " else 0
+                size[node] += 0 if text.isspace() else len(text)
         nodes = [[k, 1, 1, n, []] for k, n in zip(self.key, size)]
         gone = [False] * len(nodes)
         for i in range(1, len(nodes)):
@@ -312,12 +314,12 @@ def region_of(wrapper: list) -> list[list[str]]:
         outer = [p for p in places if not any(p[:len(q)] == q and p != q for q in places)]
         if outer:
             return [list(p) for p in dict.fromkeys(map(tuple, outer))]
-    node, place, all_text = wrapper, [], total(wrapper)
-    while True:
-        step = max(((total(c), -i, c) for i, c in enumerate(node[4])), default=None, key=lambda x: x[:2])
-        if not step or step[0] < REGION_SHARE * all_text or not all_text:
+    node, place = wrapper, []
+    while True:  # a step leaves no text behind: what is left out is not in the wrapper
+        step = [c for c in node[4] if total(c)]
+        if node[3] or len(step) != 1 or step[0][0].split(".")[0] in TEXT_BLOCKS:
             return [place]
-        node = step[2]
+        node = step[0]
         place = place if node[0] == "()" else [*place, node[0]]
 
 
