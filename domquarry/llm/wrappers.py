@@ -76,7 +76,9 @@ TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|[^<]+|<", re.S | re.I)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: An attribute's name and value (in quotes or not), or a quoted string without a name.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?|\"[^\"]*\"|'[^']*'")
+MARKING = frozenset("class id role itemprop".split())
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -158,9 +160,10 @@ class Page:
         whether they call it a header."""
         words, hidden = [], False
         for kind, value in ATTRIBUTE.findall(attrs):
-            if kind.lower() == "hidden":
+            kind = kind.lower()
+            if kind == "hidden":
                 hidden = True
-            else:
+            elif kind in MARKING:
                 words += WORDS.findall(CAMEL.sub(" ", value).lower())
         marks = set(words)
         out = (hidden or bool(marks & MARKED)) and name not in ("html", "body", "article", "main")

@@ -12,3 +12,11 @@ def test_region_keeps_all_blocks_without_an_article():
     assert text_of(HEAD + parts) == " ".join(["first"] * 13 + ["second"] * 6)
     place = wrappers.region_of(wrappers.Page(HEAD + f"<div class=content>{body}</div>").skeleton())
     assert place[0][-1] == "div.content"
+
+
+def test_attribute_names_only():
+    for attrs in ('style="overflow: hidden"', "style='visibility: hidden'", 'title="The hidden cost"', 'data-x = "a hidden class=ad"',
+                  "title='x' data-hidden", 'data-class="ad" alt=hidden', "href=/a?hidden", 'title="id=ad" "hidden"'):
+        assert text_of(f"<div {attrs}><p>kept</p></div>") == "kept", attrs
+    for attrs in ("hidden", 'title="x" hidden', 'HIDDEN=""', "class = 'ad'", "a=b id=sidebar", 'title="x"class="ad"', "x hidden/"):
+        assert text_of(f"<div><p>kept</p><div {attrs}>gone</div></div>") == "kept", attrs
