@@ -9,7 +9,9 @@ host's wrapper, a regular expression without unions.  Its content region is the
 article element, else the main element, else the deepest container that holds
 all of the text that is not left out; navigation, headers and footers of the page, sidebars, notices,
 adverts, forms, comments and the like are left out by tag and by class, id or
-role.  A page gives the whole text of its nodes at the region's place.
+role.  A mark by class, id or role is no more than a sign: where the wrapper shows
+that the marked element has the host's articles or most of its text, it is kept.
+A page gives the whole text of its nodes at the region's place.
 
 Skeletons are counted per task before they are shuffled, and a host's distinct
 skeletons are merged in two steps, so a hot host is no single task's.  Wrappers
@@ -67,6 +69,21 @@ MARKED = frozenset(
     "sharing social related recommended recommendations login modal popup overlay toolbar pagination pager skip "
     "complementary contentinfo search adsbygoogle copyright gdpr".split())
 HEADER_WORDS = frozenset("header topbar".split())
+#: Words that may stand beside a mark in one name: "share-bar" is a mark, "social-sciences" and "no-sidebar" are not.
+BESIDE = HEADER_WORDS | frozenset(
+    "area bar block blocks body bottom box boxes btn button buttons card cards col column container content cta "
+    "desktop element entry fixed float floating foot form global group head icon icons inner item items left link "
+    "links list lists lower main message middle mobile module news outer page pages panel post posts primary region "
+    "right row secondary section sections site slot sticky sub tag tags text title tool tools top unit units upper "
+    "wp wrap wrapper".split())
+#: Marks that are none inside an article, unless with another mark: notes and columns of the article itself.
+OUTSIDE_ONLY = frozenset("notice notices alert side search".split())
+#: Share of the text (of an article, or of all) above which a marked element is kept.
+KEPT_SHARE = 0.6
+#: Inside an article these are not judged by their id, which names a place in it.
+UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+#: The end of a marked element's key.
+SIGN = "!"
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -91,11 +108,13 @@ def host_of(url: Column) -> Column:
 class Page:
     """Block elements of a page in document order, with the text among them.
 
-    ``parent``, ``key`` (tag and marks), ``out`` (left out by itself) per node;
+    ``parent``, ``key`` (tag and words, ``SIGN`` at the end of a marked one's),
+    ``out`` (left out by tag or hidden) per node;
     ``text``: (node, string) in order, where a block's start and end is a space."""
 
     def __init__(self, html: str | None):
         self.parent, self.key, self.out, self.text = [-1], [""], [False], []
+        self.article = [False]  # whether the node is an article or inside one
         stack = [("", 0)]  # open elements: name, node; -1 in what is left out among inline elements
         for m in TOKEN.finditer(html or ""):
             token, node = m[0], stack[-1][1]
@@ -117,9 +136,10 @@ class Page:
                 if name not in VOID:
                     if block:
                         stack.append((name, self._open(node, name, m["attrs"] or "", len(stack))))
+                    elif name in LEFT_OUT:
+                        stack.append((name, -1))
                     else:
-                        out = name in LEFT_OUT or bool(m["attrs"]) and self._marks(name, m["attrs"])[1]
-                        stack.append((name, -1 if out else node))
+                        stack.append((name, self._inline(node, name, m["attrs"] or "")))
             if block and node >= 0:
                 self.text.append((node, " "))
 
@@ -155,41 +175,57 @@ class Page:
                     break
 
     @staticmethod
-    def _marks(name: str, attrs: str) -> tuple[str, bool, bool]:
-        """Key words of an element's attributes, whether they leave it out, and
-        whether they call it a header."""
-        words, hidden = [], False
+    def _marks(name: str, attrs: str, article: bool) -> tuple[str, bool, bool, bool]:
+        """Key words of an element's attributes, whether it is hidden, whether a
+        word marks it, and whether one calls it a header."""
+        words, hidden, signs, header = [], False, set(), False
         for kind, value in ATTRIBUTE.findall(attrs):
             kind = kind.lower()
             if kind == "hidden":
                 hidden = True
             elif kind in MARKING:
-                words += WORDS.findall(CAMEL.sub(" ", value).lower())
-        marks = set(words)
-        out = (hidden or bool(marks & MARKED)) and name not in ("html", "body", "article", "main")
-        return ".".join(sorted(marks)), out, bool(marks & HEADER_WORDS) and name not in ("html", "body", "article", "main")
+                judged = kind != "id" or not (article and name in UNNAMED)
+                for one in value.strip("\"'").split():
+                    of_one = WORDS.findall(CAMEL.sub(" ", one).lower())
+                    words += of_one
+                    if judged and all(w in MARKED or w in BESIDE or len(w) == 1 for w in of_one):
+                        signs |= MARKED.intersection(of_one)
+                        header |= not HEADER_WORDS.isdisjoint(of_one)
+        if article and signs <= OUTSIDE_ONLY:
+            signs = set()
+        free = name in ("html", "body", "article", "main")
+        return ".".join(sorted(set(words))), hidden and not free, bool(signs) and not free, header and not free
 
     def _open(self, parent: int, name: str, attrs: str, depth: int) -> int:
         if parent < 0:
             return -1
         if depth > MAX_DEPTH:
             return parent
-        marks, out, header = self._marks(name, attrs) if attrs else ("", False, False)
-        if header or name == "header":  # the heading block of an article is part of it
-            left_out = out or not self._inside(parent, ("article",))
+        article = self.article[parent]
+        marks, out, marked, header = self._marks(name, attrs, article) if attrs else ("", False, False, False)
+        if name == "header":  # the heading block of an article is part of it
+            out |= not article
         else:
-            left_out = name in LEFT_OUT or out
+            out |= name in LEFT_OUT
+            marked |= header and not article
         self.parent.append(parent)
-        self.key.append(f"{name}.{marks}" if marks else name)
-        self.out.append(left_out)
+        self.key.append((f"{name}.{marks}" if marks else name) + (SIGN if marked else ""))
+        self.out.append(out)
+        self.article.append(article or name == "article")
         return len(self.parent) - 1
 
-    def _inside(self, node: int, names: tuple) -> bool:
-        while node > 0:
-            if self.key[node].split(".")[0] in names:
-                return True
-            node = self.parent[node]
-        return False
+    def _inline(self, parent: int, name: str, attrs: str) -> int:
+        """Where an inline element's text belongs: only a marked one is a node of its own."""
+        if parent < 0 or not attrs:
+            return parent
+        words, hidden, marked, _ = self._marks(name, attrs, self.article[parent])
+        if hidden or not marked:
+            return -1 if hidden else parent
+        self.parent.append(parent)
+        self.key.append(f"{name}.{words}{SIGN}")
+        self.out.append(False)
+        self.article.append(self.article[parent])
+        return len(self.parent) - 1
 
     def skeleton(self) -> list:
         """[key, least, most, characters, children]: see ``fold``."""
@@ -207,15 +243,17 @@ class Page:
             node[4] = fold(node[4])
         return nodes[0]
 
-    def texts(self, region: list[list[str]]) -> str | None:
-        """The text of the nodes at one of the places; None if there are none."""
-        paths, inside, gone = {tuple(r) for r in region}, [False] * len(self.key), [False] * len(self.key)
+    def texts(self, region: dict) -> str | None:
+        """The text of the nodes at one of the places (see ``region_of``); None if
+        there are none."""
+        paths, keep = ({tuple(r) for r in region[x]} for x in ("places", "keep"))
+        inside, gone = [False] * len(self.key), [False] * len(self.key)
         path, found = [()] * len(self.key), False
         for i in range(len(self.key)):
             up = self.parent[i]
             if i:
                 path[i] = (*path[up], self.key[i])
-                gone[i] = gone[up] or self.out[i]
+                gone[i] = gone[up] or self.out[i] or self.key[i][-1] == SIGN and path[i] not in keep
             inside[i] = not gone[i] and (i > 0 and inside[up] or path[i] in paths)
             found |= inside[i]
         if not found:
@@ -300,30 +338,60 @@ def expression(node: list) -> str:
     return body + ("+" if node[2] > 1 else "") + ("?" if node[1] == 0 else "")
 
 
-def region_of(wrapper: list) -> list[list[str]]:
-    """Places (lists of keys from the root) of the content region."""
-    def walk(node, path):
-        here = path if node[0] in ("", "()") else [*path, node[0]]
-        yield node, here
+def region_of(wrapper: list) -> dict:
+    """``places`` of the content region and of marked elements to ``keep``, each a
+    list of keys from the root."""
+    nodes, up, place = [wrapper], [-1], [()]
+    for i, node in enumerate(nodes):  # grows as it goes: children stand after their parent
         for child in node[4]:
-            yield from walk(child, here)
-
-    def total(node):
-        return node[3] + sum(map(total, node[4]))
-
-    nodes = list(walk(wrapper, []))
-    for name in ("article", "main"):
-        places = [p for n, p in nodes if n[0].split(".")[0] == name and total(n)]
-        outer = [p for p in places if not any(p[:len(q)] == q and p != q for q in places)]
-        if outer:
-            return [list(p) for p in dict.fromkeys(map(tuple, outer))]
-    node, place = wrapper, []
-    while True:  # a step leaves no text behind: what is left out is not in the wrapper
-        step = [c for c in node[4] if total(c)]
-        if node[3] or len(step) != 1 or step[0][0].split(".")[0] in TEXT_BLOCKS:
-            return [place]
-        node = step[0]
-        place = place if node[0] == "()" else [*place, node[0]]
+            nodes.append(child)
+            up.append(i)
+            place.append(place[i] if child[0] == "()" else (*place[i], child[0]))
+    signed = [n[0][-1:] == SIGN for n in nodes]
+
+    def totals(left_out):
+        sums = [0 if gone else n[3] for n, gone in zip(nodes, left_out)]
+        for i in range(len(nodes) - 1, 0, -1):
+            sums[up[i]] += 0 if left_out[i] else sums[i]
+        return sums
+
+    def inherited(of_one):
+        flags = list(of_one)
+        for i in range(1, len(nodes)):
+            flags[i] = flags[i] or flags[up[i]]
+        return flags
+
+    everything = totals([False] * len(nodes))
+    in_marked = inherited(signed)
+
+    def outermost(name, marked):
+        named = [n[0].split(".")[0] == name for n in nodes]
+        over = inherited(named)
+        return [i for i in range(1, len(nodes)) if named[i] and not over[up[i]] and everything[i]
+                and in_marked[i] == marked]
+
+    chosen = next((found for marked in (False, True) for name in ("article", "main")
+                   if (found := outermost(name, marked))), [])
+    tops = set(chosen or [0])
+    scope = inherited([i in tops for i in range(len(nodes))])
+    most = KEPT_SHARE * sum(everything[i] for i in tops)
+    keep = {place[i] for i in range(len(nodes)) if signed[i] and scope[i] and everything[i] > most}
+    for i in chosen:
+        while i > 0:
+            if signed[i]:
+                keep.add(place[i])
+            i = up[i]
+    found = {"keep": sorted(map(list, keep))}
+    kept = totals(inherited([s and place[i] not in keep for i, s in enumerate(signed)]))
+    chosen = [i for i in chosen if kept[i]]
+    if chosen:
+        return {"places": [list(p) for p in dict.fromkeys(place[i] for i in chosen)], **found}
+    at = 0
+    while True:  # a step leaves no text behind but what is left out
+        step = [i for i in range(at + 1, len(nodes)) if up[i] == at and kept[i]]
+        if nodes[at][3] or len(step) != 1 or nodes[step[0]][0].split(".")[0] in TEXT_BLOCKS:
+            return {"places": [list(place[at])], **found}
+        at = step[0]
 
 
 def _skeletons(batches):

@@ -11,7 +11,7 @@ def test_region_keeps_all_blocks_without_an_article():
     parts = f"<div class=wrap><div class=part1>{'first ' * 13}</div><div class=part2>{'second ' * 6}</div></div>"
     assert text_of(HEAD + parts) == " ".join(["first"] * 13 + ["second"] * 6)
     place = wrappers.region_of(wrappers.Page(HEAD + f"<div class=content>{body}</div>").skeleton())
-    assert place[0][-1] == "div.content"
+    assert place["places"][0][-1] == "div.content"
 
 
 def test_attribute_names_only():
@@ -20,3 +20,19 @@ def test_attribute_names_only():
         assert text_of(f"<div {attrs}><p>kept</p></div>") == "kept", attrs
     for attrs in ("hidden", 'title="x" hidden', 'HIDDEN=""', "class = 'ad'", "a=b id=sidebar", 'title="x"class="ad"', "x hidden/"):
         assert text_of(f"<div><p>kept</p><div {attrs}>gone</div></div>") == "kept", attrs
+
+
+def test_marks_are_no_more_than_signs():
+    story = "<h1>Head</h1>" + "<p>A paragraph of the story.</p>" * 5
+    want = "Head" + " A paragraph of the story." * 5
+    for name in ("content has-sidebar", "no-sidebar", "with-ads", "side-by-side", "notice", "widget", "sidebar main"):
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", story):
+            assert text_of(HEAD + f"<nav>n</nav><div class='{name}'>{inner}</div><div class=cookie-bar>c</div>") == want, name
+    assert text_of(f"<x-page class=widget><div class=widget-body>{story}</div></x-page>") == want
+    inside = ("<section id=related-work><p>Work</p></section><h2 id=search-algorithms>Search</h2><h2 id=comments>On it</h2>"
+              "<div class=social-sciences>Sciences</div><div class='side-by-side'>Two</div><div class=notice>Note</div>")
+    assert text_of(f"<article>{story}{inside}</article>") == want + " Work Search On it Sciences Two Note"
+    gone = ("<div class=related-posts><article>card</article></div><div id=comments>c</div><div class='ad-slot'>b</div>"
+            "<span class=share-bar>s</span><div class=social-links>l</div>")
+    assert text_of(f"<article>{story}</article>{gone}") == text_of(f"<article>{story}{gone}</article>") == want
+    assert text_of(f"<div class=post>{story}{gone.replace('article', 'b')}</div>") == want
