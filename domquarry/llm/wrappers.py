@@ -19,9 +19,9 @@ have block elements only, at most ``MAX_DEPTH`` deep; what lies deeper counts to
 the node at that depth, with its text.
 
 Results for odd input: null or empty html gives an empty text; text without any
-markup is the page's text; a null or odd url belongs to the host ""; a page that
-does not fit its host's wrapper is read by a wrapper of its own; repeated rows
-give a row each; an empty table gives no row.
+markup is the page's text; a null or odd url belongs to the host ""; a page
+whose text at the region's place is missing, empty or a small share of its text is
+read by a wrapper of its own (see ``text_by``); repeated rows give a row each; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -80,6 +80,9 @@ BESIDE = HEADER_WORDS | frozenset(
 OUTSIDE_ONLY = frozenset("notice notices alert side search".split())
 #: Share of the text (of an article, or of all) above which a marked element is kept.
 KEPT_SHARE = 0.6
+#: Least share of the text not left out that an article or main element holds as a
+#: page's region, and least share of a page's text that marks may leave.
+LEAST_SHARE, LEAST_LEFT = 0.5, 0.1
 #: Inside an article these are not judged by their id, which names a place in it.
 UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 #: The end of a marked element's key.
@@ -243,26 +246,62 @@ class Page:
             node[4] = fold(node[4])
         return nodes[0]
 
+    def places(self) -> list[tuple]:
+        """The keys from the root to each node."""
+        place = [()] * len(self.key)
+        for i in range(1, len(self.key)):
+            place[i] = (*place[self.parent[i]], self.key[i])
+        return place
+
+    def gone(self, place: list[tuple], keep: list | None) -> list[bool]:
+        """Whether a node is left out; marked ones at a place of ``keep`` are not, None: none is."""
+        kept, gone = {tuple(r) for r in keep or ()}, [False] * len(self.key)
+        for i in range(1, len(self.key)):
+            gone[i] = gone[self.parent[i]] or self.out[i] or (
+                keep is not None and self.key[i][-1] == SIGN and place[i] not in kept)
+        return gone
+
     def texts(self, region: dict) -> str | None:
         """The text of the nodes at one of the places (see ``region_of``); None if
         there are none."""
-        paths, keep = ({tuple(r) for r in region[x]} for x in ("places", "keep"))
-        inside, gone = [False] * len(self.key), [False] * len(self.key)
-        path, found = [()] * len(self.key), False
+        place = self.places()
+        inside = self.inside(region, place, self.gone(place, region["keep"]))
+        return self.joined(inside) if any(inside) else None
+
+    def inside(self, region: dict, place: list[tuple], gone: list[bool]) -> list[bool]:
+        paths, inside = {tuple(r) for r in region["places"]}, [False] * len(self.key)
         for i in range(len(self.key)):
-            up = self.parent[i]
-            if i:
-                path[i] = (*path[up], self.key[i])
-                gone[i] = gone[up] or self.out[i] or self.key[i][-1] == SIGN and path[i] not in keep
-            inside[i] = not gone[i] and (i > 0 and inside[up] or path[i] in paths)
-            found |= inside[i]
-        if not found:
-            return None
+            inside[i] = not gone[i] and (i > 0 and inside[self.parent[i]] or place[i] in paths)
+        return inside
+
+    def amount(self, wanted: list[bool]) -> int:
+        return sum(len(t) for node, t in self.text if node >= 0 and wanted[node] and not t.isspace())
+
+    def joined(self, inside: list[bool]) -> str:
         # the end of a block counts to its parent: outside the region it only ends the text there
         parts = [t if node >= 0 and inside[node] else " " for node, t in self.text
                  if node >= 0 and (inside[node] or t == " ")]
         return " ".join(entities.unescape("".join(parts)).split())
 
+    def text_by(self, region: dict | None) -> str:
+        """The page's text by its host's region, or by its own where there is none,
+        where the marks leave under ``LEAST_LEFT`` of the text, or where the region
+        has no text or under ``LEAST_SHARE`` of what the marks leave; all that they
+        leave if its own region has no more."""
+        place = self.places()
+        everything = self.amount([not x for x in self.gone(place, None)])
+        for last in (False, True):
+            if last:
+                region = region_of(self.skeleton())
+            elif not region:
+                continue
+            gone = self.gone(place, region["keep"])
+            inside = self.inside(region, place, gone)
+            left, there = self.amount([not x for x in gone]), self.amount(inside)
+            if there and there >= LEAST_SHARE * left and (last or left >= LEAST_LEFT * everything):
+                return self.joined(inside)
+        return self.joined([not x for x in gone])
+
 
 def merge(a: list, b: list) -> list:
     """Two nodes of one key as one: text adds up, children are aligned."""
@@ -338,9 +377,10 @@ def expression(node: list) -> str:
     return body + ("+" if node[2] > 1 else "") + ("?" if node[1] == 0 else "")
 
 
-def region_of(wrapper: list) -> dict:
+def region_of(wrapper: list, least: float = LEAST_SHARE) -> dict:
     """``places`` of the content region and of marked elements to ``keep``, each a
-    list of keys from the root."""
+    list of keys from the root.  Articles with less than ``least`` of the text that
+    is not left out are no region."""
     nodes, up, place = [wrapper], [-1], [()]
     for i, node in enumerate(nodes):  # grows as it goes: children stand after their parent
         for child in node[4]:
@@ -370,22 +410,30 @@ def region_of(wrapper: list) -> dict:
         return [i for i in range(1, len(nodes)) if named[i] and not over[up[i]] and everything[i]
                 and in_marked[i] == marked]
 
-    chosen = next((found for marked in (False, True) for name in ("article", "main")
-                   if (found := outermost(name, marked))), [])
-    tops = set(chosen or [0])
-    scope = inherited([i in tops for i in range(len(nodes))])
-    most = KEPT_SHARE * sum(everything[i] for i in tops)
-    keep = {place[i] for i in range(len(nodes)) if signed[i] and scope[i] and everything[i] > most}
-    for i in chosen:
-        while i > 0:
-            if signed[i]:
-                keep.add(place[i])
-            i = up[i]
+    def kept_with(chosen):
+        """Places of marked elements to keep for a region, and the text that is then left."""
+        tops = set(chosen or [0])
+        scope = inherited([i in tops for i in range(len(nodes))])
+        most = KEPT_SHARE * sum(everything[i] for i in tops)
+        keep = {place[i] for i in range(len(nodes)) if signed[i] and scope[i] and everything[i] > most}
+        for i in chosen:
+            while i > 0:
+                if signed[i]:
+                    keep.add(place[i])
+                i = up[i]
+        return keep, totals(inherited([s and place[i] not in keep for i, s in enumerate(signed)]))
+
+    for marked in (False, True):
+        for name in ("article", "main"):
+            chosen = outermost(name, marked)
+            if chosen:
+                keep, kept = kept_with(chosen)
+                chosen = [i for i in chosen if kept[i]]
+                if chosen and sum(kept[i] for i in chosen) >= (LEAST_SHARE if marked else least) * kept[0]:
+                    return {"places": [list(p) for p in dict.fromkeys(place[i] for i in chosen)],
+                            "keep": sorted(map(list, keep))}
+    keep, kept = kept_with([])
     found = {"keep": sorted(map(list, keep))}
-    kept = totals(inherited([s and place[i] not in keep for i, s in enumerate(signed)]))
-    chosen = [i for i in chosen if kept[i]]
-    if chosen:
-        return {"places": [list(p) for p in dict.fromkeys(place[i] for i in chosen)], **found}
     at = 0
     while True:  # a step leaves no text behind but what is left out
         step = [i for i in range(at + 1, len(nodes)) if up[i] == at and kept[i]]
@@ -438,7 +486,7 @@ def _finished(key, table):
     merged = _merged(key, table)
     wrapper = filled(json.loads(merged["shape"][0].as_py()), iter(merged["amounts"][0].as_py()))
     return pa.table({"host": merged["host"], "wrapper": [expression(wrapper)],
-                     "region": [json.dumps(region_of(wrapper))], "pages": merged["pages"]})
+                     "region": [json.dumps(region_of(wrapper, 0))], "pages": merged["pages"]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -455,9 +503,7 @@ def _read(batches):
     for batch in batches:
         texts = []
         for html, region in zip(batch.column("html").to_pylist(), batch.column("region").to_pylist()):
-            page = Page(html)
-            text = page.texts(json.loads(region)) if region else None
-            texts.append(page.texts(region_of(page.skeleton())) or "" if text is None else text)
+            texts.append(Page(html).text_by(json.loads(region) if region else None))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
              pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])

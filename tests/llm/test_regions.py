@@ -36,3 +36,20 @@ def test_marks_are_no_more_than_signs():
             "<span class=share-bar>s</span><div class=social-links>l</div>")
     assert text_of(f"<article>{story}</article>{gone}") == text_of(f"<article>{story}{gone}</article>") == want
     assert text_of(f"<div class=post>{story}{gone.replace('article', 'b')}</div>") == want
+
+
+def test_pages_of_another_template(spark):
+    story = "<h1>Head</h1>" + "<p>A paragraph of the story.</p>" * 5
+    want = "Head" + " A paragraph of the story." * 5
+    pages = [f"<article>{story}</article><div>more</div>"] * 5 + [
+        f"<article></article><div class=body>{story}</div>",
+        f"<article><div class=ad>Buy</div></article><div class=body>{story}</div>",
+        f"<article>Teaser</article><div class=body>{story}</div>",
+        f"<article>Teaser</article><main>{story}</main>",
+        f"<div class=widget>{story}</div>"]
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", HEAD + p) for i, p in enumerate(pages)],
+                               "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_text(df).collect()}
+    assert [got[i] for i in range(len(pages))] == [want] * 5 + [want] * 2 + [
+        "Teaser " + want, want, want]
+    assert text_of(HEAD + pages[7]) == "Teaser " + want
