@@ -14,9 +14,10 @@ that the marked element has the host's articles or most of its text, it is kept.
 A page gives the whole text of its nodes at the region's place.
 
 Skeletons are counted per task before they are shuffled, and a host's distinct
-skeletons are merged in two steps, so a hot host is no single task's.  Wrappers
-have block elements only, at most ``MAX_DEPTH`` deep; what lies deeper counts to
-the node at that depth, with its text.
+skeletons are merged in two steps, so a hot host is no single task's.  Pages are
+read at every depth.  Wrappers have block elements ``MAX_DEPTH`` deep at most, and
+below them article, main and marked elements, ``MAX_DEPTH`` more at most; the text
+of all others below counts to the node above them.
 
 Results for odd input: null or empty html gives an empty text; text without any
 markup is the page's text; a null or odd url belongs to the host ""; a page
@@ -118,6 +119,7 @@ class Page:
     def __init__(self, html: str | None):
         self.parent, self.key, self.out, self.text = [-1], [""], [False], []
         self.article = [False]  # whether the node is an article or inside one
+        self.stored, self.level = [0], [0]  # the nearest node in the skeleton, itself or above, and its depth
         stack = [("", 0)]  # open elements: name, node; -1 in what is left out among inline elements
         for m in TOKEN.finditer(html or ""):
             token, node = m[0], stack[-1][1]
@@ -138,7 +140,7 @@ class Page:
                 node = stack[-1][1]
                 if name not in VOID:
                     if block:
-                        stack.append((name, self._open(node, name, m["attrs"] or "", len(stack))))
+                        stack.append((name, self._open(node, name, m["attrs"] or "")))
                     elif name in LEFT_OUT:
                         stack.append((name, -1))
                     else:
@@ -199,11 +201,9 @@ class Page:
         free = name in ("html", "body", "article", "main")
         return ".".join(sorted(set(words))), hidden and not free, bool(signs) and not free, header and not free
 
-    def _open(self, parent: int, name: str, attrs: str, depth: int) -> int:
+    def _open(self, parent: int, name: str, attrs: str) -> int:
         if parent < 0:
             return -1
-        if depth > MAX_DEPTH:
-            return parent
         article = self.article[parent]
         marks, out, marked, header = self._marks(name, attrs, article) if attrs else ("", False, False, False)
         if name == "header":  # the heading block of an article is part of it
@@ -211,11 +211,18 @@ class Page:
         else:
             out |= name in LEFT_OUT
             marked |= header and not article
+        return self._node(parent, name, marks, out, marked)
+
+    def _node(self, parent: int, name: str, marks: str, out: bool, marked: bool) -> int:
+        i, level = len(self.parent), self.level[parent] + 1
+        stored = level <= MAX_DEPTH or level <= 2 * MAX_DEPTH and (marked or name in ("article", "main"))
         self.parent.append(parent)
         self.key.append((f"{name}.{marks}" if marks else name) + (SIGN if marked else ""))
         self.out.append(out)
-        self.article.append(article or name == "article")
-        return len(self.parent) - 1
+        self.article.append(self.article[parent] or name == "article")
+        self.stored.append(i if stored else self.stored[parent])
+        self.level.append(level if stored else level - 1)
+        return i
 
     def _inline(self, parent: int, name: str, attrs: str) -> int:
         """Where an inline element's text belongs: only a marked one is a node of its own."""
@@ -224,33 +231,31 @@ class Page:
         words, hidden, marked, _ = self._marks(name, attrs, self.article[parent])
         if hidden or not marked:
             return -1 if hidden else parent
-        self.parent.append(parent)
-        self.key.append(f"{name}.{words}{SIGN}")
-        self.out.append(False)
-        self.article.append(self.article[parent])
-        return len(self.parent) - 1
+        return self._node(parent, name, words, False, True)
 
     def skeleton(self) -> list:
         """[key, least, most, characters, children]: see ``fold``."""
+        gone = [False] * len(self.key)
+        for i in range(1, len(gone)):
+            gone[i] = self.out[i] or gone[self.parent[i]]
         size = [0] * len(self.key)
         for node, text in self.text:
-            if node >= 0:
-                size[node] += 0 if text.isspace() else len(text)
+            if node >= 0 and not gone[node]:
+                size[self.stored[node]] += 0 if text.isspace() else len(text)
         nodes = [[k, 1, 1, n, []] for k, n in zip(self.key, size)]
-        gone = [False] * len(nodes)
         for i in range(1, len(nodes)):
-            gone[i] = self.out[i] or gone[self.parent[i]]
-            if not gone[i]:
-                nodes[self.parent[i]][4].append(nodes[i])
+            if not gone[i] and self.stored[i] == i:
+                nodes[self.stored[self.parent[i]]][4].append(nodes[i])
         for node in reversed(nodes):  # children stand after their parent
             node[4] = fold(node[4])
         return nodes[0]
 
     def places(self) -> list[tuple]:
-        """The keys from the root to each node."""
+        """The keys from the root to each node, as in the skeleton; a node that is
+        not in it has none."""
         place = [()] * len(self.key)
         for i in range(1, len(self.key)):
-            place[i] = (*place[self.parent[i]], self.key[i])
+            place[i] = (*place[self.stored[self.parent[i]]], self.key[i]) if self.stored[i] == i else None
         return place
 
     def gone(self, place: list[tuple], keep: list | None) -> list[bool]:
@@ -258,7 +263,7 @@ class Page:
         kept, gone = {tuple(r) for r in keep or ()}, [False] * len(self.key)
         for i in range(1, len(self.key)):
             gone[i] = gone[self.parent[i]] or self.out[i] or (
-                keep is not None and self.key[i][-1] == SIGN and place[i] not in kept)
+                keep is not None and self.key[i][-1] == SIGN and place[self.stored[i]] not in kept)
         return gone
 
     def texts(self, region: dict) -> str | None:

@@ -53,3 +53,17 @@ def test_pages_of_another_template(spark):
     assert [got[i] for i in range(len(pages))] == [want] * 5 + [want] * 2 + [
         "Teaser " + want, want, want]
     assert text_of(HEAD + pages[7]) == "Teaser " + want
+
+
+def test_marks_at_every_depth():
+    story = "<h1>Head</h1>" + "<p>A paragraph of the story.</p>" * 5
+    want = "Head" + " A paragraph of the story." * 5
+    gone = "<nav>n</nav><header>h</header><div class=ad>b</div><div id=comments>c</div><footer>f</footer><p hidden>x</p>"
+    n = wrappers.MAX_DEPTH
+    for deep in ("<div>" * (n + 5), "<table><tr><td><div>" * n, "<font>" * (n + 5), "<div><span>" * 4 * n):
+        assert text_of(HEAD + deep + gone + story) == want
+        assert text_of(HEAD + deep + f"<div>other</div><article>{story}</article>{gone}") == want
+        assert text_of(HEAD + deep + f"<div>other</div><div class=widget><main>{story}</main></div>{gone}") == want
+        assert text_of(HEAD + deep + f"<div class=widget>{story}</div>{gone}") == want
+    marked = wrappers.Page("<div class=widget>" * 4 * n + "<article>" * 4 * n + story)
+    assert marked.text_by(None) == want
