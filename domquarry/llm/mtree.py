@@ -18,8 +18,13 @@ without computing anything.  Scores are exact integers.
 Queries are sent to trees, trees are never copied to all queries, and a tree
 that many queries visit is read by several tasks.
 
-Results for odd input: vectors that are null, or hold a null, a non-finite
-component or one beyond 2^26 in magnitude, and rows without id, take no part;
+Vectors with a component beyond 2^26 in magnitude (after the factor 256) are in no
+tree: blocks of them are scored against blocks of queries, and as queries against
+all vectors, in integers of any length.
+
+Results for odd input: vectors that are null, or hold a null or a non-finite
+component, or one of 2^63 or more (where the SQL fails), and rows without id, take
+no part; a score beyond 2^63 - 1 counts as that;
 only vectors of one length are compared; a candidate with the query's own id is
 the query's own; other repeated rows count one by one; equal queries (id and
 vector) are one query; an empty table gives no row.
@@ -54,6 +59,14 @@ def quantised(embedding: Column) -> Column:
     return F.when(F.forall(scaled, lambda x: x.isNotNull()), scaled)
 
 
+def wide(embedding: Column) -> Column:
+    """floor(256 x) per component as long, of the vectors that ``quantised`` has as
+    null for their size alone; null for all others."""
+    scaled = F.transform(embedding, lambda x: F.floor(256 * F.when(
+        F.abs(x.cast("double")) < float(1 << 55), x.cast("double"))))
+    return F.when(quantised(embedding).isNull() & F.forall(scaled, lambda x: x.isNotNull()), scaled)
+
+
 def vector_rows(column: pa.Array) -> np.ndarray:
     """A list column, all of one length, as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -210,12 +223,58 @@ def _visit(pages: DataFrame, visits: DataFrame, m_of: dict[int, int], k: int, ta
 
 
 def distinct_vectors(vectors: DataFrame, k: int = K) -> DataFrame:
-    """``vectors`` (vec_id, v) -> v, dim, ids: the k + 1 smallest ids of each
-    vector, in two steps so that a vector of very many rows is no single task's."""
-    some = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1)
-    part = vectors.withColumn("part", F.pmod(F.hash("vec_id"), F.lit(64))).groupBy("v", "part").agg(some.alias("ids"))
-    return part.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")) \
-        .select("v", F.size("v").alias("dim"), "ids")
+    """``vectors`` (vec_id, v) -> v, dim, ids: the k + 1 smallest different ids of
+    each vector, each as often as it has rows with it, k times at most; in steps so
+    that a vector of very many rows is no single task's."""
+    def smallest(c):
+        return F.slice(F.sort_array(c), 1, k + 1).alias("ids")
+
+    copies = vectors.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    part = copies.withColumn("part", F.pmod(F.hash("vec_id"), F.lit(64))).groupBy("v", "part").agg(
+        smallest(F.collect_list(F.struct("vec_id", "n"))))
+    return part.groupBy("v").agg(smallest(F.flatten(F.collect_list("ids")))).select(
+        "v", F.size("v").alias("dim"),
+        F.flatten(F.transform("ids", lambda x: F.array_repeat(x["vec_id"], x["n"]))).alias("ids"))
+
+
+WIDE_SCHEMA = "query_id long, q array<bigint>, vec_id long, score long"
+WIDE_ARROW = pa.schema([("query_id", pa.int64()), ("q", pa.list_(pa.int64())), ("vec_id", pa.int64()),
+                        ("score", pa.int64())])
+MOST = (1 << 63) - 1
+
+
+def _score_block(k: int):
+    """The ``k`` best of a block of vectors for each query of a block."""
+    def run(key, queries, vectors):
+        out = []
+        if queries.num_rows and vectors.num_rows:
+            held, ids = vectors["v"].to_pylist(), vectors["ids"].to_pylist()
+            x = np.array(held, object).reshape(len(held), key[0].as_py())
+            for query_id, q in zip(queries["query_id"].to_pylist(), queries["q"].to_pylist()):
+                scores = (x * np.array(q, object)).sum(axis=1).tolist() if q else [0] * len(held)
+                best = heapq.nsmallest(k, ((-min(max(s, -MOST), MOST), i) for s, of_one in zip(scores, ids)
+                                           for i in of_one if i != query_id))
+                out += [{"query_id": query_id, "q": q, "vec_id": i, "score": -s} for s, i in best]
+        return pa.Table.from_pylist(out, schema=WIDE_ARROW)
+
+    return run
+
+
+def scored(vectors: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
+    """query_id, q, vec_id, score: at least the ``k`` best of ``vectors`` (vec_id, v)
+    for each of ``queries`` (query_id, q), by all scores, block by block."""
+    points = save(distinct_vectors(vectors, k), "scored-vectors")
+    asked = save(queries.distinct().withColumn("dim", F.size("q")), "scored-queries")
+    n_points, n_asked = (-(-max(1, df.count()) // block) for df in (points, asked))
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    points = points.withColumn("pb", F.pmod(F.hash("v"), F.lit(n_points)).cast("int")).withColumn("qb", every(n_asked))
+    asked = asked.withColumn("qb", F.pmod(F.hash("query_id"), F.lit(n_asked)).cast("int")).withColumn(
+        "pb", every(n_points))
+    return asked.groupBy("dim", "qb", "pb").cogroup(points.groupBy("dim", "qb", "pb")).applyInArrow(
+        _score_block(k), WIDE_SCHEMA)
 
 
 def _nearest_pivot(pivots: dict[int, np.ndarray], m_of: dict[int, int], names: list[str]):
@@ -260,11 +319,12 @@ def _open_trees(m_of: dict[int, int]):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, tree_points: int = TREE_POINTS, page: int = PAGE,
-          task_queries: int = TASK_QUERIES, block: int = BLOCK) -> DataFrame:
+          task_queries: int = TASK_QUERIES, block: int = BLOCK, more: DataFrame | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest scores of each query.
 
     ``vectors`` has vec_id (long) and v (array<int>), ``queries`` query_id and
-    q; nulls take no part.  A query's vector need not be among the vectors."""
+    q; nulls take no part.  A query's vector need not be among the vectors.
+    ``more``: scores of the queries with other vectors (query_id, q, vec_id, score)."""
     spark = vectors.sparkSession
     points = save(distinct_vectors(vectors.filter("vec_id IS NOT NULL AND v IS NOT NULL"), k), "vectors")
     squares = F.aggregate("v", F.lit(0).cast("long"), lambda t, x: t + x.cast("long") * x)
@@ -314,6 +374,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, tree_points: int =
     visits = save(pairs.select("dim", "queries", "roots").mapInArrow(
         _open_trees(m_of), "dim int, tree long, query_id long, q array<int>, bound double"), "visits")
     found = first.unionByName(_visit(pages, visits, m_of, k, task_queries))
+    return best_of(found if more is None else found.unionByName(more), k)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
     # a query's k best by two sorted slices: of each tree's results only k come here
     best = found.groupBy("query_id", "q").agg(F.slice(F.sort_array(F.collect_list(
         F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
@@ -325,7 +389,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, tree_points: int =
 def nearest_rows(embeddings: DataFrame, k: int = K, every: int = EVERY, **options) -> DataFrame:
     """``embeddings`` (vec_id, embedding): rows whose vec_id is divisible by
     ``every`` against all rows."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
-    queries = rows.filter(F.col("vec_id") % every == 0).select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return top_k(rows, queries, k, **options)
+    vec_id, e = F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")
+    rows = embeddings.select(vec_id, quantised(e).alias("v"))
+
+    def asked(df):
+        return df.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+    far = save(embeddings.select(vec_id, wide(e).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL"), "wide")
+    if far.isEmpty():
+        return top_k(rows, asked(rows), k, **options)
+    block = options.get("block", BLOCK)
+    long_rows = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL").withColumn("v", F.col("v").cast("array<bigint>"))
+    more = scored(far, asked(long_rows), k, block).withColumn("q", F.col("q").cast("array<int>"))
+    of_far = scored(long_rows.unionByName(far), asked(far), k, block)
+    return top_k(rows, asked(rows), k, more=more, **options).unionByName(best_of(of_far, k))
