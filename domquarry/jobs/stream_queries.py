@@ -44,9 +44,9 @@ STREAM_PAGE_SUMMARY_SQL = PAGE_SUMMARY_SQL
 def stream_event_types(spark, sf_dir):
     """R2: (user, event type) pairs, each emitted once across batches."""
     out = stream_folder(spark, "event-types")
-    # state is kept for 60 days of event time after an item was seen
+    # no event time: state is one entry per distinct item, so a late or repeated event changes nothing
     stream_distinct_items(spark, f"{sf_dir.rstrip('/')}/events*.parquet", EVENTS_SCHEMA,
-                          ["user_id", "event_type"], out, event_time="ts", delay="60 days")
+                          ["user_id", "event_type"], out)
     return spark.read.parquet(out)
 
 
