@@ -10,7 +10,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from domquarry.llm import langid, linededup, mixing, mtree, packing, quality, simhash, tokenfile, warc, wrappers
+from domquarry.llm import (langid, licenses, linededup, mixing, mtree, packing, quality, simhash, spelling, tokenfile,
+                           warc, wrappers)
 from domquarry.llm.common import table
 
 
@@ -143,6 +144,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -154,4 +163,6 @@ QUERIES = {
     "op8_html_extraction": (op8_html_extraction, None),
     "op9_token_files": (op9_token_files, None),
     "op10_warc": (op10_warc, None),
+    "op12_spelling_variants": (op12_spelling_variants, None),
+    "op13_license_scan": (op13_license_scan, None),
 }
