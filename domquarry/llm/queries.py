@@ -10,8 +10,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from domquarry.llm import (langid, licenses, linededup, mixing, mtree, packing, quality, simhash, spelling, tokenfile,
-                           warc, wrappers)
+from domquarry.llm import (langid, licenses, linededup, mixing, mtree, packing, prefixtrie, quality, simhash, spelling,
+                           tokenfile, warc, wrappers)
 from domquarry.llm.common import table
 
 
@@ -144,6 +144,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -163,6 +167,7 @@ QUERIES = {
     "op8_html_extraction": (op8_html_extraction, None),
     "op9_token_files": (op9_token_files, None),
     "op10_warc": (op10_warc, None),
+    "op11_prefix_trie": (op11_prefix_trie, None),
     "op12_spelling_variants": (op12_spelling_variants, None),
     "op13_license_scan": (op13_license_scan, None),
 }
