@@ -1,7 +1,8 @@
 """Token-id files: byte or bit planes of fixed-size id blocks, compressed plane by plane.
 
 One file per range of doc_ids, in ascending order (nulls first; equal doc_ids
-by text).  A file is
+by their texts' hash).  The ranges come from a pass over ids and hashes alone; texts are
+encoded where they are read, and only packed ids are shuffled and sorted.  A file is
 
     magic | blocks | document blocks | index (zstd JSON) | index length (u32) | magic
 
@@ -21,22 +22,27 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from bisect import bisect_right
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from domquarry.llm.common import save
 from domquarry.llm.files import new_uri, published, spread
-from domquarry.llm.tokens import Encoder, load
+from domquarry.llm.tokens import Encoder, load, release
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
 END_ID = 2
+FILE_BYTES = 32 << 20  # text of a file, about
+MAX_FILES = 1 << 16
+SLICE = 512  # documents encoded before their ids are passed on
 
 
 def to_planes(values: np.ndarray, layout: str) -> list[bytes]:
@@ -141,33 +147,72 @@ class Reader:
                 del buffer[:4 * n]
 
 
+def ranges(docs: DataFrame, file_bytes: int) -> list[tuple]:
+    """Where the files' ranges of (doc_id, hash of the text) begin, in order: one row per file
+    reaches the driver.  Files hold some ``file_bytes`` of text, more beyond ``MAX_FILES``."""
+    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    dealt = key.repartitionByRange(min(MAX_FILES, total // file_bytes + 1), F.col("doc_id").asc_nulls_first(), "tie")
+    first = F.min(F.struct("doc_id", "tie"))  # nulls come first in a struct as well
+    rows = dealt.groupBy(F.spark_partition_id()).agg(first.alias("f")).select("f.*").collect()
+    return sorted(_place(*r) for r in rows)
+
+
+def _place(doc_id: int | None, tie: int) -> tuple:
+    return doc_id is not None, doc_id or 0, tie
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, starts: list[tuple]) -> DataFrame:
+    """part, doc_id, tie, ids (packed, with the end id) of every document."""
+    spec, end, width = load(tokenizer_path), np.asarray([end_id], "<u4").tobytes(), _width(tokenizer_path, end_id)
+
+    def encode(batches):
+        encoder = Encoder(spec, "byte")
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                doc_ids, ties = (c.to_pylist() for c in batch.slice(k, SLICE).columns[:2])
+                parts = [bisect_right(starts, _place(d, t)) - 1 for d, t in zip(doc_ids, ties)]
+                ids = [np.frombuffer(encoder.ids(text.as_py()) + end, "<u4").astype(width).tobytes()
+                       for text in batch.column(2).slice(k, SLICE)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in ((parts, pa.int64()), (doc_ids, pa.int64()), (ties, pa.int64()), (ids, pa.binary()))],
+                    ["part", "doc_id", "tie", "ids"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return texts.mapInArrow(encode, "part long, doc_id long, tie long, ids binary")
+
+
+def _width(tokenizer_path: str, end_id: int) -> str:
+    """Two bytes an id where all ids fit."""
+    size = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
+    return "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, layout: str = "byte",
-          block_ids: int = BLOCK_IDS) -> DataFrame:
+          block_ids: int = BLOCK_IDS, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``docs`` (doc_id long, text) and return the list of files:
     part, path, n_docs, n_ids, start (ids in all earlier files)."""
-    spec, end = load(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+    width = _width(tokenizer_path, end_id)
 
     def put(batches):
-        first = next(batches, None)
-        if first is None:
-            return
-        encoder, part = Encoder(spec, "byte"), TaskContext.get().partitionId()
-        with published(folder, f"part-{part:06d}.ids") as (out, path):
-            writer = Writer(out, layout, block_ids)
-            while first is not None:
-                for doc_id, text in zip(first.column("doc_id").to_pylist(), first.column("text").to_pylist()):
-                    writer.add(doc_id, encoder.ids(text) + end)
-                first = next(batches, None)
-            writer.close()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x]) for x in (part, path, writer.n_docs, writer.n_ids)], ["part", "path", "n_docs", "n_ids"])
-
-    # equal doc_ids (repeated rows, nulls) are split by their texts' hash
-    dealt = (docs.select(F.col("doc_id").cast("long"), "text")
-             .repartitionByRange("doc_id", F.xxhash64("text"))
-             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
-    files = save(dealt.mapInArrow(put, "part long, path string, n_docs long, n_ids long"), "id_files")
-    # one row per file: as many as the job that wrote them had tasks
+        release()  # what encoding held
+        rows = ((part.as_py(), doc_id.as_py(), ids.as_py())
+                for batch in batches for part, doc_id, ids in zip(*batch.columns))
+        for part, own in groupby(rows, lambda row: row[0]):
+            with published(folder, f"part-{part:06d}.ids") as (out, path):
+                writer = Writer(out, layout, block_ids)
+                for _, doc_id, ids in own:
+                    writer.add(doc_id, np.frombuffer(ids, width).astype("<u4").tobytes())
+                writer.close()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x]) for x in (part, path, writer.n_docs, writer.n_ids)], ["part", "path", "n_docs", "n_ids"])
+
+    rows = encoded(docs, tokenizer_path, end_id, ranges(docs, file_bytes))
+    # a task may get several parts: it writes their files one after the other
+    dealt = rows.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
+    files = save(dealt.select("part", "doc_id", "ids").mapInArrow(
+        put, "part long, path string, n_docs long, n_ids long"), "id_files")
+    # one row per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
@@ -176,6 +221,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, from the files of ``write``."""
 
     def get(batches):
+        release()
         store, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):

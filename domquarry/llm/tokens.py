@@ -39,6 +39,11 @@ def worker_state() -> types.ModuleType:
     return sys.modules.setdefault("_worker_state_of_tokens", types.ModuleType("_worker_state_of_tokens"))
 
 
+def release() -> None:
+    """Drop what earlier tasks of this Python process left; for tasks that need none of it."""
+    vars(worker_state()).clear()
+
+
 def byte_characters() -> dict[int, int]:
     """The character that stands for each byte in a byte-level vocabulary: the
     printable ones of Latin-1 for themselves, the others from U+0100 on."""
@@ -57,21 +62,27 @@ def little_endian(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+#: Bytes of an entry of the memo besides its characters and ids: two objects and a place in the table.
+ENTRY_BYTES = 160
+
+
 class _Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    """piece -> its ids as little-endian unsigned 32-bit integers, within ``limit`` bytes."""
 
     def __init__(self, tokenizer: Tokenizer, lower: bool, limit: int):
         super().__init__()
-        self.tokenizer, self.model, self.lower, self.limit = tokenizer, tokenizer.model, lower, limit
+        self.tokenizer, self.model, self.lower, self.limit, self.held = tokenizer, tokenizer.model, lower, limit, 0
 
     def __missing__(self, piece: str) -> bytes:
         # one piece goes straight to the library's model, in the characters that stand for its bytes
         plain = piece.lower() if self.lower else piece
         ids = little_endian([t.id for t in self.model.tokenize(
             plain.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
-        if len(self) >= self.limit:
-            self.clear()
         if len(piece) <= 64:
+            if self.held > self.limit:
+                self.clear()
+                self.held = 0
+            self.held += ENTRY_BYTES + 2 * len(piece) + len(ids)
             self[piece] = ids
         return ids
 
@@ -79,9 +90,10 @@ class _Pieces(dict):
 class Encoder:
     """``ids(text)``: the ids as bytes.  ``kind``: ``word`` (white space dropped)
     or ``byte`` (byte-level), the way the vocabulary splits a text.  ``limit``
-    bounds the memo of pieces, at about 200 bytes each."""
+    bounds the bytes of the memo of pieces, which a worker's next task goes on with
+    until a task calls ``release``."""
 
-    def __init__(self, tokenizer_json: str, kind: str, limit: int = 1_000_000):
+    def __init__(self, tokenizer_json: str, kind: str, limit: int = 48 << 20):
         state, key = worker_state(), f"{kind}-{hash(tokenizer_json)}-{limit}"
         if not hasattr(state, key):
             tokenizer = Tokenizer.from_str(tokenizer_json)
