@@ -35,8 +35,8 @@ FOLDS = 5
 SMOOTH = 0.1
 UNKNOWN = "und"
 MARK = "▁"
-#: Words that a worker remembers before it starts anew (about 200 bytes each).
-MEMO = 1_000_000
+#: Bytes of words, with their scores, that a worker remembers before it starts anew, and of an entry besides its letters.
+MEMO, ENTRY_BYTES = 96 << 20, 160
 #: Below this a probability is summed by logarithms.
 SAFE_LOG = -600.0
 #: Documents whose words a task holds at once.
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, model_bytes: bytes, smooth: float = SMOOTH) -> tuple[
     """Languages and log probabilities (piece, language) from ``docs`` (lang,
     text), which are all learned from."""
     def count(batches):
-        vocabulary, words, pieces = Vocabulary(model_bytes), defaultdict(Counter), defaultdict(Counter)
+        vocabulary, words, pieces, held = Vocabulary(model_bytes), defaultdict(Counter), defaultdict(Counter), 0
 
         def spend():
             for lang, own in words.items():
@@ -141,9 +141,12 @@ def learn(docs: DataFrame, model_bytes: bytes, smooth: float = SMOOTH) -> tuple[
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words[lang].update(letter_words(text))
-                if sum(map(len, words.values())) >= MEMO // 4:
+                own = letter_words(text)
+                words[lang].update(own)
+                held += sum(map(len, own))  # repeats count as well
+                if held >= MEMO // 4 or sum(map(len, words.values())) >= MEMO // (4 * ENTRY_BYTES):
                     spend()
+                    held = 0
         spend()
         for lang in pieces:
             if pieces[lang]:
@@ -174,16 +177,17 @@ def predict(docs: DataFrame, model_bytes: bytes, languages: list[str], table: np
     def run(batches):
         state = worker_state()  # a later task of this worker goes on with its model and words
         if getattr(state, "languages", (None,))[0] != key:
-            state.languages = key, Model(Vocabulary(model_bytes), small.astype(float)), {}, []
-        _, model, memo, parts = state.languages
+            state.languages = key, Model(Vocabulary(model_bytes), small.astype(float)), {}, [], [0]
+        _, model, memo, parts, held = state.languages
         scores = np.concatenate(parts) if parts else np.empty((0, len(languages)))
         for batch in (b.slice(at, CHUNK) for b in batches for at in range(0, b.num_rows, CHUNK)):
             found = [letter_words(t) if languages else [] for t in batch.column("text").to_pylist()]
-            if len(memo) > MEMO:
+            if held[0] > MEMO:
                 memo.clear()
-                scores = scores[:0]
+                scores, held[0] = scores[:0], 0
             new = list(dict.fromkeys(w for ws in found for w in ws if w not in memo))
             memo.update(zip(new, range(len(memo), len(memo) + len(new))))
+            held[0] += sum(map(len, new)) * 2 + len(new) * (ENTRY_BYTES + 8 * len(languages))
             scores = np.concatenate([scores, model.words(new)])
             parts[:] = [scores]
             lang, score = [], []
