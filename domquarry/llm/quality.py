@@ -10,10 +10,11 @@ Rules of a line (a line without words passes):
 * punctuation: at least ``MIN_MARKS`` symbols ``#*$%&|<>`` and more than
   ``SYMBOL_SHARE`` a word; or doubled marks (``!!``, ``??``) after more than
   ``DOUBLED_SHARE`` of its words; or at least ``RUN_ON_WORDS`` words without
-  any sentence mark;
+  any sentence mark of any script;
 * navigation: at least two separators (``|``, ``»``, ``›``, ``•``, ``·`` as a
   word of their own) and one to every ``LINK_WORDS`` words or more;
-* boilerplate: at most ``NOTICE_WORDS`` words and one of ``NOTICES`` in it.
+* boilerplate: at most ``NOTICE_WORDS`` words, at least half of which are the words
+  of ``NOTICES``, whole words in a row (case and punctuation around words aside).
 
 Results for odd input: a null or empty text has no words, fails the base rules
 and is not kept; repeated rows are judged row by row; columns of the same names
@@ -32,7 +33,15 @@ MIN_MARKS, SYMBOL_SHARE, DOUBLED_SHARE, RUN_ON_WORDS, LINK_WORDS, NOTICE_WORDS =
 MIN_WORDS, REPEAT_PERCENT, LOST_SHARE = 50, 50, 0.3
 SEPARATORS = ("|", "»", "›", "•", "·")
 
-#: Phrases of page furniture, in lower case.
+# Marks that end sentences and clauses, by Unicode's property of sentence terminals,
+# with the colon, semicolon and ellipsis of the scripts that have them.
+SENTENCE_MARKS = (".!?…:;\u0589\u061b\u061d\u061e\u061f\u06d4\u0700\u0701\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965"
+                  "\u104a\u104b\u1362\u1364\u1365\u1366\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5\u1803\u1809\u1944\u1945"
+                  "\u1aa8\u1aa9\u1aaa\u1aab\u1b5a\u1b5b\u1b5e\u1b5f\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047\u2048\u2049"
+                  "\u2e2e\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce\ua8cf\ua92f\ua9c8\ua9c9\uaa5d\uaa5e\uaa5f"
+                  "\uaaf0\uaaf1\uabeb\ufe52\ufe56\ufe57\uff01\uff0e\uff1a\uff1b\uff1f\uff61")
+
+#: Phrases of page furniture, in lower case; of two or three words.
 NOTICES = ("all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use",
            "terms of service", "enable javascript", "click here", "sign in", "log in", "subscribe to our",
            "read more", "lorem ipsum", "skip to content", "back to top", "share this")
@@ -43,20 +52,36 @@ def count_of(text: Column, marks: str) -> Column:
     return F.length(text) - F.length(F.translate(text, marks, ""))
 
 
+def notice_words(line_words: Column) -> Column:
+    """How many of a line's words belong to ``NOTICES``."""
+    bare = F.transform(line_words, lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    spaced = F.concat(F.lit("  "), F.array_join(bare, "  "), F.lit("  "))  # so neighbours share no blank
+    total = F.lit(0)
+    for k, phrases in NOTICE_PATTERNS.items():
+        total = total + k * F.regexp_count(spaced, F.lit(phrases))
+    return total
+
+
+#: Number of words -> pattern of the notices of so many, for words set apart by two blanks.
+NOTICE_PATTERNS = {k: " (?:" + "|".join(p.replace(" ", "  ") for p in NOTICES if len(p.split()) == k) + ") "
+                   for k in sorted({len(p.split()) for p in NOTICES})}
+
+
 def line_fails(line: Column, line_words: Column) -> Column:
     """The three rules, for a line and the array of its words."""
     n = F.size(line_words)
     symbols = count_of(line, SYMBOLS)
     doubled = F.size(F.filter(line_words, lambda w: w.contains("!!") | w.contains("??")))
     links = F.size(F.filter(line_words, lambda w: w.isin(*SEPARATORS)))
-    low = F.lower(line)
-    notice = F.lit(False)
-    for phrase in NOTICES:
-        notice = notice | low.contains(phrase)
+    # notices are counted in short lines that may have one
+    held = F.lit(False)
+    for first in sorted({p.split()[0] for p in NOTICES}):
+        held = held | F.lower(line).contains(first)
+    notice = F.when((n <= NOTICE_WORDS) & held, 2 * notice_words(line_words) >= n).otherwise(False)
     punctuation = (((symbols >= MIN_MARKS) & (symbols > SYMBOL_SHARE * n)) | (doubled > DOUBLED_SHARE * n)
-                   | ((n >= RUN_ON_WORDS) & (F.length(F.translate(line, ".!?…:;。", "")) == F.length(line))))
+                   | ((n >= RUN_ON_WORDS) & (F.length(F.translate(line, SENTENCE_MARKS, "")) == F.length(line))))
     navigation = (links >= 2) & (links * LINK_WORDS >= n)
-    return (n > 0) & (punctuation | navigation | ((n <= NOTICE_WORDS) & notice))
+    return (n > 0) & (punctuation | navigation | notice)
 
 
 def repeated_words(all_words: Column, window: int = 3) -> Column:

@@ -29,6 +29,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The notices of ``quality.NOTICES`` by number of words, between words set apart by two blanks.
+_THREE = "all  rights  reserved|terms  of  use|terms  of  service|subscribe  to  our|skip  to  content|back  to  top"
+_TWO = ("accept  cookies|cookie  policy|privacy  policy|enable  javascript|click  here|sign  in|log  in|read  more|"
+        "lorem  ipsum|share  this")
+
 OP3_SQL = r"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line,
@@ -39,12 +44,15 @@ judged AS (
          length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
          len(list_filter(w, lambda x: contains(x, '!!') OR contains(x, '??'))) AS doubled,
          len(list_filter(w, lambda x: x IN ('|', '»', '›', '•', '·'))) AS links,
-         length(line) - length(regexp_replace(line, '[.!?…:;。]', '', 'g')) AS marks,
-         regexp_matches(lower(line), 'all rights reserved|accept cookies|cookie policy|privacy policy|terms of use|terms of service|enable javascript|click here|sign in|log in|subscribe to our|read more|lorem ipsum|skip to content|back to top|share this') AS notice
+         length(line) - length(regexp_replace(line, '[{MARKS}]', '', 'g')) AS marks,
+         '  ' || array_to_string(list_transform(w, lambda x:
+           regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), '  ') || '  ' AS bare
   FROM lw),
 bad AS (
   SELECT *, n > 0 AND ((symbols >= 3 AND symbols > 0.3 * n) OR doubled > 0.3 * n OR (n >= 100 AND marks = 0)
-            OR (links >= 2 AND links * 4 >= n) OR (n <= 25 AND notice)) AS fails FROM judged),
+            OR (links >= 2 AND links * 4 >= n)
+            OR (n <= 25 AND 2 * (2 * len(regexp_extract_all(bare, ' (?:{TWO}) '))
+                                 + 3 * len(regexp_extract_all(bare, ' (?:{THREE}) '))) >= n)) AS fails FROM judged),
 per_doc AS (
   SELECT r, sum(n) AS n_words, sum(CASE WHEN NOT fails THEN n ELSE 0 END) AS n_left,
          count(CASE WHEN n > 0 THEN 1 END) - count(DISTINCT CASE WHEN n > 0 THEN line END) AS n_dup_lines
@@ -63,7 +71,7 @@ SELECT doc.doc_id, CAST(p.n_words AS BIGINT) AS n_words,
        NOT (p.n_words < 50 OR 100 * coalesce(c.n, 0) > 50 * p.n_words)
          AND NOT (p.n_words - p.n_left > 0.3 * p.n_words) AS kept
 FROM doc JOIN per_doc p USING (r) LEFT JOIN covered c USING (r)
-"""
+""".replace("{MARKS}", quality.SENTENCE_MARKS).replace("{TWO}", _TWO).replace("{THREE}", _THREE)
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,14 +17,25 @@ SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
 
+def notice_words(words):
+    """Words of notices, phrase by phrase from the left."""
+    bare, total = [re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in words], 0
+    for size in (2, 3):
+        phrases, at = {tuple(p.split()) for p in quality.NOTICES if len(p.split()) == size}, 0
+        while at <= len(bare) - size:
+            hit = tuple(bare[at:at + size]) in phrases
+            total, at = total + size * hit, at + (size if hit else 1)
+    return total
+
+
 def line_fails(line):
     words = WORD.findall(line)
     n, symbols = len(words), sum(c in "#*$%&|<>" for c in line)
     doubled = sum("!!" in w or "??" in w for w in words)
     links = sum(w in quality.SEPARATORS for w in words)
     return n > 0 and (symbols >= 3 and symbols > 0.3 * n or doubled > 0.3 * n
-                      or n >= 100 and not any(c in ".!?…:;。" for c in line) or links >= 2 and links * 4 >= n
-                      or n <= 25 and any(p in line.lower() for p in quality.NOTICES))
+                      or n >= 100 and not any(c in quality.SENTENCE_MARKS for c in line) or links >= 2 and links * 4 >= n
+                      or n <= 25 and 2 * notice_words(words) >= n)
 
 
 def cleaned(text):

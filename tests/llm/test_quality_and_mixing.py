@@ -42,7 +42,7 @@ def test_line_rules(spark):
         "symbols": " ".join(w + "***" for w in PROSE[11].split()),
         "shouting": " ".join(w.upper() + "!!" for w in PROSE[12].split()),
         "menu": "Home | News | Sport | Weather | Contact |",
-        "notice": "Please accept cookies to go on.",
+        "notice": "Please accept cookies.",
         "run on": " ".join(f"v{i}" for i in range(120)),
     }
     rows = [("clean", good), *((k, good + "\n" + v) for k, v in noise.items()),
@@ -59,6 +59,27 @@ def test_line_rules(spark):
         k: (good, len(good), "c") for k in got if k not in ("run on", "mostly noise")}
 
 
+def test_clean_lines_of_all_scripts_and_with_words_like_notices_stay(spark):
+    rng = random.Random(8)
+    marks = {"Hindi": "\u0964", "Urdu": "\u06d4", "Amharic": "\u1362", "Armenian": "\u0589", "Burmese": "\u104b", "Khmer": "\u17d4",
+             "Chinese": "\u3002", "full width": "\uff01", "Japanese": "\uff1f"}
+    rows = [(k, " ".join(f"\u0915{rng.randrange(10**6)}" + (m if i % 12 == 11 else "") for i in range(240))) for k, m in marks.items()]
+    lines = ["Their design in wood, and the catalog in print, say more.", "You read more in winter than we do in summer.",
+             "To sign in ink was the custom, to log in the forest was not.", "We read morella."]
+    rows += [(f"line {i}", "\n".join([*PROSE[:8], x])) for i, x in enumerate(lines)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name, text in rows:
+        assert got[name].kept and got[name].cleaned == text, name
+
+
+def test_notices_at_word_boundaries(spark):
+    notices = ["All rights reserved.", "\u00a9 All Rights Reserved", "Click here to read more...", "Sign in | Log in", "Privacy policy",
+               "Subscribe to our news, share this!"]
+    rows = [(x, "\n".join([*PROSE[:8], x])) for x in notices]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert all(r.kept and r.cleaned == "\n".join(PROSE[:8]) for r in got)
+
+
 def test_fit_comes_as_near_as_brute_force():
     rng = random.Random(4)
     for _ in range(200):
