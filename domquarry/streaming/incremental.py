@@ -2,16 +2,19 @@
 
 * R1 ``stream_extract``: newly arrived pages are tokenised and extracted in
   ``foreachBatch`` (selector self-joins are batch plans over each
-  micro-batch), results appended to a table;
+  micro-batch) and written to an ``EpochTable``, in which a batch that is run
+  again counts once;
 * R2 ``stream_distinct_items``: cross-batch item de-duplication with
   ``dropDuplicates`` (``dropDuplicatesWithinWatermark`` when an event-time
   column is given);
-* R3 ``stream_empty_streak``: the empty-streak stop rule (W1) as
-  ``applyInPandasWithState`` keyed by crawl.  State per crawl is the first
-  day each item was seen (bounded by the distinct items of a crawl), so
-  rows are folded chunk by chunk and never buffered per group; late pages
-  (a day before the latest one already seen) are counted in ``late_pages``
-  and folded in exactly, not replayed.
+* R3 ``stream_empty_streak``: the empty-streak stop rule (W1).  Items of a crawl are
+  dealt over ``SHARDS`` keys; a key's state in the RocksDB store is a map from item to the
+  first day it was seen, a map from day to how many items were first seen on it, and
+  counters.  A trigger reads and writes the entries of the items it sees and of
+  their days, nothing else, and passes on the days that changed; ``walked`` sums them over
+  the shards and applies the rule.  So a crawl with a third of all rows is spread over
+  ``SHARDS`` tasks, and late pages (a day before the latest one already seen) are
+  folded in exactly.
 
 Every stream runs under a checkpoint folder inside ``spark.checkpoint.dir``
 so a restarted query resumes where it stopped.
@@ -21,12 +24,26 @@ from __future__ import annotations
 
 import uuid
 
+from collections import Counter
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..session import checkpoint_dir
+from .epochs import EpochTable
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session for streams with the RocksDB state store; the caller's settings stay as they are."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    return own
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -41,18 +58,18 @@ def read_stream(spark: SparkSession, path_glob: str, schema, max_files: int | No
 
 
 def stream_extract(spark: SparkSession, pages_glob: str, extract_fn, out_dir: str,
-                   pages_schema: str = "page_id BIGINT, url STRING, html STRING") -> str:
+                   pages_schema: str = "page_id BIGINT, url STRING, html STRING", max_files: int | None = None) -> str:
     """``extract_fn(pages_batch_df)`` runs per micro-batch and returns the
-    output DataFrame, or ``(output, dom)``; the output is appended to
-    ``out_dir`` (parquet) and the batch's node table is released afterwards,
+    output DataFrame, or ``(output, dom)``; the output becomes the batch's epoch of the
+    ``EpochTable`` in ``out_dir`` and the batch's node table is released afterwards,
     so a long-running stream does not accumulate cached batches."""
-    stream = read_stream(spark, pages_glob, pages_schema)
+    stream = read_stream(spark, pages_glob, pages_schema, max_files)
 
     def run(batch: DataFrame, batch_id: int):
         res = extract_fn(batch)
         out, dom = res if isinstance(res, tuple) else (res, None)
         try:
-            out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+            EpochTable(spark, out_dir).write(out, batch_id)
         finally:
             if dom is not None:
                 dom.unpersist()
@@ -77,70 +94,82 @@ def stream_distinct_items(spark: SparkSession, events_glob: str, schema, keys: l
     return out_dir
 
 
-WALK_OUT = ("crawl_id LONG, stop_page LONG, pages_walked LONG, n_items LONG, late_pages LONG, batches LONG")
-WALK_STATE = "first_seen STRING, max_day LONG, late_pages LONG, batches LONG"
-
-
-def _walk_state_fn(k: int, max_pages: int | None):
-    import json
-
-    def fn(key, chunks, state):
-        if state.exists:
-            first_json, max_day, late, batches = state.get
-            first = {i: int(d) for i, d in json.loads(first_json).items()}
-        else:
-            first, max_day, late, batches = {}, None, 0, 0
-        prev_max = max_day
-        for pdf in chunks:  # bounded chunks; only per-item minima are kept
-            if pdf.empty:
-                continue
-            if prev_max is not None:
-                late += int((pdf["day"] < prev_max).sum())
-            mins = pdf.groupby("item")["day"].min()
-            for item, d in mins.items():
-                d = int(d)
-                if item not in first or d < first[item]:
-                    first[item] = d
-            m = int(pdf["day"].max())
-            max_day = m if max_day is None else max(max_day, m)
-        batches += 1
-        state.update((json.dumps(first), max_day, late, batches))
-        day0 = min(first.values())
-        n_pages = max_day - day0 + 1
-        if max_pages is not None:
-            n_pages = min(n_pages, max_pages)
-        new_on = {}
-        for d in first.values():
-            new_on[d - day0 + 1] = new_on.get(d - day0 + 1, 0) + 1
-        streak, stop, walked = 0, None, n_pages
-        for p in range(1, n_pages + 1):
-            streak = 0 if new_on.get(p, 0) > 0 else streak + 1
-            if streak >= k:
-                stop, walked = p, p
-                break
-        n_items = sum(1 for d in first.values() if d - day0 + 1 <= walked)
-        yield pd.DataFrame({"crawl_id": [key[0]], "stop_page": [stop], "pages_walked": [walked],
-                            "n_items": [n_items], "late_pages": [late], "batches": [batches]})
-    return fn
-
-
-def stream_empty_streak(spark: SparkSession, items: DataFrame, out_dir: str, k: int = 3,
-                        max_pages: int | None = None) -> str:
-    """R3 on a streaming ``items(crawl_id, day LONG, item)`` frame."""
-    walked = items.groupBy("crawl_id").applyInPandasWithState(
-        _walk_state_fn(k, max_pages), WALK_OUT, WALK_STATE, "update", GroupStateTimeout.NoTimeout)
-
-    def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
-
-    q = (walked.writeStream.foreachBatch(sink).option("checkpointLocation", out_dir + "_ckpt")
-         .outputMode("update").trigger(availableNow=True).start())
+SHARDS = 32  # keys over which the items of a crawl are dealt
+DAYS = "crawl_id LONG, shard INT, day LONG, n_new LONG, max_day LONG, late_pages LONG, triggers LONG"
+
+
+class FirstDays(StatefulProcessor):
+    """First days of a shard's items.  Out: the days whose number of new items changed, with the shard's counters."""
+
+    def init(self, handle) -> None:
+        self.first = handle.getMapState("first", "item STRING", "day LONG")
+        self.new_on = handle.getMapState("new_on", "day LONG", "n LONG")
+        self.seen = handle.getValueState("seen", "max_day LONG, late_pages LONG, triggers LONG")
+
+    def handleInputRows(self, key, rows, timerValues):
+        max_day, late, triggers = self.seen.get() if self.seen.exists() else (None, 0, 0)
+        before, change = max_day, Counter()
+        for pdf in rows:  # bounded chunks; only per-item minima are kept
+            if before is not None:
+                late += int((pdf["day"] < before).sum())
+            top = int(pdf["day"].max())
+            max_day = top if max_day is None else max(max_day, top)
+            for item, day in pdf.groupby("item")["day"].min().items():
+                known = self.first.getValue((item,))
+                if known is None or day < known[0]:
+                    self.first.updateValue((item,), (int(day),))
+                    change[int(day)] += 1
+                    if known is not None:
+                        change[known[0]] -= 1
+        triggers += 1
+        self.seen.update((max_day, late, triggers))
+        out = []
+        for day in sorted(d for d, n in change.items() if n):
+            known = self.new_on.getValue((day,))
+            n = (known[0] if known else 0) + change[day]
+            self.new_on.updateValue((day,), (n,))
+            out.append((*key, day, n, max_day, late, triggers))
+        yield pd.DataFrame(out or [(*key, None, None, max_day, late, triggers)], columns=[
+            "crawl_id", "shard", "day", "n_new", "max_day", "late_pages", "triggers"]).astype({"day": "Int64", "n_new": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_empty_streak(items: DataFrame, out_dir: str) -> str:
+    """R3 on a streaming ``items(crawl_id LONG, day LONG, item STRING)`` frame of a ``stream_session``;
+    items without a crawl, day or name are no items.  Read the result with ``walked``."""
+    spark = items.sparkSession
+    items = items.where("crawl_id IS NOT NULL AND day IS NOT NULL AND item IS NOT NULL").select(
+        "crawl_id", F.pmod(F.xxhash64("item"), F.lit(SHARDS)).cast("int").alias("shard"), "day", "item")
+    days = items.groupBy("crawl_id", "shard").transformWithStateInPandas(
+        FirstDays(), outputStructType=DAYS, outputMode="Update", timeMode="None")
+    q = (days.writeStream.foreachBatch(lambda batch, epoch: EpochTable(spark, out_dir).write(batch, epoch))
+         .option("checkpointLocation", out_dir + "_ckpt").outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
     return out_dir
 
 
-def latest(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
-    """The last emitted row per key of an update-mode stream's output."""
-    df = spark.read.parquet(out_dir)
-    last = df.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
-    return df.join(last, [key, "batch_id"])
+def walked(spark: SparkSession, out_dir: str, k: int = 3, max_pages: int | None = None) -> DataFrame:
+    """What ``stream_empty_streak`` has come to: crawl_id, stop_page (of the first ``k`` pages in a row without a
+    new item, else null), pages_walked, n_items, late_pages, triggers.  The last number of a day counts."""
+    rows = EpochTable(spark, out_dir).read(DAYS)
+    counters = rows.groupBy("crawl_id", "shard").agg(*[F.max(c).alias(c) for c in ("max_day", "late_pages", "triggers")])
+    crawls = counters.groupBy("crawl_id").agg(F.max("max_day").alias("max_day"), F.sum("late_pages").alias("late_pages"),
+                                              F.max("triggers").alias("triggers"))
+    last = rows.where("day IS NOT NULL").groupBy("crawl_id", "shard", "day").agg(F.max_by("n_new", "epoch").alias("n"))
+    days = last.groupBy("crawl_id", "day").agg(F.sum("n").alias("n")).where("n > 0")
+    # a row per crawl and day with news: no more than the days of the span
+    by_day = Window.partitionBy("crawl_id").orderBy("day")
+    days = days.join(crawls, "crawl_id").select(
+        "*", F.min("day").over(Window.partitionBy("crawl_id")).alias("day0"), F.lead("day").over(by_day).alias("next"))
+    page, span = F.col("day") - F.col("day0") + 1, F.col("max_day") - F.col("day0") + 1
+    pages = F.least(span, F.lit(max_pages)) if max_pages is not None else span
+    stop = page + k
+    days = days.withColumns({"page": page, "pages": pages}).withColumn("stop", F.when(
+        (stop < F.coalesce(F.col("next") - F.col("day0") + 1, span + 1)) & (stop <= F.col("pages")), stop))
+    days = days.withColumn("stop", F.min("stop").over(Window.partitionBy("crawl_id")))
+    return days.groupBy("crawl_id").agg(
+        F.min("stop").alias("stop_page"), F.min(F.coalesce("stop", "pages")).alias("pages_walked"),
+        F.sum(F.when(F.col("page") <= F.coalesce("stop", "pages"), F.col("n")).otherwise(0)).alias("n_items"),
+        F.min("late_pages").alias("late_pages"), F.min("triggers").alias("triggers"))
