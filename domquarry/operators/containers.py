@@ -137,9 +137,9 @@ def profile_link_pick(dom, planner: Planner, containers: DataFrame, fields: Data
                       marker: str = "/lawyer/") -> DataFrame:
     """C4: ``(page_id, container_id, profile_link)``.
 
-    Priority: a link sub-element whose label has profile/link/url/page; else
-    any link sub-element when ``follow_links``; else the first ``a`` in the
-    card whose href holds ``marker``."""
+    Priority: the last link sub-element with a value whose label has profile/link/url/page;
+    else the first link sub-element with a value when ``follow_links``; else the first ``a``
+    in the card whose href holds ``marker``."""
     link_labels = [s["label"] for s in sub_elements if (s.get("element_type") or "text") == "link"]
     named = [l for l in link_labels if any(w in l.lower() for w in PROFILE_LINK_WORDS)]
     cands = []
@@ -147,8 +147,8 @@ def profile_link_pick(dom, planner: Planner, containers: DataFrame, fields: Data
     if named:
         cands.append(fields.where(F.col("label").isin(named) & (F.col("value") != ""))
                      .select("page_id", "container_id", F.lit(0).alias("prio"),
-                             F.element_at(F.create_map(*[x for l in named for x in (F.lit(l), F.lit(order[l]))]),
-                                          F.col("label")).alias("sub"), "value"))
+                             (-F.element_at(F.create_map(*[x for l in named for x in (F.lit(l), F.lit(order[l]))]),
+                                            F.col("label"))).alias("sub"), "value"))
     if follow_links and link_labels:
         cands.append(fields.where(F.col("label").isin(link_labels) & (F.col("value") != ""))
                      .select("page_id", "container_id", F.lit(1).alias("prio"),

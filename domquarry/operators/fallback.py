@@ -61,8 +61,22 @@ def find_with_fallback(planner: Planner, element: dict, expected_patterns: list[
 LADDER_GROUP = 8
 
 
-def select_with_fallback(dom, planner: Planner, specs: list, wanted: DataFrame, smart: bool = True) -> DataFrame:
-    """E6 for many elements at once: ``(page_id, scope_id, node_id, key)``.
+def element_rungs(element: dict) -> list[tuple]:
+    """E6 below the literal selector, as (alternative, matches it needs on a page)."""
+    return [(alt, 1) for alt in element_ladder(element)[1:]]
+
+
+def container_rungs(element: dict) -> list[tuple]:
+    """C2 below the literal selector: looser forms of it (E13, E11, E12), directory
+    detection (E18: three matches at least), then last-resort layouts (E20: more than five)."""
+    _, after = container_ladder(element.get("selector") or "", element.get("selector_type") or "css")
+    rungs = [*after[:-1], (DIRECTORY_PATTERNS + DIRECTORY_CONTENT_XPATHS, 3), after[-1]]
+    return [(alt, least) for alts, least in rungs for alt in alts]
+
+
+def select_with_fallback(dom, planner: Planner, specs: list, wanted: DataFrame, smart: bool = True,
+                         rungs_of=element_rungs) -> DataFrame:
+    """E6 (C2 with ``container_rungs``) for many elements at once: ``(page_id, scope_id, node_id, key)``.
 
     ``specs`` is ``[(key, element, parsed selector or None)]``; ``wanted(page_id,
     key)`` says which element is asked of which page.  All literal selectors run
@@ -80,23 +94,26 @@ def select_with_fallback(dom, planner: Planner, specs: list, wanted: DataFrame,
     rungs = []
     for k, element, sel in specs:
         if k in asked:
-            for prio, alt in enumerate(element_ladder(element)[1:]):
+            for prio, (alt, least) in enumerate(rungs_of(element)):
                 try:
                     parsed = parse_selector(alt) if isinstance(alt, str) else alt
                     check_compiles(parsed)
                 except SelectorError as exc:
                     log.warning("rung %d of %s skipped: %s", prio, element.get("label"), exc)
                     continue
-                rungs.append((k, prio, parsed))
+                rungs.append((k, f"{prio}:{least}|{k}", parsed))
     keys = sorted({k for k, _, _ in rungs})
     for i in range(0, len(keys), LADDER_GROUP):
         group = set(keys[i:i + LADDER_GROUP])
         todo = missing.where(F.col("key").isin(*group))
         part = Planner(dom.restrict(todo.select("page_id"))).select_many(
-            [(f"{prio}|{k}", sel) for k, prio, sel in rungs if k in group])
-        part = part.select("page_id", "scope_id", "node_id", F.split("key", "[|]", 2)[0].cast("int").alias("_rung"),
-                           F.split("key", "[|]", 2)[1].alias("key")).distinct()
-        part = part.join(todo, ["page_id", "key"], "left_semi")
+            [(rung, sel) for k, rung, sel in rungs if k in group])
+        part = part.select("page_id", "scope_id", "node_id", F.split("key", "[:|]", 3).alias("_k")).select(
+            "page_id", "scope_id", "node_id", F.col("_k")[0].cast("int").alias("_rung"),
+            F.col("_k")[1].cast("int").alias("_least"), F.col("_k")[2].alias("key")).distinct()
+        part = materialize(part.join(todo, ["page_id", "key"], "left_semi"))
+        part = part.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("page_id", "key", "_rung"))).where(
+            "_n >= _least")
         best = F.min("_rung").over(Window.partitionBy("page_id", "key"))
         part = part.withColumn("_best", best).where("_rung = _best").select("page_id", "scope_id", "node_id", "key")
         found = found.unionByName(materialize(part))

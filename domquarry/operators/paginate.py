@@ -230,12 +230,13 @@ def crawl_pages(dom, planner, templates: DataFrame, start: DataFrame) -> DataFra
         except SelectorError:
             continue
         marks.append((selector, parsed))
-    stops = walk.where(F.lit(False)).select("crawl_id", "walk_no")
+    # a control that cannot be looked for is not there: the walk ends on its first page
+    known = F.col("next_selector").isin([m for m, _ in marks]) if marks else F.lit(False)
+    stops = walk.where(F.col("next_selector").isNotNull() & ~known).select("crawl_id", "walk_no")
     if marks:
         shown = planner.select_many(marks).select("page_id", F.col("key").alias("selector")).distinct()
-        known = F.col("next_selector").isin([m for m, _ in marks])
-        stops = walk.where(known).join(shown.withColumnRenamed("selector", "next_selector"),
-                                       ["page_id", "next_selector"], "left_anti").select("crawl_id", "walk_no")
+        stops = stops.unionByName(walk.where(known).join(shown.withColumnRenamed("selector", "next_selector"),
+                                       ["page_id", "next_selector"], "left_anti").select("crawl_id", "walk_no"))
         stops = stops.unionByName(walk.join(shown.withColumnRenamed("selector", "end_selector"),
                                             ["page_id", "end_selector"], "left_semi").select("crawl_id", "walk_no"))
     last = stops.groupBy("crawl_id").agg(F.min("walk_no").alias("_last"))

@@ -12,6 +12,12 @@ records ARRAY<STRUCT<container, index, source_page, fields MAP<STRING,
 ARRAY<STRING>>, error>>, errors ARRAY<STRING>, metadata
 STRUCT<elements_found, actions_executed, page_title, final_url>``
 
+``scrape_tables`` gives the same as two tables, the records with a row each: a crawl
+with a large share of all records never meets in one row there.
+
+A selector (of an element, a container or a pagination control) that cannot be
+planned gives ``Unsupported selector: ...`` among the result's errors.
+
 Selectors are collected from the templates only (configuration): thousands of
 templates share one batched plan per distinct selector.
 """
@@ -27,15 +33,17 @@ from ..plans.compile import Planner, chain_output, check_compiles, parse_selecto
 from ..session import materialize
 from .containers import MULTI_VALUE_WORDS, PROFILE_LINK_WORDS
 from .extract import LOCATION_CITIES
-from .fallback import resolve_sub_element, select_with_fallback, sub_element_ladder
+from .detect import similar_nodes
+from .fallback import container_rungs, resolve_sub_element, select_with_fallback, sub_element_ladder
 from .merge import merge_related
 from .paginate import crawl_pages
 from .subpages import eligible_links, follow_links, page_lookup, subpage_values
 from .values import keyed_values, node_values, page_title
 
 RESULT_COLUMNS = ["template_name", "url", "scraped_at", "success", "data", "records", "errors", "metadata"]
-RECORD_TYPE = ("array<struct<container:string,index:int,source_page:int,fields:map<string,array<string>>,"
-               "error:string>>")
+RECORD_FIELDS = {"container": "string", "index": "int", "source_page": "int", "fields": "map<string,array<string>>",
+                 "error": "string"}
+RECORD_TYPE = f"array<struct<{','.join(f'{k}:{t}' for k, t in RECORD_FIELDS.items())}>>"
 _FIELD_SCHEMA = ("crawl_id bigint, list_label string, record_index int, key string, value_ord int, value string")
 
 
@@ -76,14 +84,29 @@ def scrape(dom, planner: Planner, templates: DataFrame, urls: DataFrame | None =
     """Run templates (``TEMPLATE_SCHEMA`` rows, defaults filled) on ``dom``.
 
     ``urls(template_name, url)`` overrides the template URL (S8 batch: one
-    result per distinct URL).  URLs are compared without their fragment; of
+    result per row, also where a URL is asked twice; with a column ``position`` the
+    results carry it).  URLs are compared without their fragment; of
     several page rows of one URL the lowest page_id counts.  A URL without a
     page, or whose page has no html, gives ``success = false`` and the error
-    ``Failed to fetch page``.  ``smart`` turns the fallback ladder on."""
+    ``Failed to fetch page``.  ``smart`` turns the fallback ladders on."""
+    results, records = scrape_tables(dom, planner, templates, urls, smart)
+    record = F.struct(*[F.col(c) for c in RECORD_FIELDS])
+    ordered = F.array_sort(F.collect_list(F.struct("list_order", "index", F.to_json(record).alias("r"))))
+    folded = records.groupBy("crawl_id").agg(F.transform(
+        ordered, lambda s: F.from_json(s["r"], RECORD_TYPE[6:-1])).alias("records"))
+    out = results.join(folded, "crawl_id", "left").withColumn(
+        "records", F.coalesce("records", F.array().cast(RECORD_TYPE)))
+    return out.select(*(["position"] if "position" in results.columns else []), *RESULT_COLUMNS)
+
+
+def scrape_tables(dom, planner: Planner, templates: DataFrame, urls: DataFrame | None = None,
+                  smart: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What ``scrape`` gives as ``results(crawl_id, ...)`` without records and ``records(crawl_id,
+    list_order, container, index, source_page, fields, error)``, a row per record."""
     tmpl = materialize(template_keys(templates))
     named = tmpl.select("template_id", F.col("name").alias("template_name"), "url")
     if urls is not None:
-        named = named.drop("url").join(urls.select("template_name", "url"), "template_name")
+        named = named.drop("url").join(urls.select("template_name", "url").distinct(), "template_name")
     crawls = named.distinct().withColumn("crawl_id", F.xxhash64("template_id", "url"))
     start = materialize(crawls.withColumn("_link", strip_fragment(F.col("url"))).join(
         page_lookup(dom), "_link", "left").drop("_link"))
@@ -92,22 +115,41 @@ def scrape(dom, planner: Planner, templates: DataFrame, urls: DataFrame | None =
     els = tmpl.select("template_id", F.posexplode("elements").alias("el_pos", "e")).select(
         "template_id", "el_pos", "e.*")
     data, missing = _page_elements(dom, planner, els.where(~F.col("is_container")), walked, smart)
-    records = _records(dom, planner, tmpl, els.where("is_container"), walked, smart)
+    records = materialize(_records(dom, planner, tmpl, els.where("is_container"), walked, smart))
+    n_records = records.groupBy("crawl_id").agg(F.countDistinct("container").cast("int").alias("n_containers"))
 
-    errors = missing.groupBy("crawl_id").agg(F.transform(
+    problems = missing.unionByName(_unsupported(tmpl, els, walked))
+    errors = problems.groupBy("crawl_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("el_pos", "error"))), lambda s: s["error"]).alias("errors"))
     n_actions = tmpl.select("template_id", F.size("actions").alias("actions_executed"))
-    out = (start.join(data, "crawl_id", "left").join(records, "crawl_id", "left").join(errors, "crawl_id", "left")
+    out = (start.join(data, "crawl_id", "left").join(n_records, "crawl_id", "left").join(errors, "crawl_id", "left")
            .join(page_title(dom, planner), "page_id", "left").join(n_actions, "template_id"))
     fetch_err = F.when(F.col("page_id").isNull(), F.array(F.concat(F.lit("Failed to fetch page: "), F.col("url"))))
     errs = F.coalesce(fetch_err, F.col("errors"), F.array().cast("array<string>"))
     n_found = F.coalesce(F.col("n_found"), F.lit(0)) + F.coalesce(F.col("n_containers"), F.lit(0))
-    return out.select(
-        "template_name", "url", F.current_timestamp().alias("scraped_at"), (F.size(errs) == 0).alias("success"),
-        F.coalesce(F.col("data"), F.create_map().cast("map<string,array<string>>")).alias("data"),
-        F.coalesce(F.col("records"), F.array().cast(RECORD_TYPE)).alias("records"), errs.alias("errors"),
+    results = out.select(
+        "crawl_id", "template_name", "url", F.current_timestamp().alias("scraped_at"), (F.size(errs) == 0).alias("success"),
+        F.coalesce(F.col("data"), F.create_map().cast("map<string,array<string>>")).alias("data"), errs.alias("errors"),
         F.struct(n_found.cast("int").alias("elements_found"), F.col("actions_executed"),
                  F.col("page_title"), F.col("url").alias("final_url")).alias("metadata"))
+    if urls is not None:  # a result for every row that asks
+        results = results.join(urls.select("template_name", "url", *[c for c in ("position",) if c in urls.columns]),
+                               ["template_name", "url"])
+    return results, records
+
+
+def _unsupported(tmpl: DataFrame, els: DataFrame, walked: DataFrame) -> DataFrame:
+    """(crawl_id, el_pos, error) for selectors of elements, containers and pagination controls that cannot be planned."""
+    controls = tmpl.select("template_id", F.explode(F.array(*[
+        F.col(f"pagination.{c}") for c in ("next_selector", "load_more_selector", "end_condition_selector")])).alias("selector"))
+    asked = els.select("template_id", "el_pos", "selector", "selector_type").unionByName(controls.select(
+        "template_id", F.lit(1 << 30).alias("el_pos"), "selector", F.lit("css").alias("selector_type")))
+    asked = asked.where(F.coalesce(F.trim("selector"), F.lit("")) != "").distinct()
+    # template configuration
+    bad = [(s, t) for s, t in asked.select("selector", "selector_type").distinct().collect() if not _parsed(s, t, False)]
+    known = tmpl.sparkSession.createDataFrame(bad, "selector string, selector_type string")
+    return walked.where("page_no = 1").join(asked.join(known, ["selector", "selector_type"]), "template_id").select(
+        "crawl_id", "el_pos", F.concat(F.lit("Unsupported selector: "), "selector").alias("error"))
 
 
 def _page_elements(dom, planner: Planner, simple: DataFrame, walked: DataFrame,
@@ -142,8 +184,9 @@ def _page_elements(dom, planner: Planner, simple: DataFrame, walked: DataFrame,
     last = asked.groupBy("template_id", "label").agg(F.max("el_pos").alias("el_pos"))
     own = v.join(last, ["template_id", "label", "el_pos"], "left_semi")
     # Lists of later pages are appended, a scalar is the first page's
-    first = F.min(F.struct("page_no", "value_ord")).over(Window.partitionBy("crawl_id", "label"))
-    own = own.withColumn("_first", first).where(F.col("is_multiple") | (
+    first = own.where(~F.col("is_multiple")).groupBy("crawl_id", "label").agg(
+        F.min(F.struct("page_no", "value_ord")).alias("_first"))
+    own = own.join(first, ["crawl_id", "label"], "left").where(F.col("is_multiple") | (
         F.struct("page_no", "value_ord") == F.col("_first")))
     per_label = own.groupBy("crawl_id", "label").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("page_no", "value_ord", "value"))), lambda s: s["value"]).alias("v"))
@@ -160,29 +203,51 @@ def _page_elements(dom, planner: Planner, simple: DataFrame, walked: DataFrame,
     return data, missing
 
 
+def _container_nodes(dom, planner: Planner, conts: DataFrame, walked: DataFrame, smart: bool) -> DataFrame:
+    """The nodes of every container element on every walked page: its selector's, else (C2) those of
+    the first rung of its ladder with enough; with ``use_find_similar`` the nodes similar to the first (E21)."""
+    spec_columns = ["selector", "selector_type", "use_find_similar"]
+    rows = conts.select(*spec_columns).distinct().collect()  # template configuration
+    keys = dom.nodes.sparkSession.createDataFrame([(f"c{i}", *r) for i, r in enumerate(rows)],
+                                                  "key string, selector string, selector_type string, use_find_similar boolean")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in spec_columns]
+    owners = conts.alias("a").join(keys.alias("b"), same).select(
+        "a.template_id", "a.el_pos", "a.label", "a.sub_elements", "b.key")
+    owned = materialize(walked.select("template_id", "crawl_id", "page_id", "page_no").join(owners, "template_id"))
+    specs = [(f"c{i}", r.asDict(), _parsed(r["selector"], r["selector_type"], False)) for i, r in enumerate(rows)]
+    found = select_with_fallback(dom, planner, specs, owned.select("page_id", "key").distinct(), smart, container_rungs)
+    found = found.select("page_id", "key", "node_id").distinct()
+    similar = [f"c{i}" for i, r in enumerate(rows) if r["use_find_similar"]]
+    if similar:
+        found = materialize(found)
+        first = found.where(F.col("key").isin(similar)).groupBy("page_id", "key").agg(F.min("node_id").alias("example_id"))
+        alike = similar_nodes(dom, first.select("page_id", "example_id")).select("page_id", "example_id", "node_id")
+        # lists of one page and selector: those alike where there are any, else its own
+        alike = first.join(alike, ["page_id", "example_id"]).groupBy("page_id", "key").agg(F.collect_set("node_id").alias("_alike"))
+        own = found.groupBy("page_id", "key").agg(F.collect_list("node_id").alias("_own"))
+        found = materialize(own.join(materialize(alike), ["page_id", "key"], "left").select(
+            "page_id", "key", F.explode(F.coalesce("_alike", "_own")).alias("node_id")))
+    return found.join(owned, ["page_id", "key"])
+
+
 def _records(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, walked: DataFrame, smart: bool) -> DataFrame:
-    """crawl_id, records, n_containers: every matched container is a record,
-    also one without a field (it gets its text, C5) or with a sub-element that
+    """crawl_id, list_order, container, index, source_page, fields, error: every matched container is
+    a record, also one without a field (it gets its text, C5) or with a sub-element that
     cannot be matched (its ``error`` says so, C6)."""
-    spark = dom.nodes.sparkSession
-    empty = spark.createDataFrame([], f"crawl_id bigint, records {RECORD_TYPE}, n_containers int")
-    specs = [(r[0], r[1], _parsed(r[0], r[1], False))
-             for r in conts.select("selector", "selector_type").distinct().collect()]
-    usable = [(f"c{i}", sel, st, parsed) for i, (sel, st, parsed) in enumerate(specs) if parsed]
-    if not usable:
-        return empty
-    keys = spark.createDataFrame([(k, s, t) for k, s, t, _ in usable], "key string, selector string, selector_type string")
-    owners = conts.join(keys, (conts["selector"] == keys["selector"]) & conts["selector_type"].eqNullSafe(
-        keys["selector_type"])).select("template_id", "el_pos", "label", "sub_elements", "subpage_elements",
-                                       "follow_links", "key")
-    cm = planner.select_many([(k, s) for k, _, _, s in usable]).select("page_id", "node_id", "key").distinct()
-    cm = cm.join(walked.select("template_id", "crawl_id", "page_id", "page_no").join(owners, "template_id"),
-                 ["page_id", "key"])
-    # records of a list are numbered over all walked pages, in page order
-    w = Window.partitionBy("crawl_id", "el_pos").orderBy("page_no", "node_id")
-    cards = materialize(cm.withColumn("record_index", F.row_number().over(w) - 1).select(
+    if conts.isEmpty():
+        return dom.nodes.sparkSession.createDataFrame(
+            [], f"crawl_id bigint, list_order int, {', '.join(f'{k} {t}' for k, t in RECORD_FIELDS.items())}")
+    cm = materialize(_container_nodes(dom, planner, conts, walked, smart))
+    # records of a list are numbered over all walked pages, in page order: inside each page, after the
+    # records of the pages before (a row per page)
+    per_page = cm.groupBy("crawl_id", "el_pos", "page_no").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("crawl_id", "el_pos").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    per_page = per_page.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    w = Window.partitionBy("crawl_id", "el_pos", "page_no").orderBy("node_id")
+    cards = cm.withColumn("_k", F.row_number().over(w) - 1).join(per_page, ["crawl_id", "el_pos", "page_no"])
+    cards = materialize(cards.select(
         "template_id", "crawl_id", "page_id", "page_no", F.col("node_id").alias("container_id"), "el_pos",
-        F.col("label").alias("list_label"), "record_index", "sub_elements"))
+        F.col("label").alias("list_label"), (F.col("_before") + F.col("_k")).cast("int").alias("record_index"), "sub_elements"))
     fields, failed = _container_fields(dom, planner, cards, smart)
     fields = materialize(fields)
     fields = materialize(_with_subpages(dom, planner, tmpl, conts, cards, fields))
@@ -194,7 +259,7 @@ def _records(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, walked: D
                                         "record_index"), "text")
     fields = fields.unionByName(text.select("crawl_id", "list_label", "record_index", F.lit("text").alias("key"),
                                             F.lit(1).alias("value_ord"), "value"))
-    lists = materialize(_merged_lists(cards, materialize(fields)))
+    lists = materialize(_merged_lists(dom, planner, conts, cards, materialize(fields)))
     per_key = lists.groupBy("crawl_id", "list_label", "list_order", "record_index", "key").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("value_ord", "value"))), lambda s: s["value"]).alias("v"))
     maps = per_key.groupBy("crawl_id", "list_label", "list_order", "record_index").agg(F.map_from_entries(
@@ -202,13 +267,8 @@ def _records(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, walked: D
     pages = cards.select("crawl_id", "list_label", "record_index", F.col("page_no").alias("source_page"), "container_id")
     rows = maps.join(pages, ["crawl_id", "list_label", "record_index"]).join(
         failed, ["crawl_id", "list_label", "record_index"], "left")
-    record = F.struct(F.col("list_label").alias("container"), F.col("record_index").alias("index"),
-                      F.col("source_page").cast("int").alias("source_page"), "fields", "error")
-    ordered = F.array_sort(F.collect_list(F.struct("list_order", "record_index", F.to_json(record).alias("r"))))
-    folded = rows.groupBy("crawl_id").agg(
-        F.transform(ordered, lambda s: F.from_json(s["r"], RECORD_TYPE[6:-1])).alias("records"),
-        F.countDistinct("list_label").cast("int").alias("n_containers"))
-    return folded
+    return rows.select("crawl_id", "list_order", F.col("list_label").alias("container"), F.col("record_index").alias("index"),
+                       F.col("source_page").cast("int").alias("source_page"), "fields", "error")
 
 
 def _container_fields(dom, planner: Planner, cards: DataFrame, smart: bool) -> tuple[DataFrame, DataFrame]:
@@ -288,14 +348,17 @@ def _with_subpages(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, car
                    fields: DataFrame) -> DataFrame:
     """The pages that records link to, their elements over the records' fields."""
     wanted = tmpl.where("enable_subpage_scraping").select("template_id", "subpage_url_pattern", "max_subpages")
-    subs = conts.join(wanted.select("template_id"), "template_id", "left_semi").select(
+    subs = conts.join(wanted.select("template_id"), "template_id", "left_semi").where(
+        F.coalesce("follow_links", F.lit(True))).select(
         "template_id", "label", F.explode("subpage_elements").alias("s")).select(
         "template_id", F.col("label").alias("list_label"), "s.label", "s.selector")
     rows = subs.select("label", "selector").distinct().collect()  # template configuration
     if not rows:
         return fields
-    links = fields.where(_has_word(F.col("key"), PROFILE_LINK_WORDS) & F.col("value").startswith("http"))
-    links = links.groupBy("crawl_id", "list_label", "record_index").agg(F.min("value").alias("url"))
+    follows = F.coalesce("follow_links", F.lit(True))  # unsaid: the template's enable_subpage_scraping decides
+    asking = conts.where(follows & (F.size("subpage_elements") > 0)).select("template_id", "el_pos", "follow_links")
+    links = profile_links(dom, planner, cards.join(asking, ["template_id", "el_pos"]), fields)
+    links = links.withColumnRenamed("profile_link", "url")
     queue = cards.join(wanted, "template_id").join(links, ["crawl_id", "list_label", "record_index"]).select(
         "template_id", "crawl_id", "list_label", "record_index", "url", "subpage_url_pattern", "max_subpages")
     linked = materialize(follow_links(eligible_links(queue, order=("record_index", "url")), dom.docs, "url").where(
@@ -314,11 +377,34 @@ def _with_subpages(dom, planner: Planner, tmpl: DataFrame, conts: DataFrame, car
         "crawl_id", "list_label", "record_index", "key", "value_ord", "value"))
 
 
-def _merged_lists(cards: DataFrame, fields: DataFrame) -> DataFrame:
+def profile_links(dom, planner: Planner, cards: DataFrame, fields: DataFrame, marker: str | None = "/lawyer/") -> DataFrame:
+    """C4: (crawl_id, list_label, record_index, profile_link): the last link sub-element with a value
+    whose label has profile/link/url/page; else, where the element's ``follow_links`` is set, the first
+    link sub-element with a value; else the first ``a`` of the container whose href holds ``marker``."""
+    key = ["crawl_id", "list_label", "record_index"]
+    subs = cards.select(*key, "follow_links", F.posexplode("sub_elements").alias("sub", "s")).where("s.element_type = 'link'")
+    subs = subs.select(*key, "follow_links", "sub", F.col("s.label").alias("key"))
+    named = _has_word(F.col("key"), PROFILE_LINK_WORDS)
+    values = fields.where(F.col("value").startswith("http")).groupBy(*key, "key").agg(
+        F.min_by("value", "value_ord").alias("value"))
+    hits = subs.join(values, [*key, "key"]).where(named | F.coalesce("follow_links", F.lit(False))).select(
+        *key, F.when(named, 0).otherwise(1).alias("rank"), F.when(named, -F.col("sub")).otherwise(F.col("sub")).alias("at"), "value")
+    if marker:
+        hits = materialize(hits)
+        bare = cards.join(hits.select(*key).distinct(), key, "left_anti")
+        found = planner.select(f"a[href*='{marker}']", scope=bare.select(
+            "page_id", F.col("container_id").alias("scope_id")).distinct())
+        found = node_values(dom, found, "link", resolve_links=True).withColumnRenamed("scope_id", "container_id")
+        hits = hits.unionByName(bare.select(*key, "page_id", "container_id").join(found, ["page_id", "container_id"]).select(
+            *key, F.lit(2).alias("rank"), F.col("node_id").alias("at"), "value"))
+    return hits.groupBy(*key).agg(F.min_by("value", F.struct("rank", "at")).alias("profile_link"))
+
+
+def _merged_lists(dom, planner: Planner, conts: DataFrame, cards: DataFrame, fields: DataFrame) -> DataFrame:
     """Lists of one crawl merged where one is a main list and one a subpage list."""
     order = cards.groupBy("crawl_id", "list_label").agg(F.min("el_pos").alias("list_order"))
-    link = fields.where(_has_word(F.col("key"), PROFILE_LINK_WORDS) & F.col("value").startswith("http")).groupBy(
-        "crawl_id", "list_label", "record_index").agg(F.min("value").alias("profile_link"))
+    said = conts.select("template_id", "el_pos", "follow_links")
+    link = profile_links(dom, planner, cards.join(said, ["template_id", "el_pos"]), fields, None)
     lists = fields.join(order, ["crawl_id", "list_label"]).join(
         link, ["crawl_id", "list_label", "record_index"], "left").withColumn(
         "profile_link", F.coalesce("profile_link", F.lit(""))).withColumnRenamed("crawl_id", "page_id")

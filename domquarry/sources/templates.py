@@ -150,7 +150,8 @@ def with_defaults(templates: DataFrame) -> DataFrame:
         return _coalesce_struct(s, SUB_ELEMENT, SUB_DEFAULTS)
 
     def elem_fix(e, schema):
-        st = _coalesce_struct(e, schema, ELEMENT_DEFAULTS)
+        # follow_links stays null where the template does not say: then enable_subpage_scraping decides
+        st = _coalesce_struct(e, schema, ELEMENT_DEFAULTS | {"follow_links": None})
         st = st.withField("sub_elements", F.transform(st["sub_elements"], sub_fix))
         return st
 

@@ -220,3 +220,91 @@ def test_deep_and_null_pages(dom_of):
     assert planner.select("b").count() == 4000
     assert dom.nodes.agg(F.max(F.size("path"))).first()[0] <= 512
     assert {r["page_id"]: r["doc_text"] is None for r in dom.docs.collect()} == {1: False, 2: True}
+
+
+def people(n, tag="div", cls="card", extra=""):
+    return "".join(f"<{tag} class='{cls}'><b>P{k}</b>{extra.format(k)}</{tag}>" for k in range(n))
+
+
+NAMES = [{"label": "name", "selector": "b"}]
+
+
+def test_scrape_containers_go_through_the_ladder(spark, dom_of):
+    from domquarry.plans.compile import Planner
+
+    pages = {"literal": people(2), "variant": people(3, cls="team-cards big"), "position": people(4, tag="li", cls="row"),
+             "directory": people(3, cls="lawyer-card"), "last": "<section>" + people(6, cls="wp-block-column") + "</section>",
+             "similar": "<ul>" + people(3, tag="li", cls="one") + "</ul>", "none": "<p>nothing here</p>"}
+    selectors = {"literal": "div.card", "variant": ".team-card", "position": "li.row:nth-child(9)", "directory": "div.gone",
+                 "last": "div.away", "similar": "li:first-child", "none": "div.absent"}
+    dom, _ = dom_of([(i, f"https://x/{k}", f"<main>{h}</main>") for i, (k, h) in enumerate(pages.items())])
+    t = templates(spark, *[{"name": k, "url": f"https://x/{k}", "elements": [
+        {"label": "people", "selector": s, "is_container": True, "use_find_similar": k == "similar", "sub_elements": NAMES}]}
+        for k, s in selectors.items()])
+    got = {r["template_name"]: [x["fields"]["name"][0] for x in r["records"]] for r in scrape(dom, Planner(dom), t).collect()}
+    sizes = {"literal": 2, "variant": 3, "position": 4, "directory": 3, "last": 6, "similar": 3, "none": 0}
+    assert got == {k: [f"P{i}" for i in range(n)] for k, n in sizes.items()}
+    plain = {r["template_name"]: len(r["records"]) for r in scrape(dom, Planner(dom), t, smart=False).collect()}
+    assert plain == {k: n if k in ("literal", "similar") else 0 for k, n in sizes.items()}
+
+
+def test_selectors_that_cannot_be_planned_are_errors(spark, dom_of):
+    from domquarry.plans.compile import Planner
+
+    dom, _ = dom_of([(i, f"https://x/l?page={i}", people(1) + "<a class=next>n</a>") for i in (1, 2, 3)])
+    cards = {"label": "people", "selector": "div.card", "is_container": True, "sub_elements": NAMES}
+    base = {"url": "https://x/l?page=1"}
+    t = templates(spark, base | {"name": "container", "elements": [cards | {"selector": "div:frobnicate("}]},
+                  base | {"name": "element", "elements": [cards, {"label": "t", "selector": "h1[[", "is_required": False}]},
+                  base | {"name": "next", "elements": [cards], "pagination": {
+                      "pattern_type": "button", "next_selector": "a:frobnicate("}},
+                  base | {"name": "good", "elements": [cards], "pagination": {"pattern_type": "button", "next_selector": "a.next"}})
+    got = {r["template_name"]: (r["success"], r["errors"], len(r["records"])) for r in scrape(dom, Planner(dom), t).collect()}
+    assert got == {"container": (False, ["Unsupported selector: div:frobnicate("], 0),
+                   "element": (False, ["Unsupported selector: h1[["], 1),
+                   "next": (False, ["Unsupported selector: a:frobnicate("], 1), "good": (True, [], 3)}
+
+
+def test_which_link_a_record_follows(spark, dom_of):
+    from domquarry.plans.compile import Planner
+
+    card = ("<div class=card><a class=blog href='/a-blog'>b</a><a class=me href='/lawyer/1'>m</a>"
+            "<a class=other href='/other'>o</a></div>")
+    dom, _ = dom_of([(1, "https://x/p", card)] + [
+        (i, f"https://x{u}", f"<i class=edu>{u}</i>") for i, u in ((2, "/a-blog"), (3, "/lawyer/1"), (4, "/other"))])
+
+    def link(label, cls):
+        return {"label": label, "selector": f"a.{cls}", "element_type": "link"}
+
+    def template(name, subs, **more):
+        return {"name": name, "url": "https://x/p", "enable_subpage_scraping": True, "elements": [{
+            "label": "people", "selector": "div.card", "is_container": True, "sub_elements": subs,
+            "subpage_elements": [{"label": "education", "selector": "i.edu"}]} | more]}
+
+    named = [link("page_blog", "blog"), link("profile_link", "me")]
+    t = templates(spark, template("last named", named), template("refused", named, follow_links=False),
+                  template("first of all", [link("x", "other"), link("y", "blog")], follow_links=True),
+                  template("named first", [link("x", "other"), link("page_blog", "blog")], follow_links=True),
+                  template("unsaid", [link("x", "other")]),
+                  template("text only", [{"label": "profile", "selector": "a.other"}]))
+    got = {r["template_name"]: r["records"][0]["fields"].get("education") for r in scrape(dom, Planner(dom), t).collect()}
+    assert got == {"last named": ["/lawyer/1"], "refused": None, "first of all": ["/other"], "named first": ["/a-blog"],
+                   "unsaid": ["/lawyer/1"], "text only": ["/lawyer/1"]}
+
+
+def test_batch_keeps_positions_and_repeated_urls(spark, dom_of):
+    from domquarry.operators.scrape import scrape_tables
+    from domquarry.plans.compile import Planner
+
+    dom, _ = dom_of([(1, "https://x/a", people(2)), (2, "https://x/b", people(1))])
+    t = templates(spark, {"name": "n", "url": "https://x/a", "elements": [
+        {"label": "people", "selector": "div.card", "is_container": True, "sub_elements": NAMES}]})
+    asked = ["https://x/b", "https://x/a", "https://x/none", "https://x/b"]
+    urls = spark.createDataFrame([("n", u, i) for i, u in enumerate(asked)], "template_name string, url string, position int")
+    got = scrape(dom, Planner(dom), t, urls).orderBy("position").collect()
+    assert [(r["position"], r["url"], len(r["records"])) for r in got] == [
+        (0, asked[0], 1), (1, asked[1], 2), (2, asked[2], 0), (3, asked[3], 1)]
+    assert len(scrape(dom, Planner(dom), t, urls.drop("position")).collect()) == 4
+    results, records = scrape_tables(dom, Planner(dom), t, urls)
+    assert results.count() == 4 and "records" not in results.columns
+    assert sorted((r["index"], r["fields"]["name"][0]) for r in records.collect()) == [(0, "P0"), (0, "P0"), (1, "P1")]
