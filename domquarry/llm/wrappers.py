@@ -3,18 +3,21 @@
 A page becomes a stream of block tags and text; its skeleton is that stream as a
 tree, with runs of equal siblings folded into repeated groups.  Skeletons of one
 host are aligned one after another: what matches stays, what only one side has
-becomes an optional group, what repeats becomes a repeated group, and text
-becomes a slot that remembers how much text filled it.  The result is the
+becomes an optional group, what repeats becomes a repeated group.  Texts are tokens as
+well: aligned texts that differ become a slot, texts that are equal everywhere stay
+the wrapper's own, and both remember how much text there was.  The result is the
 host's wrapper, a regular expression without unions.  Its content region is the
 article element, else the main element, else the deepest container that holds
 all of the text that is not left out; navigation, headers and footers of the page, sidebars, notices,
 adverts, forms, comments and the like are left out by tag and by class, id or
 role.  A mark by class, id or role is no more than a sign: where the wrapper shows
 that the marked element has the host's articles or most of its text, it is kept.
-A page gives the whole text of its nodes at the region's place.
+A page gives the text that it puts into the slots of the region: all text of its nodes at the
+region's place, without the texts that are the wrapper's own (the same words in the same
+place on every page of a host that has ``MIN_PAGES`` different ones at least).
 
 Skeletons are counted per task before they are shuffled, and a host's distinct
-skeletons are merged in two steps, so a hot host is no single task's.  Pages are
+skeletons are merged in a tree, ``FAN_IN`` at a time, so a hot host is no single task's.  Pages are
 read at every depth.  Wrappers have block elements ``MAX_DEPTH`` deep at most, and
 below them article, main and marked elements, ``MAX_DEPTH`` more at most; the text
 of all others below counts to the node above them.
@@ -30,6 +33,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,8 +42,12 @@ from pyspark.sql import functions as F
 from domquarry.llm.common import save
 
 MAX_DEPTH = 48
-#: Groups of skeletons of one host that are merged apart from each other first.
-PARTS = 32
+#: Skeletons of one host that a task merges, about.
+FAN_IN = 256
+#: Different pages of a host from which a text that all of them have is the wrapper's own.
+MIN_PAGES = 5
+#: The mark of a slot: texts in this place differ.
+SLOT = "*"
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -234,7 +242,8 @@ class Page:
         return self._node(parent, name, words, False, True)
 
     def skeleton(self) -> list:
-        """[key, least, most, characters, children]: see ``fold``."""
+        """[key, least, most, characters, children, text]: see ``fold``; ``text`` is the hash of the node's own
+        text, "" without one."""
         gone = [False] * len(self.key)
         for i in range(1, len(gone)):
             gone[i] = self.out[i] or gone[self.parent[i]]
@@ -242,7 +251,7 @@ class Page:
         for node, text in self.text:
             if node >= 0 and not gone[node]:
                 size[self.stored[node]] += 0 if text.isspace() else len(text)
-        nodes = [[k, 1, 1, n, []] for k, n in zip(self.key, size)]
+        nodes = [[k, 1, 1, n, [], t] for k, n, t in zip(self.key, size, self.own_texts(gone))]
         for i in range(1, len(nodes)):
             if not gone[i] and self.stored[i] == i:
                 nodes[self.stored[self.parent[i]]][4].append(nodes[i])
@@ -250,6 +259,15 @@ class Page:
             node[4] = fold(node[4])
         return nodes[0]
 
+    def own_texts(self, gone: list[bool]) -> list[str]:
+        """The hash of the text that stands in each node itself, white space aside; "" where there is none."""
+        parts: list[list[str]] = [[] for _ in self.key]
+        for node, text in self.text:
+            if node >= 0 and not gone[node] and not text.isspace():
+                parts[self.stored[node]].append(text)
+        return [blake2b(" ".join(" ".join(p).split()).encode("utf-8", "replace"), digest_size=8).hexdigest() if p else ""
+                for p in parts]
+
     def places(self) -> list[tuple]:
         """The keys from the root to each node, as in the skeleton; a node that is
         not in it has none."""
@@ -279,6 +297,16 @@ class Page:
             inside[i] = not gone[i] and (i > 0 and inside[self.parent[i]] or place[i] in paths)
         return inside
 
+    def slots(self, inside: list[bool], region: dict, place: list[tuple]) -> list[bool]:
+        """``inside`` without the nodes whose text is the wrapper's own."""
+        fixed = {(tuple(path), text) for path, text in region.get("fixed", ())}
+        if not fixed:
+            return inside
+        left_out = [not x for x in inside]
+        own = self.own_texts(left_out)
+        kept = [x and (place[self.stored[i]], own[self.stored[i]]) not in fixed for i, x in enumerate(inside)]
+        return kept if self.amount(kept) else inside
+
     def amount(self, wanted: list[bool]) -> int:
         return sum(len(t) for node, t in self.text if node >= 0 and wanted[node] and not t.isspace())
 
@@ -304,13 +332,20 @@ class Page:
             inside = self.inside(region, place, gone)
             left, there = self.amount([not x for x in gone]), self.amount(inside)
             if there and there >= LEAST_SHARE * left and (last or left >= LEAST_LEFT * everything):
-                return self.joined(inside)
+                return self.joined(self.slots(inside, region, place))
         return self.joined([not x for x in gone])
 
 
 def merge(a: list, b: list) -> list:
     """Two nodes of one key as one: text adds up, children are aligned."""
-    return [a[0], min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], align(a[4], b[4])]
+    return [a[0], min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], align(a[4], b[4]), a[5] if a[5] == b[5] else SLOT]
+
+
+def alike(a: list, b: list) -> bool:
+    """Whether two nodes can be repeats of one: of one key, and, but for blocks of text, with text or
+    children of their own where the other has them."""
+    return a[0] == b[0] != "()" and (a[0].split(".")[0].rstrip(SIGN) in TEXT_BLOCKS or (
+        bool(a[4]), bool(a[5])) == (bool(b[4]), bool(b[5])))
 
 
 def fold(nodes: list) -> list:
@@ -318,7 +353,7 @@ def fold(nodes: list) -> list:
     turn become a repeated group (key "()")."""
     out: list = []
     for node in nodes:
-        if out and out[-1][0] == node[0] and node[0] != "()":
+        if out and alike(out[-1], node):
             out[-1] = merge(out[-1], node)
             out[-1][2] = 2
         else:
@@ -326,13 +361,12 @@ def fold(nodes: list) -> list:
     for width in (2, 3, 4):
         i = 0
         while i + 2 * width <= len(out):
-            keys = [n[0] for n in out[i:i + width]]
-            if keys == [n[0] for n in out[i + width:i + 2 * width]]:
-                group, j = out[i:i + width], i + width
-                while [n[0] for n in out[j:j + width]] == keys:
-                    group = [merge(x, y) for x, y in zip(group, out[j:j + width])]
-                    j += width
-                out[i:j] = [["()", 1, 2, 0, group]]
+            group, j = out[i:i + width], i + width
+            while len(out) - j >= width and all(map(alike, group, out[j:j + width])):
+                group = [merge(x, y) for x, y in zip(group, out[j:j + width])]
+                j += width
+            if j > i + width:
+                out[i:j] = [["()", 1, 2, 0, group, ""]]
             i += 1
     return out
 
@@ -369,19 +403,36 @@ def amounts(node: list) -> list[int]:
     return [node[3], *(x for c in node[4] for x in amounts(c))]
 
 
-def filled(node: list, numbers) -> list:
-    """``shape`` with amounts again; ``numbers`` is an iterator."""
-    n = next(numbers)
-    return [*node[:3], n, [filled(c, numbers) for c in node[4]]]
+def own_texts(node: list) -> list[str]:
+    return [node[5], *(x for c in node[4] for x in own_texts(c))]
 
 
-def expression(node: list) -> str:
-    """The wrapper as text: <tag ...>, # for text, ? for optional, + for repeated."""
-    inner = ("#" if node[3] else "") + " ".join(expression(c) for c in node[4])
+def filled(node: list, numbers, texts=None) -> list:
+    """``shape`` with amounts and texts again, from iterators; slots without ``texts``."""
+    n, text = next(numbers), next(texts) if texts else SLOT
+    return [*node[:3], n, [filled(c, numbers, texts) for c in node[4]], text]
+
+
+def expression(node: list, fixed: bool = False) -> str:
+    """The wrapper as text: <tag ...>, # for text (a slot; = for the wrapper's own, with ``fixed``),
+    ? for optional, + for repeated."""
+    text = "" if not node[3] else "=" if fixed and node[5] != SLOT else "#"
+    inner = text + " ".join(expression(c, fixed) for c in node[4])
     body = f"({inner})" if node[0] == "()" else f"<{node[0]}>{inner}</>" if node[0] else inner
     return body + ("+" if node[2] > 1 else "") + ("?" if node[1] == 0 else "")
 
 
+def fixed_texts(wrapper: list) -> list:
+    """[keys from the root, text] of the texts that every page has in the same place."""
+    found, todo = [], [(wrapper, ())]
+    while todo:
+        node, path = todo.pop()
+        if node[5] not in ("", SLOT):
+            found.append([list(path), node[5]])
+        todo += [(c, path if c[0] == "()" else (*path, c[0])) for c in node[4] if c[1]]
+    return sorted(found)
+
+
 def region_of(wrapper: list, least: float = LEAST_SHARE) -> dict:
     """``places`` of the content region and of marked elements to ``keep``, each a
     list of keys from the root.  Articles with less than ``least`` of the text that
@@ -447,61 +498,80 @@ def region_of(wrapper: list, least: float = LEAST_SHARE) -> dict:
         at = step[0]
 
 
-def _skeletons(batches):
-    """host, shape, amounts, pages: added up per task."""
-    found: dict = {}
+class _Sums(dict):
+    """(host, shape) -> amounts, texts (a slot where they differ), pages, and hashes of different pages, as
+    many as ``MIN_PAGES``; all added up."""
 
-    def rows():
-        keys, values = list(found), list(found.values())
-        found.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-             pa.array([v[0] for v in values], pa.list_(pa.int64())), pa.array([v[1] for v in values], pa.int64())],
-            ["host", "shape", "amounts", "pages"])
+    def add(self, key, numbers: list, texts: list, pages: int, kinds: list) -> None:
+        old = self.get(key)
+        self[key] = (numbers, texts, pages, kinds) if old is None else (
+            [x + y for x, y in zip(old[0], numbers)], [x if x == y else SLOT for x, y in zip(old[1], texts)],
+            old[2] + pages, _kinds(old[3] + kinds))
 
-    for batch in batches:
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            tree = Page(html).skeleton()
-            key, numbers = (host, json.dumps(shape(tree))), amounts(tree)
-            if key in found:
-                old = found[key]
-                found[key] = ([x + y for x, y in zip(old[0], numbers)], old[1] + 1)
-            else:
-                found[key] = (numbers, 1)
-            if len(found) >= 5000:
-                yield rows()
-    yield rows()
+
+def _kinds(hashes: list[str]) -> list[str]:
+    return sorted(set(hashes))[:MIN_PAGES]
+
+
+WRAPPED = "host string, shape string, amounts array<bigint>, texts array<string>, pages long, kinds array<string>"
 
 
-def _merged(key, table):
+def _rows(found: _Sums) -> pa.Table:
+    columns = list(zip(*((*k, *v) for k, v in found.items()))) or [()] * 6
+    types = pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.list_(pa.string())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types)],
+                    ["host", "shape", "amounts", "texts", "pages", "kinds"])
+
+
+def _skeletons(batches):
+    """The rows of a task's pages, added up."""
+    found = _Sums()
+    for batch in batches:
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
+            page = Page(html.as_py())
+            tree = page.skeleton()
+            kind = blake2b("".join(t for _, t in page.text).encode("utf-8", "replace"), digest_size=8).hexdigest()
+            found.add((host, json.dumps(shape(tree))), amounts(tree), own_texts(tree), 1, [kind])
+            if len(found) >= 2000:
+                yield from _rows(found).to_batches()
+                found = _Sums()
+    yield from _rows(found).to_batches()
+
+
+def _merged(table: pa.Table) -> pa.Table:
     """One wrapper of a group's skeletons, the most frequent first."""
-    sums: dict = {}
-    for text, numbers, pages in zip(*(table[c].to_pylist() for c in ("shape", "amounts", "pages"))):
-        old = sums.get(text)
-        sums[text] = ([x + y for x, y in zip(old[0], numbers)], old[1] + pages) if old else (numbers, pages)
-    wrapper, total = None, 0
-    for text, (numbers, pages) in sorted(sums.items(), key=lambda x: (-x[1][1], x[0])):
-        tree = filled(json.loads(text), iter(numbers))
-        wrapper, total = merge(wrapper, tree) if wrapper else tree, total + pages
-    return pa.table({"host": table["host"][:1], "shape": [json.dumps(shape(wrapper))],
-                     "amounts": pa.array([amounts(wrapper)], pa.list_(pa.int64())), "pages": [total]})
+    sums, host = _Sums(), table["host"][0].as_py()
+    for text, *values in zip(*(table[c].to_pylist() for c in ("shape", "amounts", "texts", "pages", "kinds"))):
+        sums.add((host, text), *values)
+    wrapper, total, different = None, 0, []
+    for (_, text), (numbers, texts, pages, kinds) in sorted(sums.items(), key=lambda x: (-x[1][2], x[0])):
+        tree = filled(json.loads(text), iter(numbers), iter(texts))
+        wrapper, total, different = merge(wrapper, tree) if wrapper else tree, total + pages, _kinds(different + kinds)
+    return _rows(_Sums({(host, json.dumps(shape(wrapper))): (amounts(wrapper), own_texts(wrapper), total, different)}))
 
 
-def _finished(key, table):
-    merged = _merged(key, table)
-    wrapper = filled(json.loads(merged["shape"][0].as_py()), iter(merged["amounts"][0].as_py()))
-    return pa.table({"host": merged["host"], "wrapper": [expression(wrapper)],
-                     "region": [json.dumps(region_of(wrapper, 0))], "pages": merged["pages"]})
+def _regions(batches):
+    for batch in batches:
+        out = []
+        for host, text, numbers, texts, pages, kinds in zip(*(c.to_pylist() for c in batch.columns)):
+            wrapper = filled(json.loads(text), iter(numbers), iter(texts))
+            many = len(kinds) >= MIN_PAGES
+            region = region_of(wrapper, 0) | {"fixed": fixed_texts(wrapper) if many else []}
+            out.append((host, expression(wrapper, many), json.dumps(region), pages))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["host", "wrapper", "region", "pages"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper, region, pages: one wrapper per host, from all its pages."""
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        _skeletons, "host string, shape string, amounts array<bigint>, pages long")
-    part = F.pmod(F.xxhash64("shape"), F.lit(PARTS)).alias("part")
-    some = parts.select("*", part).groupBy("host", "part").applyInArrow(
-        _merged, "host string, shape string, amounts array<bigint>, pages long")
-    return some.groupBy("host").applyInArrow(_finished, "host string, wrapper string, region string, pages long")
+    some = save(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_skeletons, WRAPPED), "skeletons")
+    while True:
+        # groups of some FAN_IN skeletons of a host, until every host is one group
+        count = some.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        most = count.agg(F.max("n")).first()[0] or 0
+        dealt = some.join(count, "host").withColumn("part", F.pmod(F.xxhash64("shape"), F.ceil(F.col("n") / FAN_IN)))
+        some = save(dealt.drop("n").groupBy("host", "part").applyInArrow(_merged, WRAPPED), "merged")
+        if most <= FAN_IN:
+            return some.mapInArrow(_regions, "host string, wrapper string, region string, pages long")
 
 
 def _read(batches):
