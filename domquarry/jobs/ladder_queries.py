@@ -254,15 +254,14 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey
 
 def action_profile_join(spark, sf_dir):
     """Cards whose profile link contains one of the template's action
-    target URLs (targets: suppliers with key % 7 = 0), as an equi-join of the
-    link's substrings."""
+    target URLs (a target for every supplier), as an equi-join of the link's substrings."""
     from ..operators.merge import action_subpage_join
     dom, planner = rendered_dom(spark, sf_dir)
     cont = find_containers(planner, "div.profile-card")
     scope = cont.select("page_id", F.col("container_id").alias("scope_id"))
     links = (node_values(dom, planner.select("a.profile", scope=scope), "link", resolve_links=True)
              .select("page_id", F.col("scope_id").alias("container_id"), F.lit("profile").alias("key"), "value"))
-    acts = (table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 7 == 0)
+    acts = (table(spark, sf_dir, "supplier")
             .select(F.concat(F.lit("open "), F.col("s_suppkey").cast("string")).alias("label"),
                     F.concat(F.lit("https://dir.example/lawyer/"), F.col("s_suppkey").cast("string"))
                     .alias("target_url")))
@@ -272,7 +271,7 @@ def action_profile_join(spark, sf_dir):
 
 ACTION_PROFILE_JOIN_SQL = """
 WITH r AS (SELECT s_suppkey AS rk FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-t AS (SELECT s_suppkey AS tk FROM supplier WHERE s_suppkey % 7 = 0),
+t AS (SELECT s_suppkey AS tk FROM supplier),
 m AS (
   SELECT rk, 'open ' || tk AS label, 'https://dir.example/lawyer/' || tk AS url
   FROM r JOIN t ON starts_with(CAST(rk AS VARCHAR), CAST(tk AS VARCHAR)))

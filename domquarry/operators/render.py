@@ -129,13 +129,12 @@ def profile_pages(supplier: DataFrame, nation: DataFrame, region: DataFrame) ->
 
 def grid_pages(supplier: DataFrame) -> DataFrame:
     """Two pages per block of 20 supplier keys, in a column layout without
-    profile cards: ``/s/<block>`` lists the first 10 keys, ``/s/<block>?offset=20``
-    the next 7.  First pages of even blocks have a load-more button, of odd ones a
-    next link; blocks divisible by 3 are marked as a grid plugin's.  At most 10
+    profile cards: ``/s/<block>`` lists the first 12 keys, ``/s/<block>?offset=20``
+    the other 8.  First pages of even blocks have a load-more button, of odd ones a
+    next link; blocks divisible by 3 are marked as a grid plugin's.  At most 12
     columns are collected per page."""
     k = F.col("s_suppkey")
-    s = supplier.select((k / 20).cast("bigint").alias("block"), ((k % 20) >= 10).alias("second"), k, "s_name").where(
-        F.col("s_suppkey") % 20 < 17)
+    s = supplier.select((k / 20).cast("bigint").alias("block"), ((k % 20) >= 12).alias("second"), k, "s_name")
     column = F.concat(F.lit('<div class="wp-block-column"><strong>'), esc(F.col("s_name")), F.lit("</strong><i>"),
                       email_of(F.col("s_name")), F.lit("</i><em>write @ us now</em></div>"))
     p = s.withColumn("c", column).groupBy("block", "second").agg(
