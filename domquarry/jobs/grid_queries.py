@@ -114,8 +114,8 @@ WHERE NOT a.second AND b.second AND b.n > 5 AND b.n <> CASE WHEN a.n > 5 THEN a.
 
 
 def grid_similar(spark, sf_dir):
-    """A name in the first column is alone under its parent and has no
-    class and no children; names of other columns are found by tag and parent tag."""
+    """A name in the first column is alone under its parent; names of other
+    columns stand under parents of the same class."""
     dom, planner = grid_dom(spark, sf_dir)
     ex = planner.select(".wp-block-column:first-child > strong").select("page_id", F.col("node_id").alias("example_id"))
     s = similar_nodes(dom, ex).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_similar"),
@@ -124,7 +124,7 @@ def grid_similar(spark, sf_dir):
 
 
 GRID_SIMILAR_SQL = f"""{_GRID}
-SELECT url, n AS n_similar, CAST(4 AS BIGINT) AS strategy FROM g WHERE n > 1
+SELECT url, n AS n_similar, CAST(1 AS BIGINT) AS strategy FROM g WHERE n > 1
 """
 
 

@@ -222,28 +222,41 @@ def validate_candidates(dom, candidates: DataFrame, label: str, element_type: st
     return both.where(F.col("ok") & (F.col("_ok") <= F.col("_n") * max_fraction)).drop("_n", "_ok")
 
 
+# What marks a card or profile, first that holds the example and another node of its tag.
+SIMILAR_NAME_TAGS = ["strong", "h2", "h3"]
+SIMILAR_CONTACT_HREFS, SIMILAR_CONTACT_WORDS = ["mailto", "tel"], ["email", "phone"]
+SIMILAR_ROLE_WORDS = ["title", "position", "role"]
+SIMILAR_CLASS_WORDS = ["card", "item", "profile", "person", "lawyer", "attorney", "member"]
+SIMILAR_TITLE_WORDS = ["partner", "associate", "counsel", "attorney", "lawyer", "director"]
+SIMILAR_NAME_PATTERN = r"^[A-Z][a-z]+(\s+[A-Z][a-z]+)+"
+
+
 def similar_nodes(dom, examples: DataFrame) -> DataFrame:
     """Nodes similar to each example ``(page_id, example_id)``.
 
     Strategies in order, first with more than one match per example:
-    1. same parent and tag; 2. same tag and at least one shared specific
-    (non-generic) class, if 2..99 such nodes; 3. same tag and child-tag sets
-    overlapping by more than half; 4. same tag and same parent tag.  Each runs only
+    1. same parent and tag, else same tag under parents with all specific (non-generic)
+    classes of the example's parent; 2. same tag and at least one shared specific
+    class, if 2..99 such nodes; 3. same tag and child-tag sets
+    overlapping by more than half; 4. same tag and a pattern of cards: a name, contact or
+    role inside, else a word of a card's class; 5. same tag and a job title in the text, else a
+    text that starts like a name.  Each runs only
     for the examples that the ones before left open, as an equi-join on
-    ``(page_id, parent_id, tag)`` / ``(page_id, tag, class)`` / ``(page_id, tag)`` /
-    ``(page_id, tag, parent tag)``."""
-    n = dom.nodes.select("page_id", "node_id", "parent_id", "tag", "classes")
+    ``(page_id, parent_id, tag)`` / ``(page_id, class)`` / ``(page_id, tag)`` /
+    ``(page_id, tag, pattern)``."""
+    n = dom.nodes.select("page_id", "node_id", "parent_id", "tag", "classes", "attrs", "path")
     left = materialize(examples.select("page_id", "example_id").distinct().join(
-        n.withColumnRenamed("node_id", "example_id"), ["page_id", "example_id"]))
+        n.drop("attrs", "path").withColumnRenamed("node_id", "example_id"), ["page_id", "example_id"]))
+    strategies = [(1, _by_parent), (1, _by_parent_class), (2, _by_class), (3, _by_children), (4, _by_pattern),
+                  (5, lambda nodes, ex: _by_text(dom, nodes, ex))]
     key, parts = ["page_id", "example_id"], []
-    for number, strategy in enumerate((_by_parent, _by_class, _by_children, _by_parent_tag), 1):
-        found = materialize(strategy(n, left).select(*key, "node_id"))
+    for number, strategy in strategies:
+        found = materialize(strategy(n, left).select(*key, "node_id").distinct())
         enough = found.groupBy(*key).count().where("count > 1").select(*key)
         parts.append(found.join(enough, key, "left_semi").withColumn("strategy", F.lit(number)))
-        if number < 4:
-            left = materialize(left.join(enough, key, "left_anti"))
-            if left.isEmpty():
-                break
+        left = materialize(left.join(enough, key, "left_anti"))
+        if left.isEmpty():
+            break
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -282,11 +295,60 @@ def _by_children(n: DataFrame, ex: DataFrame) -> DataFrame:
     return own.join(alike, ["page_id", "tag", "kids"]).join(sets, ["page_id", "tag", "nkids"])
 
 
-def _by_parent_tag(n: DataFrame, ex: DataFrame) -> DataFrame:
-    parents = n.select("page_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"))
-    own = ex.join(parents, ["page_id", "parent_id"]).select("page_id", "example_id", "tag", "ptag")
-    return own.join(n.join(parents, ["page_id", "parent_id"]).select("page_id", "node_id", "tag", "ptag"),
-                    ["page_id", "tag", "ptag"])
+def _by_parent_class(n: DataFrame, ex: DataFrame) -> DataFrame:
+    """Nodes of the example's tag under parents that have all specific classes of its parent."""
+    parents = n.select("page_id", F.col("node_id").alias("parent_id"), F.filter(
+        "classes", lambda c: ~is_generic_class(c)).alias("pcls")).where(F.size("pcls") > 0)
+    own = ex.select("page_id", "example_id", "tag", "parent_id").join(parents, ["page_id", "parent_id"]).select(
+        "page_id", "example_id", "tag", F.col("pcls").alias("need"), F.col("pcls")[0].alias("cls"))
+    alike = parents.select("page_id", "parent_id", "pcls", F.explode("pcls").alias("cls"))
+    alike = own.join(alike, ["page_id", "cls"]).where(F.size(F.array_except("need", "pcls")) == 0)
+    return alike.select("page_id", "example_id", "tag", "parent_id").join(
+        n.select("page_id", "parent_id", "tag", "node_id"), ["page_id", "parent_id", "tag"])
+
+
+def _by_first_pattern(held: DataFrame, ex: DataFrame) -> DataFrame:
+    """``held(page_id, node_id, tag, pattern)``: the nodes of the first pattern that holds the example
+    and another node."""
+    size = held.groupBy("page_id", "tag", "pattern").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = ex.select("page_id", "example_id", "tag").join(
+        held.withColumnRenamed("node_id", "example_id"), ["page_id", "example_id", "tag"])
+    first = own.join(size, ["page_id", "tag", "pattern"]).groupBy("page_id", "example_id", "tag").agg(
+        F.min("pattern").alias("pattern"))
+    return first.join(held, ["page_id", "tag", "pattern"])
+
+
+def _any_in(column, words: list[str]):
+    out = F.lit(False)
+    for w in words:
+        out = out | F.coalesce(column.contains(w), F.lit(False))
+    return out
+
+
+def _by_pattern(n: DataFrame, ex: DataFrame) -> DataFrame:
+    n = n.join(ex.select("page_id").distinct(), "page_id", "left_semi")
+    cls, href = F.col("attrs")["class"], F.col("attrs")["href"]
+    inside = [F.col("tag").isin(SIMILAR_NAME_TAGS) | _any_in(cls, ["name"]),
+              ((F.col("tag") == "a") & _any_in(href, SIMILAR_CONTACT_HREFS)) | _any_in(cls, SIMILAR_CONTACT_WORDS),
+              _any_in(cls, SIMILAR_ROLE_WORDS)]
+    # what a node has inside: its descendants' marks, once per ancestor and mark
+    marks = n.select("page_id", "node_id", "path", F.explode(F.array(*[
+        F.when(x, F.lit(i)) for i, x in enumerate(inside)])).alias("pattern")).where("pattern IS NOT NULL")
+    over = marks.select("page_id", "pattern", F.col("node_id").alias("_from"), F.explode("path").alias("node_id")).where(
+        "node_id <> _from").select("page_id", "node_id", "pattern").distinct()
+    has = n.select("page_id", "node_id", "tag").join(over, ["page_id", "node_id"])
+    own = n.select("page_id", "node_id", "tag", F.explode(F.array(*[
+        F.when(_any_in(cls, [w]), F.lit(len(inside) + i)) for i, w in enumerate(SIMILAR_CLASS_WORDS)])).alias("pattern"))
+    return _by_first_pattern(has.unionByName(own.where("pattern IS NOT NULL")), ex)
+
+
+def _by_text(dom, n: DataFrame, ex: DataFrame) -> DataFrame:
+    same = n.select("page_id", "node_id", "tag").join(ex.select("page_id", "tag").distinct(), ["page_id", "tag"], "left_semi")
+    text = node_values(dom, same.select("page_id", "node_id", F.col("tag").alias("_of")), "text")
+    tests = [_any_in(F.lower("value"), SIMILAR_TITLE_WORDS), F.trim("value").rlike(SIMILAR_NAME_PATTERN)]
+    held = text.select("page_id", "node_id", F.col("_of").alias("tag"), F.explode(F.array(*[
+        F.when(t, F.lit(i)) for i, t in enumerate(tests)])).alias("pattern")).where("pattern IS NOT NULL")
+    return _by_first_pattern(held, ex)
 
 
 def suggest_selectors(dom, targets: DataFrame, max_matches: int = 50) -> DataFrame:

@@ -143,3 +143,33 @@ def test_sub_element_validation_rung(dom_of):
     # card 1: no mapped e-mail selector matches inside it; the scoped fallback
     # XPath on text holding '@' finds the address and validation keeps it
     assert "ann@x.com" in got
+
+
+def test_each_strategy_of_similarity_decides(dom_of):
+    from domquarry.operators.detect import similar_nodes
+
+    def box(inner, attrs=""):
+        return f"<section><div{attrs}>{inner}</div></section>"
+
+    pages = {
+        "parent": ("<ul><li>a</li><li>b</li></ul>", "li", 1, 2),
+        "parent class": ("<nav class=quux><i>a</i></nav><nav class='quux big'><i>b</i></nav><nav><i>c</i></nav>", "i", 1, 2),
+        "class": (box("x", " class=zork") + box("y", " class=zork") + box("z"), "div", 2, 2),
+        "children": (box("<u>1</u><s>2</s>") + box("<u>3</u><s>4</s>") + box("<b>5</b>"), "div", 3, 2),
+        "name inside": (box("<h2>A</h2>") + box("<p><strong>B</strong></p>") + box("<p>no</p>"), "div", 4, 2),
+        "contact inside": (box("<a href='mailto:x'>x</a>") + box("<span class=phone>1</span>") + box("<s>-</s>"), "div", 4, 2),
+        "card class": (box("t", " class='mycards'") + box("u", " class='cardbox'") + box("v", " class=other"), "div", 4, 2),
+        "title in text": (box("A partner here") + box("one Director") + box("nobody"), "div", 5, 2),
+        "name in text": (box("Ann Lee") + box("Bob Ray, esq") + box("no name"), "div", 5, 2),
+        "alone": (box("x y"), "div", None, 0),
+    }
+    dom, planner = dom_of([(i, f"https://x/{i}", h) for i, (h, *_) in enumerate(pages.values())])
+    first = None
+    for i, (_, tag, _, _) in enumerate(pages.values()):
+        ex = planner.select(tag).where(F.col("page_id") == i).groupBy("page_id").agg(F.min("node_id").alias("example_id"))
+        first = ex if first is None else first.unionByName(ex)
+    got = {}
+    for r in similar_nodes(dom, first).collect():
+        got.setdefault(r["page_id"], []).append(r["strategy"])
+    want = {i: [strategy] * n for i, (_, _, strategy, n) in enumerate(pages.values()) if n}
+    assert got == want
