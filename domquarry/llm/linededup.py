@@ -14,7 +14,9 @@ suffixes that share f lines, told apart by the ranks of their first and last
 with ``min_words`` words (one from each start and one to each end), so the
 intervals at those depths reveal every maximal repeated run.  A line has a word
 or more, hence no part is longer than ``min_words`` lines and the number of
-rounds has a fixed bound.
+rounds has a fixed bound.  So ranks stand for the sorted suffixes: no list of all
+suffixes is sorted to the end, and intervals are looked up at the depths that count
+instead of being read off computed prefix lengths.
 
 Built-in functions only.  Documents are split at line ends, never cut.  Equal
 lines are counted before they are shuffled, and joins on line ids are joins
