@@ -11,7 +11,7 @@ from ..operators.detect import (directory_containers, page_detection, similar_no
                                 suggest_xpath)
 from ..plans.compile import parse_selector
 from ..session import materialize
-from .common import page_dom
+from .common import page_dom, table
 from .directory_queries import PER_PAGE, _SUPPLIERS, rendered_dom
 
 _LISTING = r"/nation/\d+/people\?page=\d+$"
@@ -19,8 +19,7 @@ _LISTING = r"/nation/\d+/people\?page=\d+$"
 
 def page_detection_query(spark, sf_dir):
     """A1, A2, W7, W8, W9 on every page."""
-    dom, planner = page_dom(spark, sf_dir)
-    d = page_detection(dom, planner)
+    d = page_detection(table(spark, sf_dir, "pages"))
     return d.select("page_id", F.col("profile_count").cast("bigint").alias("profile_count"),
                     F.col("container_count").cast("bigint").alias("container_count"), "load_more_selector",
                     "has_load_more_button", "has_next_link", "is_grid_plugin")

@@ -42,7 +42,7 @@ def _with_url(df, dom):
 def grid_detection(spark, sf_dir):
     """Counts, load-more selector, next link, plugin mark."""
     dom, planner = grid_dom(spark, sf_dir)
-    d = _with_url(page_detection(dom, planner), dom)
+    d = _with_url(page_detection(dom.pages), dom)
     return d.select("url", F.col("profile_count").cast("bigint").alias("profile_count"),
                     F.col("container_count").cast("bigint").alias("container_count"), "load_more_selector",
                     "has_load_more_button", "has_next_link", "is_grid_plugin")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.extract import extract_elements
+from ..operators.onepass import extract_pages
+from ..operators.pagescan import count_matches
 from ..operators.values import page_title
+from ..plans.compile import parse_selector
 from ..sources.templates import normalise_template
-from .common import page_dom, sql_decode, sql_strip
+from .common import page_dom, sql_decode, sql_strip, table
 
 # The flagship template: title and h1 (single), nav links (multiple).
 FLAGSHIP_TEMPLATE = normalise_template({
@@ -23,13 +25,16 @@ FLAGSHIP_TEMPLATE = normalise_template({
 
 def page_summary(spark, sf_dir):
     """S1 -> E1 -> E2 -> P1/P3/P6/P7: title, h1 and number of nav links."""
-    dom, planner = page_dom(spark, sf_dir)
-    values, _ = extract_elements(dom, FLAGSHIP_TEMPLATE["elements"], planner)
-    per_page = (values.groupBy("page_id").agg(
+    return page_summaries(table(spark, sf_dir, "pages"))
+
+
+def page_summaries(pages):
+    """The flagship template on ``pages``, one row per page."""
+    per_page = extract_pages(pages, FLAGSHIP_TEMPLATE["elements"]).groupBy("page_id").agg(
         F.max(F.when(F.col("label") == "title", F.col("value"))).alias("title"),
         F.max(F.when(F.col("label") == "h1", F.col("value"))).alias("h1"),
-        F.count(F.when(F.col("label") == "links", 1)).alias("n_links")))
-    return (dom.docs.select("page_id", "url").join(per_page, "page_id", "left")
+        F.count(F.when((F.col("label") == "links") & F.col("error").isNull(), 1)).alias("n_links"))
+    return (pages.select("page_id", "url").join(per_page, "page_id", "left")
             .select("page_id", "url", "title", "h1", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
 
 
@@ -43,18 +48,16 @@ FROM pages
 
 
 def _multi(spark, sf_dir, selector, element_type="text", resolve=False, selector_type="css"):
-    dom, planner = page_dom(spark, sf_dir)
     el = {"label": "v", "selector": selector, "selector_type": selector_type, "element_type": element_type,
           "is_multiple": True}
-    values, _ = extract_elements(dom, [el], planner, resolve_links=resolve)
+    values = extract_pages(table(spark, sf_dir, "pages"), [el], resolve_links=resolve).where("error IS NULL")
     return values.select("page_id", F.col("value_ord").cast("bigint").alias("value_ord"), "value")
 
 
 def _single(spark, sf_dir, selector, element_type="text", attribute_name=None, selector_type="css"):
-    dom, planner = page_dom(spark, sf_dir)
     el = {"label": "v", "selector": selector, "selector_type": selector_type, "element_type": element_type,
           "attribute_name": attribute_name}
-    values, _ = extract_elements(dom, [el], planner)
+    values = extract_pages(table(spark, sf_dir, "pages"), [el]).where("error IS NULL")
     return values.select("page_id", "value")
 
 
@@ -207,12 +210,10 @@ FROM pages
 def required_missing(spark, sf_dir):
     """Required elements missing on a page become error rows (a
     location-like element would give NULL instead)."""
-    dom, planner = page_dom(spark, sf_dir)
     els = [{"label": "lead", "selector": "article p > b", "is_required": True},
            {"label": "city", "selector": "span.city", "is_required": True},
            {"label": "table", "selector": "table", "is_required": False}]
-    _, errors = extract_elements(dom, els, planner)
-    return errors
+    return extract_pages(table(spark, sf_dir, "pages"), els).where("error IS NOT NULL").select("page_id", "label", "error")
 
 
 REQUIRED_MISSING_SQL = """
@@ -224,12 +225,11 @@ FROM pages WHERE html NOT LIKE '%<b>%'
 
 def paragraph_counts(spark, sf_dir):
     """A6-style count per page: number of ``article > p`` and of ``b``."""
-    dom, planner = page_dom(spark, sf_dir)
-    p = planner.select("article > p").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_paragraphs"))
-    b = planner.select("p b").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_bold"))
-    return (dom.pages.select("page_id").join(p, "page_id", "left").join(b, "page_id", "left")
-            .select("page_id", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"),
-                    F.coalesce("n_bold", F.lit(0)).alias("n_bold")))
+    pages = table(spark, sf_dir, "pages")
+    per_page = count_matches(pages, [parse_selector(s) for s in ("article > p", "p b")]).groupBy("page_id").agg(
+        F.sum(F.when(F.col("key") == 0, F.col("n"))).alias("n_paragraphs"),
+        F.sum(F.when(F.col("key") == 1, F.col("n"))).alias("n_bold"))
+    return pages.select("page_id").join(per_page, "page_id", "left").fillna(0, ["n_paragraphs", "n_bold"])
 
 
 PARAGRAPH_COUNTS_SQL = """

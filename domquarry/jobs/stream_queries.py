@@ -6,14 +6,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.extract import extract_elements
-from ..operators.nodes import build_dom
-from ..plans.compile import Planner
 from ..session import read_table
 from ..streaming.epochs import EpochTable
 from ..streaming.incremental import read_stream, stream_distinct_items, stream_empty_streak, stream_extract, \
     stream_folder, stream_session, walked
-from .page_queries import PAGE_SUMMARY_SQL
+from .page_queries import PAGE_SUMMARY_SQL, page_summaries
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -28,28 +25,13 @@ def arriving(spark, sf_dir, name):
     return folder
 
 
-def _titles(batch):
-    dom = build_dom(batch)
-    planner = Planner(dom)
-    els = [{"label": "title", "selector": "title"}, {"label": "h1", "selector": "h1"},
-           {"label": "links", "selector": "nav li a", "element_type": "link", "is_multiple": True}]
-    values, _ = extract_elements(dom, els, planner)
-    per_page = values.groupBy("page_id").agg(
-        F.max(F.when(F.col("label") == "title", F.col("value"))).alias("title"),
-        F.max(F.when(F.col("label") == "h1", F.col("value"))).alias("h1"),
-        F.count(F.when(F.col("label") == "links", 1)).alias("n_links"))
-    out = (dom.docs.select("page_id", "url").join(per_page, "page_id", "left")
-           .select("page_id", "url", "title", "h1", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
-    return out, dom
-
-
 SUMMARY = "page_id BIGINT, url STRING, title STRING, h1 STRING, n_links BIGINT"
 
 
 def stream_page_summary(spark, sf_dir):
     """Pages arriving over several triggers, extracted per micro-batch into an epoch table."""
     out = stream_folder(spark, "page-summary")
-    stream_extract(spark, arriving(spark, sf_dir, "pages"), _titles, out, max_files=FILES_PER_TRIGGER)
+    stream_extract(spark, arriving(spark, sf_dir, "pages"), page_summaries, out, max_files=FILES_PER_TRIGGER)
     return EpochTable(spark, out).read(SUMMARY).drop("epoch")
 
 

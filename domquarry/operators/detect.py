@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import candidate_is_valid, is_directory_url, is_generic_class
 from ..plans.compile import Planner, parse_selector
 from ..session import materialize
+from .pagescan import count_matches
 from .values import node_values
 
 # Selectors whose largest match count is the profile count (A1).
@@ -148,7 +149,17 @@ def rule_counts(planner: Planner, tables: dict[str, list[str]]) -> DataFrame:
     return n.join(owners, "key").drop("key")
 
 
-def _detected(dom, counts: DataFrame) -> DataFrame:
+def rule_counts_of_pages(pages: DataFrame, tables: dict[str, list[str]]) -> DataFrame:
+    """``rule_counts`` in one pass over ``pages``, without a node table."""
+    distinct = sorted({sel for rules in tables.values() for sel in rules})
+    counts = count_matches(pages, [parse_selector(sel) for sel in distinct])
+    owners = F.array(*[F.array(*[F.struct(F.lit(name).alias("rules"), F.lit(rules.index(sel)).alias("prio"))
+                                 for name, rules in tables.items() if sel in rules]) for sel in distinct])
+    return counts.select("page_id", "n", F.array(*[F.lit(sel) for sel in distinct])[F.col("key")].alias("rule"),
+                         F.inline(owners[F.col("key")]))
+
+
+def _detected(pages: DataFrame, counts: DataFrame) -> DataFrame:
     """The columns of ``PAGE_RULES`` per page, one grouped aggregate."""
     def of(name):
         return F.col("rules") == name
@@ -163,7 +174,7 @@ def _detected(dom, counts: DataFrame) -> DataFrame:
         F.min_by(F.when(several, F.col("n")), F.when(several, F.col("prio"))).alias("container_count"),
         F.min_by(F.when(first, F.col("rule")), F.when(first, F.col("prio"))).alias("load_more_selector"),
         some("has_load_more_button"), some("has_next_link"), some("is_grid_plugin"))
-    return dom.docs.select("page_id").join(per_page, "page_id", "left").fillna(
+    return pages.select("page_id").join(per_page, "page_id", "left").fillna(
         0, ["profile_count", "container_count"]).fillna(
         False, ["has_load_more_button", "has_next_link", "is_grid_plugin"])
 
@@ -171,13 +182,13 @@ def _detected(dom, counts: DataFrame) -> DataFrame:
 def profile_count(dom, planner: Planner) -> DataFrame:
     """A1: largest match count over the profile selectors, 0 when none."""
     rules = {k: v for k, v in PAGE_RULES.items() if k == "profile_count"}
-    return _detected(dom, rule_counts(planner, rules)).select("page_id", "profile_count")
+    return _detected(dom.docs, rule_counts(planner, rules)).select("page_id", "profile_count")
 
 
 def container_count(dom, planner: Planner) -> DataFrame:
     """A2: count of the first selector with more than 5 matches, else 0."""
     rules = {k: v for k, v in PAGE_RULES.items() if k == "container_count"}
-    return _detected(dom, rule_counts(planner, rules)).select("page_id", "container_count")
+    return _detected(dom.docs, rule_counts(planner, rules)).select("page_id", "container_count")
 
 
 def different_content(current: DataFrame, test: DataFrame) -> DataFrame:
@@ -197,9 +208,9 @@ def first_rule(dom, planner: Planner, rules: list[str], min_count: int = 1, name
     return picked.select("page_id", names[F.col("priority")].alias(name), "n_matches")
 
 
-def page_detection(dom, planner: Planner) -> DataFrame:
-    """A1, A2, W7, W8, W9 for every page: all rules in one plan."""
-    return _detected(dom, rule_counts(planner, PAGE_RULES)).select("page_id", *PAGE_RULES)
+def page_detection(pages: DataFrame) -> DataFrame:
+    """A1, A2, W7, W8, W9 for every page: all rules in one pass."""
+    return _detected(pages, rule_counts_of_pages(pages, PAGE_RULES)).select("page_id", *PAGE_RULES)
 
 
 def directory_containers(dom, planner: Planner) -> DataFrame:

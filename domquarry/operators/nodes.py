@@ -117,6 +117,21 @@ class Dom:
         return Dom(self.raw.join(page_ids.select("page_id").distinct(), "page_id", "left_semi"), self.pages)
 
 
+def fetched_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` with null html where a ``status`` outside 200 to 299 says that the page was not fetched."""
+    if "status" not in pages.columns:
+        return pages
+    fetched = F.col("status").isNull() | F.col("status").between(200, 299)
+    return pages.withColumn("html", F.when(fetched, F.col("html")))
+
+
+def spread(src: DataFrame, min_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``src`` dealt over the cluster's cores where its scan has fewer splits, and its number of splits."""
+    target = min_partitions or src.sparkSession.sparkContext.defaultParallelism
+    splits = src.rdd.getNumPartitions()  # planning only: a bare scan has no exchange to run
+    return (src.repartition(target), target) if splits < target else (src, splits)
+
+
 def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None = None,
               num_partitions: int | None = None) -> Dom:
     """Tokenise ``pages(page_id, html, ...)`` into a ``Dom``.
@@ -138,16 +153,8 @@ def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None
     yields fewer partitions than the cluster has cores; at scale the file
     splits already give the parallelism.
     """
-    spark = pages.sparkSession
-    if "status" in pages.columns:
-        fetched = F.col("status").isNull() | F.col("status").between(200, 299)
-        pages = pages.withColumn("html", F.when(fetched, F.col("html")))
-    src = pages.select("page_id", "html", "url")
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    splits = src.rdd.getNumPartitions()  # planning only: a bare scan has no exchange to run
-    if splits < target:
-        src = src.repartition(target)
-        splits = target
+    pages = fetched_pages(pages)
+    src, splits = spread(pages.select("page_id", "html", "url"), min_partitions)
     # as many node partitions as input splits: sized by the input (about
     # maxPartitionBytes of HTML each), not by the session's shuffle setting
     n = num_partitions or splits
