@@ -190,7 +190,7 @@ def _long(table):
 def csv_export_roundtrip(spark, sf_dir):
     """S6 (+P14): scrape results flattened into CSV columns and read back, every
     cell; results without data have a row too."""
-    back = spark.read.option("header", True).csv(_exported(spark, sf_dir, "csv"))
+    back = spark.read.option("header", True).option("escape", "\"").csv(_exported(spark, sf_dir, "csv"))
     rows = back.select("template_name", "url", F.lit("(row)").alias("column"), F.lit("1").alias("value"))
     return _long(back).unionByName(rows)
 
@@ -214,7 +214,7 @@ def workbook_export_roundtrip(spark, sf_dir):
     path = _exported(spark, sf_dir, "excel")
 
     def sheet(name, key="template_name"):
-        t = spark.read.option("header", True).csv(f"{path}/{name}").withColumnRenamed(key, "template_name")
+        t = spark.read.option("header", True).option("escape", "\"").csv(f"{path}/{name}").withColumnRenamed(key, "template_name")
         return _long(t.drop("scraped_at")).select(F.lit(name).alias("sheet"), "template_name", "column", "value")
 
     return sheet("scraped_data").unionByName(sheet("metadata", "name")).unionByName(sheet("errors"))

@@ -22,76 +22,63 @@ SUBPAGE_KEYS = ["education", "credential", "admission", "bar"]
 # The core columns of a unified profile.
 CORE_COLUMNS = ["name", "position", "sector", "email", "phone", "profile_link"]
 
-_REC = ["page_id", "list_label", "record_index"]
-
-
 def classify_lists(lists: DataFrame) -> DataFrame:
     """J4 classification from each list's first record and its label:
-    ``main`` / ``subpage`` / ``other`` per (page, list)."""
-    first = lists.where(F.col("record_index") == 0)
-    keys = first.groupBy("page_id", "list_label").agg(F.collect_set("key").alias("keys"))
-    allk = lists.select("page_id", "list_label", "list_order").distinct()
-    c = allk.join(keys, ["page_id", "list_label"], "left")
-    has = lambda ws: F.exists(F.coalesce("keys", F.array().cast("array<string>")),
-                              lambda k: k.isin(ws))
+    ``main`` / ``subpage`` / ``other`` per (page, list); one aggregate."""
+    def first_has(words):
+        return F.coalesce(F.bool_or((F.col("record_index") == 0) & F.col("key").isin(words)), F.lit(False))
+
+    c = lists.groupBy("page_id", "list_label", "list_order").agg(
+        first_has(MAIN_KEYS).alias("main"), first_has(SUBPAGE_KEYS).alias("sub"))
     low = F.lower("list_label")
-    return c.select("page_id", "list_label", "list_order", F.when(has(MAIN_KEYS) & ~has(SUBPAGE_KEYS), "main")
-                    .when(has(SUBPAGE_KEYS) | low.contains("subpage") | low.contains("second"), "subpage")
+    return c.select("page_id", "list_label", "list_order", F.when(F.col("main") & ~F.col("sub"), "main")
+                    .when(F.col("sub") | low.contains("subpage") | low.contains("second"), "subpage")
                     .otherwise("other").alias("kind"))
 
 
 def merge_related(lists: DataFrame) -> DataFrame:
     """Merge subpage lists into main lists by profile link OR index.
 
-    The OR-join is two equi-joins (on link, on index), unioned and
-    de-duplicated -- never a nested-loop join.  Per (main record, key) the
-    last matching subpage record wins (list order, then record index).
-    ``education`` / ``credential`` lists merge flat; others nest under
-    ``<clean label>_details.<key>``.  Pages without both kinds keep their
-    lists unchanged; subpage lists are dropped where a merge ran."""
-    kinds = materialize(classify_lists(lists))  # one row per list; read by every branch below
-    both = (kinds.groupBy("page_id").agg(F.max((F.col("kind") == "main").cast("int")).alias("m"),
-                                         F.max((F.col("kind") == "subpage").cast("int")).alias("s"))
-            .where("m = 1 AND s = 1").select("page_id"))
-    l2 = lists.join(kinds, ["page_id", "list_label", "list_order"])
-    recs = l2.select("page_id", "list_label", "list_order", "record_index", "profile_link", "kind").distinct()
-    main = recs.where(F.col("kind") == "main").join(both, "page_id", "left_semi")
-    sub = recs.where(F.col("kind") == "subpage").join(both, "page_id", "left_semi")
-    m = main.select("page_id", F.col("list_label").alias("m_label"), F.col("record_index").alias("m_index"),
-                    F.col("profile_link").alias("m_link"))
-    s = sub.select("page_id", F.col("list_label").alias("s_label"), F.col("list_order").alias("s_order"),
-                   F.col("record_index").alias("s_index"), F.col("profile_link").alias("s_link"))
-    # the OR condition as two equi-joins on distinct column names
-    by_link = (m.where(F.col("m_link") != "").withColumnRenamed("m_link", "link")
-               .join(s.where(F.col("s_link") != "").withColumnRenamed("s_link", "link"), ["page_id", "link"])
-               .withColumnRenamed("link", "m_link"))
-    by_index = (m.withColumnRenamed("m_index", "idx").join(s.withColumnRenamed("s_index", "idx"), ["page_id", "idx"])
-                .withColumn("m_index", F.col("idx")).withColumnRenamed("idx", "s_index").drop("s_link"))
-    by_link = by_link.drop("s_link")
-    pairs = by_link.unionByName(by_index).dropDuplicates(["page_id", "m_label", "m_index", "s_label", "s_index"])
-    pairs = materialize(pairs)
-    sub_fields = (lists.where(~F.col("key").startswith("_"))
-                  .select("page_id", F.col("list_label").alias("s_label"), F.col("record_index").alias("s_index"),
-                          "key", "value_ord", "value"))
-    low = F.lower("s_label")
-    flat = low.contains("education") | low.contains("credential")
-    clean = F.trim(F.replace(F.replace("s_label", F.lit("container"), F.lit("")), F.lit("second"), F.lit("")))
-    incoming = (pairs.join(sub_fields, ["page_id", "s_label", "s_index"])
-                .withColumn("key", F.when(flat, F.col("key"))
-                            .otherwise(F.concat(clean, F.lit("_details."), F.col("key")))))
-    # last match wins per (main record, key)
-    w = Window.partitionBy("page_id", "m_label", "m_index", "key")
-    incoming = (incoming.withColumn("_last", F.max(F.struct("s_order", "s_index")).over(w))
-                .where(F.struct("s_order", "s_index") == F.col("_last")))
-    incoming = materialize(incoming.select("page_id", F.col("m_label").alias("list_label"),
-                                           F.col("m_index").alias("record_index"), "key", "value_ord", "value"))
-    base = l2.join(both, "page_id", "left_anti").drop("kind")
-    merged_pages = l2.join(both, "page_id", "left_semi").where(F.col("kind") != "subpage")
-    kept = merged_pages.join(incoming.select(*_REC, "key").distinct(), _REC + ["key"], "left_anti")
-    info = merged_pages.select(*_REC, "list_order", "profile_link").distinct()
-    new = incoming.join(info, _REC)
+    Each subpage record stands under two anchors, its link and its index, and so does each main
+    record: the OR-join is one equi-join on (page, kind of anchor, anchor).  Under an anchor only
+    the last record per key is kept (list order, then record index), by an aggregate that is combined
+    before the shuffle; a second one picks, per main record and key, the later of what
+    both anchors give, or the record's own value.  ``education`` / ``credential`` lists
+    merge flat; others nest under ``<clean label>_details.<key>``.  Pages without both kinds
+    keep their lists unchanged; subpage lists are dropped where a merge ran."""
+    kinds = classify_lists(lists)
+    both = kinds.groupBy("page_id").agg(
+        (F.bool_or(F.col("kind") == "main") & F.bool_or(F.col("kind") == "subpage")).alias("both"))
+    kinds = materialize(kinds.join(both, "page_id"))  # one row per list
     cols = ["page_id", "list_label", "list_order", "record_index", "profile_link", "key", "value_ord", "value"]
-    return base.select(*cols).unionByName(kept.select(*cols)).unionByName(new.select(*cols))
+    here = lists.select(*cols).join(kinds, ["page_id", "list_label", "list_order"])
+    takes_part = F.col("both") & (F.col("kind") != "other")
+    unchanged = here.where(~takes_part).select(*cols)
+    low = F.lower("list_label")
+    clean = F.trim(F.replace(F.replace("list_label", F.lit("container"), F.lit("")), F.lit("second"), F.lit("")))
+    nested = (F.col("kind") == "subpage") & ~(low.contains("education") | low.contains("credential"))
+    merged_key = F.when(nested, F.concat(clean, F.lit("_details."), "key")).otherwise(F.col("key"))
+    # a field of a record with all its values
+    rec = ["page_id", "list_label", "list_order", "record_index", "profile_link"]
+    fields = materialize(here.where(takes_part).select(*rec, "kind", F.col("key").startswith("_").alias("internal"),
+                                                       merged_key.alias("key"), "value_ord", "value")
+                         .groupBy(*rec, "kind", "internal", "key").agg(
+                             F.collect_list(F.struct("value_ord", "value")).alias("vs")))
+    link, index = F.col("profile_link"), F.col("record_index").cast("string")
+    anchors = F.filter(F.array(F.struct(F.lit("link").alias("by"), link.alias("at")),
+                               F.struct(F.lit("index").alias("by"), index.alias("at"))),
+                       lambda x: (x["at"] != "") & x["at"].isNotNull())
+    given = (fields.where("kind = 'subpage' AND NOT internal").withColumn("x", F.explode(anchors))
+             .groupBy("page_id", "x.by", "x.at", "key")
+             .agg(F.max(F.struct(F.col("list_order").alias("o"), F.col("record_index").alias("i"), "vs")).alias("last")))
+    main = fields.where("kind = 'main'")
+    asked = main.select(*rec).distinct().withColumn("x", F.explode(anchors)).select(*rec, "x.by", "x.at")
+    taken = asked.join(given, ["page_id", "by", "at"]).select(*rec, "key", F.struct(
+        F.lit(1).alias("given"), F.col("last.o").alias("o"), F.col("last.i").alias("i"), F.col("last.vs").alias("vs")).alias("v"))
+    own = main.select(*rec, "key", F.struct(F.lit(0).alias("given"), F.lit(None).cast("int").alias("o"),
+                                            F.lit(None).cast("int").alias("i"), "vs").alias("v"))
+    merged = own.unionByName(taken).groupBy(*rec, "key").agg(F.max("v").alias("v"))
+    return unchanged.unionByName(merged.select(*rec, "key", F.inline("v.vs")).select(*cols))
 
 
 def unified_profiles(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,33 +122,49 @@ def unified_profiles(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prof, meta
 
 
+#: Targets are found by the characters they end with: as many as the largest of these that fits.
+ANCHOR_LENGTHS = [1, 2, 4, 8, 16, 32]
+
+
 def action_subpage_join(records: DataFrame, actions: DataFrame) -> DataFrame:
     """A record value containing an action's target URL picks that URL.
 
     ``records(page_id, container_id, key, value)``, ``actions(label,
-    target_url)``, any number of them.  "Contains" is an equi-join: a value's
-    substrings of the lengths that targets have are joined to the targets, so the
-    work follows the length of the values and never pairs records with actions.
-    Returns ``(page_id, container_id, subpage_url, action_label)`` with the first
-    action (by label) per record."""
+    target_url)``, any number of them.  Every distinct value is cut into its pieces of the anchor lengths,
+    six at most for each of its characters however many lengths targets have.  Pieces that some target
+    ends with say where, and for which target lengths, a target may end; those stretches of the value are
+    joined to the targets as a whole.  So the work follows the length of the values, and neither records
+    nor pieces are ever paired with all actions.  Returns ``(page_id, container_id, subpage_url,
+    action_label)`` with the first action (by label) per record; null and empty targets and values pick nothing."""
     targets = actions.where("target_url IS NOT NULL AND target_url <> ''").select("label", "target_url")
-    lengths = [r[0] for r in targets.select(F.length("target_url")).distinct().collect()]  # at most the longest URL
-    if not lengths:
-        return records.select("page_id", "container_id", F.lit(None).cast("string").alias("subpage_url"),
-                              F.lit(None).cast("string").alias("action_label")).limit(0)
+    length = F.length("target_url")
+    size = F.array_max(F.filter(F.array(*[F.lit(n) for n in ANCHOR_LENGTHS]), lambda n: n <= length))
+    ends = targets.select(size.alias("_size"), F.expr("right(target_url, 32)").alias("_end"), length.alias("_length")).select(
+        "_size", F.expr("right(_end, _size)").alias("anchor"), "_length")
+    ends = materialize(ends.groupBy("anchor").agg(F.collect_set("_length").alias("lengths")))  # at most the lengths there are
+    sizes = sorted(r[0] for r in ends.select(F.length("anchor")).distinct().collect())  # six at most
+    texts = materialize(records.where("value <> ''").select("value").distinct().withColumn(
+        "_text", F.monotonically_increasing_id()))
 
     def pieces(n):
         return F.when(F.length("value") >= n, F.transform(
-            F.sequence(F.lit(1), F.length("value") - n + 1), lambda i: F.substring(F.col("value"), i, F.lit(n))))
-
-    parts = F.flatten(F.array_compact(F.array(*[pieces(n) for n in sorted(lengths)])))
-    values = records.select("page_id", "container_id", "value").distinct()
-    hits = values.select("page_id", "container_id", F.explode(F.array_distinct(parts)).alias("target_url")).join(
-        targets, "target_url")
-    return (hits.groupBy("page_id", "container_id")
-            .agg(F.min_by(F.struct(F.col("target_url").alias("subpage_url"), F.col("label").alias("action_label")),
-                          F.struct("label", "target_url")).alias("a"))
-            .select("page_id", "container_id", "a.subpage_url", "a.action_label"))
+            F.sequence(F.lit(n), F.length("value")),
+            lambda i: F.struct(i.alias("stop"), F.substring(F.col("value"), i - n + 1, F.lit(n)).alias("anchor"))))
+
+    none = F.array().cast("array<struct<stop:int,anchor:string>>")
+    parts = F.flatten(F.array(none, *[F.coalesce(pieces(n), none) for n in sizes]))
+    cut = texts.select("_text", F.explode(parts).alias("p")).select("_text", "p.stop", "p.anchor")
+    places = cut.join(ends, "anchor").groupBy("_text").agg(
+        F.collect_list(F.struct("stop", "lengths")).alias("places"))  # as many as a value has pieces
+    may = texts.join(places, "_text").select("value", F.explode("places").alias("p")).select(
+        "value", "p.stop", F.explode("p.lengths").alias("n")).where("n <= stop")
+    found = may.select("value", F.substring(F.col("value"), F.col("stop") - F.col("n") + 1, F.col("n")).alias("target_url"))
+    hits = found.join(targets, "target_url").groupBy("value").agg(
+        F.min(F.struct("label", "target_url")).alias("a"))
+    return (records.select("page_id", "container_id", "value").join(hits, "value").groupBy("page_id", "container_id")
+            .agg(F.min("a").alias("a"))
+            .select("page_id", "container_id", F.col("a.target_url").alias("subpage_url"),
+                    F.col("a.label").alias("action_label")))
 
 
 def with_action_subpages(records: DataFrame, joined: DataFrame) -> DataFrame:

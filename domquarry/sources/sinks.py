@@ -2,8 +2,8 @@
 
 * ``json``  -- the result envelope, fixed column order, ISO timestamps,
   non-ASCII kept (S5);
-* ``csv``   -- flattened columns (P14) with a header, UTF-8; empty data is an
-  error (S6);
+* ``csv``   -- flattened columns (P14) with a header, UTF-8, quotes doubled inside
+  quoted cells; empty data is an error (S6);
 * ``excel`` -- re-aimed as three datasets under one path: ``scraped_data``,
   ``metadata`` and ``errors`` (the last only when there are errors) (S7).
 
@@ -15,10 +15,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rank import row_number_within
 from ..operators.scrape import RESULT_COLUMNS, flatten
+from ..session import materialize
 
 FORMATS = ("json", "csv", "excel")
 
@@ -33,18 +35,45 @@ def _envelope(results: DataFrame) -> DataFrame:
         "scraped_at", F.date_format("scraped_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
-def wide_table(results: DataFrame) -> DataFrame:
-    """Flattened results pivoted to one row per result, also for a result
-    without data.  The columns are the distinct flattened names (labels times list
-    positions, as wide as the longest list), found with one aggregation; a file
-    with a header needs them before the first row."""
-    flat = flatten(results)
-    cols = [r[0] for r in flat.select("column").distinct().orderBy("column").collect()]
-    if not cols:
+def _quoted(c: Column) -> Column:
+    """A CSV cell: quotes doubled inside quotes; nothing for null."""
+    return F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
+
+
+def write_wide(results: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Flattened results as CSV with a header, one line per result, also for a result
+    without data.  The columns are the distinct flattened names (labels times list positions, as wide as
+    the longest list).
+
+    Names are a table with their places, numbered where they lie; the cells of a result are joined
+    to it and stay sparse until its line is put together: each cell after as many commas as places
+    lie between it and the one before.  So neither names nor cells pass the driver, and the width costs
+    commas only.  The header is the first line of every file, as Spark's readers expect."""
+    cells = materialize(flatten(results))
+    names = materialize(row_number_within(cells.select("column").distinct(), [], "column", "_at"))
+    width = names.count()
+    if not width:
         raise ValueError("No data to export")
-    wide = flat.groupBy("template_name", "url").pivot("column", cols).agg(F.first("value"))
-    return results.select("template_name", "url").join(wide, ["template_name", "url"], "left").select(
-        "template_name", "url", *[F.col(f"`{c}`") for c in cols])
+    key = ["template_name", "url"]
+    placed = cells.join(names, "column").groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("_at", "value"))).alias("c"))
+    # a result that is there twice has its cells twice
+    once = F.filter("c", lambda x, i: (i == 0) | (x["_at"] != F.get("c", i - 1)["_at"]))
+    placed = placed.withColumn("c", once)
+    commas = F.transform("c", lambda x, i: F.concat(F.repeat(F.lit(","), (x["_at"] - F.when(
+        i == 0, F.lit(0)).otherwise(F.get("c", i - 1)["_at"])).cast("int")), _quoted(x["value"])))
+    last = F.element_at("c", -1)["_at"]
+    placed = placed.select(*key, F.concat(F.array_join(commas, ""), F.repeat(F.lit(","), (width - last).cast("int"))).alias("t"))
+    tail = F.coalesce("t", F.repeat(F.lit(","), F.lit(width)))
+    lines = materialize(results.select(*key).join(placed, key, "left").select(
+        F.concat(_quoted(F.col("template_name")), F.lit(","), _quoted(F.col("url")), tail).alias("value")))
+    files = max(lines.rdd.getNumPartitions(), 1)
+    header = names.agg(F.sort_array(F.collect_list(F.struct("_at", "column"))).alias("c")).select(
+        F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("_file"), F.lit(False).alias("_data"),
+        F.concat(F.lit('"template_name","url",'), F.array_join(F.transform("c", lambda x: _quoted(x["column"])), ",")).alias("value"))
+    rows = lines.select(F.spark_partition_id().alias("_file"), F.lit(True).alias("_data"), "value")
+    (header.unionByName(rows).repartitionById(files, F.col("_file")).sortWithinPartitions("_data").select("value")
+     .write.mode(mode).text(path))
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> str:
@@ -54,7 +83,7 @@ def write_results(results: DataFrame, path: str, fmt: str = "json", mode: str =
     if f == "json":
         _envelope(results).write.mode(mode).option("ignoreNullFields", "false").json(path)
     elif f == "csv":
-        wide_table(results).write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
+        write_wide(results, path, mode)
     else:
         write_workbook(results, path, mode)
     return path
@@ -68,7 +97,7 @@ def export_results(results: DataFrame, folder: str, template_name: str, fmt: str
 
 def write_workbook(results: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``scraped_data`` / ``metadata`` / ``errors`` datasets."""
-    wide_table(results).write.mode(mode).option("header", True).csv(f"{path}/scraped_data")
+    write_wide(results, f"{path}/scraped_data", mode)
     meta = results.select(
         F.col("template_name").alias("name"), "url",
         F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"), "success",
