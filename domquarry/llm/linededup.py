@@ -20,7 +20,8 @@ instead of being read off computed prefix lengths.
 
 Built-in functions only.  Documents are split at line ends, never cut.  Equal
 lines are counted before they are shuffled, and joins on line ids are joins
-that Spark splits when a key is hot.
+that Spark splits when a key is hot.  Runs with over a thousandth of all parts (fewer than
+a thousand runs, so they are broadcast) are looked up without a shuffle.
 
 Results for odd input: a null text has no line and stays null; blank lines are
 no symbols and stay; repeated rows are copies of each other, the first by row
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from domquarry.llm.common import SPACE_CLASS, let, save, shield, words
 
 MIN_WORDS = 50
+#: A run with more than one in so many of all parts is frequent: fewer runs than this can be.
+FREQUENT = 1000
 
 
 def _ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,9 +130,14 @@ def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             break
         level, k = save(_doubled(longer, size), "doubled"), k + 1
     found = save(found, "parts")
-    place = F.struct("doc_id", "_row", "at")
-    intervals = found.groupBy("f", "a", "b").agg(F.min(place).alias("place"), F.count("*").alias("c"))
-    later = found.join(intervals.filter("c > 1").drop("c"), ["f", "a", "b"]).filter(place > F.col("place"))
+    place, run = F.struct("doc_id", "_row", "at"), ["f", "a", "b"]
+    intervals = found.groupBy(*run).agg(F.min(place).alias("place"), F.count("*").alias("c"))
+    intervals = save(intervals.filter("c > 1"), "intervals")
+    frequent = F.col("c") * FREQUENT > found.count()
+    hot, cold = F.broadcast(intervals.filter(frequent).drop("c")), intervals.filter(~frequent).drop("c")
+    # rows of frequent runs stay where they are; a shuffle by run moves the others only
+    later = found.join(hot, run).unionByName(found.join(hot, run, "left_anti").join(cold, run))
+    later = later.filter(place > F.col("place"))
     return later.select("_row", F.explode("no").alias("no")).groupBy("_row").agg(F.collect_set("no").alias("no"))
 
 
