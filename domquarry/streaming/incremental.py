@@ -8,13 +8,13 @@
   ``dropDuplicates`` (``dropDuplicatesWithinWatermark`` when an event-time
   column is given);
 * R3 ``stream_empty_streak``: the empty-streak stop rule (W1).  Items of a crawl are
-  dealt over ``SHARDS`` keys; a key's state in the RocksDB store is a map from item to the
-  first day it was seen, a map from day to how many items were first seen on it, and
-  counters.  A trigger reads and writes the entries of the items it sees and of
-  their days, nothing else, and passes on the days that changed; ``walked`` sums them over
-  the shards and applies the rule.  So a crawl with a third of all rows is spread over
-  ``SHARDS`` tasks, and late pages (a day before the latest one already seen) are
-  folded in exactly.
+  dealt over ``SHARDS`` shards; a streaming aggregation keeps, in the RocksDB store, an entry per
+  item of a shard (the first day it was seen) and one per day of a shard (how many rows it has had).
+  A trigger reads and writes the entries of the items and days it sees, nothing else, in
+  the store's own code without a call to Python per key, and passes them on; ``walked`` puts
+  them together and applies the rule.  Entries are keyed by item and day too, so a crawl with a third
+  of all rows is spread over many tasks, and late pages (a day before the latest one already
+  seen) are folded in exactly.
 
 Every stream runs under a checkpoint folder inside ``spark.checkpoint.dir``
 so a restarted query resumes where it stopped.
@@ -24,12 +24,8 @@ from __future__ import annotations
 
 import uuid
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from ..session import checkpoint_dir
 from .epochs import EpochTable
@@ -94,46 +90,8 @@ def stream_distinct_items(spark: SparkSession, events_glob: str, schema, keys: l
     return out_dir
 
 
-SHARDS = 32  # keys over which the items of a crawl are dealt
-DAYS = "crawl_id LONG, shard INT, day LONG, n_new LONG, max_day LONG, late_pages LONG, triggers LONG"
-
-
-class FirstDays(StatefulProcessor):
-    """First days of a shard's items.  Out: the days whose number of new items changed, with the shard's counters."""
-
-    def init(self, handle) -> None:
-        self.first = handle.getMapState("first", "item STRING", "day LONG")
-        self.new_on = handle.getMapState("new_on", "day LONG", "n LONG")
-        self.seen = handle.getValueState("seen", "max_day LONG, late_pages LONG, triggers LONG")
-
-    def handleInputRows(self, key, rows, timerValues):
-        max_day, late, triggers = self.seen.get() if self.seen.exists() else (None, 0, 0)
-        before, change = max_day, Counter()
-        for pdf in rows:  # bounded chunks; only per-item minima are kept
-            if before is not None:
-                late += int((pdf["day"] < before).sum())
-            top = int(pdf["day"].max())
-            max_day = top if max_day is None else max(max_day, top)
-            for item, day in pdf.groupby("item")["day"].min().items():
-                known = self.first.getValue((item,))
-                if known is None or day < known[0]:
-                    self.first.updateValue((item,), (int(day),))
-                    change[int(day)] += 1
-                    if known is not None:
-                        change[known[0]] -= 1
-        triggers += 1
-        self.seen.update((max_day, late, triggers))
-        out = []
-        for day in sorted(d for d, n in change.items() if n):
-            known = self.new_on.getValue((day,))
-            n = (known[0] if known else 0) + change[day]
-            self.new_on.updateValue((day,), (n,))
-            out.append((*key, day, n, max_day, late, triggers))
-        yield pd.DataFrame(out or [(*key, None, None, max_day, late, triggers)], columns=[
-            "crawl_id", "shard", "day", "n_new", "max_day", "late_pages", "triggers"]).astype({"day": "Int64", "n_new": "Int64"})
-
-    def close(self) -> None:
-        pass
+SHARDS = 32  # shards over which the items of a crawl are dealt
+SEEN = "crawl_id LONG, shard INT, item STRING, on_day LONG, first_day LONG, n LONG"
 
 
 def stream_empty_streak(items: DataFrame, out_dir: str) -> str:
@@ -142,9 +100,12 @@ def stream_empty_streak(items: DataFrame, out_dir: str) -> str:
     spark = items.sparkSession
     items = items.where("crawl_id IS NOT NULL AND day IS NOT NULL AND item IS NOT NULL").select(
         "crawl_id", F.pmod(F.xxhash64("item"), F.lit(SHARDS)).cast("int").alias("shard"), "day", "item")
-    days = items.groupBy("crawl_id", "shard").transformWithStateInPandas(
-        FirstDays(), outputStructType=DAYS, outputMode="Update", timeMode="None")
-    q = (days.writeStream.foreachBatch(lambda batch, epoch: EpochTable(spark, out_dir).write(batch, epoch))
+    # a row counts twice: for its item and for its day
+    both = F.array(F.struct("item", F.lit(None).cast("long").alias("on_day")),
+                   F.struct(F.lit(None).cast("string").alias("item"), F.col("day").alias("on_day")))
+    seen = (items.select("crawl_id", "shard", "day", F.inline(both)).groupBy("crawl_id", "shard", "item", "on_day")
+            .agg(F.min("day").alias("first_day"), F.count(F.lit(1)).alias("n")))
+    q = (seen.writeStream.foreachBatch(lambda batch, epoch: EpochTable(spark, out_dir).write(batch, epoch))
          .option("checkpointLocation", out_dir + "_ckpt").outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
     return out_dir
@@ -152,13 +113,20 @@ def stream_empty_streak(items: DataFrame, out_dir: str) -> str:
 
 def walked(spark: SparkSession, out_dir: str, k: int = 3, max_pages: int | None = None) -> DataFrame:
     """What ``stream_empty_streak`` has come to: crawl_id, stop_page (of the first ``k`` pages in a row without a
-    new item, else null), pages_walked, n_items, late_pages, triggers.  The last number of a day counts."""
-    rows = EpochTable(spark, out_dir).read(DAYS)
-    counters = rows.groupBy("crawl_id", "shard").agg(*[F.max(c).alias(c) for c in ("max_day", "late_pages", "triggers")])
+    new item, else null), pages_walked, n_items, late_pages, triggers.  The earliest first day of an item counts;
+    late are the rows of a trigger with a day before the latest that their shard had seen in triggers before."""
+    rows = EpochTable(spark, out_dir).read(SEEN)
+    # n grows from epoch to epoch: what an epoch adds to a day is the difference
+    added = F.col("n") - F.coalesce(F.lag("n").over(Window.partitionBy("crawl_id", "shard", "on_day").orderBy("epoch")), F.lit(0))
+    top = F.max("on_day").over(Window.partitionBy("crawl_id", "shard").orderBy("epoch").rangeBetween(
+        Window.unboundedPreceding, -1))
+    counters = rows.where("on_day IS NOT NULL").withColumns({"added": added, "top": top}).groupBy("crawl_id", "shard").agg(
+        F.max("on_day").alias("max_day"), F.sum(F.when(F.col("on_day") < F.col("top"), F.col("added")).otherwise(0)).alias(
+            "late_pages"), F.count_distinct("epoch").alias("triggers"))
     crawls = counters.groupBy("crawl_id").agg(F.max("max_day").alias("max_day"), F.sum("late_pages").alias("late_pages"),
                                               F.max("triggers").alias("triggers"))
-    last = rows.where("day IS NOT NULL").groupBy("crawl_id", "shard", "day").agg(F.max_by("n_new", "epoch").alias("n"))
-    days = last.groupBy("crawl_id", "day").agg(F.sum("n").alias("n")).where("n > 0")
+    firsts = rows.where("item IS NOT NULL").groupBy("crawl_id", "item").agg(F.min("first_day").alias("day"))
+    days = firsts.groupBy("crawl_id", "day").agg(F.count(F.lit(1)).alias("n"))
     # a row per crawl and day with news: no more than the days of the span
     by_day = Window.partitionBy("crawl_id").orderBy("day")
     days = days.join(crawls, "crawl_id").select(

@@ -92,3 +92,33 @@ def test_stop_rule_over_triggers_with_late_days(spark, tmp_path, k, max_pages):
     assert {c: (r.stop_page, r.pages_walked, r.n_items) for c, r in got.items()} == want
     assert max(r.triggers for r in got.values()) > 2 and any(r.late_pages for r in got.values())
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_stop_rule_of_many_crawls_without_a_call_per_key(spark, tmp_path):
+    """Thousands of keys a trigger: the state is the store's own aggregation; counters as by a row-wise model."""
+    rng = random.Random(5)
+    schema, triggers = "crawl_id LONG, day LONG, item STRING", 3
+    parts = [[(c, rng.choice([1, 2, 6, 7, 12]), f"i{rng.randrange(4)}") for c in range(1500) for _ in range(rng.randrange(4))]
+             for _ in range(triggers)]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(part := str(tmp_path / f"items{n}.parquet"))
+        for name in os.listdir(part):
+            os.utime(os.path.join(part, name), (1_700_000_000 + n * 60,) * 2)
+    items = incremental.read_stream(incremental.stream_session(spark), str(tmp_path / "items*.parquet"), schema, max_files=1)
+    out = incremental.stream_empty_streak(items, str(tmp_path / "out"))
+    named = "".join(open(p, encoding="utf-8").read() for p in glob.glob(f"{out}_ckpt/state/0/_metadata/*"))
+    assert "stateStoreSave" in named and "InPandas" not in named
+    got = {r.crawl_id: tuple(r)[1:] for r in incremental.walked(spark, out).collect()}
+    names = spark.createDataFrame([(f"i{k}",) for k in range(4)], "item STRING")
+    shard = {r.item: r.s for r in names.selectExpr("item", f"pmod(xxhash64(item), {incremental.SHARDS}) AS s").collect()}
+    want = {}
+    for c in {c for rows in parts for c, _, _ in rows}:
+        late, top, seen = 0, {}, {}
+        for rows in parts:
+            own = [(d, shard[i]) for x, d, i in rows if x == c]
+            late += sum(d < top.get(s, d) for d, s in own)
+            for s in {s for _, s in own}:
+                top[s] = max([top.get(s, 0), *(d for d, x in own if x == s)])
+                seen[s] = seen.get(s, 0) + 1
+        want[c] = (*_stopped([(d, i) for rows in parts for x, d, i in rows if x == c], 3), late, max(seen.values()))
+    assert got == want
