@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scrape import RECORD_TYPE, flatten, item_totals, scrape
 from ..session import checkpoint_dir
-from ..sources.sinks import export_results
+from ..sources.sinks import export_results, read_wide
 from ..sources.templates import templates_from_json
 from .common import page_dom, sql_decode, sql_strip, table
 from .directory_queries import _POSITION, _SECTORS, PER_PAGE, rendered_dom
@@ -190,9 +190,8 @@ def _long(table):
 def csv_export_roundtrip(spark, sf_dir):
     """S6 (+P14): scrape results flattened into CSV columns and read back, every
     cell; results without data have a row too."""
-    back = spark.read.option("header", True).option("escape", "\"").csv(_exported(spark, sf_dir, "csv"))
-    rows = back.select("template_name", "url", F.lit("(row)").alias("column"), F.lit("1").alias("value"))
-    return _long(back).unionByName(rows)
+    rows, cells = read_wide(spark, _exported(spark, sf_dir, "csv"))
+    return cells.unionByName(rows.withColumns({"column": F.lit("(row)"), "value": F.lit("1")}))
 
 
 _CELLS = f"""{_RECORDS},{_NATIONS.replace("WITH ", "", 1)},
@@ -213,11 +212,16 @@ def workbook_export_roundtrip(spark, sf_dir):
     """The three datasets of the workbook sink, read back, every cell."""
     path = _exported(spark, sf_dir, "excel")
 
-    def sheet(name, key="template_name"):
+    def table_of(name, key="template_name"):
         t = spark.read.option("header", True).option("escape", "\"").csv(f"{path}/{name}").withColumnRenamed(key, "template_name")
-        return _long(t.drop("scraped_at")).select(F.lit(name).alias("sheet"), "template_name", "column", "value")
+        return _long(t.drop("scraped_at"))
 
-    return sheet("scraped_data").unionByName(sheet("metadata", "name")).unionByName(sheet("errors"))
+    def sheet(name, cells):
+        return cells.select(F.lit(name).alias("sheet"), "template_name", "column", "value")
+
+    # the sheet of the data is as wide as the longest list, the others have a few columns
+    return sheet("scraped_data", read_wide(spark, f"{path}/scraped_data")[1]).unionByName(
+        sheet("metadata", table_of("metadata", "name"))).unionByName(sheet("errors", table_of("errors")))
 
 
 WORKBOOK_EXPORT_ROUNDTRIP_SQL = f"""{_CELLS}

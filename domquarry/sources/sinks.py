@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.rank import row_number_within
@@ -76,6 +76,41 @@ def write_wide(results: DataFrame, path: str, mode: str = "overwrite") -> None:
      .write.mode(mode).text(path))
 
 
+def read_wide(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``write_wide`` wrote: its lines ``(template_name, url)``, and their cells ``(template_name, url, column,
+    value)``.  An empty cell is none, as to Spark's CSV reader.
+
+    A table as wide as the longest list is read as rows, not as columns: every cell becomes a row with its place
+    in the line, and the header's cells are the table of names to join.  So the plan does not grow with
+    the width, and the reader's limit of 20,480 columns does not apply."""
+    file = F.col("_metadata")
+    lines = materialize(spark.read.option("lineSep", "\n").text(path).select(
+        F.monotonically_increasing_id().alias("line"), file["file_path"].alias("file"),
+        (file["file_block_start"] == 0).alias("_begins"), "value"))
+    # the first line of each file; one of them names the columns
+    heads = lines.where("_begins").groupBy("file").agg(F.min("line").alias("line"))
+    data = lines.join(heads, "line", "left_anti")
+    names = _placed(lines.join(heads.agg(F.min("line").alias("line")), "line")).select("_at", F.col("value").alias("column"))
+    cells = materialize(_placed(data))
+    one = lambda k: F.max(F.when(F.col("_at") == k, F.col("value")))
+    keys = cells.where("_at < 2").groupBy("line").agg(one(0).alias("template_name"), one(1).alias("url"))
+    rows = data.select("line").join(keys, "line", "left")
+    long = cells.where("_at > 1").join(names, "_at").join(rows, "line")
+    return rows.drop("line"), long.select("template_name", "url", "column", "value")
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """The cells of lines in which all cells that are not empty are quoted: (line, _at, value).  Between quotes lie
+    texts, outside of them commas; a text that is cut by no comma has a doubled quote there."""
+    pieces = lines.select("line", F.posexplode(F.split("value", '"')).alias("_p", "_piece"))
+    inside = F.col("_p") % 2 == 1
+    at = F.sum(F.when(inside, 0).otherwise(F.length("_piece"))).over(Window.partitionBy("line").orderBy("_p").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    parts = pieces.withColumn("_at", at).where(inside).groupBy("line", "_at").agg(
+        F.sort_array(F.collect_list(F.struct("_p", "_piece"))).alias("_c"))
+    return parts.select("line", "_at", F.array_join("_c._piece", '"').alias("value")).where("value <> ''")
+
+
 def write_results(results: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> str:
     f = (fmt or "").lower()
     if f not in FORMATS:

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from domquarry.sources.sinks import output_name, write_results
+from domquarry.sources.sinks import output_name, read_wide, write_results, write_wide
 
 
 def _results(spark):
@@ -49,3 +49,27 @@ def test_entry_contract(spark):
     rows = df.collect()
     assert len(rows) > 0 and set(df.columns) == {"page_id", "url", "title", "h1", "n_links"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_wide_export_read_back_beyond_the_readers_columns(spark, tmp_path):
+    """More columns than Spark's CSV reader takes; quotes, commas and empty cells as it reads them."""
+    odd = ['a "b"', '"', '""', ',",', "", " x ", "\\", "é, \t'", "a\\\"b"]
+    res = _results(spark).where("false").select("template_name", "url", "data", "records").unionByName(spark.createDataFrame([
+        ("T", "u", {"odd": odd}, []), ("T, \"2\"", "v", {"odd": ["one"], "none": []}, []), ("T3", "w", {}, []),
+        ("T4", None, {"x": ["y"]}, [])], "template_name string, url string, data map<string,array<string>>, records "
+        "array<struct<container:string,index:int,source_page:int,fields:map<string,array<string>>,error:string>>").repartition(3))
+    write_wide(res, p := str(tmp_path / "narrow"))
+    rows, cells = read_wide(spark, p)
+    plain = spark.read.option("header", True).option("escape", '"').csv(p).collect()
+    key = repr
+    assert sorted(map(tuple, rows.collect()), key=key) == sorted([(r.template_name, r.url) for r in plain], key=key)
+    want = [(r.template_name, r.url, c, v) for r in plain for c, v in r.asDict().items()
+            if c not in ("template_name", "url") and v is not None]
+    assert sorted(map(tuple, cells.collect()), key=key) == sorted(want, key=key) and len(want) >= len(odd)
+    wide = spark.range(2).selectExpr("concat('W', id) AS template_name", "'u' AS url", "map('v', transform("
+                                     "sequence(1, 20000 + 1000 * cast(id AS int)), i -> concat(i, '\"'))) AS data").crossJoin(
+        res.select("records").where("template_name = 'T3'"))
+    write_wide(wide, p := str(tmp_path / "wide"))
+    rows, cells = read_wide(spark, p)
+    assert rows.count() == 2 and cells.groupBy("template_name").count().orderBy("count").collect() == [("W0", 20000), ("W1", 21000)]
+    assert cells.where("value <> concat(substring(column, 3), '\"')").count() == 0
