@@ -64,6 +64,8 @@ _ARROW_SCHEMA = pa.schema([
 _FIELDS = [f.name for f in _ARROW_SCHEMA][1:-1]
 # Flush an output batch once this many nodes are buffered (bounded task memory).
 _FLUSH_NODES = 50_000
+# HTML per partition of the node table, whose rows take two to three times as much in a shuffle.
+HTML_PER_PARTITION = 16 << 20
 
 
 def _tokenise_batches(batches):
@@ -154,10 +156,14 @@ def build_dom(pages: DataFrame, persist: bool = True, min_partitions: int | None
     splits already give the parallelism.
     """
     pages = fetched_pages(pages)
-    src, splits = spread(pages.select("page_id", "html", "url"), min_partitions)
-    # as many node partitions as input splits: sized by the input (about
-    # maxPartitionBytes of HTML each), not by the session's shuffle setting
-    n = num_partitions or splits
+    rows = pages.select("page_id", "html", "url")
+    src, splits = spread(rows, min_partitions)
+    # node partitions are sized by the HTML itself, not by the session's shuffle setting: splits
+    # count file bytes, of which compressed HTML and its nodes are many times as much
+    n = num_partitions
+    if n is None:
+        html = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+        n = max(splits, -(-html // HTML_PER_PARTITION))
     raw = src.mapInArrow(_tokenise_batches, NODE_SCHEMA).repartition(n, "page_id")
     if persist:
         raw = raw.persist(StorageLevel.MEMORY_AND_DISK)

@@ -173,3 +173,20 @@ def test_each_strategy_of_similarity_decides(dom_of):
         got.setdefault(r["page_id"], []).append(r["strategy"])
     want = {i: [strategy] * n for i, (_, _, strategy, n) in enumerate(pages.values()) if n}
     assert got == want
+
+
+def test_node_partitions_grow_with_the_html(pages_df, monkeypatch):
+    """A task of the node table reads a bounded amount of HTML, however few splits the pages come in."""
+    from domquarry.operators import nodes
+    from domquarry.plans.compile import Planner
+    monkeypatch.setattr(nodes, "HTML_PER_PARTITION", 4096)
+    pages = pages_df([(k, f"u{k}", f"<p>é{k}</p>" + "<b>x</b>" * 200) for k in range(40)] + [(99, "u99", None)]).coalesce(1)
+    dom, few = nodes.build_dom(pages, min_partitions=1), nodes.build_dom(pages, min_partitions=1, num_partitions=1)
+    assert dom.raw.rdd.getNumPartitions() >= 40 * 1600 // 4096 and few.raw.rdd.getNumPartitions() == 1
+    rows = [sorted(map(tuple, Planner(d).select("p + b").select("page_id", "node_id").collect())) for d in (dom, few)]
+    assert rows[0] == rows[1] and len(rows[0]) == 40
+    assert dom.docs.count() == 41
+    empty = nodes.build_dom(pages.where("page_id = 99"), min_partitions=1)
+    assert empty.raw.rdd.getNumPartitions() == 1 and empty.docs.count() == 1
+    for d in (dom, few, empty):
+        d.unpersist()
