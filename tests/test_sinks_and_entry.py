@@ -73,3 +73,14 @@ def test_wide_export_read_back_beyond_the_readers_columns(spark, tmp_path):
     rows, cells = read_wide(spark, p)
     assert rows.count() == 2 and cells.groupBy("template_name").count().orderBy("count").collect() == [("W0", 20000), ("W1", 21000)]
     assert cells.where("value <> concat(substring(column, 3), '\"')").count() == 0
+
+
+def test_workbook_of_a_wide_list(spark, monkeypatch):
+    """The workbook's sheets read back where the data has more columns than Spark's CSV reader takes."""
+    from pyspark.sql import functions as F
+
+    from domquarry.jobs import scrape_queries
+    res = _results(spark).withColumn("data", F.expr("map('v', transform(sequence(1, 20500), i -> concat('x', i)))"))
+    monkeypatch.setattr(scrape_queries, "_nation_results", lambda spark, sf_dir: res)
+    got = {r["sheet"]: r["count"] for r in scrape_queries.workbook_export_roundtrip(spark, "").groupBy("sheet").count().collect()}
+    assert got == {"scraped_data": 20503, "metadata": 3, "errors": 1}
